@@ -49,7 +49,7 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 def place(df: DataFrame, key: str, shards=SHARDS, size: int = SIZE) -> DataFrame:
     """``df`` with its columns ``slot`` and ``shard`` (number of the shard)."""
-    table = F.array(F.lit(0)) if not shards else F.lit(lookup_table(shards, size))
+    table = F.split(F.lit(",".join(map(str, lookup_table(shards, size)))), ",").cast("array<int>")
     rows = df.sparkSession.range(1).select(F.posexplode(table).alias("slot", "shard"))
     return df.withColumn("slot", slot_of(F.col(key), size)).drop("shard").join(F.broadcast(rows), "slot")
 

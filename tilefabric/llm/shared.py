@@ -74,14 +74,14 @@ def feistel(x: Column, n: Column, key: Column, rounds: int = 4, walks: int = 64)
     a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     b = F.ceil(n / a).cast("long")
 
+    def turn(s: Column, r: Column) -> Column:
+        hi = F.when(r % 2 == 0, (s["hi"] + F.pmod(F.xxhash64(s["lo"], key, r), a)) % a).otherwise(s["hi"])
+        lo = F.when(r % 2 == 1, (s["lo"] + F.pmod(F.xxhash64(s["hi"], key, r), b)) % b).otherwise(s["lo"])
+        return F.struct(hi.alias("hi"), lo.alias("lo"))
+
     def once(v: Column) -> Column:
-        hi, lo = int_div(v, b), v % b
-        for r in range(rounds):
-            if r % 2 == 0:
-                hi = (hi + F.pmod(F.xxhash64(lo, key, F.lit(r)), a)) % a
-            else:
-                lo = (lo + F.pmod(F.xxhash64(hi, key, F.lit(r)), b)) % b
-        return hi * b + lo
+        halves = F.struct(int_div(v, b).alias("hi"), (v % b).alias("lo"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), halves, turn, lambda s: s["hi"] * b + s["lo"])
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), once(x), lambda v, _: F.when(v < n, v).otherwise(once(v)))
 
