@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import running_start, written
-from .tokens import Encoder
+from .tokens import token_ids
 
 CAPACITY, END = 2_048, 0
 BATCH = 500
@@ -151,13 +151,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFra
     """(doc_id, piece, start, length, ids_crc32) of every piece of every whole text."""
 
     def run(batches):
-        encoder = Encoder()
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 part = pdf.iloc[at : at + BATCH]
                 rows = []
-                for doc, ids in zip(part["doc_id"].tolist(), encoder.batch(part["text"].tolist()), strict=True):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                for doc, text in zip(part["doc_id"].tolist(), part["text"].tolist(), strict=True):
+                    ids = np.append(token_ids(text), np.uint32(end)).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)]
                     rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": part["doc_id"].dtype})

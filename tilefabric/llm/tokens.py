@@ -1,63 +1,28 @@
-"""Token ids of whole texts, batch by batch.
+"""Token ids of whole texts.
 
-A single space between two non-space characters always begins a new
-pre-token, so text is cut there and each distinct piece is encoded once: the
-pieces a worker has not met are encoded together, and the ids are told apart by
-their tokens' byte lengths. Ids are those of the public byte-level BPE with
-50,257 entries; strings of special tokens in a text are ordinary text.
+Ids are those of the public byte-level BPE with 50,257 entries; strings of
+special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+from functools import cache
 
 import numpy as np
 
-CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
-
-
-class Encoder:
-    def __init__(self, name: str = "byte_bpe_50k.tiktoken"):
-        import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(name), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = len(token)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.encoding.encode_ordinary(text), dtype="<u4")
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [CUT.split(t) for t in texts]
-        inner = {p for parts in cut for p in parts[1:-1] if p not in self.known}
-        self._learn(sorted(inner))
-        known, out = self.known, []
-        for parts in cut:
-            ends = [self.ids(parts[0]).tobytes(), *map(known.__getitem__, parts[1:-1])]
-            if len(parts) > 1:
-                ends.append(known.get(parts[-1]) or self.ids(parts[-1]).tobytes())
-            out.append(np.frombuffer(b"".join(ends), dtype="<u4"))
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Each piece is a space and a run without a cut in it, and ends in no white space."""
-        if not pieces:
-            return
-        ids = self.ids("".join(pieces))
-        raw, starts = ids.tobytes(), np.cumsum(self.bytes_of[ids])
-        ends = np.searchsorted(starts, np.cumsum([len(p.encode()) for p in pieces])) + 1
-        at = 0
-        for p, end in zip(pieces, ends.tolist(), strict=True):
-            self.known[p] = raw[4 * at : 4 * end]
-            at = end
+
+@cache
+def encoding(name: str = "byte_bpe_50k.tiktoken"):
+    """The vocabulary, loaded once in each worker."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(text: str) -> np.ndarray:
+    """Little-endian unsigned 32-bit ids of a text."""
+    return encoding().encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
