@@ -61,6 +61,18 @@ def running_start(df: DataFrame, keys: list[str], weight: Column, order: list[st
     return df.withColumn("_in", within).join(starts, cell).withColumn(out, F.col("_s") + F.col("_in")).drop("_w", "_b", "_s", "_in")
 
 
+def with_number(df: DataFrame, rid: str, out: str) -> DataFrame:
+    """Dense numbers 0..n-1 from ``rid``, a written column of ``monotonically_increasing_id``.
+
+    Such an id holds the partition and the row's place in it, so the partitions'
+    counts (a row each, broadcast if few) give the numbers without moving rows.
+    """
+    part = F.shiftright(rid, 33)
+    starts = written(df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")))
+    starts = starts.withColumn("_s", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_s")
+    return df.withColumn("_p", part).join(small(starts), "_p").withColumn(out, F.col("_s") + (F.col(rid) - F.shiftleft("_p", 33))).drop("_p", "_s")
+
+
 def feistel(x: Column, n: Column, key: Column, rounds: int = 4, walks: int = 64) -> Column:
     """Keyed permutation of 0..n-1, applied to ``x``.
 
