@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .langid import fold
 
-PASSAGE, SAMPLE, BAG, HIDDEN, GATE = 512, 4_000, 256, 24, 12
+PASSAGE, SAMPLE, BAG, HIDDEN, GATE = 512, 2_000, 64, 24, 12
 EPOCHS, BAGS, RATE, DECAY, SEED = 30, 64, 0.01, 1e-4, 5
 THRESHOLD = 0.3
 #: Character classes: one each for these bytes, then groups.
@@ -97,7 +97,7 @@ class Model:
 
 
 def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
-    """Gradient descent on the log loss of the documents' labels."""
+    """Gradient descent on the log loss of the documents' labels; ``x`` is in steps of 1/255."""
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: rng.normal(size=shape, scale=1 / np.sqrt(shape[0])).astype(np.float64)
     m = Model(3 * draw(FEATURES, HIDDEN), np.zeros(HIDDEN), draw(HIDDEN, GATE), draw(HIDDEN, GATE), draw(GATE), draw(HIDDEN), np.zeros(1))
@@ -108,7 +108,7 @@ def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
         rate = RATE * (1 - epoch / EPOCHS) + 1e-3
         for at in range(0, len(order), BAGS):
             some = order[at : at + BAGS]
-            xs = np.concatenate([x[first[i] : first[i] + many[i]] for i in some]).astype(np.float64)
+            xs = np.concatenate([x[first[i] : first[i] + many[i]] for i in some]) / 255
             f = m.forward(xs, many[some])
             bag, h, p, q, a = (f[k] for k in ("bag", "h", "p", "q", "a"))
             dy = (f["y"] - y[some]) / len(some)
@@ -139,18 +139,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
                 raw = np.frombuffer(b["text"][row].as_buffer(), np.uint8)
                 x, _ = bags(raw, np.array([len(raw)]))
                 x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int))]
-                yield pa.RecordBatch.from_pydict({"h": b["h"].slice(row, 1), "y": b["_y"].slice(row, 1), "x": pa.array([x.astype(np.float16).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"h": b["h"].slice(row, 1), "y": b["_y"].slice(row, 1), "x": pa.array([np.rint(255 * np.clip(x, 0, 1)).astype(np.uint8).tobytes()], pa.binary())})
 
     # Rows that repeat a doc_id are each a bag; the sample's few ids are broadcast, the texts are not moved.
     picked = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text").orderBy("h").limit(2 * sample) if n else picked.select(F.lit(0).cast("long").alias("h"), "_y", "text")
-    rows = picked.mapInArrow(run, "h long, y int, x binary").collect()
+    picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text").mapInArrow(run, "h long, y int, x binary")
+    rows = picked.orderBy("h").limit(2 * sample).collect() if n else []
     rows.sort(key=lambda r: (r["h"], r["y"]))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 1.0
-    xs = [np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in rows]
-    return fit(np.concatenate(xs).astype(np.float32), np.array([len(x) for x in xs]), y)
+    xs = [np.frombuffer(r["x"], np.uint8).reshape(-1, FEATURES) for r in rows]
+    return fit(np.concatenate(xs), np.array([len(x) for x in xs]), y)
 
 
 def scored(docs: DataFrame, model: Model | float, *keep: str) -> DataFrame:
