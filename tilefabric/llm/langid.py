@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import with_own_id, with_text_id
+
 #: Bounds of the training sample and the model; buckets of n-grams; ridge.
 PER_LANGUAGE, LANGUAGES, LANDMARKS, BUCKETS, RIDGE = 300, 64, 192, 1 << 16, 1e-2
 FOLDS, BATCH = 5, 256
@@ -137,8 +139,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     score[on] = np.clip((s.max(axis=1) + 1) / 2, 0, 1)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": pred, "score": score})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = with_text_id(docs, F.col("text").cast("binary").alias("text"))
+    return with_own_id(rows.mapInPandas(run, "doc_id string, lang_pred string, score double"), docs)
 
 
 def op4(docs: DataFrame) -> DataFrame:

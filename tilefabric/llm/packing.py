@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running_start, written
+from .shared import running_start, with_own_id, with_text_id, written
 from .tokens import token_ids
 
 CAPACITY, END = 2_048, 0
@@ -159,10 +159,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFra
                     ids = np.append(token_ids(text), np.uint32(end)).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)]
                     rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": part["doc_id"].dtype})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    rows = with_text_id(docs, F.coalesce("text", F.lit("")).alias("text"))
+    return with_own_id(rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long"), docs)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -186,8 +186,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame
                 bins[where], offsets[where] = firsts[k] + n - numbers[k], at[k]
             yield pdf.drop(columns="number").assign(sequence_id=bins, offset=offsets)
 
-    placed = numbered.select(*cut.columns, "number").mapInPandas(place, full.schema)
-    return full.unionByName(placed)
+    rows = with_text_id(numbered, *cut.columns[1:], "number")
+    placed = rows.mapInPandas(place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return full.unionByName(with_own_id(placed, docs))
 
 
 def op9(docs: DataFrame) -> DataFrame:

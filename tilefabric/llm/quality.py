@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     return fit(np.concatenate(xs), np.array([len(x) for x in xs]), y)
 
 
-def scored(docs: DataFrame, model: Model | float, *keep: str) -> DataFrame:
-    """``keep`` columns and score of every document."""
+def scored(docs: DataFrame, model: Model | float, *keep: str, name: str = "score") -> DataFrame:
+    """``keep`` columns and the score of every document, as column ``name``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -171,17 +171,17 @@ def scored(docs: DataFrame, model: Model | float, *keep: str) -> DataFrame:
                     y = m.forward(*bags(raw, lengths[at:to].astype(np.int64)))["y"].astype(np.float64)
                 else:
                     y = np.full(to - at, m)
-                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(y)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(y)], [*keep, name])
                 at = to
 
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
     text = F.coalesce("text", F.lit("")).cast("binary")
     return docs.select(*keep, text.alias("_text"), F.octet_length(text).alias("_size")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier, trained on ``labels``, does not reject."""
-    return scored(docs, train(docs, labels), *docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    return scored(docs, train(docs, labels), *docs.columns, name="_quality").where(F.col("_quality") >= threshold).select(*docs.columns)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

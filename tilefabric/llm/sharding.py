@@ -14,6 +14,7 @@ Spark only if the input itself has ``slot`` or ``shard``, which are replaced.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +27,16 @@ def lookup_table(shards=SHARDS, size: int = SIZE) -> list[int]:
     """The number of the shard at each slot."""
     if not shards or len(shards) > size or any(size % d == 0 for d in range(2, int(size**0.5) + 1)):
         raise ValueError("give 1 to `size` shards and a prime size")
-    walks = []
-    for name in shards:
+    def walk(name: str) -> Iterator[int]:
         digest = hashlib.md5(name.encode()).digest()
         offset, step = int.from_bytes(digest[:8]) % size, int.from_bytes(digest[8:]) % (size - 1) + 1
-        walks.append((offset + i * step) % size for i in range(size))
+        return ((offset + i * step) % size for i in range(size))
+
+    walks = [walk(name) for name in shards]
     table, free = [-1] * size, size
     while free:
-        for shard, walk in enumerate(walks):
-            slot = next(s for s in walk if table[s] < 0)
+        for shard, slots in enumerate(walks):
+            slot = next(s for s in slots if table[s] < 0)
             table[slot], free = shard, free - 1
             if not free:
                 break

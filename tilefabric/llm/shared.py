@@ -39,6 +39,16 @@ def spread(df: DataFrame, rows: int, per_task: int, *cols: str) -> DataFrame:
     return df.repartition(max(least, -(-rows // per_task)), *cols)
 
 
+def with_text_id(docs: DataFrame, *columns: Column) -> DataFrame:
+    """doc_id as text and ``columns``: pandas would hold integer ids as doubles where some are null."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), *columns)
+
+
+def with_own_id(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` with doc_id in the type it has in ``docs``."""
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
 def int_div(a: Column, b: Column) -> Column:
     """Quotient of non-negative longs, rounded down."""
     return ((a - a % b) / b).cast("long")

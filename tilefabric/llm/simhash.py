@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, spread, written
+from .shared import components, spread, with_own_id, with_text_id, written
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
 #: Fixed values of the binary Golay code: generator polynomial, length, covering radius.
@@ -83,8 +83,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fp = majority([hashes(t, shingle) for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp.view(np.int64)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    rows = with_text_id(docs, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return with_own_id(rows.mapInPandas(run, "doc_id string, fp long"), docs)
 
 
 @cache
