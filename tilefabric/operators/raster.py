@@ -144,3 +144,64 @@ def mean_color(rgb: DataFrame, by=("ei", "ni")) -> DataFrame:
     """Mean colour of the real pixels, and whether at least a tenth are real."""
     real = no_data_weight(F.col("r"), F.col("g"), F.col("b")) < 1
     return rgb.groupBy(*by).agg(*(F.avg(F.when(real, F.col(c))).alias(c) for c in "rgb"), F.count_if(real).alias("valid"), (F.count_if(real) * 10 >= F.count("*")).alias("kept"))
+
+
+def fill_gaps_neighbours(px: DataFrame, passes: int, cut=None) -> DataFrame:
+    """Missing pixels become the mean of the valid ones among their eight neighbours, pass by pass.
+
+    Ends after ``passes`` passes or when a pass fills nothing; what is left is 0.
+    ``cut`` (say, a write to a shared folder) is applied to each pass's result to
+    cut its lineage.
+    """
+    now = px.select(*PIXEL, valid(F.col("h")).alias("h"))
+    around = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
+    shift = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in around))
+    missing = None
+    for _ in range(passes):
+        now = cut(now) if cut else now
+        left = now.where("h is null").count()
+        if left in (0, missing):
+            break
+        missing = left
+        near = now.where("h is not null").withColumn("s", F.explode(shift))
+        near = near.select(*TILE_KEY, (F.col("prow") + F.col("s.r")).alias("prow"), (F.col("pcol") + F.col("s.c")).alias("pcol"), "h")
+        means = near.join(now.where("h is null").select(*PIXEL), PIXEL, "left_semi").groupBy(*PIXEL).agg(F.avg("h").alias("_m"))
+        now = now.join(means, PIXEL, "left").select(*PIXEL, F.coalesce("h", "_m").alias("h"))
+    return now.select(*PIXEL, F.coalesce("h", F.lit(0.0)).alias("h"))
+
+
+def merge_rgb(px: DataFrame, priority: str = "source") -> DataFrame:
+    """Sources in priority order; each lower one blends into what is no data in the result so far."""
+    stack = F.array_sort(F.collect_list(F.struct(priority, "r", "g", "b")))
+    merged = px.groupBy(*PIXEL).agg(stack.alias("s"))
+
+    def blend(acc: Column, low: Column) -> Column:
+        w = no_data_weight(acc["r"], acc["g"], acc["b"])
+        return F.struct(*(F.floor(acc[c] * (1 - w) + low[c] * w + 0.5).cast("int").alias(c) for c in "rgb"))
+
+    first = F.struct(*(F.col("s")[0][c].cast("int").alias(c) for c in "rgb"))
+    out = merged.withColumn("o", F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), first, blend))
+    return out.select(*PIXEL, "o.r", "o.g", "o.b")
+
+
+def chunk_composite(px: DataFrame, size: int, res: int, tiles: int = 8) -> DataFrame:
+    """Chunks of tiles x tiles as res x res samples: the mean of the non-zero pixels in a window around each sample.
+
+    A sample lies in one tile (the last one at the far edges); its window stays in it.
+    """
+    half = min(8, size // (res - 1) // 2)
+    span = F.lit(float(tiles))
+    at = px.where("h <> 0").withColumns({"cei": F.floor(F.col("ei") / tiles).cast("int"), "cni": F.floor(F.col("ni") / tiles).cast("int")})
+
+    def centres(tile: Column, pixel: Column, flip: bool) -> Column:
+        """Sample numbers whose window in this tile holds the pixel; flipped where samples run against the tiles."""
+        def inside(k: Column) -> Column:
+            place = k / F.lit(float(res - 1)) * span
+            t = F.least(F.floor(place), F.lit(tiles - 1))
+            centre = F.floor((place - t) * (size - 1) + 0.5)
+            return ((tiles - 1 - t if flip else t) == tile) & (F.abs(centre - pixel) <= half)
+
+        return F.filter(F.sequence(F.lit(0), F.lit(res - 1)), inside)
+
+    at = at.withColumn("cx", F.explode(centres(F.pmod("ei", F.lit(tiles)), F.col("pcol"), True))).withColumn("cy", F.explode(centres(F.pmod("ni", F.lit(tiles)), F.col("prow"), False)))
+    return at.groupBy("cei", "cni", "cx", "cy").agg(F.avg("h").alias("h"))

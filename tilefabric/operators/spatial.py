@@ -95,3 +95,21 @@ def tiles_in_ring(fixes: DataFrame, radius: int, keys: list[str], lod) -> DataFr
     d = F.sequence(F.lit(-radius), F.lit(radius))
     ring = fixes.withColumn("_de", F.explode(d)).withColumn("_dn", F.explode(d)).withColumn("distance", F.greatest(F.abs("_de"), F.abs("_dn")))
     return ring.select(*keys, (F.col("ei") + F.col("_de")).alias("ei"), (F.col("ni") + F.col("_dn")).alias("ni"), "distance", lod(F.col("distance")).alias("lod"))
+
+
+def surface_height_at(points: DataFrame, tris: DataFrame, keys: list[str], tolerance: float, cell: float = 1024.0) -> DataFrame:
+    """The highest triangle (ax, ay, az .. cz; y is height) under each point (e, n, hint) within ``tolerance`` of its hint."""
+    low, high = (lambda k: F.least(f"a{k}", f"b{k}", f"c{k}")), (lambda k: F.greatest(f"a{k}", f"b{k}", f"c{k}"))
+    near = cell_join(points, tris.withColumns({"x0": low("x"), "x1": high("x"), "y0": low("z"), "y1": high("z")}), cell)
+    c = F.col
+    near = near.withColumn("_area", (c("bx") - c("ax")) * (c("cz") - c("az")) - (c("cx") - c("ax")) * (c("bz") - c("az"))).where("abs(_area) >= 1e-3")
+    near = near.withColumns({"_u": ((c("bx") - c("e")) * (c("cz") - c("n")) - (c("cx") - c("e")) * (c("bz") - c("n"))) / c("_area"), "_v": ((c("cx") - c("e")) * (c("az") - c("n")) - (c("ax") - c("e")) * (c("cz") - c("n"))) / c("_area")}).withColumn("_w", 1 - c("_u") - c("_v"))
+    near = near.where("least(_u, _v, _w) >= -1e-4").withColumn("y", c("_u") * c("ay") + c("_v") * c("by") + c("_w") * c("cy"))
+    return near.where(F.abs(c("y") - c("hint")) <= tolerance).groupBy(*keys).agg(F.max("y").alias("y"))
+
+
+def tiles_by_source(sources: DataFrame, size: float) -> DataFrame:
+    """Tiles that each source's half-open box (left, bottom, right, top) overlaps."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("int"), (F.ceil(F.col(b) / size) - 1).cast("int"))
+    t = sources.where((F.col("right") > F.col("left")) & (F.col("top") > F.col("bottom")))
+    return t.withColumn("ei", F.explode(span("left", "right"))).withColumn("ni", F.explode(span("bottom", "top")))

@@ -523,3 +523,49 @@ def nearest_first(tiles):
 def release_sources(tiles):
     d = tiles.withColumn("src", F.col("ei") % 8).withColumn("done", (F.col("ni") % 31 < 30) | (F.col("ei") % 8 < 4))
     return d.groupBy("src").agg(F.bool_and("done").alias("_d")).where("_d").select("src")
+
+
+# ---- composites
+
+@query("""WITH c AS (SELECT source, ei, ni, prow, pcol, CASE WHEN h = 0 THEN 255 - prow ELSE (prow * 37 + pcol * 11) % 256 END AS r, CASE WHEN h = 0 THEN 250 - pcol ELSE (prow * 17 + pcol * 51 + ei) % 256 END AS g, CASE WHEN h = 0 THEN 240 ELSE (pcol * 23 + ni + source) % 256 END AS b FROM fx_height_px),
+a AS (SELECT *, greatest(least(1e0, greatest(0e0, (least(r, g, b) - 200) / 50e0)), least(1e0, greatest(0e0, (14 - greatest(r, g, b)) / 8e0))) AS w FROM c WHERE source = 0)
+SELECT ei, ni, prow, pcol, CAST(floor(a.r * (1 - w) + z.r * w + 0.5e0) AS INTEGER) AS r, CAST(floor(a.g * (1 - w) + z.g * w + 0.5e0) AS INTEGER) AS g, CAST(floor(a.b * (1 - w) + z.b * w + 0.5e0) AS INTEGER) AS b FROM a JOIN (SELECT * FROM c WHERE source = 1) z USING (ei, ni, prow, pcol)""", "fx_height_px")
+def merge_rgb(px):
+    c = px.selectExpr("source", "ei", "ni", "prow", "pcol", "if(h = 0, 255 - prow, (prow * 37 + pcol * 11) % 256) as r", "if(h = 0, 250 - pcol, (prow * 17 + pcol * 51 + ei) % 256) as g", "if(h = 0, 240, (pcol * 23 + ni + source) % 256) as b")
+    return raster.merge_rgb(c)
+
+
+@query("""WITH k AS (SELECT i AS c, least(floor(i / 8e0 * 8e0), 7) AS t, floor((i / 8e0 * 8e0 - least(floor(i / 8e0 * 8e0), 7)) * 15 + 0.5e0) AS p FROM range(0, 9) r(i))
+SELECT CAST(floor(ei / 8e0) AS INTEGER) AS cei, CAST(floor(ni / 8e0) AS INTEGER) AS cni, CAST(x.c AS INTEGER) AS cx, CAST(y.c AS INTEGER) AS cy, round(avg(h), 9) AS h
+FROM fx_height_px, k x, k y WHERE source = 1 AND h <> 0 AND 7 - x.t = ei % 8 AND abs(x.p - pcol) <= 1 AND y.t = ni % 8 AND abs(y.p - prow) <= 1 GROUP BY ALL""", "fx_height_px")
+def chunk_composite(px):
+    return rounded(raster.chunk_composite(px.where("source = 1"), PX, 9), 9, "h")
+
+
+@query("""WITH n AS (SELECT a.ei, a.ni, a.prow, a.pcol, avg(b.h) AS m FROM fx_height_px a JOIN fx_height_px b ON a.source = 0 AND b.source = 0 AND a.ei = b.ei AND a.ni = b.ni AND abs(a.prow - b.prow) <= 1 AND abs(a.pcol - b.pcol) <= 1 AND b.h <> 0 WHERE a.h = 0 GROUP BY ALL)
+SELECT ei, ni, prow, pcol, round(CASE WHEN h <> 0 THEN h ELSE coalesce(m, 0) END, 9) AS h FROM (SELECT * FROM fx_height_px WHERE source = 0) LEFT JOIN n USING (ei, ni, prow, pcol)""", "fx_height_px")
+def fill_gaps_neighbours(px):
+    return rounded(raster.fill_gaps_neighbours(px.where("source = 0"), 1), 9, "h")
+
+
+@query("""WITH t AS (SELECT line_id, seq, e AS ax, seq * 10e0 AS ay, n AS az, lead(e) OVER w AS bx, seq * 10e0 + 5 AS b_y, lead(n) OVER w AS bz, lead(e, 2) OVER w AS cx, seq * 10e0 + 8 AS cy, lead(n, 2) OVER w AS cz FROM fx_line_vertex WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+a AS (SELECT *, (bx - ax) * (cz - az) - (cx - ax) * (bz - az) AS area FROM t WHERE cx IS NOT NULL AND line_id % 4 = 0),
+u AS (SELECT fix_id, ay, b_y, cy, ((bx - e) * (cz - n) - (cx - e) * (bz - n)) / area AS u, ((cx - e) * (az - n) - (ax - e) * (cz - n)) / area AS v FROM fx_fix JOIN a ON abs(area) >= 1e-3 AND e BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND n BETWEEN least(az, bz, cz) AND greatest(az, bz, cz)),
+y AS (SELECT fix_id, u * ay + v * b_y + (1 - u - v) * cy AS y FROM u WHERE least(u, v, 1 - u - v) >= -1e-4)
+SELECT fix_id, round(max(y), 6) AS y FROM y WHERE abs(y - 150e0) <= 60 GROUP BY fix_id""", "fx_fix", "fx_line_vertex")
+def surface_height(fix, v):
+    w = Window.partitionBy("line_id").orderBy("seq")
+    t = v.where("line_id % 4 = 0").select(F.col("e").alias("ax"), (F.col("seq") * 10.0).alias("ay"), F.col("n").alias("az"), F.lead("e").over(w).alias("bx"), (F.col("seq") * 10.0 + 5).alias("by"), F.lead("n").over(w).alias("bz"), F.lead("e", 2).over(w).alias("cx"), (F.col("seq") * 10.0 + 8).alias("cy"), F.lead("n", 2).over(w).alias("cz")).where("cx is not null")
+    return rounded(spatial.surface_height_at(fix.select("fix_id", "e", "n", F.lit(150.0).alias("hint")), t, ["fix_id"], 60.0), 6, "y")
+
+
+@query("SELECT zone_id, CAST(a.i AS INTEGER) AS ei, CAST(b.i AS INTEGER) AS ni FROM fx_zone, range(2530, 2570) a(i), range(1165, 1195) b(i) WHERE e - r < (a.i + 1) * 1024e0 AND e + r > a.i * 1024e0 AND n - r < (b.i + 1) * 1024e0 AND n + r > b.i * 1024e0", "fx_zone")
+def tiles_by_source(zones):
+    box = zones.select("zone_id", (F.col("e") - F.col("r")).alias("left"), (F.col("n") - F.col("r")).alias("bottom"), (F.col("e") + F.col("r")).alias("right"), (F.col("n") + F.col("r")).alias("top"))
+    return spatial.tiles_by_source(box, 1024.0).select("zone_id", "ei", "ni")
+
+
+@query("SELECT fix_id, round((1 - (e - floor(e / 1024) * 1024) / 1024) * 15, 6) AS col, round((n - floor(n / 1024) * 1024) / 1024 * 15, 6) AS r, 15 - CAST(fix_id % 16 AS INTEGER) AS flipped FROM fx_fix", "fx_fix")
+def pixel_of(fix):
+    c, r = grid.pixel_place(F.col("e"), F.col("n"), PX)
+    return fix.select("fix_id", F.round(c, 6).alias("col"), F.round(r, 6).alias("r"), grid.flip_axes((F.col("fix_id") % 16).cast("int"), PX).alias("flipped"))
