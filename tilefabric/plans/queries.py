@@ -290,6 +290,43 @@ SELECT fix_id, round({g.R!r}e0 * lb + 2600000e0, 3) AS e, round({g.R / 2!r}e0 *
 SQL["wgs84_to_lv95"] = with_views(_geodetic_sql("SELECT fix_id, 45.9e0 + (fix_id % 1000) / 500e0 AS lat, 6e0 + (track_id % 100) / 25e0 AS lon FROM fx_fix").replace("SELECT fix_id, round(", "SELECT fix_id, lat, lon, round(") + " FROM t JOIN p USING (fix_id)")
 
 
+def _number(x: float) -> str:
+    """A double literal."""
+    return repr(x) if "e" in repr(x) else f"{x!r}e0"
+
+
+def _utm_sql(rows: str) -> str:
+    """The inverse Krueger series over rows(fix_id, ue, un), zone 32."""
+    _, radius, _, beta, delta = geodesy._krueger()
+    k = _number(0.9996 * radius)
+    xi = "".join(f" - {_number(b)} * sin({2 * j} * x) * cosh({2 * j} * y)" for j, b in enumerate(beta, 1))
+    eta = "".join(f" - {_number(b)} * cos({2 * j} * x) * sinh({2 * j} * y)" for j, b in enumerate(beta, 1))
+    phi = "".join(f" + {_number(d)} * sin({2 * j} * c)" for j, d in enumerate(delta, 1))
+    stage = f"SELECT fix_id, ue, un, x{xi} AS xi, y{eta} AS eta FROM (SELECT *, un / {k} AS x, (ue - 500000) / {k} AS y FROM ({rows}))"
+    return f"SELECT fix_id, ue, un, degrees(c{phi}) AS lat, 9 + degrees(atan2(sinh(eta), cos(xi))) AS lon FROM (SELECT *, asin(sin(xi) / cosh(eta)) AS c FROM ({stage}))"
+
+
+def _lv95_sql(rows: str) -> str:
+    """The inverse oblique Mercator and datum shift over rows(fix_id, e, n)."""
+    g, (wa, wf), (ba, bf) = geodesy, geodesy.WGS84, geodesy.BESSEL
+    we, be, num = wf * (2 - wf), bf * (2 - bf), _number
+    out = f"""WITH p AS ({rows}), a AS (SELECT fix_id, (e - 2600000) / {num(g.R)} AS lb, 2 * (atan(exp((n - 1200000) / {num(g.R)})) - {num(pi / 4)}) AS bb FROM p),
+f0 AS (SELECT fix_id, atan2(sin(lb), {num(cos(g.B0))} * cos(lb) - {num(sin(g.B0))} * tan(bb)) AS l, asin({num(cos(g.B0))} * sin(bb) + {num(sin(g.B0))} * cos(bb) * cos(lb)) AS f FROM a),
+s0 AS (SELECT *, (ln(tan({num(pi / 4)} + f / 2)) - {num(g.K)}) / {num(g.ALPHA)} AS s FROM f0)"""
+    for k in range(5):
+        out += f",\ns{k + 1} AS (SELECT fix_id, l, s, 2 * atan(exp(s + {num(g._E)} * ln(tan({num(pi / 4)} + asin({num(g._E)} * sin(f)) / 2)))) - {num(pi / 2)} AS f FROM s{k})"
+    out += f""",
+b AS (SELECT fix_id, f, {num(g.LAM0)} + l / {num(g.ALPHA)} AS l, {num(ba)} / sqrt(1 - {num(be)} * sin(f) * sin(f)) AS nn FROM s5),
+i0 AS (SELECT *, atan2(z, r * {num(1 - we)}) AS q FROM (SELECT fix_id, x, y, z, sqrt(x * x + y * y) AS r FROM (SELECT fix_id, nn * cos(f) * cos(l) + {g.SHIFT[0]} AS x, nn * cos(f) * sin(l) + {g.SHIFT[1]} AS y, nn * {num(1 - be)} * sin(f) + {g.SHIFT[2]} AS z FROM b)))"""
+    for k in range(4):
+        out += f",\ni{k + 1} AS (SELECT fix_id, x, y, z, r, atan2(z, r * (1 - {num(we)} * nn / (r / cos(q)))) AS q FROM (SELECT *, {num(wa)} / sqrt(1 - {num(we)} * sin(q) * sin(q)) AS nn FROM i{k}))"
+    return out + "\nSELECT fix_id, e, n, round(degrees(q), 8) AS lat, round(degrees(atan2(y, x)), 8) AS lon FROM i4 JOIN p USING (fix_id)"
+
+
+SQL["lv95_to_wgs84"] = with_views(_lv95_sql("SELECT fix_id, e, n FROM fx_fix"))
+SQL["utm32_to_lv95"] = with_views(_geodetic_sql(_utm_sql("SELECT fix_id, 400000e0 + fix_id % 90000 AS ue, 5200000e0 + track_id * 100 AS un FROM fx_fix")).replace("SELECT fix_id, round(", "SELECT fix_id, ue, un, round(") + " FROM t JOIN p USING (fix_id)")
+
+
 # ---- lines
 
 SEG = "s AS (SELECT line_id, seq, e, n, lead(e) OVER w AS e1, lead(n) OVER w AS n1 FROM fx_line_vertex WINDOW w AS (PARTITION BY line_id ORDER BY seq)), g AS (SELECT *, sqrt((e1 - e) * (e1 - e) + (n1 - n) * (n1 - n)) AS length FROM s WHERE e1 IS NOT NULL)"
