@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilefabric.functions.grid import snap_cell
+
 
 def grid_tiles(bounds: DataFrame, names=("e0", "n0", "e1", "n1"), out=("ei", "ni"), step: int = 1) -> DataFrame:
     """All (ei, ni) of index ranges, both ends included."""
@@ -51,3 +53,42 @@ def suppress_duplicates(tiles: DataFrame, key: list[str], priority: list) -> Dat
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New entries override old ones with the same key."""
     return new.unionByName(old.join(new, key, "left_anti"))
+
+
+def stand_down(filled: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """Fill tiles (source, ei, ni) that stay: no surveyed tile there, and no earlier source filled it."""
+    return suppress_duplicates(filled.join(surveyed, ["ei", "ni"], "left_anti"), ["ei", "ni"], [F.asc("source")])
+
+
+def hide(features: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Without the listed ids; id 0 stands for no id and is never hidden."""
+    return features.join(ids.where(F.col(key) != 0).select(key).distinct(), key, "left_anti")
+
+
+def catalog_counts(tiles: DataFrame) -> DataFrame:
+    """Tiles a source brings in (source, tiles), tiles of an earlier source not counted again."""
+    return suppress_duplicates(tiles, ["ei", "ni"], [F.asc("source")]).groupBy("source").agg(F.count("*").alias("tiles"))
+
+
+def coverage_mask(tiles: DataFrame, chunks: DataFrame, positions: DataFrame, radius: int, keys: list[str], span: int = 8) -> DataFrame:
+    """For each position's tile (ei, ni), the window around it: (keys, ei, ni, covered) by tiles or whole chunks (cei, cni)."""
+    d = F.sequence(F.lit(-radius), F.lit(radius))
+    grid = positions.withColumn("_a", F.explode(d)).withColumn("_b", F.explode(d)).select(*keys, (F.col("ei") + F.col("_a")).alias("ei"), (F.col("ni") + F.col("_b")).alias("ni"))
+    k = F.sequence(F.lit(0), F.lit(span - 1))
+    whole = chunks.withColumn("_a", F.explode(k)).withColumn("_b", F.explode(k)).select((F.col("cei") * span + F.col("_a")).alias("ei"), (F.col("cni") * span + F.col("_b")).alias("ni"))
+    covered = whole.union(tiles.select("ei", "ni")).distinct().withColumn("_c", F.lit(True))
+    return grid.join(covered, ["ei", "ni"], "left").select(*keys, "ei", "ni", F.coalesce("_c", F.lit(False)).alias("covered"))
+
+
+def tiles_to_cells(tiles: DataFrame, to_source, lattice: int = 3, size: float = 1024.0) -> DataFrame:
+    """The 2 km source cells (ei, ni, e_km, n_km) that feed each tile.
+
+    A lattice x lattice of points over the tile goes through ``to_source``, which
+    adds ``ue`` and ``un``; each point's cell is snapped to an odd easting and an
+    even northing.
+    """
+    k = F.sequence(F.lit(0), F.lit(lattice - 1))
+    at = lambda i, j: (F.col(i) + F.col(j) / float(lattice - 1)) * size
+    p = tiles.withColumn("_i", F.explode(k)).withColumn("_j", F.explode(k)).select("ei", "ni", at("ei", "_i").alias("e"), at("ni", "_j").alias("n"))
+    e, n = snap_cell(F.floor(F.col("ue") / 1000).cast("int"), F.floor(F.col("un") / 1000).cast("int"))
+    return to_source(p).select("ei", "ni", e.alias("e_km"), n.alias("n_km")).distinct()

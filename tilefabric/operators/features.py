@@ -90,3 +90,41 @@ def drop_overtilted(tris: DataFrame, most: float = 50.0) -> DataFrame:
 def drop_structures(surfaces: DataFrame) -> DataFrame:
     """Without the surface kinds that are no ground to stand on."""
     return surfaces.where(~F.col("kind").isin(7, 14, 15, 17))
+
+
+def building_stats(faces: DataFrame, size: float) -> DataFrame:
+    """Per tile of the building's centre: buildings and the triangles of their walls and roofs (a ring's corners less two)."""
+    normal = newell(faces, ["building_id", "face"]).select("building_id", "face", "nz")
+    count = faces.groupBy("building_id", "face").agg((F.count("*") - 2).alias("tris"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    kind = lambda cond: F.sum(F.when(cond, F.col("tris")).otherwise(0))
+    b = count.join(normal, ["building_id", "face"]).groupBy("building_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), kind(F.col("nz") > 0.5).alias("roof"), kind(F.abs("nz") <= 0.5).alias("wall"))
+    tile = [F.floor(F.col(a) / size).cast("int").alias(b) for a, b in (("x", "ei"), ("y", "ni"))]
+    return b.groupBy(*tile).agg(F.count("*").alias("buildings"), F.sum("roof").alias("roof_triangles"), F.sum("wall").alias("wall_triangles"))
+
+
+def weld_vertices(faces: DataFrame, places: int = 4) -> DataFrame:
+    """Triangles of the first three corners of each face of at least four, over vertices that are equal to ``places`` decimals.
+
+    (building_id, face, a, b, c): indexes into the building's distinct vertices
+    by first use; faces count in the order of ``face_no``.
+    """
+    own = Window.partitionBy("building_id", "face_no")
+    v = faces.withColumn("_n", F.count("*").over(own)).where("_n >= 4 and seq < 3")
+    v = v.withColumns({c: F.round(c, places) for c in "xyz"})
+    point = ["building_id", "x", "y", "z"]
+    first = v.groupBy(*point).agg(F.min(F.struct("face_no", "seq")).alias("_first"))
+    first = first.withColumn("index", (F.row_number().over(Window.partitionBy("building_id").orderBy("_first")) - 1).cast("int"))
+    corner = lambda k: F.max(F.when(F.col("seq") == k, F.col("index")))
+    return v.join(first, point).groupBy("building_id", "face").agg(corner(0).alias("a"), corner(1).alias("b"), corner(2).alias("c"))
+
+
+def tile_center(v: DataFrame, item: str, tile: list[str], truncate: bool) -> DataFrame:
+    """Mean of the items' mean vertices (x, y) per tile; truncated or rounded to whole metres."""
+    m = v.groupBy(*tile, item).agg(F.avg("x").alias("x"), F.avg("y").alias("y")).groupBy(*tile).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    whole = (lambda c: F.col(c).cast("long")) if truncate else (lambda c: F.round(c).cast("long"))
+    return m.select(*tile, whole("x").alias("center_e"), whole("y").alias("center_n"))
+
+
+def flat_level(outer: DataFrame, heights: DataFrame, keys: list[str], offset: float) -> DataFrame:
+    """Mean height found at a polygon's outer vertices plus offset; vertices without height do not count, none at all gives 0."""
+    return outer.join(heights, keys, "left").groupBy("poly_id").agg((F.coalesce(F.avg("h"), F.lit(0.0)) + offset).alias("level"))

@@ -5,6 +5,8 @@ A pixel table has (ei, ni, prow, pcol, h); 0 is no data at rest and null inside.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,3 +207,62 @@ def chunk_composite(px: DataFrame, size: int, res: int, tiles: int = 8) -> DataF
 
     at = at.withColumn("cx", F.explode(centres(F.pmod("ei", F.lit(tiles)), F.col("pcol"), True))).withColumn("cy", F.explode(centres(F.pmod("ni", F.lit(tiles)), F.col("prow"), False)))
     return at.groupBy("cei", "cni", "cx", "cy").agg(F.avg("h").alias("h"))
+
+
+def pixel_centres(px: DataFrame, size: int, tile: float = TILE) -> DataFrame:
+    """Adds e, n of pixel centres; column 0 is at the east edge, row 0 at the south edge."""
+    step = tile / size
+    return px.withColumns({"e": (F.col("ei") + 1) * tile - (F.col("pcol") + 0.5) * step, "n": F.col("ni") * tile + (F.col("prow") + 0.5) * step})
+
+
+def pixel_nodes(px: DataFrame, size: int, tile: float = TILE) -> DataFrame:
+    """Adds e, n of pixels as nodes of a lattice that reaches the tile's edges."""
+    step = tile / (size - 1)
+    return px.withColumns({"e": (F.col("ei") + 1) * tile - F.col("pcol") * step, "n": F.col("ni") * tile + F.col("prow") * step})
+
+
+def reproject_raster(target: DataFrame, height: DataFrame, to_source, keys: list[str], px: int) -> DataFrame:
+    """Heights (keys, h) at target pixels (ue, un): ``to_source`` adds e, n in the raster's system; null outside it."""
+    return sample_height(to_source(target), height, keys, px)
+
+
+def fill_rgb_nearest(rgb: DataFrame) -> DataFrame:
+    """No data of colour tiles from the nearest real pixel by city-block distance, fading to the tile's mean colour.
+
+    The fade ends max(2, side / 32) pixels away. A group is one tile, so its size
+    is that of a tile. Tiles without any real pixel stay as they are.
+    """
+    kept = no_data_weight(F.col("r"), F.col("g"), F.col("b")) <= 0.5
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["prow", "pcol"], ignore_index=True)
+        rows, cols = int(pdf["prow"].max()) + 1, int(pdf["pcol"].max()) + 1
+        place = pdf["prow"].to_numpy() * cols + pdf["pcol"].to_numpy()
+        real = np.zeros(rows * cols, bool)
+        real[place] = pdf["_real"]
+        colour = np.zeros((rows * cols, 3))
+        colour[place] = pdf[["r", "g", "b"]]
+        if real.any() and not real.all():
+            far, x = rows + cols, np.arange(cols)
+            dist, src = np.full((rows, cols), far), np.zeros((rows, cols), np.int64)
+            for y, line in enumerate(real.reshape(rows, cols)):
+                at = np.flatnonzero(line)
+                if len(at):  # the nearest real column of the row, left or right
+                    k = np.searchsorted(at, x)
+                    left, right = at[np.maximum(k - 1, 0)], at[np.minimum(k, len(at) - 1)]
+                    near = np.where(np.abs(x - left) <= np.abs(right - x), left, right)
+                    dist[y], src[y] = np.abs(x - near), y * cols + near
+            for order in (range(1, rows), range(rows - 2, -1, -1)):
+                for y in order:
+                    z = y - 1 if order.step == 1 else y + 1
+                    closer = dist[z] + 1 < dist[y]
+                    dist[y], src[y] = np.where(closer, dist[z] + 1, dist[y]), np.where(closer, src[z], src[y])
+            t = np.minimum(1.0, dist.ravel() / max(2, min(rows, cols) // 32))[:, None]
+            blend = np.floor(colour[src.ravel()] * (1 - t) + colour[real].mean(axis=0) * t + 0.5)
+            colour = np.where(real[:, None], colour, blend)
+        out = pdf[PIXEL].copy()
+        out[["r", "g", "b"]] = colour[place].astype("int32")
+        return out
+
+    tiles = rgb.select(*PIXEL, *(F.col(c).cast("int").alias(c) for c in "rgb"), kept.alias("_real")).groupBy(*TILE_KEY)
+    return tiles.applyInPandas(fill, "ei int, ni int, prow int, pcol int, r int, g int, b int")

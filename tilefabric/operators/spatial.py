@@ -73,15 +73,105 @@ def segment_distance(e: Column, n: Column, e0: Column, n0: Column, e1: Column, n
     return F.sqrt(F.pow(e - (e0 + t * dx), F.lit(2)) + F.pow(n - (n0 + t * dy), F.lit(2)))
 
 
-def clear_corridors(points: DataFrame, segments: DataFrame, key: str, margin: float = 1.0, cell: float = 1024.0) -> DataFrame:
-    """Drops points closer than half_width + margin to a segment (e0, n0, e1, n1, half_width)."""
-    reach = F.col("half_width") + margin
-    boxes = segments.withColumns({"x0": F.least("e0", "e1") - reach, "x1": F.greatest("e0", "e1") + reach, "y0": F.least("n0", "n1") - reach, "y1": F.greatest("n0", "n1") + reach})
+def segment_boxes(segments: DataFrame, reach: Column, cell: float) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) around parts of each segment (e0, n0, e1, n1), each part at most ``cell`` long.
+
+    A long segment touches only the cells along it, not those of its whole box.
+    A point near two parts comes twice; the segment's own ends stay in the row.
+    """
+    de, dn = F.col("e1") - F.col("e0"), F.col("n1") - F.col("n0")
+    s = segments.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.sqrt(de * de + dn * dn) / cell).cast("int")))
+    s = s.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    at = lambda a, d, k: F.col(a) + d * ((F.col("_part") + k) / F.col("_parts"))
+    low, high = (lambda a, d: F.least(at(a, d, 0), at(a, d, 1)) - reach), (lambda a, d: F.greatest(at(a, d, 0), at(a, d, 1)) + reach)
+    return s.withColumns({"x0": low("e0", de), "x1": high("e0", de), "y0": low("n0", dn), "y1": high("n0", dn)}).drop("_parts", "_part")
+
+
+def near_segments(points: DataFrame, segments: DataFrame, reach: Column, cell: float) -> DataFrame:
+    """Pairs of points and segments, with their ``distance``, where it is below ``reach``; a pair may come twice."""
     d = segment_distance(*(F.col(c) for c in ("e", "n", "e0", "n0", "e1", "n1")))
-    hit = cell_join(points, boxes, cell).where(d < reach).select(key).distinct()
+    return cell_join(points, segment_boxes(segments, reach, cell), cell).withColumn("distance", d).where(F.col("distance") < reach)
+
+
+def clear_corridors(points: DataFrame, segments: DataFrame, key: str, margin: float = 1.0, cell: float = 128.0) -> DataFrame:
+    """Drops points closer than half_width + margin to a segment (e0, n0, e1, n1, half_width)."""
+    hit = near_segments(points, segments, F.col("half_width") + margin, cell).select(key).distinct()
     return points.join(hit, key, "left_anti")
 
 
+def paint_corridors(px: DataFrame, segments: DataFrame, keys: list[str], least: float = 5.5, cell: float = 256.0) -> DataFrame:
+    """(keys) of pixel centres (e, n) within the half width of a corridor at least ``least`` wide to each side."""
+    return near_segments(px, segments.where(F.col("half_width") >= least), F.col("half_width"), cell).select(*keys).distinct()
+
+
+def apply_patches(px: DataFrame, stations: DataFrame, plateaus: DataFrame, protected: DataFrame, keys: list[str], cell: float = 256.0) -> DataFrame:
+    """(keys, h) of the pixels (e, n) that corridors or plateaus rewrite.
+
+    A corridor (line_id, seq, e0, n0, h0, e1, n1, h1, reach, half_width) sets the
+    height of its nearest segment, interpolated, below ``reach``; corridors are
+    weighed by 1 / (max(0, distance - half_width) + 3)^2 and leave pixels inside
+    ``protected`` rings alone. Plateaus (rings with a ``level``) overwrite; the
+    last polygon wins.
+    """
+    de, dn = F.col("e1") - F.col("e0"), F.col("n1") - F.col("n0")
+    t = F.coalesce(((F.col("e") - F.col("e0")) * de + (F.col("n") - F.col("n0")) * dn) / F.nullif(de * de + dn * dn, F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    near = near_segments(px, stations, F.col("reach"), cell).withColumn("_h", F.col("h0") + t * (F.col("h1") - F.col("h0")))
+    near = near.groupBy(*keys, "line_id").agg(F.min(F.struct("distance", "seq", "_h", "half_width")).alias("m"))
+    w = 1 / F.pow(F.greatest(F.lit(0.0), F.col("m.distance") - F.col("m.half_width")) + 3, F.lit(2))
+    laid = near.groupBy(*keys).agg((F.sum(w * F.col("m._h")) / F.sum(w)).alias("_laid"))
+    laid = laid.join(points_in_polygons(px, protected, keys).select(*keys).distinct(), keys, "left_anti")
+    levels = plateaus.select("poly_id", "level").distinct()
+    flat = points_in_polygons(px, plateaus, keys).join(levels, "poly_id").groupBy(*keys).agg(F.max_by("level", "poly_id").alias("_flat"))
+    return laid.join(flat, keys, "full").select(*keys, F.coalesce("_flat", "_laid").alias("h"))
+
+
+def clip_to_boundary(lines: DataFrame, middle: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Lines whose middle vertex (line_id, e, n) lies inside the boundary rings."""
+    return lines.join(points_in_polygons(middle, boundary, ["line_id"]).select("line_id").distinct(), "line_id", "left_semi")
+
+
+def clip_polygons_to_tiles(rings: DataFrame, size: float) -> DataFrame:
+    """Rings cut to each tile they reach: (poly_id, ring_no, ei, ni, seq, e, n).
+
+    Each ring (one row, as long as one polygon) goes through the tile's four half
+    planes inside Catalyst; what keeps fewer than three points in a tile is dropped.
+    """
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("seq", "e", "n"))), lambda p: F.struct(p["e"].alias("e"), p["n"].alias("n")))
+    r = rings.groupBy("poly_id", "ring_no").agg(ring.alias("ring"), *(f(c).alias(f"_{g}{c}") for c in "en" for g, f in (("a", F.min), ("b", F.max))))
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(f"_a{c}") / size).cast("int"), F.floor(F.col(f"_b{c}") / size).cast("int")))
+    r = r.withColumn("ei", span("e")).withColumn("ni", span("n"))
+    plane = lambda a, b, c: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c.alias("c"))
+    planes = F.array(plane(1.0, 0.0, F.col("ei") * -size), plane(-1.0, 0.0, (F.col("ei") + 1) * size), plane(0.0, 1.0, F.col("ni") * -size), plane(0.0, -1.0, (F.col("ni") + 1) * size))
+
+    def cut(acc: Column, half: Column) -> Column:
+        side = lambda p: half["a"] * p["e"] + half["b"] * p["n"] + half["c"]
+
+        def corner(p: Column, i: Column) -> Column:
+            before = F.get(acc, F.pmod(i - 1, F.size(acc)))
+            now, then = side(p), side(before)
+            t = then / F.nullif(then - now, F.lit(0.0))
+            edge = F.struct(*((before[c] + t * (p[c] - before[c])).alias(c) for c in "en"))
+            own, none = F.array(p), F.slice(acc, 1, 0)
+            return F.when((now >= 0) & (then >= 0), own).when(now >= 0, F.array(edge, p)).when(then >= 0, F.array(edge)).otherwise(none)
+
+        return F.flatten(F.transform(acc, corner))
+
+    out = r.withColumn("ring", F.aggregate(planes, F.col("ring"), cut)).where("size(ring) >= 3")
+    return out.select("poly_id", "ring_no", "ei", "ni", F.posexplode("ring").alias("seq", "p")).select("poly_id", "ring_no", "ei", "ni", "seq", "p.e", "p.n")
+
+
+def min_spacing(points: DataFrame, r: float, rank: list[str]) -> DataFrame:
+    """Points (poly_id, e, n) without a point of the same polygon closer than ``r`` that ranks lower by ``rank``."""
+    cell = lambda c: F.floor(F.col(c) / r).cast("long")
+    p = points.withColumns({"_cx": cell("e"), "_cy": cell("n"), "_rank": F.struct(*rank)})
+    step = F.sequence(F.lit(-1), F.lit(1))
+    other = p.select("poly_id", F.col("_cx").alias("_x"), F.col("_cy").alias("_y"), F.col("e").alias("_e"), F.col("n").alias("_n"), F.col("_rank").alias("_other"))
+    other = other.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).select("poly_id", (F.col("_x") + F.col("_dx")).alias("_cx"), (F.col("_y") + F.col("_dy")).alias("_cy"), "_e", "_n", "_other")
+    close = p.join(other, ["poly_id", "_cx", "_cy"]).where("_other < _rank and (e - _e) * (e - _e) + (n - _n) * (n - _n) < " + repr(r * r) + "D")
+    return p.join(close.select("poly_id", "_rank").distinct(), ["poly_id", "_rank"], "left_anti").select(*points.columns)
+
+
 def tiles_in_radius(fixes: DataFrame, tiles: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """Tiles whose centre (ce, cn) lies within ``radius`` of a fix, with the distance."""
     boxes = fixes.withColumns({"x0": F.col("e") - radius, "x1": F.col("e") + radius, "y0": F.col("n") - radius, "y1": F.col("n") + radius})

@@ -42,6 +42,16 @@ def merged(px: DataFrame) -> DataFrame:
 
 
 MERGED = "m AS (SELECT ei, ni, prow, pcol, arg_min(h, source) AS h FROM fx_height_px WHERE h <> 0 GROUP BY ALL)"
+#: Tiles of the first source with enough data; the other ones count as absent from it.
+GOOD = "good AS (SELECT ei, ni FROM fx_height_px WHERE source = 0 GROUP BY ALL HAVING count(*) FILTER (h <> 0) * 100 >= count(*) * 86)"
+
+
+def _without_poor(px: DataFrame) -> DataFrame:
+    """Without the first source's tiles of which less than 86 % is data."""
+    good = px.where("source = 0").groupBy("ei", "ni").agg((F.count_if(F.col("h") != 0) * 100 >= F.count("*") * 86).alias("_ok")).where("_ok").select("ei", "ni")
+    return px.where("source = 0").join(good, ["ei", "ni"], "left_semi").unionByName(px.where("source <> 0"))
+
+
 SAMPLE = """
 pt AS (SELECT fix_id, e, n, floor(e / 1024) AS ei, floor(n / 1024) AS ni, (1 - (e - floor(e / 1024) * 1024) / 1024) * 15 AS c, (n - floor(n / 1024) * 1024) / 1024 * 15 AS r FROM fx_fix),
 co AS (SELECT fix_id, ei, ni, least(floor(c) + dc, 15) AS pcol, least(floor(r) + dr, 15) AS prow,
@@ -65,10 +75,10 @@ def elevation_nearest(fix, px):
     return raster.sample_height(fix, px.where("source = 0"), ["fix_id"], PX, "nearest")
 
 
-@query(f"""WITH {SAMPLE}, s AS (SELECT fix_id, source, CASE WHEN count(h) = 4 THEN sum(h * w) END AS h FROM co JOIN fx_height_px p USING (ei, ni, prow, pcol) WHERE source = 0 AND pcol % 3 >= 0 AND (ei % 2 = 0) OR source = 1 GROUP BY fix_id, source)
+@query(f"""WITH {SAMPLE}, {GOOD}, s AS (SELECT fix_id, source, CASE WHEN count(h) = 4 THEN sum(h * w) END AS h FROM co JOIN fx_height_px p USING (ei, ni, prow, pcol) WHERE source = 1 OR (ei, ni) IN (SELECT (ei, ni) FROM good) GROUP BY fix_id, source)
 SELECT f.fix_id, round(coalesce(a.h, b.h), 6) AS h FROM fx_fix f LEFT JOIN s a ON a.fix_id = f.fix_id AND a.source = 0 LEFT JOIN s b ON b.fix_id = f.fix_id AND b.source = 1""", "fx_fix", "fx_height_px")
 def elevation_fine_or_coarse(fix, px):
-    return rounded(raster.sample_height_any(fix, px.where("source = 0 and ei % 2 = 0"), px.where("source = 1"), ["fix_id"], PX), 6, "h")
+    return rounded(raster.sample_height_any(fix, _without_poor(px).where("source = 0"), px.where("source = 1"), ["fix_id"], PX), 6, "h")
 
 
 @query("SELECT fix_id, CAST(floor(e / 1024) AS INTEGER) AS ei, CAST(floor(n / 1024) AS INTEGER) AS ni, CAST(floor(-e / 1024) AS INTEGER) AS west FROM fx_fix", "fx_fix")
@@ -138,14 +148,15 @@ def probe_summary(probe):
     return audit.probe_summary(probe)
 
 
-AUDIT = f"""{LAST}, c AS (SELECT DISTINCT e_km, n_km FROM fx_probe WHERE e_km % 4 = 1), have AS (SELECT DISTINCT e_km, n_km FROM fx_probe WHERE status = 200 AND n_km % 3 = 0),
-a AS ((SELECT e_km, n_km FROM l WHERE status = 200 UNION SELECT * FROM have UNION SELECT e_km, n_km FROM fx_probe WHERE n_km % 5 = 0) INTERSECT SELECT * FROM c EXCEPT SELECT * FROM have)"""
+AUDIT = f"""{LAST}, have AS (SELECT e_km, n_km FROM fx_probe WHERE status <> 0 GROUP BY ALL HAVING arg_min(status, (ts, status)) = 200),
+a AS ((SELECT e_km, n_km FROM l WHERE status = 200 UNION SELECT * FROM have UNION SELECT e_km, n_km FROM fx_probe WHERE status = 200) INTERSECT SELECT e_km, n_km FROM fx_probe EXCEPT SELECT * FROM have)"""
 
 
 def _audit(probe):
+    """Had: cells first found present; published: last found present; reference: ever found present."""
     cell = ["e_km", "n_km"]
-    have = probe.where("status = 200 and n_km % 3 = 0").select(*cell).distinct()
-    return audit.audit(probe.where("e_km % 4 = 1").select(*cell), have, audit.last_status(probe).where("status = 200").select(*cell), probe.where("n_km % 5 = 0").select(*cell))
+    have = probe.where("status <> 0").groupBy(*cell).agg(F.min(F.struct("ts", "status")).alias("m")).where("m.status = 200").select(*cell)
+    return audit.audit(probe.select(*cell), have, audit.last_status(probe).where("status = 200").select(*cell), probe.where("status = 200").select(*cell))
 
 
 @query(f"WITH {AUDIT} SELECT * FROM a", "fx_probe")
@@ -190,9 +201,9 @@ def mosaic_best(px):
     return raster.mosaic(px.withColumn("q", (F.col("prow") * 7 + F.col("pcol") * (3 + F.col("source"))) % 5), "best", quality="q")
 
 
-@query("WITH p AS (SELECT * FROM fx_height_px WHERE NOT (source = 0 AND ei % 2 = 0)), s AS (SELECT ei, ni, min(source) AS source FROM p GROUP BY ALL) SELECT p.* FROM p JOIN s USING (ei, ni, source)", "fx_height_px")
+@query(f"WITH {GOOD}, p AS (SELECT * FROM fx_height_px WHERE source = 1 OR (ei, ni) IN (SELECT (ei, ni) FROM good)), s AS (SELECT ei, ni, min(source) AS source FROM p GROUP BY ALL) SELECT p.* FROM p JOIN s USING (ei, ni, source)", "fx_height_px")
 def first_source_wins(px):
-    return raster.first_source_wins(px.where("not (source = 0 and ei % 2 = 0)"))
+    return raster.first_source_wins(_without_poor(px))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN h <> 0 THEN h END AS v FROM fx_height_px WHERE source = 0),
@@ -400,12 +411,16 @@ def exclude_in_zones(fix, zones):
     return spatial.exclude_in_zones(fix.withColumn("priority", F.col("fix_id") % 3), zones).drop("priority")
 
 
-@query(f"""WITH {SEG}, h AS (SELECT *, (e1 - e) * (e1 - e) + (n1 - n) * (n1 - n) AS l2 FROM g WHERE line_id % 16 = 0)
+def _corridors(v):
+    return lines.segments(v).select("line_id", "seq", F.col("e").alias("e0"), F.col("n").alias("n0"), "e1", "n1")
+
+
+@query(f"""WITH {SEG}, h AS (SELECT *, (e1 - e) * (e1 - e) + (n1 - n) * (n1 - n) AS l2 FROM g)
 SELECT f.fix_id, f.e, f.n FROM fx_fix f WHERE NOT EXISTS (SELECT 1 FROM h WHERE sqrt(pow(f.e - (h.e + least(1, greatest(0, coalesce(((f.e - h.e) * (e1 - h.e) + (f.n - h.n) * (n1 - h.n)) / nullif(l2, 0), 0))) * (e1 - h.e)), 2)
- + pow(f.n - (h.n + least(1, greatest(0, coalesce(((f.e - h.e) * (e1 - h.e) + (f.n - h.n) * (n1 - h.n)) / nullif(l2, 0), 0))) * (n1 - h.n)), 2)) < 21)""", "fx_fix", "fx_line_vertex")
+ + pow(f.n - (h.n + least(1, greatest(0, coalesce(((f.e - h.e) * (e1 - h.e) + (f.n - h.n) * (n1 - h.n)) / nullif(l2, 0), 0))) * (n1 - h.n)), 2)) < 0.5e0)""", "fx_fix", "fx_line_vertex")
 def clear_corridors(fix, v):
-    s = lines.segments(v).where("line_id % 16 = 0").select(F.col("e").alias("e0"), F.col("n").alias("n0"), "e1", "n1", F.lit(20.0).alias("half_width"))
-    return spatial.clear_corridors(fix.select("fix_id", "e", "n"), s, "fix_id")
+    s = _corridors(v).withColumn("half_width", F.lit(0.25))
+    return spatial.clear_corridors(fix.select("fix_id", "e", "n"), s, "fix_id", 0.25)
 
 
 NEAR = "t AS (SELECT DISTINCT ei, ni, ei * 1024e0 + 512 AS ce, ni * 1024e0 + 512 AS cn FROM fx_height_px)"
@@ -538,16 +553,17 @@ def latest_version(v):
     return audit.suppress_duplicates(item, ["item"], [F.desc("seq"), F.asc("line_id")]).select("line_id", "seq")
 
 
-@query("SELECT ei, ni, min(source) AS source FROM fx_height_px WHERE NOT (source = 0 AND ei % 3 = 0) GROUP BY ei, ni", "fx_height_px")
+@query(f"WITH {GOOD} SELECT ei, ni, min(source) AS source FROM fx_height_px WHERE source = 1 OR (ei, ni) IN (SELECT (ei, ni) FROM good) GROUP BY ei, ni", "fx_height_px")
 def suppress_duplicate_tiles(px):
-    t = px.where("not (source = 0 and ei % 3 = 0)").select("source", "ei", "ni").distinct()
+    t = _without_poor(px).select("source", "ei", "ni").distinct()
     return audit.suppress_duplicates(t, ["ei", "ni"], [F.asc("source")])
 
 
-@query("WITH n AS (SELECT ei, ni, 'new' AS origin FROM fx_tile_present WHERE ei % 2 = 0), o AS (SELECT ei, ni, 'old' AS origin FROM fx_tile_present WHERE ni % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.ei = o.ei AND n.ni = o.ni)", "fx_tile_present")
-def upsert_manifest(tiles):
-    origin = lambda cond, name: tiles.where(cond).withColumn("origin", F.lit(name))
-    return audit.upsert(origin("ni % 2 = 0", "old"), origin("ei % 2 = 0", "new"), ["ei", "ni"])
+@query("""WITH n AS (SELECT DISTINCT CAST(floor(e / 1024) AS INTEGER) AS ei, CAST(floor(n / 1024) AS INTEGER) AS ni, 'new' AS origin FROM fx_zone), o AS (SELECT DISTINCT CAST(floor(e / 1024) AS INTEGER) AS ei, CAST(floor(n / 1024) AS INTEGER) AS ni, 'old' AS origin FROM fx_fix)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.ei = o.ei AND n.ni = o.ni)""", "fx_zone", "fx_fix")
+def upsert_manifest(zones, fix):
+    tiles = lambda df, name: df.select(grid.tile_of(F.col("e")).alias("ei"), grid.tile_of(F.col("n")).alias("ni"), F.lit(name).alias("origin")).distinct()
+    return audit.upsert(tiles(fix, "old"), tiles(zones, "new"), ["ei", "ni"])
 
 
 @query("WITH d AS (SELECT ei, ni, CAST(greatest(abs(ei - 20), abs(ni - 15)) AS INTEGER) AS distance FROM fx_tile_present) SELECT *, row_number() OVER (ORDER BY distance, ei, ni) AS place FROM d ORDER BY place LIMIT 200", "fx_tile_present")
@@ -585,14 +601,14 @@ def fill_gaps_neighbours(px):
     return rounded(raster.fill_gaps_neighbours(px.where("source = 0"), 1), 9, "h")
 
 
-@query("""WITH t AS (SELECT line_id, seq, e AS ax, seq * 10e0 AS ay, n AS az, lead(e) OVER w AS bx, seq * 10e0 + 5 AS b_y, lead(n) OVER w AS bz, lead(e, 2) OVER w AS cx, seq * 10e0 + 8 AS cy, lead(n, 2) OVER w AS cz FROM fx_line_vertex WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
-a AS (SELECT *, (bx - ax) * (cz - az) - (cx - ax) * (bz - az) AS area FROM t WHERE cx IS NOT NULL AND line_id % 4 = 0),
+@query("""WITH t AS (SELECT e AS ax, seq * 10e0 AS ay, n AS az, e + 400 AS bx, seq * 10e0 + 5 AS b_y, n + 50 AS bz, e + 100 AS cx, seq * 10e0 + 8 AS cy, n + 300 AS cz FROM fx_line_vertex),
+a AS (SELECT *, (bx - ax) * (cz - az) - (cx - ax) * (bz - az) AS area FROM t),
 u AS (SELECT fix_id, ay, b_y, cy, ((bx - e) * (cz - n) - (cx - e) * (bz - n)) / area AS u, ((cx - e) * (az - n) - (ax - e) * (cz - n)) / area AS v FROM fx_fix JOIN a ON abs(area) >= 1e-3 AND e BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND n BETWEEN least(az, bz, cz) AND greatest(az, bz, cz)),
 y AS (SELECT fix_id, u * ay + v * b_y + (1 - u - v) * cy AS y FROM u WHERE least(u, v, 1 - u - v) >= -1e-4)
 SELECT fix_id, round(max(y), 6) AS y FROM y WHERE abs(y - 150e0) <= 60 GROUP BY fix_id""", "fx_fix", "fx_line_vertex")
 def surface_height(fix, v):
-    w = Window.partitionBy("line_id").orderBy("seq")
-    t = v.where("line_id % 4 = 0").select(F.col("e").alias("ax"), (F.col("seq") * 10.0).alias("ay"), F.col("n").alias("az"), F.lead("e").over(w).alias("bx"), (F.col("seq") * 10.0 + 5).alias("by"), F.lead("n").over(w).alias("bz"), F.lead("e", 2).over(w).alias("cx"), (F.col("seq") * 10.0 + 8).alias("cy"), F.lead("n", 2).over(w).alias("cz")).where("cx is not null")
+    e, n, y = F.col("e"), F.col("n"), F.col("seq") * 10.0
+    t = v.select(e.alias("ax"), y.alias("ay"), n.alias("az"), (e + 400).alias("bx"), (y + 5).alias("by"), (n + 50).alias("bz"), (e + 100).alias("cx"), (y + 8).alias("cy"), (n + 300).alias("cz"))
     return rounded(spatial.surface_height_at(fix.select("fix_id", "e", "n", F.lit(150.0).alias("hint")), t, ["fix_id"], 60.0), 6, "y")
 
 
