@@ -30,6 +30,15 @@ def staged(df: DataFrame, **columns: str) -> DataFrame:
     return df
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` behind a one-row explode, which filters of later joins do not pass.
+
+    Else Catalyst writes the whole projection into each filter it pushes down.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_s")).select(*rest, *(F.col(f"_s.{c}").alias(c) for c in columns))
+
+
 def geodetic_to_ecef(df: DataFrame, lat: str, lon: str, h: str, ell=WGS84, out=("x", "y", "z")) -> DataFrame:
     a, f = ell
     e2 = f * (2 - f)
@@ -102,11 +111,13 @@ def utm_to_wgs84(df: DataFrame, zone: int = 32, e="ue", n="un", lat="lat", lon="
 
 
 def utm32_to_lv95(df: DataFrame, ue="ue", un="un", e="e", n="n") -> DataFrame:
-    return wgs84_to_lv95(utm_to_wgs84(df, 32, ue, un, "_la", "_lo"), "_la", "_lo", e, n).drop("_la", "_lo")
+    ll = settled(utm_to_wgs84(df, 32, ue, un, "_la", "_lo"), "_la", "_lo")
+    return settled(wgs84_to_lv95(ll, "_la", "_lo", e, n).drop("_la", "_lo"), e, n)
 
 
 def lv95_to_utm32(df: DataFrame, e="e", n="n", ue="ue", un="un") -> DataFrame:
-    return wgs84_to_utm(lv95_to_wgs84(df, e, n, "_la", "_lo"), 32, "_la", "_lo", ue, un).drop("_la", "_lo")
+    ll = settled(lv95_to_wgs84(df, e, n, "_la", "_lo"), "_la", "_lo")
+    return settled(wgs84_to_utm(ll, 32, "_la", "_lo", ue, un).drop("_la", "_lo"), ue, un)
 
 
 def utm_zone(lon):

@@ -93,3 +93,50 @@ def hash32(a: Column, b: Column) -> Column:
 
     h = times(a.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 2_654_435_761).bitwiseXOR(times(b.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 2_246_822_519))
     return times(h.bitwiseXOR(F.shiftright(h, 15)), 3_266_489_917)
+
+
+def grid_to_flat(e: Column, n: Column, origin_e: float, origin_n: float) -> tuple[Column, Column]:
+    """Flat world with +x to the west and +z to the north."""
+    return origin_e - e, n - origin_n
+
+
+def flat_to_grid(x: Column, z: Column, origin_e: float, origin_n: float) -> tuple[Column, Column]:
+    return origin_e - x, z + origin_n
+
+
+def sag(dx: Column, dz: Column) -> Column:
+    """How far the round earth falls below a plane at this offset."""
+    return (dx * dx + dz * dz) / (2 * 6_371_000.0)
+
+
+def crs_of_epsg(code: Column) -> Column:
+    """LV95, or UTM with zone and hemisphere; null for other codes."""
+    utm = lambda base, side: F.concat(F.lit("UTM"), (code - base).cast("string"), F.lit(side))
+    return F.when(code == 2056, "LV95").when(code.between(32601, 32660), utm(32600, "N")).when(code.between(32701, 32760), utm(32700, "S")).when(code.between(25828, 25838), utm(25800, "N"))
+
+
+def parse_epsg(text: Column) -> Column:
+    """The number of ``EPSG:n`` or of a bare ``n``; null for other texts."""
+    return F.regexp_extract(F.upper(F.trim(text)), r"^(?:EPSG:)?(\d{1,9})$", 1).try_cast("int")
+
+
+def chunk_distance(ei: Column, ni: Column, cei: Column, cni: Column, span: int = 8) -> tuple[Column, Column]:
+    """Chebyshev distance from a tile to the nearest and to the farthest tile of a chunk."""
+    lo, hi = lambda c: c * span, lambda c: c * span + span - 1
+    near = lambda t, c: F.greatest(lo(c) - t, t - hi(c), F.lit(0))
+    far = lambda t, c: F.greatest(F.abs(t - lo(c)), F.abs(t - hi(c)))
+    return F.greatest(near(ei, cei), near(ni, cni)), F.greatest(far(ei, cei), far(ni, cni))
+
+
+def unpremultiply(value: Column, alpha: Column) -> Column:
+    """A colour value before it was multiplied by a partial alpha."""
+    return F.when((alpha > 0) & (alpha < 255), F.least(F.lit(255), F.floor(value * 255.0 / alpha + 0.5))).otherwise(value).cast("int")
+
+
+def tile_file_name(ei: Column, ni: Column, size: int = 1024) -> Column:
+    return F.format_string("tile_%d_%d.raw", ei.cast("long") * size, ni.cast("long") * size)
+
+
+def parse_tile_name(name: Column) -> tuple[Column, Column]:
+    part = lambda k: F.regexp_extract(name, r"tile_(-?\d+)_(-?\d+)", k).try_cast("long")
+    return part(1), part(2)

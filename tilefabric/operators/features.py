@@ -128,3 +128,27 @@ def tile_center(v: DataFrame, item: str, tile: list[str], truncate: bool) -> Dat
 def flat_level(outer: DataFrame, heights: DataFrame, keys: list[str], offset: float) -> DataFrame:
     """Mean height found at a polygon's outer vertices plus offset; vertices without height do not count, none at all gives 0."""
     return outer.join(heights, keys, "left").groupBy("poly_id").agg((F.coalesce(F.avg("h"), F.lit(0.0)) + offset).alias("level"))
+
+
+def clean_uuid(uuid: Column, index: Column) -> Column:
+    """Without braces and hyphens; ``building_{index}`` where there is none."""
+    return F.coalesce(F.nullif(F.translate(uuid, "{}-", ""), F.lit("")), F.concat(F.lit("building_"), index))
+
+
+def classify_water(tags: Column) -> Column:
+    """What a tag map means: ``polygon``, or the width of a line in metres as text; null for other features."""
+    area = (tags["natural"] == "water") | tags["landuse"].isin("reservoir", "basin") | (tags["waterway"] == "riverbank")
+    line = F.when(tags["waterway"] == "river", "12").when(tags["waterway"] == "canal", "8")
+    return F.when(F.coalesce(area, F.lit(False)), "polygon").when(F.coalesce(tags["area"] == "yes", F.lit(False)), F.when(line.isNotNull(), "polygon")).otherwise(line)
+
+
+def zones_for(zones: DataFrame, kind: str) -> DataFrame:
+    """Zones whose ``kinds`` hold ``kind`` or ``all``; circles without a radius and polygons of fewer than three points go."""
+    whole = F.col("r").isNotNull() & F.col("e").isNotNull() & F.col("n").isNotNull() | (F.size(F.coalesce("ring", F.array())) >= 3)
+    return zones.where((F.array_contains("kinds", kind) | F.array_contains("kinds", "all")) & whole)
+
+
+def drop_degenerate(tris: DataFrame) -> DataFrame:
+    """Triangles (ax, az .. cz) with a plan area whose square is at least 1e-3."""
+    area = (F.col("bx") - F.col("ax")) * (F.col("cz") - F.col("az")) - (F.col("cx") - F.col("ax")) * (F.col("bz") - F.col("az"))
+    return tris.where(area * area >= 1e-3)

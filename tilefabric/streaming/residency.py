@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilefabric.functions.grid import RINGS, lod_for_distance, ortho_pixels
+from tilefabric.operators.raster import PIXEL
+from tilefabric.operators.spatial import tiles_in_ring
+
 EVENTS = "track_id long, fix_id long, ei int, ni int, action string"
 
 
@@ -52,6 +56,88 @@ def residency_stream(fixes: DataFrame, radius: int, margin: int, late: str = "10
     return keyed.applyInPandasWithState(step, EVENTS, "tiles array<array<int>>", "append", "NoTimeout")
 
 
+CHANGES = "track_id long, fix_id long, ei int, ni int, old_lod int, new_lod int, texture boolean"
+
+
+def lod_changes_batch(fixes: DataFrame, radius: int) -> DataFrame:
+    """Tiles whose level of detail differs from the one they had at the fix before, and whether their texture's size does too.
+
+    Fixes are (track_id, fix_id, ts, te, tn). A tile that was out of the radius at
+    the fix before has no level to change.
+    """
+    f = fixes.withColumn("k", F.row_number().over(Window.partitionBy("track_id").orderBy("ts", "fix_id")))
+    ring = tiles_in_ring(f.withColumnsRenamed({"te": "ei", "tn": "ni"}), radius, ["track_id", "fix_id", "k"], lambda d: lod_for_distance(d, radius))
+    w = Window.partitionBy("track_id", "ei", "ni").orderBy("k")
+    ring = ring.withColumns({"k0": F.lag("k").over(w), "old_lod": F.lag("lod").over(w)}).where("k0 = k - 1 and lod <> old_lod")
+    texture = ortho_pixels(F.col("lod")) != ortho_pixels(F.col("old_lod"))
+    return ring.select("track_id", "fix_id", "ei", "ni", "old_lod", F.col("lod").alias("new_lod"), texture.alias("texture"))
+
+
+def lod_changes_stream(fixes: DataFrame, radius: int, late: str = "10 minutes") -> DataFrame:
+    """The same changes from a stream; a track's state is its last tile, from which every level follows."""
+    rings = next(r for most, r in RINGS.items() if most is None or radius <= most)
+    lod = lambda d: next(level for reach, level in rings if reach is None or d <= reach)
+    pixels = lambda level: 64 if level >= 7 else 256 if level >= 5 else 1024
+
+    def levels(e: int, n: int) -> dict:
+        return {(i, j): lod(max(abs(i - e), abs(j - n))) for i in range(e - radius, e + radius + 1) for j in range(n - radius, n + radius + 1)}
+
+    def step(key, batches, state):
+        before = levels(*state.get) if state.exists else {}
+        out, at = [], None
+        for fix, at in _in_order(batches):
+            now = levels(*at)
+            out += [(key[0], fix, *t, before[t], level, pixels(before[t]) != pixels(level)) for t, level in now.items() if before.get(t, level) != level]
+            before = now
+        state.update(at)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    return fixes.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, CHANGES, "e int, n int", "append", "NoTimeout")
+
+
+def coverage_generation_batch(fixes: DataFrame) -> DataFrame:
+    """(track_id, fix_id, generation): a number that grows only when the covered window, so the tile (te, tn), changes."""
+    w = Window.partitionBy("track_id").orderBy("ts", "fix_id")
+    moved = F.coalesce((F.lag("te").over(w) != F.col("te")) | (F.lag("tn").over(w) != F.col("tn")), F.lit(True))
+    f = fixes.withColumn("_c", moved.cast("long"))
+    return f.select("track_id", "fix_id", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("generation"))
+
+
+def coverage_generation_stream(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same numbers from a stream; the state is the last tile and the number."""
+
+    def step(key, batches, state):
+        e, n, number = state.get if state.exists else (None, None, 0)
+        out = []
+        for fix, at in _in_order(batches):
+            number += at != (e, n)
+            (e, n) = at
+            out.append((key[0], fix, number))
+        state.update((e, n, number))
+        yield pd.DataFrame(out, columns=["track_id", "fix_id", "generation"])
+
+    return fixes.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, "track_id long, fix_id long, generation long", "e int, n int, number long", "append", "NoTimeout")
+
+
+def _in_order(batches):
+    rows = pd.concat(list(batches)).sort_values(["ts", "fix_id"])
+    for fix, e, n in zip(rows["fix_id"], rows["te"], rows["tn"], strict=True):
+        yield fix, (int(e), int(n))
+
+
+def drape_stream(vertices: DataFrame, terrain: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """Vertices (ei, ni, prow, pcol, ts ..) with the height of the terrain pixel (.., h, terrain_ts) that comes before or after them.
+
+    Whichever side is first waits in state until the other comes, at most
+    ``wait`` of event time; then the vertex is given out without a height.
+    """
+    v, t = vertices.withWatermark("ts", wait), terrain.withWatermark("terrain_ts", wait)
+    same = [v[c] == t[c] for c in PIXEL]
+    near = (t["terrain_ts"] >= v["ts"] - F.expr(f"interval {wait}")) & (t["terrain_ts"] <= v["ts"] + F.expr(f"interval {wait}"))
+    on = same[0] & same[1] & same[2] & same[3] & near
+    return v.join(t, on, "left_outer").select(*(v[c] for c in vertices.columns), t["h"])
+
+
 def probe_status_stream(probes: DataFrame) -> DataFrame:
     """The last definite status per cell, in update mode."""
     last = probes.where("status <> 0").groupBy("e_km", "n_km").agg(F.max(F.struct("ts", "status")).alias("m"))
