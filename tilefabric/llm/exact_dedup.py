@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 #: Digests that are looked up by broadcast at most, and counters of the sketch.
 HEAVY, COUNTERS = 1_000, 10_000
@@ -46,14 +46,15 @@ def decide(d: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (any further columns stay) whose text no row of larger doc_id repeats."""
     lost = decide(digests(docs)).where("not kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "keep_id")
-    out = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    (sha,) = unused(docs, "_own_sha")
+    out = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     gone = lost.where("not (_id <=> keep_id)").select("_id", "_sha").distinct()
-    out = out.join(gone, out["doc_id"].eqNullSafe(gone["_id"]) & (out["_sha"] == gone["_sha"]), "left_anti")
+    out = out.join(gone, out["doc_id"].eqNullSafe(gone["_id"]) & (out[sha] == gone["_sha"]), "left_anti")
     # Rows that repeat a winner's doc_id and text: rare, and reduced on the map side first.
     again = lost.where("_id <=> keep_id").select("_id", "_sha").distinct()
-    tied = out["doc_id"].eqNullSafe(again["_id"]) & (out["_sha"] == again["_sha"])
-    once = out.join(again, tied, "left_anti").drop("_sha")
-    return once.unionByName(out.join(again, tied, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    tied = out["doc_id"].eqNullSafe(again["_id"]) & (out[sha] == again["_sha"])
+    once = out.join(again, tied, "left_anti").drop(sha)
+    return once.unionByName(out.join(again, tied, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha))
 
 
 def op2(docs: DataFrame) -> DataFrame:

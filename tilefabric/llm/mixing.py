@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import feistel, int_div, running_start, small, spread, written
+from .shared import feistel, int_div, running_start, small, spread, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; weights by the sources' order, repeating; times a source is taken at most.
@@ -120,18 +120,19 @@ def mixed(docs: DataFrame, block: int = 2_048) -> DataFrame:
     """
     m = plan(docs, block)
     key = [*SRC, "doc_id", "text_hash"]
+    own, whole, taken_runs = unused(docs, "_own_key", "_own_all", "_own_runs")
     runs = pieces(m).join(m.draws.drop("shard"), [*SRC, "block"]).groupBy(*key, "size", "start", "pass")
     runs = runs.agg(F.array_sort(F.collect_list(F.struct((F.col("lo") - F.col("start")).alias("lo"), (F.col("hi") - F.col("lo")).alias("n")))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
     runs = runs.withColumn("first", F.min("start").over(Window.partitionBy(*key))).where("start = first")
-    runs = runs.select(F.struct("src", "src_null", "doc_id", "text_hash").alias("_key"), (F.col("words") == F.col("size")).alias("_all"), F.col("runs").alias("_runs"))
+    runs = runs.select(F.struct("src", "src_null", "doc_id", "text_hash").alias("_run_key"), (F.col("words") == F.col("size")).alias(whole), F.col("runs").alias(taken_runs))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_key", F.struct(F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().cast("int").alias("src_null"), F.col("doc_id"), F.xxhash64(text).alias("text_hash")))
+    keyed = docs.withColumn(own, F.struct(F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().cast("int").alias("src_null"), F.col("doc_id"), F.xxhash64(text).alias("text_hash")))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    some = F.array_join(F.transform("_runs", lambda r: F.array_join(F.slice(words, r["lo"].cast("int") + 1, r["n"].cast("int")), "")), "")
-    out = keyed.join(runs, keyed["_key"].eqNullSafe(runs["_key"])).withColumn("text", F.when(F.col("_all"), F.col("text")).otherwise(some))
+    some = F.array_join(F.transform(taken_runs, lambda r: F.array_join(F.slice(words, r["lo"].cast("int") + 1, r["n"].cast("int")), "")), "")
+    out = keyed.join(runs, keyed[own].eqNullSafe(runs["_run_key"])).withColumn("text", F.when(F.col(whole), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(keyed[c] if c not in ("text", "n_chars") else F.col(c) for c in docs.columns))
 
 
 def op1(docs: DataFrame) -> DataFrame:

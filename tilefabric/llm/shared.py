@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,27 @@ def with_own_id(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no such column, so that working columns never replace its own."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges (from, to) of consecutive rows of at most ``most`` bytes together, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, to
+        at = to
+
+
 def int_div(a: Column, b: Column) -> Column:
     """Quotient of non-negative longs, rounded down."""
     return ((a - a % b) / b).cast("long")
