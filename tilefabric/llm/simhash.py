@@ -26,30 +26,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, spread, with_own_id, with_text_id, written
+from .shared import components, portions, spread, with_own_id, with_text_id, written
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
 #: Fixed values of the binary Golay code: generator polynomial, length, covering radius.
 GENERATOR, LENGTH, RADIUS = 0b101011100011, 23, 3
 BATCH = 1_000
+#: Bytes of text that are hashed at a time (one text at least).
+BYTES = 4 << 20
 LANES = np.uint64(0x0101010101010101)
 
 
-def hashes(text: bytes, shingle: int) -> list[int]:
+def hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 of each shingle of the lower-cased words; of all words together if they are fewer."""
     words = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII white-space bytes
     if not words:
-        return []
+        return np.zeros(0, np.uint64)
     line, hash64 = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return [hash64(line, SEED)]
+        return np.array([hash64(line, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: 1 - shingle or None].tolist()
-    return [hash64(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    found = (hash64(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True))
+    return np.fromiter(found, np.uint64, len(starts))
 
 
-def majority(hashed: list[list[int]]) -> np.ndarray:
+def majority(hashed: list[np.ndarray]) -> np.ndarray:
     """The fingerprint of each list of hashes: the bits set in over half of them.
 
     Eight bits are counted at once, in the bytes of a long, over runs of at most 255.
@@ -59,7 +62,7 @@ def majority(hashed: list[list[int]]) -> np.ndarray:
     filled = np.flatnonzero(counts)
     if not len(filled):
         return out
-    h = np.fromiter((x for one in hashed for x in one), np.uint64, int(counts.sum()))
+    h = np.concatenate(hashed)
     runs = -(-counts[filled] // 255)
     doc = np.repeat(np.arange(len(filled)), runs)
     first = np.repeat(np.cumsum(runs) - runs, runs)
@@ -78,8 +81,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH]
+            for at, to in portions(np.fromiter(map(len, pdf["text"]), np.int64, len(pdf)), BYTES):
+                part = pdf.iloc[at:to]
                 fp = majority([hashes(t, shingle) for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp.view(np.int64)})
 
