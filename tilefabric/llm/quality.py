@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold
+from .shared import portions, unused
 
 PASSAGE, SAMPLE, BAG, HIDDEN, GATE = 512, 2_000, 64, 24, 12
 EPOCHS, BAGS, RATE, DECAY, SEED = 30, 64, 0.01, 1e-4, 5
 THRESHOLD = 0.3
+#: Bytes of text that are scored at a time.
+BYTES = 2 << 20
 #: Character classes: one each for these bytes, then groups.
 SINGLES = b" \n.,!?;:|#%&$*\"'-_/()<>{}[]@=+~^\\"
 GROUPS = (b"eationsrhldu", b"bcfgjkmpqvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"\t\r\x0b\x0c")
@@ -85,15 +88,27 @@ class Model:
     c: np.ndarray  # (HIDDEN,) and bias d
     d: np.ndarray
 
-    def forward(self, x: np.ndarray, many: np.ndarray) -> dict[str, np.ndarray]:
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.e + self.b)
+
+    def forward(self, h: np.ndarray, many: np.ndarray) -> dict[str, np.ndarray]:
+        """From the encoded passages ``h`` of bags of ``many`` passages to the bags' scores ``y``."""
         first, bag = np.cumsum(many) - many, np.repeat(np.arange(len(many)), many)
-        h = np.tanh(x @ self.e + self.b)
         p, q = np.tanh(h @ self.v), 1 / (1 + np.exp(-(h @ self.u)))
         a = (p * q) @ self.w
         a = np.exp(a - np.maximum.reduceat(a, first)[bag])
         a /= np.add.reduceat(a, first)[bag]
         z = np.add.reduceat(a[:, None] * h, first)
-        return {"bag": bag, "first": first, "h": h, "p": p, "q": q, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ self.c + self.d, -30, 30)))}
+        return {"bag": bag, "first": first, "p": p, "q": q, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ self.c + self.d, -30, 30)))}
+
+
+def encoded(m: Model, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded passages and their number in each text; one long text goes piece by piece, as its features are many times its size."""
+    if len(lengths) > 1 or len(data) <= BYTES:
+        x, many = bags(data, lengths)
+        return m.encode(x), many
+    cuts = [data[a : a + BYTES] for a in range(0, len(data), BYTES)]  # BYTES is a multiple of PASSAGE
+    return np.concatenate([m.encode(bags(c, np.array([len(c)]))[0]) for c in cuts]), np.array([-(-len(data) // PASSAGE)])
 
 
 def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
@@ -109,8 +124,9 @@ def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
         for at in range(0, len(order), BAGS):
             some = order[at : at + BAGS]
             xs = np.concatenate([x[first[i] : first[i] + many[i]] for i in some]) / 255
-            f = m.forward(xs, many[some])
-            bag, h, p, q, a = (f[k] for k in ("bag", "h", "p", "q", "a"))
+            h = m.encode(xs)
+            f = m.forward(h, many[some])
+            bag, p, q, a = (f[k] for k in ("bag", "p", "q", "a"))
             dy = (f["y"] - y[some]) / len(some)
             dz = dy[:, None] * m.c
             da = (h * dz[bag]).sum(axis=1)
@@ -137,8 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
         for b in batches:
             for row in range(b.num_rows):
                 raw = np.frombuffer(b["text"][row].as_buffer(), np.uint8)
-                x, _ = bags(raw, np.array([len(raw)]))
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int))]
+                many = max(1, -(-len(raw) // PASSAGE))
+                some = np.unique(np.linspace(0, many - 1, min(many, BAG)).astype(int))
+                cut = [raw[PASSAGE * k : PASSAGE * (k + 1)] for k in some]
+                x, _ = bags(np.concatenate(cut), np.array([len(c) for c in cut]))
                 yield pa.RecordBatch.from_pydict({"h": b["h"].slice(row, 1), "y": b["_y"].slice(row, 1), "x": pa.array([np.rint(255 * np.clip(x, 0, 1)).astype(np.uint8).tobytes()], pa.binary())})
 
     # Rows that repeat a doc_id are each a bag; the sample's few ids are broadcast, the texts are not moved.
@@ -162,26 +180,26 @@ def scored(docs: DataFrame, model: Model | float, *keep: str, name: str = "score
         if isinstance(m, Model):
             m = Model(**{k: v.astype(np.float32) for k, v in vars(m).items()})
         for b in batches:
-            at, lengths = 0, np.asarray(b["_size"])
-            while at < b.num_rows:  # about 2 MB of text at a time, one text at least
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(lengths[at:]), 2 << 20)))
+            lengths = np.asarray(b[size]).astype(np.int64)
+            for at, to in portions(lengths, BYTES):
                 part = b.slice(at, to - at)
                 if isinstance(m, Model):
-                    raw = np.frombuffer(b"".join(part["_text"].to_pylist()), np.uint8)
-                    y = m.forward(*bags(raw, lengths[at:to].astype(np.int64)))["y"].astype(np.float64)
+                    raw = np.frombuffer(b"".join(part[whole].to_pylist()), np.uint8)
+                    y = m.forward(*encoded(m, raw, lengths[at:to]))["y"].astype(np.float64)
                 else:
                     y = np.full(to - at, m)
                 yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(y)], [*keep, name])
-                at = to
 
+    whole, size = unused(docs, "_own_text", "_own_size")
     schema = docs.select(*keep).schema.add(name, "double")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(*keep, text.alias("_text"), F.octet_length(text).alias("_size")).mapInArrow(run, schema)
+    return docs.select(*keep, text.alias(whole), F.octet_length(text).alias(size)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier, trained on ``labels``, does not reject."""
-    return scored(docs, train(docs, labels), *docs.columns, name="_quality").where(F.col("_quality") >= threshold).select(*docs.columns)
+    (name,) = unused(docs, "_own_score")
+    return scored(docs, train(docs, labels), *docs.columns, name=name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
