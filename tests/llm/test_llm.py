@@ -359,3 +359,52 @@ def test_pipeline(spark, docs, tmp_path):
     assert step.count() == len({sha(r[1]) for r in rows()} - {sha(rows()[-1][1]), sha("")} | {sha("")}) - (brute_print("") == brute_print(" \t\n"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(sum(r["length"] for r in out if r["sequence_id"] == s) <= 2048 for s in {r["sequence_id"] for r in out})
+
+
+CLASHES = ["sha", "_sha", "rid", "_id", "best", "kept", "keep_id", "fp", "root", "component_id", "src", "src_null", "text_hash", "start", "block", "pass", "_key", "_own_key", "_own_sha", "_own_all", "_own_runs", "_own_text", "_own_size", "_own_score", "h", "_y", "quality", "piece", "length", "number", "ids", "_n", "_w", "_b", "lang_pred", "held_out"]
+
+
+def test_columns_of_clashing_names_stay(spark, docs, empty):
+    """Further columns named like the operators' own keep their values, and change no result."""
+    from pyspark.sql import functions as F
+
+    extra = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    dealt = [mixing.op1, exact_dedup.op2, langid.op4, lambda d: quality.op5(d, labels), simhash.op6, sharding.op7, packing.op9]
+    for op in dealt:
+        assert Counter(map(str, op(extra).collect())) == Counter(map(str, op(docs).collect()))
+    for keep in (exact_dedup.exact_dedup, simhash.simhash_dedup, mixing.mixed, lambda d: quality.keep_good(d, labels)):
+        out = keep(extra)
+        assert out.columns == extra.columns
+        assert Counter(map(str, out.select(docs.columns).collect())) == Counter(map(str, keep(docs).collect()))
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in out.collect() for c in CLASHES)
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/1", "x", "y", "z", "w")], "page_id long, url string, host string, path string, rule string, _f string")
+    assert [tuple(r) for r in url_filter.op10(df).collect()] == [(1, "a.com", "/en/1", "com/en/", "block")]
+
+
+def test_ids_of_long_runs_of_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+    for text in ("a" + " " * 1_500_000 + "b", "\n" * 1_200_000, "x <|endoftext|>" + "\t " * 10_000):
+        assert token_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_score_in_pieces_as_in_one(monkeypatch):
+    rng = np.random.default_rng(11)
+    m = quality.fit(rng.random((40, quality.FEATURES)) * 255, np.array([2] * 20), np.array([0, 1] * 10))
+    raw = rng.choice(np.frombuffer(b"the quick, brown fox! ", np.uint8), 50_001)
+    whole, many = quality.encoded(m, raw, np.array([len(raw)]))
+    monkeypatch.setattr(quality, "BYTES", 4 * quality.PASSAGE)
+    split, same = quality.encoded(m, raw, np.array([len(raw)]))
+    assert many.tolist() == same.tolist() == [98] and np.allclose(whole, split)
+
+
+def test_portions():
+    assert list(shared.portions(np.array([3, 3, 9, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(shared.portions(np.array([], np.int64), 6)) == [] and list(shared.portions(np.array([7]), 6)) == [(0, 1)]
