@@ -82,6 +82,19 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return t.where("e <> ''").select(F.col("e").cast("int").alias("e_km"), F.col("n").cast("int").alias("n_km"), F.expr("try_cast(nullif(s, '') as int)").alias("status")).distinct()
 
 
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Writes distinct (e_km, n_km, status) as sorted ``e n [status]`` lines, in as many files as there are ranges."""
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("e_km", "n_km", "status")))
+    rows = cells.where("e_km is not null and n_km is not null").select("e_km", "n_km", "status").distinct()
+    rows.orderBy("e_km", "n_km", "status").select(line.alias("value")).write.text(path)
+
+
+def filter_crs(manifests: DataFrame, epsg: int = 2056, text: str = "crs") -> DataFrame:
+    """Sources whose ``text`` declares another EPSG code go; those that declare none stay."""
+    code = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)epsg\D{0,3}(\d+)", 1)
+    return manifests.where((code == "") | code.try_cast("int").eqNullSafe(epsg))
+
+
 def read_tile_index(spark: SparkSession, path: str) -> DataFrame:
     """(e, n, kind) of ``E N f|v`` lines; others are skipped."""
     part = lambda k: F.regexp_extract("value", r"^\s*(-?\d+)\s+(-?\d+)\s+([fv])\s*$", k)
