@@ -153,6 +153,15 @@ def test_simhash(docs, empty):
     assert simhash.op6(empty).count() == simhash.simhash_dedup(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_class_whatever_its_id(spark):
+    rng = random.Random(12)
+    a, b, *texts = (" ".join(word(rng) for _ in range(60)) for _ in range(8))
+    data = [(1, a), (5, a), (5, b), (None, b), *[(None, t) for t in texts], (None, texts[0]), (7, texts[1])]
+    out = simhash.simhash_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, a), (5, b), (7, texts[1]), *[(None, t) for t in (texts[0], *texts[2:])]]
+    assert Counter(map(tuple, out)) == Counter(want)
+
+
 def test_anchors_cover_every_near_pair():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**64, 300, dtype=np.uint64)

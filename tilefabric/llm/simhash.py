@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, portions, spread, with_own_id, with_text_id, written
+from .shared import components, portions, spread, unused, with_own_id, with_text_id, written
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
 #: Fixed values of the binary Golay code: generator polynomial, length, covering radius.
@@ -76,18 +76,18 @@ def majority(hashed: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
+    """(doc_id, fp long) of every whole text, and the text columns ``keep``."""
 
     def run(batches):
         for pdf in batches:
             for at, to in portions(np.fromiter(map(len, pdf["text"]), np.int64, len(pdf)), BYTES):
                 part = pdf.iloc[at:to]
                 fp = majority([hashes(t, shingle) for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp.view(np.int64)})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp.view(np.int64)} | {c: part[c].to_numpy() for c in keep})
 
-    rows = with_text_id(docs, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return with_own_id(rows.mapInPandas(run, "doc_id string, fp long"), docs)
+    rows = with_text_id(docs, F.coalesce("text", F.lit("")).cast("binary").alias("text"), *map(F.col, keep))
+    return with_own_id(rows.mapInPandas(run, ", ".join(["doc_id string, fp long", *(f"{c} string" for c in keep)])), docs)
 
 
 @cache
@@ -154,21 +154,33 @@ def linked(fps: DataFrame, rows: int) -> DataFrame:
     return near.join(home.hint("shuffle_hash"), "anchor").where(f"a <> b and bit_count(a ^ b) <= {THRESHOLD}").select("a", "b")
 
 
+def rooted(each: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, root): the aggregate ``least`` of each fingerprint's rows, and the class it is in."""
+    fps = written(each.groupBy("fp").agg(least.alias("least")))
+    groups = components(linked(fps.select("fp"), fps.count())).withColumnRenamed("node", "fp")
+    return fps.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     each = written(fingerprints(docs))
-    fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(linked(fps.select("fp"), fps.count())).withColumnRenamed("node", "fp")
-    fps = fps.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps = rooted(each, F.min("doc_id"))
     ids = fps.groupBy("root").agg(F.min("least").alias("component_id"))
     return each.join(fps.join(ids, "root").select("fp", "component_id"), "fp")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` from each class stays: that of the smallest doc_id; rows that repeat its doc_id go too."""
-    keep = classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of ``docs`` from each class stays: of the smallest doc_id (a null one loses), then of the smallest digest of its text.
+
+    Rows are told apart by doc_id and text, as ids may be null or repeat; rows equal in both are in one class.
+    """
+    (sha,) = unused(docs, "_own_sha")
+    own = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    each = written(fingerprints(own, SHINGLE, sha))
+    best = rooted(each, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(sha).alias("sha")))).groupBy("root").agg(F.min("least").alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.sha").alias("_sha"))
+    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_id"]) & (own[sha] == keep["_sha"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def op6(docs: DataFrame) -> DataFrame:
