@@ -241,6 +241,28 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_quality_learns_from_every_passage(spark, monkeypatch):
+    rng = random.Random(13)
+    seen = {}
+    texts = [" ".join(word(rng) for _ in range(n)) for n in (30_000, 14_000, 3, 1, 200, 900)]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", lambda x, many, y: seen.update(x=x[0 : int(many.sum())], many=many) or 1.0)
+    quality.train(df, labels)
+    want = [quality.bags(raw := np.frombuffer((t or "").encode(), np.uint8), np.array([len(raw)]))[0] for k, t in enumerate([*texts, None]) if zlib.crc32(str(k).encode()) % 5]
+    assert sum(map(len, want)) > 300 and sorted(seen["many"]) == sorted(map(len, want))
+    rows = lambda x: Counter(r.tobytes() for r in x)
+    assert rows(seen["x"]) == sum((rows(np.rint(255 * np.clip(x, 0, 1)).astype(np.uint8)) for x in want), Counter())
+
+
+def test_quality_fits_alike_in_portions(monkeypatch):
+    rng = np.random.default_rng(14)
+    x, many, y = np.rint(rng.random((90, quality.FEATURES)) * 9), np.array([20, 1, 9] * 3), np.array([0, 1, 0] * 3)
+    whole = quality.fit(x, many, y)
+    monkeypatch.setattr(quality, "DENSE", 8)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(vars(whole).values(), vars(quality.fit(x, many, y)).values()))
+
+
 def test_sharding(docs, empty):
     table = sharding.lookup_table()
     counts = Counter(table)

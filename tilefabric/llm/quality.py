@@ -6,8 +6,10 @@ character classes occurs in it, through a learned tanh layer. Learned gated
 attention, softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages; the
 weighted mean is scored by a logistic layer. Labels belong to documents; which
 passages matter is learned. Training (numpy, Adam, fixed seed) uses a bounded
-sample of labelled documents: ``SAMPLE`` bags of at most ``BAG`` evenly spaced
-passages. Scoring uses every passage.
+sample of labelled documents, each with every passage: ``SAMPLE`` bags, or fewer
+where they would hold more than ``SAMPLED`` passages. Passages are kept as their
+features other than zero and made dense ``DENSE`` at a time. Scoring uses every
+passage too.
 
 Defined cases: null and empty text is a bag of one empty passage and is scored
 too; without both labels to learn from, every score is the share of label 1 (1
@@ -20,15 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .langid import fold
 from .shared import portions, unused
 
-PASSAGE, SAMPLE, BAG, HIDDEN, GATE = 512, 2_000, 64, 24, 12
+PASSAGE, SAMPLE, HIDDEN, GATE = 512, 2_000, 24, 12
 EPOCHS, BAGS, RATE, DECAY, SEED = 30, 64, 0.01, 1e-4, 5
 THRESHOLD = 0.3
+#: Passages of the whole training sample (one document's at least), and of those that are dense at once.
+SAMPLED, DENSE = 200_000, 1_024
 #: Bytes of text that are scored at a time.
 BYTES = 2 << 20
 #: Character classes: one each for these bytes, then groups.
@@ -111,7 +115,24 @@ def encoded(m: Model, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([m.encode(bags(c, np.array([len(c)]))[0]) for c in cuts]), np.array([-(-len(data) // PASSAGE)])
 
 
-def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
+@dataclass
+class Sparse:
+    """Rows of FEATURES steps of 1/255, held as the places and values of those other than zero."""
+
+    ends: np.ndarray  # of each row, in place and value
+    place: np.ndarray
+    value: np.ndarray
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        a, b = rows.start, rows.stop
+        begin = self.ends[a - 1] if a else 0
+        counts = np.diff(self.ends[a:b], prepend=begin)
+        out = np.zeros((b - a, FEATURES), np.uint8)
+        out[np.repeat(np.arange(b - a), counts), self.place[begin : self.ends[b - 1]]] = self.value[begin : self.ends[b - 1]]
+        return out
+
+
+def fit(x: np.ndarray | Sparse, many: np.ndarray, y: np.ndarray) -> Model:
     """Gradient descent on the log loss of the documents' labels; ``x`` is in steps of 1/255."""
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: rng.normal(size=shape, scale=1 / np.sqrt(shape[0])).astype(np.float64)
@@ -123,8 +144,11 @@ def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
         rate = RATE * (1 - epoch / EPOCHS) + 1e-3
         for at in range(0, len(order), BAGS):
             some = order[at : at + BAGS]
-            xs = np.concatenate([x[first[i] : first[i] + many[i]] for i in some]) / 255
-            h = m.encode(xs)
+            spans = [(a, min(a + DENSE, first[i] + many[i])) for i in some for a in range(first[i], first[i] + many[i], DENSE)]
+            cuts = list(portions(np.array([b - a for a, b in spans]), DENSE))
+            dense = lambda s, t: np.concatenate([x[a:b] for a, b in spans[s:t]]) / 255  # noqa: B023, E731
+            once = [dense(*c) for c in cuts] if len(cuts) == 1 else None
+            h = np.concatenate([m.encode(xs) for xs in once or (dense(*c) for c in cuts)])
             f = m.forward(h, many[some])
             bag, p, q, a = (f[k] for k in ("bag", "p", "q", "a"))
             dy = (f["y"] - y[some]) / len(some)
@@ -133,7 +157,11 @@ def fit(x: np.ndarray, many: np.ndarray, y: np.ndarray) -> Model:
             ds = a * (da - np.add.reduceat(a * da, f["first"])[bag])
             dp, dq = ds[:, None] * m.w * q * (1 - p * p), ds[:, None] * m.w * p * q * (1 - q)
             dh = (a[:, None] * dz[bag] + dp @ m.v.T + dq @ m.u.T) * (1 - h * h)
-            grad = {"e": xs.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dp, "u": h.T @ dq, "w": (p * q).T @ ds, "c": f["z"].T @ dy, "d": np.array([dy.sum()])}
+            ge, at_h = np.zeros_like(m.e), 0
+            for xs in once or (dense(*c) for c in cuts):
+                ge += xs.T @ dh[at_h : at_h + len(xs)]
+                at_h += len(xs)
+            grad = {"e": ge, "b": dh.sum(axis=0), "v": h.T @ dp, "u": h.T @ dq, "w": (p * q).T @ ds, "c": f["z"].T @ dy, "d": np.array([dy.sum()])}
             step += 1
             for k in names:
                 g = grad[k] + DECAY * getattr(m, k)
@@ -153,22 +181,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
         for b in batches:
             for row in range(b.num_rows):
                 raw = np.frombuffer(b["text"][row].as_buffer(), np.uint8)
-                many = max(1, -(-len(raw) // PASSAGE))
-                some = np.unique(np.linspace(0, many - 1, min(many, BAG)).astype(int))
-                cut = [raw[PASSAGE * k : PASSAGE * (k + 1)] for k in some]
-                x, _ = bags(np.concatenate(cut), np.array([len(c) for c in cut]))
-                yield pa.RecordBatch.from_pydict({"h": b["h"].slice(row, 1), "y": b["_y"].slice(row, 1), "x": pa.array([np.rint(255 * np.clip(x, 0, 1)).astype(np.uint8).tobytes()], pa.binary())})
+                counts, places, values = [], [], []
+                for a in range(0, max(1, len(raw)), DENSE * PASSAGE):
+                    piece = raw[a : a + DENSE * PASSAGE]
+                    x = np.rint(255 * np.clip(bags(piece, np.array([len(piece)]))[0], 0, 1)).astype(np.uint8)
+                    of, place = np.nonzero(x)
+                    counts.append(np.bincount(of, minlength=len(x)).astype("<u2"))
+                    places.append(place.astype("<u2"))
+                    values.append(x[of, place])
+                held = {"counts": counts, "places": places, "values": values}
+                sparse = {k: pa.array([np.concatenate(v).tobytes()], pa.binary()) for k, v in held.items()}
+                yield pa.RecordBatch.from_pydict({"h": b["h"].slice(row, 1), "y": b["_y"].slice(row, 1), "many": pa.array([sum(map(len, counts))], pa.int64()), **sparse})
 
     # Rows that repeat a doc_id are each a bag; the sample's few ids are broadcast, the texts are not moved.
     picked = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text").mapInArrow(run, "h long, y int, x binary")
-    rows = picked.orderBy("h").limit(2 * sample).collect() if n else []
+    picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text").mapInArrow(run, "h long, y int, many long, counts binary, places binary, values binary")
+    before = F.sum("many").over(Window.orderBy("h", "y").rowsBetween(Window.unboundedPreceding, 0)) - F.col("many")
+    rows = picked.orderBy("h").limit(2 * sample).withColumn("before", before).where(F.col("before") + F.least("many", F.lit(SAMPLED)) <= SAMPLED).collect() if n else []
     rows.sort(key=lambda r: (r["h"], r["y"]))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 1.0
-    xs = [np.frombuffer(r["x"], np.uint8).reshape(-1, FEATURES) for r in rows]
-    return fit(np.concatenate(xs), np.array([len(x) for x in xs]), y)
+    joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
+    x = Sparse(np.cumsum(joined("counts", "<u2"), dtype=np.int64), joined("places", "<u2"), joined("values", np.uint8))
+    return fit(x, np.array([r["many"] for r in rows]), y)
 
 
 def scored(docs: DataFrame, model: Model | float, *keep: str, name: str = "score") -> DataFrame:
