@@ -356,6 +356,28 @@ def test_token_output(spark, docs, empty, tmp_path):
     assert token_output.op8(empty).count() == 0
 
 
+def test_token_output_digests_the_written_records(spark, monkeypatch):
+    rng = random.Random(15)
+    data = [(k, " ".join(word(rng) for _ in range(n))) for k, n in enumerate([3_000, 1, 40, 0, 700, 5] * 14)] + [(None, None), (3, "again")]
+    paths, write = [], token_output.write_blocks
+    monkeypatch.setattr(token_output, "write_blocks", lambda placed, path, **kw: paths.append(path) or write(placed, path, **kw))
+    got = {r["slot"]: r for r in token_output.op8(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    blocks = spark.read.parquet(*paths).collect()
+    assert sum(b["records"] for b in blocks) == len(got) > 64 and sorted(b["block"] for b in blocks) == list(range(-(-len(got) // 64)))
+    want = Counter()
+    for d, t in data:
+        ids = np.append(token_ids(t or ""), token_output.END).astype("<u2")
+        want.update((d, k, ids[a : a + 2048].tobytes()) for k, a in enumerate(range(0, len(ids), 2048)))
+    have = Counter()
+    for b in blocks:
+        for k in range(b["records"]):
+            r, raw = got[b["block"] * 64 + k], bytes(b["payload"][4096 * k : 4096 * (k + 1)])
+            ids, rest = raw[: 2 * r["length"]], raw[2 * r["length"] :]
+            assert rest == np.full(len(rest) // 2, token_output.PAD, "<u2").tobytes() and zlib.crc32(ids) == r["ids_crc32"] and r["offset"] == r["record"] * 4096
+            have[r["doc_id"], r["piece"], ids] += 1
+    assert have == want
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://a.EXAMPLE.com/en/71?x#y", "https://example.com/en/8", "ftp://x.com/de/", "http://com/en/", "http://notexample.com/en/7", "http://b.net/de/8", "http://example.net/de/8/9", "http://example.net/de", "http://h.org?/es/", "http://h.org/es/#", "http://h.org//es/", "http://xcom/en/", "a://b://c/en/", "http://x.com:80/en/", "http://x.com./en/1"]
     df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")

@@ -3,8 +3,8 @@
 Documents become token ids plus an end id and are cut into sequences of at most
 ``stride`` ids. A keyed Feistel permutation with cycle-walking gives each of the
 n sequences its global slot 0..n-1, so the training order needs no sort key and
-any worker can compute it. Sequences are range-partitioned by shard (``slot div
-per_shard``), ordered by slot and written as fixed-stride records: record k of a
+any worker can compute it. Sequences go to partitions that are ranges of blocks
+of one shard (``slot div per_shard``), ordered by slot, and are written as fixed-stride records: record k of a
 shard is at byte k * stride * 2, so readers seek straight to where they resume.
 
 Sequences are numbered by partition counts (see ``with_number``), without a sort
@@ -18,14 +18,15 @@ rows each get sequences; unused places of a record hold the padding id, and
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import feistel, int_div, with_number, with_own_id, with_text_id, written
+from .shared import feistel, int_div, shared_dir, with_number, with_own_id, with_text_id, written
 from .tokens import token_ids
 
 STRIDE, END, PAD = 2_048, 50_256, 50_256
@@ -60,20 +61,31 @@ def ordered(seqs: DataFrame, rows: int, per_shard: int = PER_SHARD, stride: int
     return numbered.withColumn("slot", slot).drop("rid", "number").withColumn("shard", int_div(F.col("slot"), per)).withColumn("record", F.col("slot") % per).withColumn("offset", F.col("record") * (2 * stride))
 
 
-def write_blocks(placed: DataFrame, path: str, stride: int = STRIDE, pad: int = PAD, per_block: int = PER_BLOCK) -> None:
-    """Writes the shards as rows (shard, block, records, payload), sorted by shard and block.
+def write_blocks(placed: DataFrame, path: str, stride: int = STRIDE, pad: int = PAD, per_block: int = PER_BLOCK, rows: int | None = None, per_shard: int = PER_SHARD) -> None:
+    """Writes the shards as rows (shard, block, records, doc_ids, pieces, lengths, payload, crc), sorted by shard and block.
 
     The payload is ``per_block`` fixed-stride records; a block that fails its
-    crc, or is missing, is written again alone by filtering its slots.
+    crc, or is missing, is written again alone by filtering its slots. The ids
+    move once, without padding, to a partition that is computed from the slot:
+    it holds whole blocks of a single shard.
     """
+    rows = placed.count() if rows is None else rows
+    shards, of_shard = max(1, -(-rows // per_shard)), -(-per_shard // per_block)
+    least = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_part = -(-of_shard // min(of_shard, -(-least // shards)))
+    parts = -(-of_shard // of_part)
+    long = lambda n: F.lit(n).cast("long")
+    shown = placed.withColumn("block", int_div(F.col("record"), long(per_block)))
+    shown = shown.withColumn("part", (F.col("shard") * parts + int_div(F.col("block"), long(of_part))).cast("int"))
+    blocks = shown.repartitionById(shards * parts, "part").groupBy("part", "shard", "block")
+    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("record", "doc_id", "piece", "length", "ids"))).alias("r"))
     raw = np.array([pad], "<u2").tobytes().hex()
-    record = F.concat("ids", F.unhex(F.repeat(F.lit(raw), (stride - F.col("length")).cast("int"))))
-    blocks = placed.withColumn("block", int_div(F.col("record"), F.lit(per_block).cast("long"))).groupBy("shard", "block")
-    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("record", record.alias("raw"), "length"))).alias("r"))
-    payload = F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["raw"])), ""))
-    out = blocks.select("shard", "block", F.size("r").alias("records"), F.transform("r", lambda x: x["length"]).alias("lengths"), payload.alias("payload"))
+    padded = lambda x: F.concat(F.hex(x["ids"]), F.repeat(F.lit(raw.upper()), (stride - x["length"]).cast("int")))
+    payload = F.unhex(F.array_join(F.transform("r", padded), ""))
+    named = {"doc_ids": "doc_id", "pieces": "piece", "lengths": "length"}
+    out = blocks.select("shard", "block", F.size("r").alias("records"), *[F.col(f"r.{c}").alias(k) for k, c in named.items()], payload.alias("payload"))
     out = out.withColumn("crc", F.crc32("payload"))
-    out.repartitionByRange("shard", "block").sortWithinPartitions("shard", "block").write.parquet(path)
+    out.sortWithinPartitions("shard", "block").write.option("compression", "zstd").parquet(path)
 
 
 def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
@@ -83,13 +95,29 @@ def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD, per_block
     return spark.read.parquet(path).where(later).orderBy("shard", "block")
 
 
+def digests(blocks: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
+    """One row for each record of written blocks, with the crc of the ids that the payload holds at its place."""
+
+    def of(payload: Column) -> Column:
+        def one(length: Column, k: Column) -> Column:
+            ids = F.substr(payload, k * (2 * stride) + 1, (length * 2).cast("int"))
+            return F.struct(F.get("doc_ids", k).alias("doc_id"), F.get("pieces", k).alias("piece"), length.alias("length"), k.alias("k"), F.crc32(ids).alias("ids_crc32"))
+
+        return F.transform("lengths", one)
+
+    # The payload is bound once, so that it isn't copied for each of its records.
+    each = blocks.select("shard", "block", F.explode(F.transform(F.array("payload"), of)[0]).alias("r")).select("shard", "block", "r.*")
+    each = each.withColumn("record", F.col("block") * per_block + F.col("k")).withColumn("slot", F.col("shard") * per_shard + F.col("record"))
+    return each.select("doc_id", "piece", "length", "slot", "shard", "record", (F.col("record") * (2 * stride)).alias("offset"), "ids_crc32")
+
+
 def op8(docs: DataFrame) -> DataFrame:
-    """Places every sequence, carries its ids to the range partition that writes it, and digests the record there."""
+    """Places every sequence, writes the padded records in blocks of shards, reads them back and digests what they hold."""
     seqs = written(sequences(docs).withColumn("rid", F.monotonically_increasing_id()))
     n = seqs.count()
-    placed = ordered(seqs, n)
-    placed = spread_by_slot(placed, n)
-    return placed.select("doc_id", "piece", "length", "slot", "shard", "record", "offset", F.crc32("ids").alias("ids_crc32"))
+    path = f"{shared_dir(docs.sparkSession)}/blocks/{uuid.uuid4().hex}"
+    write_blocks(ordered(seqs, n), path, rows=n)
+    return spread_by_slot(digests(docs.sparkSession.read.parquet(path)), n)
 
 
 def spread_by_slot(placed: DataFrame, rows: int) -> DataFrame:
