@@ -29,7 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running_start, with_own_id, with_text_id, written
+from tilefabric.tables import written
+
+from .shared import running_start, with_own_id, with_text_id
 from .tokens import token_ids
 
 CAPACITY, END = 2_048, 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup, exact_dedup, langid, mixing, packing, quality, sharding, simhash, token_output, url_filter
@@ -15,6 +14,12 @@ def over(op, *tables: str):
     return query
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports the operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mixing": over(mixing.op1, "documents"),
     "op2_exact_dedup": over(exact_dedup.op2, "documents"),
@@ -26,6 +31,6 @@ QUERIES = {
     "op8_token_output": over(token_output.op8, "documents"),
     "op9_packing": over(packing.op9, "documents"),
     "op10_url_filter": over(url_filter.op10, "pages"),
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_sharding": sharding.op7_sql(), "op10_url_filter": url_filter.OP10_SQL}

@@ -7,8 +7,8 @@ few slots. The table has a fixed number of rows, so it is broadcast: placing a
 row is one hash and one lookup, without a shuffle and whatever the skew.
 
 Defined cases: a null key is placed as the empty string; rows with the same key
-share a shard; an empty table gives no rows; clashing columns are refused by
-Spark only if the input itself has ``slot`` or ``shard``, which are replaced.
+share a shard; an empty table gives no rows; a table's own ``slot`` or ``shard``
+stays, and the new column's name is lengthened by underscores.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hashable, unused
+
 #: Prime table size and production shard names.
 SIZE, SHARDS = 16_381, tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -50,17 +52,20 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards=SHARDS, size: int = SIZE) -> DataFrame:
-    """``df`` with its columns ``slot`` and ``shard`` (number of the shard)."""
+    """``df`` with columns ``slot`` and ``shard`` (number of the shard), of longer names where it has such columns."""
+    slot, shard = unused(df, "slot", "shard")
     table = F.split(F.lit(",".join(map(str, lookup_table(shards, size)))), ",").cast("array<int>")
-    rows = df.sparkSession.range(1).select(F.posexplode(table).alias("slot", "shard"))
-    return df.withColumn("slot", slot_of(F.col(key), size)).drop("shard").join(F.broadcast(rows), "slot")
+    rows = df.sparkSession.range(1).select(F.posexplode(table).alias(slot, shard))  # `size` rows
+    placed = df.withColumn(slot, slot_of(F.col(key), size)).join(F.broadcast(rows), slot)
+    return placed.select(*df.columns, slot, shard)
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards=SHARDS, rows_per_file: int = 1_000_000) -> None:
     """Writes ``df`` as Parquet, a folder for each shard; a shard's rows spread over files of bounded size."""
-    placed = place(df, key, shards)
-    parts = max(1, -(-placed.count() // rows_per_file))
-    placed.repartition(max(parts, len(shards)), "shard", F.pmod(F.xxhash64(key), F.lit(-(-parts // len(shards))))).write.partitionBy("shard").parquet(path)
+    placed, shard = place(df, key, shards), unused(df, "shard")[0]
+    parts = max(1, -(-df.count() // rows_per_file))
+    spread_over = F.pmod(F.xxhash64(*hashable(df)), F.lit(-(-parts // len(shards))))
+    placed.repartition(max(parts, len(shards)), shard, spread_over).write.partitionBy(shard).parquet(path)
 
 
 def op7(docs: DataFrame) -> DataFrame:

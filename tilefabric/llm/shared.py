@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilefabric.tables import written
+
 #: Rows up to which a table counts as small enough to broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = f"file://{os.path.realpath(tempfile.gettempdir())}/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint, if the (already written) table has at most ``limit`` rows; else Spark picks the join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -77,7 +61,39 @@ def int_div(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
-def running_start(df: DataFrame, keys: list[str], weight: Column, order: list[str], out: str, rows: int, per_bucket: int = 20_000) -> DataFrame:
+def heavy_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` (of ``rows`` rows, written) joined with ``table``, which has a row for each key and in ``n`` how many rows of ``df`` have it.
+
+    Keys that hold at least a thousandth of the rows, so a thousand at most, are
+    broadcast; only the others are shuffled, so no task gets a hot key.
+    """
+    hot = F.broadcast(table.where(F.col("n") * 1_000 >= rows))
+    rare = df.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") * 1_000 < rows), keys)
+    return df.join(hot, keys).unionByName(rare)
+
+
+def without(docs: DataFrame, sha: str, lost: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``lost`` (id, sha, spare) names by doc_id and by the digest in column ``sha``.
+
+    All rows of a name go, or, where ``spare`` is true, all but one: that of the
+    largest hash over its columns (maps aside). Few names are broadcast; many are
+    joined in one shuffle of ``docs``. Both ``docs`` branches read that one.
+    """
+    i, h, spare, row = unused(docs, "_id", "_sha", "_spare", "_row")
+    names = small(written(lost.select(F.col("id").alias(i), F.col("sha").alias(h), F.col("spare").alias(spare))))
+    marked = docs.join(names, docs["doc_id"].eqNullSafe(F.col(i)) & (docs[sha] == F.col(h)), "left")
+    stay = marked.where(F.col(spare).isNull()).select(docs["*"])
+    tied = marked.where(F.col(spare)).select(i, h, F.struct(docs["*"]).alias(row))
+    one = tied.groupBy(i, h).agg(F.max_by(row, F.xxhash64(*(F.col(row)[c] for c in hashable(docs)))).alias(row))
+    return stay.unionByName(one.select(f"{row}.*"))
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that Spark can hash: all but those that hold maps."""
+    return [f.name for f in df.schema if "MapType" not in str(f.dataType)]
+
+
+def running_start(df: DataFrame, keys: list[str], weight: Column, order: list[str], out: str, rows: int, per_bucket: int = 5_000) -> DataFrame:
     """Sum of ``weight`` over the rows before this one within ``keys``, as column ``out``.
 
     A key may hold any share of the rows: rows go to hashed buckets of about

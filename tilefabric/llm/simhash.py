@@ -26,12 +26,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, portions, spread, unused, with_own_id, with_text_id, written
+from tilefabric.tables import written
+
+from .shared import components, heavy_join, portions, spread, unused, with_own_id, with_text_id, without
 
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
 #: Fixed values of the binary Golay code: generator polynomial, length, covering radius.
 GENERATOR, LENGTH, RADIUS = 0b101011100011, 23, 3
 BATCH = 1_000
+#: Replicas that a task of the join by anchor gets, on average at most.
+REPLICAS = 2_000_000
 #: Bytes of text that are hashed at a time (one text at least).
 BYTES = 4 << 20
 LANES = np.uint64(0x0101010101010101)
@@ -137,7 +141,11 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def linked(fps: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints within the threshold; ``fps``: (fp) without repeats."""
+    """Pairs (a, b) of distinct fingerprints within the threshold; ``fps``: (fp) without repeats.
+
+    The join by anchor has as many partitions as its rows need, and is a
+    sort-merge join, which spills.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -151,14 +159,15 @@ def linked(fps: DataFrame, rows: int) -> DataFrame:
     placed = written(placed)
     home = placed.select(F.col("home").alias("anchor"), F.col("fp").alias("a"))
     near = placed.select(F.explode("near").alias("anchor"), F.col("fp").alias("b"))
-    return near.join(home.hint("shuffle_hash"), "anchor").where(f"a <> b and bit_count(a ^ b) <= {THRESHOLD}").select("a", "b")
+    near, home = spread(near, 118 * rows, REPLICAS, "anchor"), spread(home, 118 * rows, REPLICAS, "anchor")
+    return near.join(home.hint("merge"), "anchor").where(f"a <> b and bit_count(a ^ b) <= {THRESHOLD}").select("a", "b")
 
 
 def rooted(each: DataFrame, least: Column) -> DataFrame:
-    """(fp, least, root): the aggregate ``least`` of each fingerprint's rows, and the class it is in."""
-    fps = written(each.groupBy("fp").agg(least.alias("least")))
+    """(fp, n, least, root): of each fingerprint its rows' number and aggregate ``least``, and the class it is in."""
+    fps = written(each.groupBy("fp").agg(F.count("*").alias("n"), least.alias("least")))
     groups = components(linked(fps.select("fp"), fps.count())).withColumnRenamed("node", "fp")
-    return fps.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(fps.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -166,21 +175,25 @@ def classes(docs: DataFrame) -> DataFrame:
     each = written(fingerprints(docs))
     fps = rooted(each, F.min("doc_id"))
     ids = fps.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(fps.join(ids, "root").select("fp", "component_id"), "fp")
+    return heavy_join(each, fps.join(ids, "root").select("fp", "n", "component_id"), ["fp"], each.count()).drop("n")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` from each class stays: of the smallest doc_id (a null one loses), then of the smallest digest of its text.
 
-    Rows are told apart by doc_id and text, as ids may be null or repeat; rows equal in both are in one class.
+    Rows are told apart by doc_id and text, as ids may be null or repeat; of rows
+    equal in both, which are in one class, the one of the largest hash over all
+    columns but maps stays.
     """
     (sha,) = unused(docs, "_own_sha")
     own = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    each = written(fingerprints(own, SHINGLE, sha))
-    best = rooted(each, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(sha).alias("sha")))).groupBy("root").agg(F.min("least").alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.sha").alias("_sha"))
-    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_id"]) & (own[sha] == keep["_sha"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", sha]).drop(sha)
+    each = written(fingerprints(own, SHINGLE, sha).withColumnRenamed(sha, "sha"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    fps = rooted(each, F.min(name))
+    best = fps.groupBy("root").agg(F.min("least").alias("best"))
+    named = heavy_join(each, fps.join(best, "root").select("fp", "n", "best"), ["fp"], each.count())
+    named = named.groupBy(F.col("doc_id").alias("id"), "sha").agg(F.count("*").alias("rows"), F.bool_or(name.eqNullSafe(F.col("best"))).alias("spare"))
+    return without(own, sha, named.where("not spare or rows > 1")).drop(sha)
 
 
 def op6(docs: DataFrame) -> DataFrame:
