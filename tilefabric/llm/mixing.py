@@ -5,11 +5,13 @@ source has a quota of blocks (its target); every output shard draws its source
 counts from the multinomial over the quotas, conditional on the quotas being
 met over all shards: each quota slot is dealt to an output place by a keyed
 permutation, and a shard's counts are the slots dealt to it. The slots a shard
-draws from a source follow the source's running count; a slot's number within
+draws from a source are a range of the source's slots; a slot's number within
 its pass over the source goes through that pass's pseudorandom permutation of
 block indexes, so a pass takes each block once. Blocks are joined with the
 documents' spans by (source, block index). Everything is DataFrame expressions;
 hashed buckets keep a source that holds any share of the rows out of one task.
+Windows over the list of sources run in one task, a row a source: that holds for
+millions of sources. Shards are of one size, so their number grows with the data.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
 source of its own, last in order; no words at all: every target and taken is 0;
@@ -23,13 +25,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import feistel, int_div, running_start, small, spread, unused, written
+from tilefabric.tables import written
+
+from .shared import feistel, int_div, running_start, small, spread, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; weights by the sources' order, repeating; times a source is taken at most.
 BLOCK, WEIGHTS, MOST = 128, (5, 2, 1), 3
-#: Output shards at most (so the table of counts stays small), and slots of a shard at least.
-SHARDS, SHARD_SLOTS = 4_096, 1_024
+#: Slots of an output shard.
+SHARD_SLOTS = 1_024
 CHUNK = 1 << 16
 SRC = ["src", "src_null"]
 
@@ -73,8 +77,6 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> Mix:
     s = s.withColumn("slots", passes * F.col("blocks") + rest)
     sources = written(s.withColumn("base", F.sum("slots").over(Window.orderBy(*SRC)) - F.col("slots")))
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    shards = max(1, min(SHARDS, -(-total // SHARD_SLOTS)))
-    per_shard = max(1, -(-total // shards))
 
     def exploded(df: DataFrame, n: str, rows: int, out: str) -> DataFrame:
         """A row for each of 0..n-1, in two steps so that no array is large and no task makes all rows of a source."""
@@ -84,8 +86,9 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> Mix:
 
     slots = exploded(sources.select(*SRC, "slots", "base"), "slots", total, "j")
     dealt = feistel(F.col("base") + F.col("j"), F.lit(total).cast("long"), F.lit(seed))
-    counts = slots.groupBy(*SRC, int_div(dealt, F.lit(per_shard).cast("long")).alias("shard")).agg(F.count("*").alias("n"))
-    counts = written(counts.withColumn("start", F.sum("n").over(Window.partitionBy(*SRC).orderBy("shard")) - F.col("n")))
+    counts = slots.groupBy(*SRC, int_div(dealt, F.lit(SHARD_SLOTS).cast("long")).alias("shard")).agg(F.count("*").alias("n"))
+    counts = written(counts)
+    counts = written(running_start(counts, SRC, F.col("n"), ["shard"], "start", counts.count()))
 
     draws = exploded(counts.join(small(sources.select(*SRC, "blocks")), SRC), "n", total, "k").withColumn("j", F.col("start") + F.col("k"))
     draws = draws.withColumn("pass", int_div(F.col("j"), F.col("blocks")))
@@ -110,7 +113,7 @@ def taken(m: Mix) -> DataFrame:
     return got.unionByName(none).join(small(m.sources), SRC).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, block: int = 2_048) -> DataFrame:
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as rows of ``docs``: one row for each pass that takes words of a document.
 
     A row's text has the words taken in that pass, in order, with the white
