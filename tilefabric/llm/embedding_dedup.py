@@ -1,14 +1,19 @@
 """Embedding near-dedup by lattice hashing.
 
 Vectors are compared within a label. Equal vectors are one class. In each of
-``TABLES`` tables a class representative's unit vector is projected to eight
-dimensions (orthonormal random directions), scaled, and decoded to the nearest
-point of the lattice E8: its home cell. It also probes the ``PROBES`` of the 240
-neighbouring cells that are nearest to it. Two vectors meet in a cell if it is
-home to one of them and home to, or probed by, the other; cosines in double
-precision decide. At cosine 0.98 a table misses under 1 in 200 pairs, both
-tables together about 1 in 100,000 (measured; the miss rate falls with larger
-cosine). No pair below the threshold is linked.
+several tables a class representative's unit vector is projected to ``k`` times
+eight dimensions (orthonormal random directions), scaled, and each eight are
+decoded to the nearest point of the lattice E8; the ``k`` points together are its
+home cell. It also probes the cells that are nearest after it: those that differ
+in the cheapest of the 240 neighbours of the points. Two vectors meet in a cell
+if it is home to one of them and home to, or probed by, the other; cosines in
+double precision decide. No pair below the threshold is linked.
+
+``level`` picks ``k``, the cells' size, the probes and the tables by the number of
+vectors that are compared with each other, so that an unrelated vector is met
+about as often however many there are: cells shrink as the data grow, and tables
+make up for what finer cells miss. By simulation a pair at cosine 0.98 is missed
+less than once in 10,000 times at every level, and less at larger cosines.
 
 A pair that meets in several cells counts once: in the first table where it
 meets, and there in the cell of the smaller id. Cells yield a count for each
@@ -22,6 +27,7 @@ different length never link; repeated rows (equal vec_id too) count as vectors.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations, product
 
 import numpy as np
@@ -30,14 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, spread, written
+from tilefabric.tables import written
 
-THRESHOLD, TABLES, PROBES, SCALE, SEED = 0.98, 2, 8, 0.18, 8
+from .shared import components, heavy_join, small, spread
+
+THRESHOLD, SEED = 0.98, 8
+#: Vectors up to which one block of eight dimensions is enough, from which cells of two blocks shrink, and cell sizes.
+FEW, MANY, FINE, COARSE = 2_000, 10_000, 0.2, 0.26
 #: Rows of a cell that one task compares with as many others.
 CROWD = 2_048
 STEP = 512
 #: What names a block of a cell; rows that go to one bucket of blocks, on average at most.
 BLOCK, BUCKET = ["t", "label", "len", "cell", "x", "y"], 2_048
+#: Mixes the keys of several lattice points into one.
+MIX = np.int64(-7_046_029_254_386_353_131)
 
 NEIGHBOURS = np.array(
     [[a if k == i else b if k == j else 0 for k in range(8)] for i, j in combinations(range(8), 2) for a, b in product((1, -1), repeat=2)]
@@ -66,9 +78,28 @@ def cell_keys(points: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.rint(2 * points).astype(np.int8)).view(np.int64)[..., 0]
 
 
-def directions(size: int, table: int) -> np.ndarray:
-    g = np.random.default_rng([SEED, size, table]).normal(size=(size, size if size > 8 else 8))
-    return (np.linalg.qr(g)[0] if size > 8 else g / np.sqrt(8))[:, :8] * np.sqrt(size / 64)
+@dataclass(frozen=True)
+class Level:
+    blocks: int
+    scale: float
+    probes: int
+    tables: int
+
+
+def level(n: int) -> Level:
+    """How to hash ``n`` vectors that are compared with each other."""
+    if n <= FEW:
+        return Level(1, 0.18, 8, 2)
+    k, from_n = 2, float(MANY)
+    while (scale := min(COARSE, COARSE * (from_n / n) ** (1 / (8 * k)))) < FINE and k < 4:
+        from_n, k = from_n * (COARSE / FINE) ** (8 * k), k + 1
+    fine = scale < 0.235
+    return Level(k, scale, 8 << (k - 1), {2: 3 + fine, 3: 4 + 2 * fine, 4: 7}[k])
+
+
+def directions(size: int, table: int, blocks: int) -> np.ndarray:
+    g = np.random.default_rng([SEED, size, table]).normal(size=(size, max(size, 8 * blocks)))
+    return np.linalg.qr(g)[0][:, : 8 * blocks] * np.sqrt(size / 64) if size >= 8 * blocks else g[:, : 8 * blocks] / 8
 
 
 def units(vectors: list) -> np.ndarray:
@@ -77,14 +108,26 @@ def units(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def codes(vectors: list) -> np.ndarray:
-    """(rows, TABLES, 1 + PROBES) cell keys: home, then the probes."""
-    u, out = units(vectors), np.empty((len(vectors), TABLES, 1 + PROBES), np.int64)
-    for t in range(TABLES):
-        x = u @ directions(u.shape[1], t) / SCALE
-        home = decode(x)
-        order = np.argsort(-((x - home) @ NEIGHBOURS.T), axis=1, kind="stable")[:, :PROBES]
-        out[:, t] = cell_keys(np.concatenate([home[:, None], home[:, None] + NEIGHBOURS[order]], axis=1))
+def codes(vectors: list, at: Level) -> np.ndarray:
+    """(rows, tables, 1 + probes) cell keys: home, then the probes."""
+    u, per = units(vectors), 1 + at.probes
+    out = np.empty((len(vectors), at.tables, per), np.int64)
+    for t in range(at.tables):
+        turn = directions(u.shape[1], t, at.blocks)
+        for k in range(at.blocks):
+            x = u @ turn[:, 8 * k : 8 * k + 8] / at.scale
+            home = decode(x)
+            gain = (x - home) @ NEIGHBOURS.T
+            near = np.argsort(-gain, axis=1, kind="stable")[:, : max(8, 16 * (at.blocks > 1))]
+            key = cell_keys(np.concatenate([home[:, None], home[:, None] + NEIGHBOURS[near]], axis=1))
+            cost = np.concatenate([np.zeros((len(u), 1)), 2 - 2 * np.take_along_axis(gain, near, axis=1)], axis=1)
+            if k:  # the cheapest of all ways to combine this block's points with the blocks before it
+                key = (keys[:, :, None] * MIX + key[:, None, :]).reshape(len(u), -1)
+                cost = (costs[:, :, None] + cost[:, None, :]).reshape(len(u), -1)
+                best = np.argsort(cost, axis=1, kind="stable")[:, : 4 * per]
+                key, cost = np.take_along_axis(key, best, axis=1), np.take_along_axis(cost, best, axis=1)
+            keys, costs = key, cost
+        out[:, t] = keys[:, :per]
     return out
 
 
@@ -101,7 +144,6 @@ def meets_first(table: int, a: np.ndarray, b: np.ndarray, ida: np.ndarray, idb:
 def compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links within the cell blocks of one bucket: (cid, n, root), n counts members of the classes linked with cid's."""
     ids, size, side = pdf["cid"].to_numpy(), pdf["members"].to_numpy(), pdf["side"].to_numpy()
-    code = np.stack(pdf["codes"].to_numpy()).reshape(len(pdf), TABLES, 1 + PROBES)
     n, parent = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
 
     def find(i: int) -> int:
@@ -115,13 +157,16 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(home) == 0 or len(rows) < 2:
             continue
         other = units(pdf["vec"].iloc[asks].tolist())
+        place = np.zeros(len(pdf), np.int64)
+        place[rows] = np.arange(len(rows))
+        code = np.stack(pdf["codes"].iloc[rows].to_numpy()).reshape(len(rows), pdf["tables"].iloc[rows[0]], -1)
         for at in range(0, len(home), STEP):
             h = home[at : at + STEP]
             i, j = np.nonzero(units(pdf["vec"].iloc[h].tolist()) @ other.T >= THRESHOLD)
             i, j = h[i], asks[j]
             keep = ids[i] != ids[j]
             i, j = i[keep], j[keep]
-            keep = meets_first(table, code[i], code[j], ids[i], ids[j])
+            keep = meets_first(table, code[place[i]], code[place[j]], ids[i], ids[j])
             i, j = i[keep], j[keep]
             np.add.at(n, i, size[j])
             np.add.at(n, j, size[i])
@@ -141,21 +186,24 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = written(vectors.select("vec_id", "label", F.when(F.coalesce(usable, F.lit(False)), F.col("embedding")).alias("vec")))
     good = rows.where("vec is not null")
     groups = written(good.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("members")).withColumn("cid", F.monotonically_increasing_id()))
+    sets = groups.groupBy("label", F.size("vec").alias("len")).agg(F.count("*").alias("peers"))
+    groups_sized = groups.withColumn("len", F.size("vec")).join(small(written(sets)), ["label", "len"])
     count = groups.count()
 
     def encode(batches):
         for pdf in batches:
-            for _, part in pdf.groupby(pdf["vec"].map(len)):
-                for at in range(0, len(part), 4_096):
-                    p = part.iloc[at : at + 4_096]
-                    yield p.assign(codes=list(codes(p["vec"].tolist()).reshape(len(p), -1)))
-
-    classes = groups.select("cid", "label", "vec", "members")
-    schema = classes.schema.add("codes", T.ArrayType(T.LongType()))
+            for (_, peers), part in pdf.groupby(["len", "peers"]):
+                at = level(peers)
+                for a in range(0, len(part), 1_024):
+                    p = part.iloc[a : a + 1_024]
+                    yield p.drop(columns=["len", "peers"]).assign(tables=at.tables, codes=list(codes(p["vec"].tolist(), at).reshape(len(p), -1)))
+
+    classes = groups_sized.select("cid", "label", "vec", "members", "len", "peers")
+    schema = classes.drop("len", "peers").schema.add("tables", T.IntegerType()).add("codes", T.ArrayType(T.LongType()))
     coded = written(spread(classes, count, 20_000).mapInPandas(encode, schema))
-    per = 1 + PROBES
-    at = coded.select("cid", "label", F.size("vec").alias("len"), F.posexplode("codes").alias("k", "cell"))
-    at = at.select("cid", F.floor(F.col("k") / per).cast("int").alias("t"), "label", "len", "cell", (F.col("k") % per == 0).alias("is_home"))
+    per = (F.size("codes") / F.col("tables")).cast("int")
+    at = coded.select("cid", "label", F.size("vec").alias("len"), per.alias("per"), F.posexplode("codes").alias("k", "cell"))
+    at = at.select("cid", F.floor(F.col("k") / F.col("per")).cast("int").alias("t"), "label", "len", "cell", (F.col("k") % F.col("per") == 0).alias("is_home"))
     cell = ["t", "label", "len", "cell"]
     cells = at.groupBy(*cell).agg(F.count_if("is_home").alias("homes"), F.count("*").alias("all")).where("homes > 0 and all > 1")
     cells = cells.select(*cell, F.ceil(F.col("homes") / CROWD).cast("int").alias("hb"), F.ceil(F.col("all") / CROWD).cast("int").alias("qb"))
@@ -169,16 +217,17 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     as_asking = F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda x: place(x, F.col("own_y"), 2))
     places = F.when(whole, F.array(place(F.lit(0), F.lit(0), 0)).cast("array<struct<x:int,y:int,side:int>>")).otherwise(F.concat(as_home, as_asking))
     at = at.withColumn("p", F.explode(places)).select(*cell, "p.x", "p.y", F.when(F.col("is_home") | ~whole, F.col("p.side")).otherwise(2).alias("side"), "cid")
-    buckets = max(1, count * TABLES * per // BUCKET)
-    at = at.withColumn("bucket", F.pmod(F.xxhash64(*BLOCK), F.lit(buckets))).join(coded.select("cid", "vec", "members", "codes"), "cid")
+    at = written(at)  # ids only; vectors go to those cells alone in which there is someone to meet
+    buckets = max(1, at.count() // BUCKET)
+    at = at.withColumn("bucket", F.pmod(F.xxhash64(*BLOCK), F.lit(buckets))).join(coded.select("cid", "vec", "members", "tables", "codes"), "cid")
     met = at.groupBy("bucket").applyInPandas(compare, "cid long, n long, root long")
     met = written(met)
     links = met.groupBy("cid").agg(F.sum("n").alias("n"))
     roots = components(met.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid")
     groups = groups.join(links, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     first = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = groups.join(first, "root").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), "component_id")
-    out = good.join(groups, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    groups = groups.join(first, "root").select("label", "vec", F.col("members").alias("n"), (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), "component_id")
+    out = heavy_join(good, groups, ["label", "vec"], good.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
