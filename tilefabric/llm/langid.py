@@ -3,9 +3,10 @@
 A text's spectrum is the set of its byte n-grams of 1 to 4 bytes (lower-cased,
 white space runs as one space), each held by its bucket of ``BUCKETS``; the
 kernel of two texts is the share of n-grams both have: |A and B| / sqrt(|A| |B|).
-A bounded sample of labelled texts is the training set (``PER_LANGUAGE`` of each
-of the ``LANGUAGES`` most frequent values; an unbiased draw by hash), ``LANDMARKS``
-of them are Nystroem landmarks: K(x, landmarks) times the inverse square root of
+A bounded sample of labelled texts is the training set: ``PER_LANGUAGE`` of each
+language, fewer where that is over ``SAMPLE`` texts, one of each language always
+(an unbiased draw by hash). ``LANDMARKS`` of them, or one of each language where
+there are more languages, are Nystroem landmarks: K(x, landmarks) times the inverse square root of
 K(landmarks, landmarks) gives features, on which one-versus-rest kernel ridge
 regression is solved. The model is folded to one matrix over the landmarks, and
 texts are scored by matrix products, batch by batch, over whole texts.
@@ -24,10 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import with_own_id, with_text_id
+from tilefabric.tables import written
+
+from .shared import small, with_own_id, with_text_id
 
 #: Bounds of the training sample and the model; buckets of n-grams; ridge.
-PER_LANGUAGE, LANGUAGES, LANDMARKS, BUCKETS, RIDGE = 300, 64, 192, 1 << 16, 1e-2
+PER_LANGUAGE, SAMPLE, LANDMARKS, BUCKETS, RIDGE = 300, 19_200, 192, 1 << 16, 1e-2
 FOLDS, BATCH = 5, 256
 SPACE, LATIN = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[A-Za-z]")
 
@@ -72,8 +75,10 @@ class Model:
 
 def fit(languages: list[str], labels: np.ndarray, spectra: list[np.ndarray], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """``labels``: index into ``languages`` of each spectrum; landmarks are spread evenly over the languages."""
-    turn = np.array([np.sum(labels[:i] == x) for i, x in enumerate(labels)])
-    chosen = np.argsort(turn, kind="stable")[:landmarks]
+    seen, turn = np.zeros(len(languages), np.int64), np.zeros(len(labels), np.int64)
+    for i, x in enumerate(labels):
+        turn[i], seen[x] = seen[x], seen[x] + 1
+    chosen = np.argsort(turn, kind="stable")[: max(landmarks, len(languages))]
     used = np.unique(np.concatenate([spectra[i] for i in chosen]))
     column = np.full(BUCKETS, -1, np.int64)
     column[used] = np.arange(len(used))
@@ -94,15 +99,21 @@ def fit(languages: list[str], labels: np.ndarray, spectra: list[np.ndarray], lan
     return model
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fits on documents whose fold is not 0; their spectra come to the driver as bitmaps of 8 KB each."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+    """Fits on documents whose fold is not 0; their spectra come to the driver as bitmaps of 8 KB each.
+
+    The driver holds max(``sample``, languages) bitmaps and a row for each language.
+    """
     known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    spot = F.xxhash64("doc_id", F.lit(4))
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("_of"), F.min(spot).alias("_least")))  # a row for each language
+    languages = counts.count()
+    if not languages:
         return None
-    draw = (F.xxhash64("doc_id", F.lit(4)).cast("double") / 2.0**64 + 0.5) * F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(float(n)))])[F.col("lang")]
-    some = known.withColumn("_draw", draw).where(F.col("_draw") < 2 * per_language + 50)
-    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", F.xxhash64("text")))).where(F.col("_n") <= per_language)
+    each = max(1, min(per_language, sample // languages))
+    draw = (spot.cast("double") / 2.0**64 + 0.5) * F.col("_of")
+    some = known.join(small(counts), "lang").withColumn("_draw", draw).where((F.col("_draw") < 2 * each + 50) | (spot == F.col("_least")))
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", F.xxhash64("text")))).where(F.col("_n") <= each)
 
     def run(batches):
         flags = np.zeros(BUCKETS, bool)
@@ -114,11 +125,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 maps.append(np.packbits(bits).tobytes())
             yield pd.DataFrame({"lang": pdf["lang"], "n": pdf["_n"], "bits": maps})
 
-    rows = some.select("lang", "_n", F.col("text").cast("binary").alias("text")).mapInPandas(run, "lang string, n int, bits binary").collect()  # at most LANGUAGES * per_language
+    rows = some.select("lang", "_n", F.col("text").cast("binary").alias("text")).mapInPandas(run, "lang string, n int, bits binary").collect()
     rows.sort(key=lambda r: (r["n"], r["lang"]))
     languages = sorted({r["lang"] for r in rows})
     spectra = [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))) for r in rows]
-    return fit(languages, np.array([languages.index(r["lang"]) for r in rows]), spectra)
+    number = {x: k for k, x in enumerate(languages)}
+    return fit(languages, np.array([number[r["lang"]] for r in rows]), spectra)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
