@@ -6,8 +6,9 @@ character classes occurs in it, through a learned tanh layer. Learned gated
 attention, softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages; the
 weighted mean is scored by a logistic layer. Labels belong to documents; which
 passages matter is learned. Training (numpy, Adam, fixed seed) uses a bounded
-sample of labelled documents, each with every passage: ``SAMPLE`` bags, or fewer
-where they would hold more than ``SAMPLED`` passages. Passages are kept as their
+sample of labelled rows, each with every passage: ``SAMPLE`` rows, those of the
+smallest hashes (rows that repeat a doc_id are each one), or fewer where they
+would hold more than ``SAMPLED`` passages. Passages are kept as their
 features other than zero and made dense ``DENSE`` at a time. Scoring uses every
 passage too.
 
@@ -18,9 +19,11 @@ if there are no labels); repeated rows score alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     picked = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
     picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text").mapInArrow(run, "h long, y int, many long, counts binary, places binary, values binary")
     before = F.sum("many").over(Window.orderBy("h", "y").rowsBetween(Window.unboundedPreceding, 0)) - F.col("many")
-    rows = picked.orderBy("h").limit(2 * sample).withColumn("before", before).where(F.col("before") + F.least("many", F.lit(SAMPLED)) <= SAMPLED).collect() if n else []
+    rows = picked.orderBy("h", "y").limit(sample).withColumn("before", before).where(F.col("before") + F.least("many", F.lit(SAMPLED)) <= SAMPLED).collect() if n else []
     rows.sort(key=lambda r: (r["h"], r["y"]))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
@@ -207,38 +210,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     return fit(x, np.array([r["many"] for r in rows]), y)
 
 
-def scored(docs: DataFrame, model: Model | float, *keep: str, name: str = "score") -> DataFrame:
-    """``keep`` columns and the score of every document, as column ``name``."""
+def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFrame:
+    """``docs`` with the score of every document as column ``name``; only the texts go through Python."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shipped.value
         if isinstance(m, Model):
             m = Model(**{k: v.astype(np.float32) for k, v in vars(m).items()})
-        for b in batches:
-            lengths = np.asarray(b[size]).astype(np.int64)
-            for at, to in portions(lengths, BYTES):
-                part = b.slice(at, to - at)
-                if isinstance(m, Model):
-                    raw = np.frombuffer(b"".join(part[whole].to_pylist()), np.uint8)
-                    y = m.forward(*encoded(m, raw, lengths[at:to]))["y"].astype(np.float64)
-                else:
-                    y = np.full(to - at, m)
-                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(y)], [*keep, name])
-
-    whole, size = unused(docs, "_own_text", "_own_size")
-    schema = docs.select(*keep).schema.add(name, "double")
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(*keep, text.alias(whole), F.octet_length(text).alias(size)).mapInArrow(run, schema)
+        for s in texts:
+            lengths, out = np.fromiter(map(len, s), np.int64, len(s)), np.full(len(s), 0.0 if isinstance(m, Model) else m)
+            for at, to in portions(lengths, BYTES) if isinstance(m, Model) else ():
+                raw = np.frombuffer(b"".join(s.iloc[at:to]), np.uint8)
+                out[at:to] = m.forward(*encoded(m, raw, lengths[at:to]))["y"]
+            yield pd.Series(out)
+
+    return docs.withColumn(name, score(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier, trained on ``labels``, does not reject."""
     (name,) = unused(docs, "_own_score")
-    return scored(docs, train(docs, labels), *docs.columns, name=name).where(F.col(name) >= threshold).select(*docs.columns)
+    return scored(docs, train(docs, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = scored(docs, train(docs, labels), "doc_id")
+    out = scored(docs.select("doc_id", "text"), train(docs, labels))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
