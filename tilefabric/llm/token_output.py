@@ -4,11 +4,13 @@ Documents become token ids plus an end id and are cut into sequences of at most
 ``stride`` ids. A keyed Feistel permutation with cycle-walking gives each of the
 n sequences its global slot 0..n-1, so the training order needs no sort key and
 any worker can compute it. Sequences go to partitions that are ranges of blocks
-of one shard (``slot div per_shard``), ordered by slot, and are written as fixed-stride records: record k of a
-shard is at byte k * stride * 2, so readers seek straight to where they resume.
+of one shard (``slot div per_shard``), ordered by slot, and are written as
+fixed-stride records: record k of a shard is at byte k * stride * 2, so readers
+seek straight to where they resume.
 
 Sequences are numbered by partition counts (see ``with_number``), without a sort
-or a shuffle of the ids. Shards are rows of bytes in Parquet (``write_blocks``), which
+or a shuffle of the ids; then the ids move once. Tasks pack the sorted records a
+block at a time. Shards are rows of bytes in Parquet (``write_blocks``), which
 recovers from lost executors by the committer.
 
 Defined cases: null text is empty and gives one sequence, its end id; repeated
@@ -18,21 +20,25 @@ rows each get sequences; unused places of a record hold the padding id, and
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import feistel, int_div, shared_dir, with_number, with_own_id, with_text_id, written
+from tilefabric.tables import new_path, written
+
+from .shared import feistel, int_div, portions, with_number, with_own_id, with_text_id
 from .tokens import token_ids
 
 STRIDE, END, PAD = 2_048, 50_256, 50_256
 #: Sequences of a shard, records of a block, key of the order.
 PER_SHARD, PER_BLOCK, KEY = 16_384, 64, 20_177
-BATCH = 500
+#: Bytes of text whose ids are held at a time (one text at least).
+BYTES = 4 << 20
 
 
 def sequences(docs: DataFrame, stride: int = STRIDE, end: int = END) -> DataFrame:
@@ -40,8 +46,8 @@ def sequences(docs: DataFrame, stride: int = STRIDE, end: int = END) -> DataFram
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part, rows = pdf.iloc[at : at + BATCH], []
+            for at, to in portions(np.fromiter(map(len, pdf["text"]), np.int64, len(pdf)), BYTES):
+                part, rows = pdf.iloc[at:to], []
                 for doc, text in zip(part["doc_id"].tolist(), part["text"].tolist(), strict=True):
                     ids = np.append(token_ids(text), end).astype("<u2")
                     for k, a in enumerate(range(0, len(ids), stride)):
@@ -61,12 +67,12 @@ def ordered(seqs: DataFrame, rows: int, per_shard: int = PER_SHARD, stride: int
     return numbered.withColumn("slot", slot).drop("rid", "number").withColumn("shard", int_div(F.col("slot"), per)).withColumn("record", F.col("slot") % per).withColumn("offset", F.col("record") * (2 * stride))
 
 
-def write_blocks(placed: DataFrame, path: str, stride: int = STRIDE, pad: int = PAD, per_block: int = PER_BLOCK, rows: int | None = None, per_shard: int = PER_SHARD) -> None:
+def write_blocks(placed: DataFrame, path: str, stride: int = STRIDE, pad: int = PAD, per_block: int = PER_BLOCK, rows: int | None = None, per_shard: int = PER_SHARD, mode: str = "errorifexists") -> None:
     """Writes the shards as rows (shard, block, records, doc_ids, pieces, lengths, payload, crc), sorted by shard and block.
 
     The payload is ``per_block`` fixed-stride records; a block that fails its
-    crc, or is missing, is written again alone by filtering its slots. The ids
-    move once, without padding, to a partition that is computed from the slot:
+    crc, or is missing, is written again alone by filtering its slots (with the
+    number of all ``rows`` and ``mode`` append). The ids move once, without padding, to a partition that is computed from the slot:
     it holds whole blocks of a single shard.
     """
     rows = placed.count() if rows is None else rows
@@ -77,15 +83,37 @@ def write_blocks(placed: DataFrame, path: str, stride: int = STRIDE, pad: int =
     long = lambda n: F.lit(n).cast("long")
     shown = placed.withColumn("block", int_div(F.col("record"), long(per_block)))
     shown = shown.withColumn("part", (F.col("shard") * parts + int_div(F.col("block"), long(of_part))).cast("int"))
-    blocks = shown.repartitionById(shards * parts, "part").groupBy("part", "shard", "block")
-    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("record", "doc_id", "piece", "length", "ids"))).alias("r"))
-    raw = np.array([pad], "<u2").tobytes().hex()
-    padded = lambda x: F.concat(F.hex(x["ids"]), F.repeat(F.lit(raw.upper()), (stride - x["length"]).cast("int")))
-    payload = F.unhex(F.array_join(F.transform("r", padded), ""))
-    named = {"doc_ids": "doc_id", "pieces": "piece", "lengths": "length"}
-    out = blocks.select("shard", "block", F.size("r").alias("records"), *[F.col(f"r.{c}").alias(k) for k, c in named.items()], payload.alias("payload"))
-    out = out.withColumn("crc", F.crc32("payload"))
-    out.sortWithinPartitions("shard", "block").write.option("compression", "zstd").parquet(path)
+    names = {"doc_ids": "doc_id", "pieces": "piece", "lengths": "length"}
+    shown = shown.repartitionById(shards * parts, "part").sortWithinPartitions("slot").select("shard", "block", "record", *names.values(), "ids")
+    kinds = {k: shown.schema[c].dataType for k, c in names.items()}
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("block", T.LongType()), T.StructField("records", T.IntegerType()), *(T.StructField(k, T.ArrayType(t)) for k, t in kinds.items()), T.StructField("payload", T.BinaryType()), T.StructField("crc", T.LongType())])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of one block
+
+        def packed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            room = np.full((t.num_rows, stride), pad, "<u2")
+            for k, ids in enumerate(t["ids"]):
+                raw = np.frombuffer(ids.as_buffer(), "<u2")
+                room[k, : len(raw)] = raw
+            payload = room.tobytes()
+            lists = [pa.array([t[c].to_pylist()], pa.list_(t[c].type)) for c in names.values()]
+            head = [pa.array([t["shard"][0].as_py()], pa.int64()), pa.array([t["block"][0].as_py()], pa.int64()), pa.array([t.num_rows], pa.int32())]
+            return pa.RecordBatch.from_arrays([*head, *lists, pa.array([payload], pa.binary()), pa.array([zlib.crc32(payload)], pa.int64())], schema.fieldNames())
+
+        for b in batches:
+            at = np.asarray(b["shard"]) * of_shard + np.asarray(b["block"])
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and (held[0]["shard"][0].as_py(), held[0]["block"][0].as_py()) != (b["shard"][x].as_py(), b["block"][x].as_py()):
+                    yield packed()
+                    held = []
+                held.append(b.slice(x, y - x))
+        if held:
+            yield packed()
+
+    shown.mapInArrow(run, schema).write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
@@ -115,7 +143,7 @@ def op8(docs: DataFrame) -> DataFrame:
     """Places every sequence, writes the padded records in blocks of shards, reads them back and digests what they hold."""
     seqs = written(sequences(docs).withColumn("rid", F.monotonically_increasing_id()))
     n = seqs.count()
-    path = f"{shared_dir(docs.sparkSession)}/blocks/{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "blocks")
     write_blocks(ordered(seqs, n), path, rows=n)
     return spread_by_slot(digests(docs.sparkSession.read.parquet(path)), n)
 
