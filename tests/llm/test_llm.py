@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 import xxhash
 
+import brute
 import corpus_pipeline
 from tilefabric.llm import embedding_dedup, exact_dedup, langid, mixing, packing, quality, shared, sharding, simhash, token_output, url_filter
-from tilefabric.llm.tokens import token_ids
+from tilefabric.llm.tokens import token_ids as own_ids
+from tilefabric.tables import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size int"
 BIG = 2**60 + 1
@@ -66,27 +68,13 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.op2(empty).count() == exact_dedup.exact_dedup(empty).count() == 0
 
 
-def brute_targets(sizes):
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    target, capped = {}, set()
-    while True:
-        left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
-        free = [s for s in order if s not in capped]
-        target = {s: 3.0 * sizes[s] for s in capped} | {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = {s for s in free if target[s] > 3 * sizes[s]}
-        if not over:
-            return target
-        capped |= over
-
-
 def test_mixing(docs, empty):
     got = mixing.op1(docs).collect()
     size, source = defaultdict(int), {}
     for r in rows():
         size[r[3]] += len((r[1] or "").encode().split())
         source[r[0]] = r[3]
-    want, taken = brute_targets(size), defaultdict(int)
+    want, taken = brute.targets(size), defaultdict(int)
     assert len(got) == len(rows())
     for r in got:
         s = source[r["doc_id"]]
@@ -290,10 +278,7 @@ def test_packing(docs, empty):
     want, have = Counter(), Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got)
     for d, all_texts in texts.items():
         for t in all_texts:
-            ids = np.append(token_ids(t), 0).astype("<u4")
-            first = len(ids) % 2048 or min(2048, len(ids))
-            cuts = [0, *range(first, len(ids) + 1, 2048)]
-            want.update((d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+            want += brute.cut_pieces(d, t)
     assert have == want
     for b in bins.values():
         at = 0
@@ -337,12 +322,12 @@ def test_token_output(spark, docs, empty, tmp_path):
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
     want = Counter()
     for r in rows():
-        ids = np.append(token_ids(r[1] or ""), token_output.END).astype("<u2")
+        ids = np.append(brute.token_ids(r[1]), token_output.END).astype("<u2")
         want.update((r[0], k, zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048)))
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == want
     from pyspark.sql import functions as F
 
-    seqs = shared.written(token_output.sequences(docs).withColumn("rid", F.monotonically_increasing_id()))
+    seqs = written(token_output.sequences(docs).withColumn("rid", F.monotonically_increasing_id()))
     placed = token_output.ordered(seqs, seqs.count(), per_shard=32)
     token_output.write_blocks(placed, str(tmp_path / "out"), per_block=8)
     blocks = token_output.read_from(spark, str(tmp_path / "out"), 40, 32, 8).collect()
@@ -366,7 +351,7 @@ def test_token_output_digests_the_written_records(spark, monkeypatch):
     assert sum(b["records"] for b in blocks) == len(got) > 64 and sorted(b["block"] for b in blocks) == list(range(-(-len(got) // 64)))
     want = Counter()
     for d, t in data:
-        ids = np.append(token_ids(t or ""), token_output.END).astype("<u2")
+        ids = np.append(brute.token_ids(t), token_output.END).astype("<u2")
         want.update((d, k, ids[a : a + 2048].tobytes()) for k, a in enumerate(range(0, len(ids), 2048)))
     have = Counter()
     for b in blocks:
@@ -402,19 +387,7 @@ def test_components(spark):
     assert got == {x: least[c] for x, c in cls.items()}
 
 
-def test_pipeline(spark, docs, tmp_path):
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    step = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        step = shared.written(stage(spark, step, str(tmp_path)))
-        assert step.columns == docs.columns
-    assert step.count() == len({sha(r[1]) for r in rows()} - {sha(rows()[-1][1]), sha("")} | {sha("")}) - (brute_print("") == brute_print(" \t\n"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert all(sum(r["length"] for r in out if r["sequence_id"] == s) <= 2048 for s in {r["sequence_id"] for r in out})
-
-
-CLASHES = ["sha", "_sha", "rid", "_id", "best", "kept", "keep_id", "fp", "root", "component_id", "src", "src_null", "text_hash", "start", "block", "pass", "_key", "_own_key", "_own_sha", "_own_all", "_own_runs", "_own_text", "_own_size", "_own_score", "h", "_y", "quality", "piece", "length", "number", "ids", "_n", "_w", "_b", "lang_pred", "held_out"]
+CLASHES = ["sha", "_sha", "rid", "_id", "best", "kept", "keep_id", "fp", "root", "component_id", "src", "src_null", "text_hash", "start", "block", "pass", "_key", "_own_key", "_own_sha", "_own_all", "_own_runs", "_own_text", "_own_size", "_own_score", "h", "_y", "quality", "piece", "length", "number", "ids", "_n", "_w", "_b", "lang_pred", "held_out", "slot", "shard", "_id_", "_row", "_spare", "score_", "part", "record"]
 
 
 def test_columns_of_clashing_names_stay(spark, docs, empty):
@@ -423,7 +396,7 @@ def test_columns_of_clashing_names_stay(spark, docs, empty):
 
     extra = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
-    dealt = [mixing.op1, exact_dedup.op2, langid.op4, lambda d: quality.op5(d, labels), simhash.op6, sharding.op7, packing.op9]
+    dealt = [mixing.op1, exact_dedup.op2, langid.op4, lambda d: quality.op5(d, labels), simhash.op6, sharding.op7, token_output.op8, packing.op9]
     for op in dealt:
         assert Counter(map(str, op(extra).collect())) == Counter(map(str, op(docs).collect()))
     for keep in (exact_dedup.exact_dedup, simhash.simhash_dedup, mixing.mixed, lambda d: quality.keep_good(d, labels)):
@@ -445,7 +418,7 @@ def test_ids_of_long_runs_of_white_space():
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     exact.encode_special_tokens = True
     for text in ("a" + " " * 1_500_000 + "b", "\n" * 1_200_000, "x <|endoftext|>" + "\t " * 10_000):
-        assert token_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+        assert own_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
 def test_long_texts_score_in_pieces_as_in_one(monkeypatch):
