@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every stage's result to the shared folder and reads it as the next one's input.
 All but the last stage return the columns of documents.
+
+Defined cases, beside those of the operators: null text is empty text throughout
+and ends as one token; null and repeated ids are told apart by their texts; no
+labels: the classifier rejects nothing; an empty table gives no rows; further
+columns stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilefabric.llm import exact_dedup, mixing, packing, quality, simhash
-from tilefabric.llm.shared import written
+from tilefabric.tables import drop_written, made, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +45,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("simhash", without_near_copies), ("mixing", in_target_shares), ("packing", packed)]
 
-#: The classifier, the mix's permutations and the token ids are beyond SQL; tests hold run() against the stages' brute-force versions.
+#: The classifier, the mix's permutations and the token ids are beyond SQL; tests hold run() against plain-Python versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces; the tables that stages write on their way are dropped as soon as the stage is done."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made(spark)
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        drop_written(spark, [*before, made(spark)[-1]])
     return docs
