@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilefabric.functions.grid import snap_cell
+from tilefabric.functions.grid import chebyshev, snap_cell, tile_of
 
 
 def grid_tiles(bounds: DataFrame, names=("e0", "n0", "e1", "n1"), out=("ei", "ni"), step: int = 1) -> DataFrame:
     """All (ei, ni) of index ranges, both ends included."""
     g = bounds.select(F.explode(F.sequence(F.col(names[0]), F.col(names[2]), F.lit(step))).alias(out[0]), names[1], names[3])
+    g = g.repartition(out[0])  # the bounds are one row: columns go to several tasks before they become cells
     return g.select(out[0], F.explode(F.sequence(F.col(names[1]), F.col(names[3]), F.lit(step))).alias(out[1]))
 
 
@@ -92,3 +93,106 @@ def tiles_to_cells(tiles: DataFrame, to_source, lattice: int = 3, size: float =
     p = tiles.withColumn("_i", F.explode(k)).withColumn("_j", F.explode(k)).select("ei", "ni", at("ei", "_i").alias("e"), at("ni", "_j").alias("n"))
     e, n = snap_cell(F.floor(F.col("ue") / 1000).cast("int"), F.floor(F.col("un") / 1000).cast("int"))
     return to_source(p).select("ei", "ni", e.alias("e_km"), n.alias("n_km")).distinct()
+
+
+def numbered(df: DataFrame, coarse: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """1, 2, .. in the order of ``coarse``, then ``order``, over the whole table.
+
+    The rows of one value of ``coarse`` (a distance, say) are a window; the values
+    before it count by a running sum over the list of values, which is short.
+    """
+    sizes = df.groupBy(*coarse).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy(*coarse)) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*coarse).orderBy(*order))
+    return df.withColumn("_own", own).join(sizes, coarse).withColumn(out, F.col("_before") + F.col("_own")).drop("_own", "_before")
+
+
+def nearest_first(requests: DataFrame, ei, ni, groups: list[str] = ()) -> DataFrame:
+    """Requests (ei, ni) with their Chebyshev distance to a tile and their place in the queue: by ``groups``, then distance."""
+    d = requests.withColumn("distance", chebyshev(F.col("ei") - ei, F.col("ni") - ni))
+    return numbered(d, [*groups, "distance"], ["ei", "ni"])
+
+
+def limit_missing(missing: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` missing tiles by (ei, ni)."""
+    return missing.orderBy("ei", "ni").limit(n)
+
+
+def locality_sort(tiles: DataFrame, files: int | None = None) -> DataFrame:
+    """Tiles in ranges of rows, sorted by row and column within each, so that neighbours are worked on together."""
+    ranged = tiles.repartitionByRange(files, "ni", "ei") if files else tiles.repartitionByRange("ni", "ei")
+    return ranged.sortWithinPartitions("ni", "ei")
+
+
+def release_sources(deps: DataFrame, done: DataFrame, source: list[str], tile=("ei", "ni")) -> DataFrame:
+    """Sources all of whose dependent tiles (``deps``) are done."""
+    return complete_groups(deps.select(*source, *tile), done, list(tile), source)
+
+
+def union_inventory(*inventories: DataFrame) -> DataFrame:
+    """The tiles or cells that at least one inventory has (also: tiles of lines and of polygons)."""
+    out = inventories[0]
+    for other in inventories[1:]:
+        out = out.unionByName(other)
+    return out.distinct()
+
+
+def clip_to_candidates(reference: DataFrame, candidates: DataFrame) -> DataFrame:
+    return reference.intersect(candidates.select(*reference.columns))
+
+
+def missing_from(reference: DataFrame, have: DataFrame) -> DataFrame:
+    return reference.subtract(have.select(*reference.columns))
+
+
+def union_points(*parts: DataFrame) -> DataFrame:
+    """Point tables one after another: ``part`` numbers them, so that (part, their own order) keeps the order."""
+    out = None
+    for k, p in enumerate(parts):
+        p = p.withColumn("part", F.lit(k))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def extent_tiles(left, bottom, right, top, size: float, slack: float = 1.0) -> tuple:
+    """Index range (e0, n0, e1, n1), ends included, of the tiles of an extent; what reaches less than ``slack`` into a tile does not count."""
+    low, high = (lambda x: F.floor(x / size).cast("int")), (lambda x: F.floor((x - slack) / size).cast("int"))
+    return low(left), low(bottom), high(right), high(top)
+
+
+def filter_extent(tiles: DataFrame, left, bottom, right, top, size: float, slack: float = 1.0) -> DataFrame:
+    """Tiles (ei, ni) of the extent."""
+    e0, n0, e1, n1 = extent_tiles(left, bottom, right, top, size, slack)
+    return tiles.where(F.col("ei").between(e0, e1) & F.col("ni").between(n0, n1))
+
+
+def snap_extent(left, bottom, right, top, size: float, slack: float = 1e-3) -> tuple:
+    """The extent grown to whole tiles; sources are rejected only against this one, or edge tiles would lose theirs."""
+    e0, n0, e1, n1 = extent_tiles(left, bottom, right, top, size, slack)
+    return e0 * size, n0 * size, (e1 + 1) * size, (n1 + 1) * size
+
+
+def lattice_cells(bounds: DataFrame, inclusive: bool = True) -> DataFrame:
+    """The 2 km cells (e_km, n_km) of bounds (e0, n0, e1, n1 in km): from the first odd easting and even northing on.
+
+    Products differ on whether cells at the upper bound belong to it: ``inclusive``.
+    """
+    last = lambda c: F.col(c) if inclusive else F.col(c) - 1
+    b = bounds.select((F.col("e0") + F.when(F.pmod("e0", F.lit(2)) == 0, 1).otherwise(0)).alias("e0"), (F.col("n0") + F.pmod("n0", F.lit(2))).alias("n0"), last("e1").alias("e1"), last("n1").alias("n1"))
+    return grid_tiles(b.where("e0 <= e1 and n0 <= n1"), out=("e_km", "n_km"), step=2)
+
+
+def cells_to_tiles(cells: DataFrame, from_source, lattice: int = 5, size: float = 1024.0) -> DataFrame:
+    """The tiles (e_km, n_km, ei, ni) that each 2 km source cell feeds: ``from_source`` adds e and n to ue and un."""
+    k = F.sequence(F.lit(0), F.lit(lattice - 1))
+    at = lambda c, j: (F.col(c) + F.col(j) / float(lattice - 1) * 2) * 1000.0
+    p = cells.withColumn("_i", F.explode(k)).withColumn("_j", F.explode(k)).select("e_km", "n_km", at("e_km", "_i").alias("ue"), at("n_km", "_j").alias("un"))
+    return from_source(p).select("e_km", "n_km", tile_of(F.col("e"), size).alias("ei"), tile_of(F.col("n"), size).alias("ni")).distinct()
+
+
+def complete_tiles(need: DataFrame, cells: DataFrame, region: tuple[int, int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """Tiles all of whose needed cells (``need``: ei, ni, e_km, n_km) inside the half-open ``region`` (km) are present, and the others, deferred."""
+    l, b, r, t = region
+    inside = need.where((F.col("e_km") >= l) & (F.col("e_km") < r) & (F.col("n_km") >= b) & (F.col("n_km") < t))
+    whole = complete_groups(inside, cells, ["e_km", "n_km"], ["ei", "ni"])
+    return whole, need.select("ei", "ni").distinct().join(whole, ["ei", "ni"], "left_anti")

@@ -5,46 +5,82 @@ A pixel table has (ei, ni, prow, pcol, h); 0 is no data at rest and null inside.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilefabric.functions.grid import TILE, pixel_place, tile_of
+from tilefabric.functions.grid import TILE, pixel_place, tile_of, unpremultiply
 
 TILE_KEY = ["ei", "ni"]
 PIXEL = ["ei", "ni", "prow", "pcol"]
 
 
-def sample_height(points: DataFrame, height: DataFrame, keys: list[str], px: int, mode: str = "bilinear", size: float = TILE) -> DataFrame:
-    """Height at points (e, n), as column ``h``; null where a tile is absent.
+def packed(height: DataFrame, px: int) -> DataFrame:
+    """(ei, ni, tile): each tile's heights as one array, row by row; null where a pixel has no row.
 
-    ``bilinear`` weighs the four corners; ``zero_aware`` gives null if all four
-    are 0; ``nearest`` truncates to a pixel and gives null for 0.
+    A pixel has one value (a mosaic's, not several sources'). This is the form to
+    keep rasters in that are sampled often; what samples takes either form.
     """
-    col, row = pixel_place(F.col("e"), F.col("n"), px, size)
+    h = height.select(*TILE_KEY, (F.col("prow") * px + F.col("pcol")).alias("i"), F.col("h").cast("double").alias("h"))
+    t = h.groupBy(*TILE_KEY).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("p"))
+    none = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
+    after = F.concat(F.transform(F.slice("p", 2, px * px), lambda x: x["i"]), F.array(F.lit(px * px)))
+    holed = F.transform(F.arrays_zip(F.col("p").alias("p"), after.alias("next")), lambda z: F.concat(F.array(z["p"]["h"]), none(z["next"] - z["p"]["i"] - 1)))
+    holed = F.concat(none(F.col("p")[0]["i"]), F.flatten(holed))
+    whole = F.transform("p", lambda x: x["h"])
+    return t.select(*TILE_KEY, F.when(F.size("p") == px * px, whole).otherwise(holed).alias("tile"))
+
+
+def _placed(points: DataFrame, px: int, mode: str, size: float) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``points`` with their tile (ei, ni) and place in it, and what to read from an array of heights there, by its column."""
     p = points.withColumns({"ei": tile_of(F.col("e"), size), "ni": tile_of(F.col("n"), size)})
     if mode == "nearest":
         step = size / px
         lx, ly = F.col("e") - F.col("ei") * size, F.col("n") - F.col("ni") * size
-        p = p.withColumns({"pcol": px - 1 - F.least(F.floor(lx / step), F.lit(px - 1)).cast("int"), "prow": F.least(F.floor(ly / step), F.lit(px - 1)).cast("int")})
-        found = height.select(*PIXEL, F.when(F.col("h") != 0, F.col("h")).alias("h"))
-        return p.join(found, PIXEL, "left").select(*keys, "h")
+        p = p.withColumns({"_c": px - 1 - F.least(F.floor(lx / step), F.lit(px - 1)).cast("int"), "_r": F.least(F.floor(ly / step), F.lit(px - 1)).cast("int")})
+
+        def read(tile: str) -> Column:
+            h = F.get(tile, F.col("_r") * px + F.col("_c"))
+            return F.when(h != 0, h)
+
+        return p, read
+    col, row = pixel_place(F.col("e"), F.col("n"), px, size)
     p = p.withColumns({"_c": col, "_r": row}).withColumns({"_c0": F.floor("_c").cast("int"), "_r0": F.floor("_r").cast("int")})
     p = p.withColumns({"_fc": F.col("_c") - F.col("_c0"), "_fr": F.col("_r") - F.col("_r0")})
-    corner = lambda dc, dr: F.struct(F.least(F.col("_c0") + dc, F.lit(px - 1)).alias("pcol"), F.least(F.col("_r0") + dr, F.lit(px - 1)).alias("prow"), ((F.col("_fc") if dc else 1 - F.col("_fc")) * (F.col("_fr") if dr else 1 - F.col("_fr"))).alias("w"))
-    p = p.select(*keys, *TILE_KEY, F.explode(F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))).alias("_k"))
-    p = p.select(*keys, *TILE_KEY, "_k.pcol", "_k.prow", "_k.w")
-    got = p.join(height.select(*PIXEL, "h"), PIXEL, "left").groupBy(*keys).agg(F.sum(F.col("h") * F.col("w")).alias("h"), F.max(F.abs("h")).alias("_m"), F.count("h").alias("_n"))
-    ok = F.col("_n") == 4
-    return got.select(*keys, F.when(ok & (F.col("_m") > 0) if mode == "zero_aware" else ok, F.col("h")).alias("h"))
+
+    def read(tile: str) -> Column:
+        at = lambda dc, dr: F.get(tile, F.least(F.col("_r0") + dr, F.lit(px - 1)) * px + F.least(F.col("_c0") + dc, F.lit(px - 1)))
+        share = lambda dc, dr: (F.col("_fc") if dc else 1 - F.col("_fc")) * (F.col("_fr") if dr else 1 - F.col("_fr"))
+        corners = [(c, r) for r in (0, 1) for c in (0, 1)]
+        h = sum((at(*k) * share(*k) for k in corners[1:]), at(0, 0) * share(0, 0))
+        return F.when(F.greatest(*(F.abs(at(*k)) for k in corners)) > 0, h) if mode == "zero_aware" else h
+
+    return p, read
 
 
-def sample_height_any(points: DataFrame, fine: DataFrame, coarse: DataFrame, keys: list[str], px: int) -> DataFrame:
-    """From the finer raster where it has the tile, else from the coarser."""
-    a = sample_height(points, fine, keys, px).withColumnRenamed("h", "_a")
-    b = sample_height(points, coarse, keys, px).withColumnRenamed("h", "_b")
-    return a.join(b, keys).select(*keys, F.coalesce("_a", "_b").alias("h"))
+def _tiles(height: DataFrame, px: int) -> DataFrame:
+    return height if "tile" in height.columns else packed(height, px)
+
+
+def sample_height(points: DataFrame, height: DataFrame, keys: list[str], px: int, mode: str = "bilinear", size: float = TILE) -> DataFrame:
+    """Height at points (e, n), as column ``h``; null where a tile or one of the pixels is absent.
+
+    ``bilinear`` weighs the four corners; ``zero_aware`` gives null if all four
+    are 0; ``nearest`` truncates to a pixel and gives null for 0. ``height`` is a
+    pixel table or ``packed``; one join by tile, then reads from the tile's array.
+    """
+    p, read = _placed(points, px, mode, size)
+    return p.join(_tiles(height, px), TILE_KEY, "left").select(*keys, read("tile").alias("h"))
+
+
+def sample_height_any(points: DataFrame, fine: DataFrame, coarse: DataFrame, keys: list[str], px: int, size: float = TILE) -> DataFrame:
+    """From the finer raster where it has the tile, else from the coarser; both joins are by tile, so points move once."""
+    p, read = _placed(points, px, "bilinear", size)
+    both = p.join(_tiles(fine, px).withColumnRenamed("tile", "_fine"), TILE_KEY, "left").join(_tiles(coarse, px).withColumnRenamed("tile", "_coarse"), TILE_KEY, "left")
+    return both.select(*keys, F.when(F.col("_fine").isNotNull(), read("_fine")).otherwise(read("_coarse")).alias("h"))
 
 
 def valid(h: Column) -> Column:
@@ -52,7 +88,7 @@ def valid(h: Column) -> Column:
 
 
 def mosaic(px: DataFrame, rule: str, priority: str = "source", quality: str | None = None) -> DataFrame:
-    """One value a pixel from several sources: ``first`` or ``last`` with data, or ``best`` quality (earlier wins ties)."""
+    """One height a pixel from several sources: ``first`` or ``last`` with data, or ``best`` quality (earlier wins ties)."""
     value = F.col("h")
     p = px.where("h <> 0")
     if rule == "best":
@@ -62,6 +98,17 @@ def mosaic(px: DataFrame, rule: str, priority: str = "source", quality: str | No
     return p.groupBy(*PIXEL).agg(chosen.alias("h"))
 
 
+def mosaic_rgb(px: DataFrame, priority: str = "source") -> DataFrame:
+    """One colour a pixel: that of the greatest coverage ``q`` (0..255), the earlier source on ties.
+
+    A colour of partial coverage was darkened by it and is restored first; pixels
+    without coverage anywhere go.
+    """
+    colour = F.struct(*(unpremultiply(F.col(c), F.col("q")).alias(c) for c in "rgb"), F.col("q").cast("int").alias("q"))
+    best = px.where("q > 0").groupBy(*PIXEL).agg(F.max_by(colour, F.struct("q", -F.col(priority))).alias("o"))
+    return best.select(*PIXEL, "o.r", "o.g", "o.b", "o.q")
+
+
 def first_source_wins(px: DataFrame, priority: str = "source") -> DataFrame:
     """The first source that has a tile at all supplies the whole tile; tiles without data go."""
     tile = px.groupBy(*TILE_KEY, priority).agg(F.max(F.abs("h")).alias("_m")).groupBy(*TILE_KEY).agg(F.min_by(F.struct(priority, "_m"), priority).alias("_s"))
@@ -148,28 +195,33 @@ def mean_color(rgb: DataFrame, by=("ei", "ni")) -> DataFrame:
     return rgb.groupBy(*by).agg(*(F.avg(F.when(real, F.col(c))).alias(c) for c in "rgb"), F.count_if(real).alias("valid"), (F.count_if(real) * 10 >= F.count("*")).alias("kept"))
 
 
-def fill_gaps_neighbours(px: DataFrame, passes: int, cut=None) -> DataFrame:
-    """Missing pixels become the mean of the valid ones among their eight neighbours, pass by pass.
+def fill_gaps_neighbours(px: DataFrame, tile=("ei", "ni"), at=("prow", "pcol")) -> DataFrame:
+    """Missing pixels become the mean of the valid ones among their eight neighbours, again and again until a pass fills nothing.
 
-    Ends after ``passes`` passes or when a pass fills nothing; what is left is 0.
-    ``cut`` (say, a write to a shared folder) is applied to each pass's result to
-    cut its lineage.
+    What is left is 0. A group is one tile (or chunk), so its size is that of a
+    tile; all its passes run in one task without another shuffle.
     """
-    now = px.select(*PIXEL, valid(F.col("h")).alias("h"))
-    around = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
-    shift = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in around))
-    missing = None
-    for _ in range(passes):
-        now = cut(now) if cut else now
-        left = now.where("h is null").count()
-        if left in (0, missing):
-            break
-        missing = left
-        near = now.where("h is not null").withColumn("s", F.explode(shift))
-        near = near.select(*TILE_KEY, (F.col("prow") + F.col("s.r")).alias("prow"), (F.col("pcol") + F.col("s.c")).alias("pcol"), "h")
-        means = near.join(now.where("h is null").select(*PIXEL), PIXEL, "left_semi").groupBy(*PIXEL).agg(F.avg("h").alias("_m"))
-        now = now.join(means, PIXEL, "left").select(*PIXEL, F.coalesce("h", "_m").alias("h"))
-    return now.select(*PIXEL, F.coalesce("h", F.lit(0.0)).alias("h"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = (pdf[c].to_numpy() for c in at)
+        shape = int(row.max()) + 3, int(col.max()) + 3
+        h, known, there = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        value = pdf["h"].to_numpy(float, na_value=0.0)
+        h[row + 1, col + 1], known[row + 1, col + 1], there[row + 1, col + 1] = value, value != 0, True
+        around = [(slice(1 + r, shape[0] - 1 + r), slice(1 + c, shape[1] - 1 + c)) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
+        inner = slice(1, -1), slice(1, -1)
+        while True:
+            near = sum(known[k].astype(int) for k in around)
+            new = there[inner] & ~known[inner] & (near > 0)
+            if not new.any():
+                break
+            total = sum(h[k] for k in around)
+            h[inner][new] = total[new] / near[new]
+            known[inner][new] = True
+        return pdf.assign(h=h[row + 1, col + 1])
+
+    rows = px.select(*tile, *at, F.col("h").cast("double").alias("h"))
+    return rows.groupBy(*tile).applyInPandas(fill, rows.schema)
 
 
 def merge_rgb(px: DataFrame, priority: str = "source") -> DataFrame:
@@ -189,7 +241,8 @@ def merge_rgb(px: DataFrame, priority: str = "source") -> DataFrame:
 def chunk_composite(px: DataFrame, size: int, res: int, tiles: int = 8) -> DataFrame:
     """Chunks of tiles x tiles as res x res samples: the mean of the non-zero pixels in a window around each sample.
 
-    A sample lies in one tile (the last one at the far edges); its window stays in it.
+    A sample lies in one tile (the last one at the far edges); its window stays in
+    it. Samples without data are filled from their neighbours, then 0.
     """
     half = min(8, size // (res - 1) // 2)
     span = F.lit(float(tiles))
@@ -206,7 +259,11 @@ def chunk_composite(px: DataFrame, size: int, res: int, tiles: int = 8) -> DataF
         return F.filter(F.sequence(F.lit(0), F.lit(res - 1)), inside)
 
     at = at.withColumn("cx", F.explode(centres(F.pmod("ei", F.lit(tiles)), F.col("pcol"), True))).withColumn("cy", F.explode(centres(F.pmod("ni", F.lit(tiles)), F.col("prow"), False)))
-    return at.groupBy("cei", "cni", "cx", "cy").agg(F.avg("h").alias("h"))
+    k = F.sequence(F.lit(0), F.lit(res - 1))
+    found = at.groupBy("cei", "cni", "cx", "cy").agg(F.avg("h").alias("h"))
+    lattice = px.select(F.floor(F.col("ei") / tiles).cast("int").alias("cei"), F.floor(F.col("ni") / tiles).cast("int").alias("cni")).distinct()
+    lattice = lattice.withColumn("cx", F.explode(k)).withColumn("cy", F.explode(k))
+    return fill_gaps_neighbours(lattice.join(found, lattice.columns, "left"), ("cei", "cni"), ("cy", "cx"))
 
 
 def pixel_centres(px: DataFrame, size: int, tile: float = TILE) -> DataFrame:

@@ -27,18 +27,56 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return rings.withColumns({"e0": before("e"), "n0": before("n")})
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, keys: list[str], cell: float = 2048.0) -> DataFrame:
-    """(keys, poly_id) of points inside by the even-odd rule over all rings, so holes are outside."""
-    edges = ring_edges(rings)
-    polys = edges.groupBy("poly_id").agg(F.min("e").alias("x0"), F.min("n").alias("y0"), F.max("e").alias("x1"), F.max("n").alias("y1"), F.collect_list(F.struct("e", "n", "e0", "n0")).alias("_edges"))
-    near = cell_join(points, polys, cell)
-
-    def crosses(k: Column) -> Column:
-        straddles = (k["n"] > F.col("n")) != (k["n0"] > F.col("n"))
-        return straddles & (F.col("e") < (k["e0"] - k["e"]) * (F.col("n") - k["n"]) / F.when(k["n0"] != k["n"], k["n0"] - k["n"]) + k["e"])
-
-    inside = F.size(F.filter("_edges", lambda k: F.coalesce(crosses(k), F.lit(False)))) % 2 == 1
-    return near.where(inside).select(*keys, "poly_id")
+#: Where in a cell its anchor is: a fraction that no coordinate hits.
+ANCHOR = 0.41421356237309515
+
+
+def _cells_inside(edges: DataFrame, cell: float) -> DataFrame:
+    """(poly_id, _cx, _cy) of the cells whose anchor is inside: where a row of anchors crosses the rings, by pairs of crossings."""
+    row = lambda f: F.floor(f("n", "n0") / cell - ANCHOR).cast("long")
+    s = edges.withColumn("_cy", F.explode(F.sequence(row(F.least), row(F.greatest) + 1))).withColumn("_an", (F.col("_cy") + ANCHOR) * cell)
+    s = s.where("(n > _an) <> (n0 > _an)").withColumn("_x", (F.col("e0") - F.col("e")) * (F.col("_an") - F.col("n")) / (F.col("n0") - F.col("n")) + F.col("e"))
+    w = Window.partitionBy("poly_id", "_cy").orderBy("_x")
+    s = s.select("poly_id", "_cy", "_x", F.row_number().over(w).alias("_k"), F.lead("_x").over(w).alias("_to")).where("_k % 2 = 1")
+    first, after = (F.ceil(F.col(c) / cell - ANCHOR).cast("long") for c in ("_x", "_to"))
+    s = s.select("poly_id", "_cy", first.alias("_a"), after.alias("_b")).where("_a < _b")
+    return s.select("poly_id", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)).alias("_cx"), "_cy")
+
+
+def _edges_by_cell(edges: DataFrame, cell: float, slack: float = 1e-6) -> DataFrame:
+    """Each edge once for each cell that it touches (or nearly so)."""
+    at = lambda x: F.floor(x / cell).cast("long")
+    low, high = F.least("e", "e0"), F.greatest("e", "e0")
+    s = edges.withColumn("_cx", F.explode(F.sequence(at(low - slack), at(high + slack))))
+    n_at = lambda x: F.when(F.col("e") == F.col("e0"), None).otherwise(F.col("n") + (F.least(F.greatest(x, low), high) - F.col("e")) * (F.col("n0") - F.col("n")) / (F.col("e0") - F.col("e")))
+    s = s.withColumns({"_p": F.coalesce(n_at(F.col("_cx") * cell - slack), "n"), "_q": F.coalesce(n_at((F.col("_cx") + 1) * cell + slack), "n0")})
+    return s.withColumn("_cy", F.explode(F.sequence(at(F.least("_p", "_q") - slack), at(F.greatest("_p", "_q") + slack)))).drop("_p", "_q")
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, keys: list[str], cell: float = 1024.0) -> DataFrame:
+    """(keys, poly_id) of points inside by the even-odd rule over all rings, so holes are outside.
+
+    A polygon goes to grid cells: to those whose anchor is inside it, as one row,
+    and to those its edges touch, as these edges. A point is inside if its cell's
+    anchor is, once for each edge between the two (along a path of a step north
+    and a step east). So an edge is copied only to the cells along it, and cells
+    inside cost one row, however many edges the polygon has.
+    """
+    edges = ring_edges(rings).select("poly_id", "e", "n", "e0", "n0")
+    ends = ["e", "n", "e0", "n0"]
+    parts = _edges_by_cell(edges, cell).select("poly_id", "_cx", "_cy", *(F.col(c).alias(f"_{c}") for c in ends))
+    parts = parts.unionByName(_cells_inside(edges, cell), allowMissingColumns=True)
+    p = points.select(*keys, *(c for c in ("e", "n") if c not in keys)).withColumns({"_cx": F.floor(F.col("e") / cell).cast("long"), "_cy": F.floor(F.col("n") / cell).cast("long")})
+    ae, an = ((F.col(c) + ANCHOR) * cell for c in ("_cx", "_cy"))
+    east = (F.col("_n") > F.col("n")) != (F.col("_n0") > F.col("n"))
+    x = (F.col("_e0") - F.col("_e")) * (F.col("n") - F.col("_n")) / F.when(east, F.col("_n0") - F.col("_n")) + F.col("_e")
+    east = east & ((F.col("e") < x) != (ae < x))
+    north = (F.col("_e") > ae) != (F.col("_e0") > ae)
+    y = (F.col("_n0") - F.col("_n")) * (ae - F.col("_e")) / F.when(north, F.col("_e0") - F.col("_e")) + F.col("_n")
+    north = north & ((an < y) != (F.col("n") < y))
+    flips = F.col("_e").isNull() | (F.coalesce(east, F.lit(False)) != F.coalesce(north, F.lit(False)))
+    hit = p.join(parts, ["_cx", "_cy"]).where(flips)
+    return hit.groupBy(*keys, "poly_id").agg(F.count("*").alias("_f")).where("_f % 2 = 1").drop("_f")
 
 
 def landcover_rank(kind: Column) -> Column:
@@ -57,12 +95,20 @@ def rasterise_classes(px: DataFrame, rings: DataFrame, keys: list[str]) -> DataF
     return hit.groupBy(*keys).agg(F.max_by("kind", F.struct("_rank", "poly_id")).alias("kind"))
 
 
-def exclude_in_zones(features: DataFrame, zones: DataFrame, cell: float = 512.0) -> DataFrame:
-    """Drops features (e, n, priority) within a circle whose ``min_dir`` is at most their priority."""
-    boxes = zones.select(F.col("e").alias("ze"), F.col("n").alias("zn"), "r", "min_dir", (F.col("e") - F.col("r")).alias("x0"), (F.col("n") - F.col("r")).alias("y0"), (F.col("e") + F.col("r")).alias("x1"), (F.col("n") + F.col("r")).alias("y1"))
-    f = features.withColumn("_id", F.monotonically_increasing_id()) if "fix_id" not in features.columns else features.withColumn("_id", F.col("fix_id"))
-    hit = cell_join(f, boxes, cell).where("priority >= min_dir and (e - ze) * (e - ze) + (n - zn) * (n - zn) <= r * r")
-    return f.join(hit.select("_id").distinct(), "_id", "left_anti").drop("_id")
+def exclude_in_zones(features: DataFrame, zones: DataFrame, keys: list[str], rings: DataFrame | None = None, cell: float = 512.0) -> DataFrame:
+    """Drops features (e, n, priority; told apart by ``keys``) in a zone (zone_id) whose ``min_dir`` is at most their priority.
+
+    A zone is a circle (e, n, r) or has ``rings`` (poly_id, the zone_id; ring_no,
+    seq, e, n), or both.
+    """
+    c = zones.where("r is not null")
+    boxes = c.select(F.col("e").alias("ze"), F.col("n").alias("zn"), "r", "min_dir", (F.col("e") - F.col("r")).alias("x0"), (F.col("n") - F.col("r")).alias("y0"), (F.col("e") + F.col("r")).alias("x1"), (F.col("n") + F.col("r")).alias("y1"))
+    at = features.select(*keys, "priority", *(c for c in ("e", "n") if c not in keys))
+    hit = cell_join(at, boxes, cell).where("priority >= min_dir and (e - ze) * (e - ze) + (n - zn) * (n - zn) <= r * r").select(*keys)
+    if rings is not None:
+        low = zones.select(F.col("zone_id").alias("poly_id"), "min_dir")
+        hit = hit.union(points_in_polygons(at, rings, [*keys, "priority"]).join(low, "poly_id").where("priority >= min_dir").select(*keys))
+    return features.join(hit.distinct(), keys, "left_anti")
 
 
 def segment_distance(e: Column, n: Column, e0: Column, n0: Column, e1: Column, n1: Column) -> Column:
@@ -99,8 +145,13 @@ def clear_corridors(points: DataFrame, segments: DataFrame, key: str, margin: fl
     return points.join(hit, key, "left_anti")
 
 
-def paint_corridors(px: DataFrame, segments: DataFrame, keys: list[str], least: float = 5.5, cell: float = 256.0) -> DataFrame:
-    """(keys) of pixel centres (e, n) within the half width of a corridor at least ``least`` wide to each side."""
+def paint_corridors(px: DataFrame, segments: DataFrame, keys: list[str], least: float = 5.5, cell: float = 256.0, side: int = 64) -> DataFrame:
+    """(keys) of pixel centres (e, n) within the half width of a corridor at least ``least`` wide to each side.
+
+    Rasters of fewer than 64 pixels a ``side`` are too coarse to paint on: no rows.
+    """
+    if side < 64:
+        return px.select(*keys).limit(0)
     return near_segments(px, segments.where(F.col("half_width") >= least), F.col("half_width"), cell).select(*keys).distinct()
 
 
@@ -131,11 +182,19 @@ def clip_to_boundary(lines: DataFrame, middle: DataFrame, boundary: DataFrame) -
     return lines.join(points_in_polygons(middle, boundary, ["line_id"]).select("line_id").distinct(), "line_id", "left_semi")
 
 
+def clip_polygons_to_boundary(rings: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Polygons whose mean outer vertex (ring 0) lies inside the boundary rings."""
+    mean = rings.where("ring_no = 0").groupBy(F.col("poly_id").alias("own")).agg(F.avg("e").alias("e"), F.avg("n").alias("n"))
+    inside = points_in_polygons(mean, boundary, ["own"]).select(F.col("own").alias("poly_id")).distinct()
+    return rings.join(inside, "poly_id", "left_semi")
+
+
 def clip_polygons_to_tiles(rings: DataFrame, size: float) -> DataFrame:
     """Rings cut to each tile they reach: (poly_id, ring_no, ei, ni, seq, e, n).
 
     Each ring (one row, as long as one polygon) goes through the tile's four half
-    planes inside Catalyst; what keeps fewer than three points in a tile is dropped.
+    planes inside Catalyst. A ring that keeps fewer than three points in a tile is
+    dropped there; if it is the outer one (ring 0), so is the whole polygon.
     """
     ring = F.transform(F.array_sort(F.collect_list(F.struct("seq", "e", "n"))), lambda p: F.struct(p["e"].alias("e"), p["n"].alias("n")))
     r = rings.groupBy("poly_id", "ring_no").agg(ring.alias("ring"), *(f(c).alias(f"_{g}{c}") for c in "en" for g, f in (("a", F.min), ("b", F.max))))
@@ -158,6 +217,7 @@ def clip_polygons_to_tiles(rings: DataFrame, size: float) -> DataFrame:
         return F.flatten(F.transform(acc, corner))
 
     out = r.withColumn("ring", F.aggregate(planes, F.col("ring"), cut)).where("size(ring) >= 3")
+    out = out.withColumn("_outer", F.min("ring_no").over(Window.partitionBy("poly_id", "ei", "ni"))).where("_outer = 0")
     return out.select("poly_id", "ring_no", "ei", "ni", F.posexplode("ring").alias("seq", "p")).select("poly_id", "ring_no", "ei", "ni", "seq", "p.e", "p.n")
 
 
@@ -172,12 +232,27 @@ def min_spacing(points: DataFrame, r: float, rank: list[str]) -> DataFrame:
     return p.join(close.select("poly_id", "_rank").distinct(), ["poly_id", "_rank"], "left_anti").select(*points.columns)
 
 
-def tiles_in_radius(fixes: DataFrame, tiles: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Tiles whose centre (ce, cn) lies within ``radius`` of a fix, with the distance."""
-    boxes = fixes.withColumns({"x0": F.col("e") - radius, "x1": F.col("e") + radius, "y0": F.col("n") - radius, "y1": F.col("n") + radius})
-    near = cell_join(tiles, boxes, 2 * radius, at=("ce", "cn"))
+def tiles_in_radius(fixes: DataFrame, tiles: DataFrame, radius: float | Column, keys: list[str], most: float | None = None) -> DataFrame:
+    """Tiles whose centre (ce, cn) lies within ``radius`` of a fix, with the distance.
+
+    The radius may be an expression over a tile's columns, of at most ``most``
+    (say, wider for tiles with polygons).
+    """
+    most = radius if most is None else most
+    boxes = fixes.withColumns({"x0": F.col("e") - most, "x1": F.col("e") + most, "y0": F.col("n") - most, "y1": F.col("n") + most})
+    near = cell_join(tiles.withColumn("_radius", radius if isinstance(radius, Column) else F.lit(radius)), boxes, 2 * most, at=("ce", "cn"))
     d = F.sqrt(F.pow(F.col("ce") - F.col("e"), F.lit(2)) + F.pow(F.col("cn") - F.col("n"), F.lit(2)))
-    return near.withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "ei", "ni", "distance")
+    return near.withColumn("distance", d).where("distance <= _radius").select(*keys, "ei", "ni", "distance")
+
+
+#: Metres in which water tiles are wanted: those with polygons, and others.
+WATER_RADIUS, STREAM_RADIUS = 50_000.0, 8_000.0
+
+
+def water_tiles_in_radius(fixes: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Water tiles (ce, cn, polygons) wanted at a fix: lakes are seen from afar, streams are not."""
+    radius = F.when(F.col("polygons") > 0, WATER_RADIUS).otherwise(STREAM_RADIUS)
+    return tiles_in_radius(fixes, tiles, radius, keys, WATER_RADIUS)
 
 
 def tiles_in_ring(fixes: DataFrame, radius: int, keys: list[str], lod) -> DataFrame:

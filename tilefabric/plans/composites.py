@@ -38,7 +38,7 @@ def apply_patches(px, v, rings):
 @query(f"WITH {CENTRES}, {PAIRS} SELECT DISTINCT ei, ni, prow, pcol FROM d WHERE cls = 'primary' AND d < 6", "fx_height_px", "fx_line_vertex")
 def paint_corridors(px, v):
     s = lines.segments(lines.classify_roads(v)).select("line_id", "seq", F.col("e").alias("e0"), F.col("n").alias("n0"), "e1", "n1", (F.col("width") / 2).alias("half_width"))
-    return spatial.paint_corridors(raster.pixel_centres(px.where("source = 1"), PX), s, PIXEL)
+    return spatial.paint_corridors(raster.pixel_centres(px.where("source = 1"), PX), s, PIXEL, side=64)  # as if of a finer raster
 
 
 @query(f"""WITH {CENTRES}, {IN}, z AS (SELECT DISTINCT floor(e / 1024) AS ei, floor(n / 1024) AS ni FROM fx_zone),
@@ -85,7 +85,7 @@ def fill_rgb_nearest(px):
 @query(None, "fx_tile_present")
 def tiles_to_cells(tiles):
     """Source cells of each tile; the projection's own SQL twin is lv95_to_wgs84."""
-    return audit.tiles_to_cells(tiles.select((F.col("ei") + 2660).alias("ei"), (F.col("ni") + 1240).alias("ni")), geodesy.lv95_to_utm32)
+    return audit.tiles_to_cells(tiles.select((F.col("ei") % 100 + 2660).alias("ei"), (F.col("ni") + 1240).alias("ni")).distinct(), geodesy.lv95_to_utm32)
 
 
 # ---- buildings
@@ -153,7 +153,7 @@ def coverage_mask(px, rings, fix):
     return audit.coverage_mask(px.select("ei", "ni").distinct(), chunks, at, 2, ["fix_id"])
 
 
-@query("""WITH b AS (SELECT min(ei) a, max(ei) b, min(ni) c, max(ni) d FROM fx_tile_present), m AS (SELECT e.i AS ei, n.i AS ni, 'missing' AS why FROM b, range(0, 1000) e(i), range(0, 1000) n(i) WHERE e.i BETWEEN a AND b AND n.i BETWEEN c AND d AND NOT EXISTS (SELECT 1 FROM fx_tile_present p WHERE p.ei = e.i AND p.ni = n.i)),
+@query("""WITH b AS (SELECT min(ei) a, max(ei) b, min(ni) c, max(ni) d FROM fx_tile_present), g AS (SELECT ei, unnest(range(c, d + 1)) AS ni FROM (SELECT unnest(range(a, b + 1)) AS ei, c, d FROM b)), m AS (SELECT ei, ni, 'missing' AS why FROM g WHERE (ei, ni) NOT IN (SELECT (ei, ni) FROM fx_tile_present)),
 x AS (SELECT ei - 2539 AS ei, ni - 1171 AS ni, 'poor' AS why FROM fx_height_px GROUP BY ALL HAVING avg(CASE WHEN h <> 0 THEN 1e0 ELSE 0e0 END) < 0.83e0)
 SELECT why, count(*) AS tiles, CAST(min(ei) AS INTEGER) AS e0, CAST(min(ni) AS INTEGER) AS n0, CAST(max(ei) + 2 AS INTEGER) AS e1, CAST(max(ni) + 2 AS INTEGER) AS n1 FROM (SELECT * FROM m UNION ALL SELECT * FROM x) GROUP BY why""", "fx_tile_present", "fx_height_px")
 def gap_report(tiles, px):
@@ -164,12 +164,10 @@ def gap_report(tiles, px):
     return box.withColumns({"e1": F.col("e1") + 2, "n1": F.col("n1") + 2})
 
 
-@query("WITH t AS (SELECT DISTINCT source, ei, ni FROM fx_height_px) SELECT source = 1 AS is_chunk, ei, ni, row_number() OVER (PARTITION BY source = 1 ORDER BY greatest(abs(ei - 2543), abs(ni - 1174)), ei, ni) AS place FROM t", "fx_height_px")
+@query("WITH t AS (SELECT DISTINCT source, ei, ni FROM fx_height_px) SELECT source = 1 AS is_chunk, ei, ni, CAST(greatest(abs(ei - 2543), abs(ni - 1174)) AS INTEGER) AS distance, row_number() OVER (ORDER BY source = 1, greatest(abs(ei - 2543), abs(ni - 1174)), ei, ni) AS place FROM t", "fx_height_px")
 def batch_order(px):
-    """Requests by distance, chunk requests numbered apart, as they queue after all tiles."""
-    t = px.select((F.col("source") == 1).alias("is_chunk"), "ei", "ni").distinct()
-    w = Window.partitionBy("is_chunk").orderBy(grid.chebyshev(F.col("ei") - 2543, F.col("ni") - 1174), "ei", "ni")
-    return t.withColumn("place", F.row_number().over(w).cast("long"))
+    """Requests by distance; chunk requests queue after all tiles."""
+    return audit.nearest_first(px.select((F.col("source") == 1).alias("is_chunk"), "ei", "ni").distinct(), F.lit(2543), F.lit(1174), ["is_chunk"])
 
 
 # ---- streams' batch twins

@@ -23,11 +23,10 @@ from (select cast(floor(o_orderkey / 256e0) as int) as tile,
              cast(o_orderkey % 16 as int) as pcol, o_custkey as ck, o_totalprice as tp
       from orders) t
 cross join (select 0 as source union all select 1 as source) s
-where t.tile < floor((select count(*) from orders) / 256e0)
 """,
     "fx_tile_present": """
-select distinct cast(o_custkey % 40 as int) as ei, cast(o_orderkey % 31 as int) as ni
-from orders where o_orderstatus = 'P'
+select distinct cast(o_custkey as int) as ei, cast(o_orderkey % 31 as int) as ni
+from orders
 """,
     "fx_line_vertex": """
 select f.user_id as line_id, f.seq, f.e, f.n,
@@ -36,19 +35,18 @@ from (select user_id, cast(row_number() over (partition by user_id order by even
              2600000e0 + (user_id % 50) * 400e0 + value * 10e0 as e,
              1200000e0 + (event_id * 37 % 16384) + value as n
       from events) f
-where f.seq < 40
 """,
     "fx_ring_vertex": """
-select p.n_nationkey as poly_id, v.ring_no, v.seq, p.n_nationkey % 13 as kind,
-       2601000e0 + (p.n_nationkey % 5) * 4000e0 + v.dx * v.s as e,
-       1201500e0 + floor(p.n_nationkey / 5e0) * 3200e0 + v.dy * v.s as n
-from nation p cross join (
-  select 0 as ring_no, 0 as seq, 2000e0 as dx, 0e0 as dy, 1e0 as s union all
-  select 0, 1, 1000e0, 1700e0, 1e0 union all select 0, 2, -1000e0, 1700e0, 1e0 union all
-  select 0, 3, -2000e0, 0e0, 1e0 union all select 0, 4, -1000e0, -1700e0, 1e0 union all
-  select 0, 5, 1000e0, -1700e0, 1e0 union all
-  select 1, 0, 500e0, 500e0, 1e0 union all select 1, 1, -500e0, 500e0, 1e0 union all
-  select 1, 2, -500e0, -500e0, 1e0 union all select 1, 3, 500e0, -500e0, 1e0) v
+select p.c_custkey as poly_id, v.ring_no, v.seq, p.c_custkey % 13 as kind,
+       2600000e0 + (p.c_custkey % 40) * 500e0 + v.dx * (0.125e0 + (p.c_custkey % 5) * 0.0625e0) as e,
+       1200000e0 + (p.c_custkey * 7 % 33) * 500e0 + v.dy * (0.125e0 + (p.c_custkey % 5) * 0.0625e0) as n
+from customer p cross join (
+  select 0 as ring_no, 0 as seq, 2000e0 as dx, 0e0 as dy union all
+  select 0, 1, 1000e0, 1700e0 union all select 0, 2, -1000e0, 1700e0 union all
+  select 0, 3, -2000e0, 0e0 union all select 0, 4, -1000e0, -1700e0 union all
+  select 0, 5, 1000e0, -1700e0 union all
+  select 1, 0, 500e0, 500e0 union all select 1, 1, -500e0, 500e0 union all
+  select 1, 2, -500e0, -500e0 union all select 1, 3, 500e0, -500e0) v
 """,
     "fx_probe": """
 select l_shipdate as ts,
@@ -59,7 +57,7 @@ from lineitem
     "fx_zone": """
 select s_suppkey as zone_id, s_suppkey % 3 as min_dir,
        2600000e0 + (s_suppkey % 20) * 1000e0 as e, 1200000e0 + (s_suppkey % 16) * 1000e0 as n, 300e0 + s_nationkey * 10e0 as r
-from supplier where s_suppkey < 40
+from supplier
 """,
     "fx_box": """
 select p_partkey as building_id, 2600000e0 + (p_partkey * 13 % 20000) as x0, 1200000e0 + (p_partkey * 29 % 16000) as y0,

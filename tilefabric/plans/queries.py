@@ -76,7 +76,7 @@ def elevation_nearest(fix, px):
 
 
 @query(f"""WITH {SAMPLE}, {GOOD}, s AS (SELECT fix_id, source, CASE WHEN count(h) = 4 THEN sum(h * w) END AS h FROM co JOIN fx_height_px p USING (ei, ni, prow, pcol) WHERE source = 1 OR (ei, ni) IN (SELECT (ei, ni) FROM good) GROUP BY fix_id, source)
-SELECT f.fix_id, round(coalesce(a.h, b.h), 6) AS h FROM fx_fix f LEFT JOIN s a ON a.fix_id = f.fix_id AND a.source = 0 LEFT JOIN s b ON b.fix_id = f.fix_id AND b.source = 1""", "fx_fix", "fx_height_px")
+SELECT f.fix_id, round(CASE WHEN (floor(f.e / 1024), floor(f.n / 1024)) IN (SELECT (ei, ni) FROM good) THEN a.h ELSE b.h END, 6) AS h FROM fx_fix f LEFT JOIN s a ON a.fix_id = f.fix_id AND a.source = 0 LEFT JOIN s b ON b.fix_id = f.fix_id AND b.source = 1""", "fx_fix", "fx_height_px")
 def elevation_fine_or_coarse(fix, px):
     return rounded(raster.sample_height_any(fix, _without_poor(px).where("source = 0"), px.where("source = 1"), ["fix_id"], PX), 6, "h")
 
@@ -115,13 +115,13 @@ def density_sample(fix):
     return fix.select("fix_id", h.alias("h"), features.keep_by_hash(F.col("fix_id"), F.col("track_id"), 0.25).alias("kept"))
 
 
-@query("""WITH b AS (SELECT min(ei) a, max(ei) b, min(ni) c, max(ni) d FROM fx_tile_present)
-SELECT CAST(e.i AS INTEGER) AS ei, CAST(n.i AS INTEGER) AS ni FROM b, range(0, 1000) e(i), range(0, 1000) n(i) WHERE e.i BETWEEN a AND b AND n.i BETWEEN c AND d AND NOT EXISTS (SELECT 1 FROM fx_tile_present p WHERE p.ei = e.i AND p.ni = n.i)""", "fx_tile_present")
+@query("""WITH b AS (SELECT min(ei) a, max(ei) b, min(ni) c, max(ni) d FROM fx_tile_present), g AS (SELECT ei, unnest(range(c, d + 1)) AS ni FROM (SELECT unnest(range(a, b + 1)) AS ei, c, d FROM b))
+SELECT CAST(ei AS INTEGER) AS ei, CAST(ni AS INTEGER) AS ni FROM g WHERE (ei, ni) NOT IN (SELECT (ei, ni) FROM fx_tile_present)""", "fx_tile_present")
 def missing_tiles(tiles):
     return audit.missing_tiles(tiles)
 
 
-@query("""WITH b AS (SELECT min(ei) a, max(ei) b, min(ni) c, max(ni) d FROM fx_tile_present), m AS (SELECT e.i AS ei, n.i AS ni FROM b, range(0, 1000) e(i), range(0, 1000) n(i) WHERE e.i BETWEEN a AND b AND n.i BETWEEN c AND d AND NOT EXISTS (SELECT 1 FROM fx_tile_present p WHERE p.ei = e.i AND p.ni = n.i))
+@query("""WITH b AS (SELECT min(ei) a, max(ei) b, min(ni) c, max(ni) d FROM fx_tile_present), g AS (SELECT ei, unnest(range(c, d + 1)) AS ni FROM (SELECT unnest(range(a, b + 1)) AS ei, c, d FROM b)), m AS (SELECT ei, ni FROM g WHERE (ei, ni) NOT IN (SELECT (ei, ni) FROM fx_tile_present))
 SELECT CAST(min(ei) AS INTEGER) AS e0, CAST(min(ni) AS INTEGER) AS n0, CAST(max(ei) + 2 AS INTEGER) AS e1, CAST(max(ni) + 2 AS INTEGER) AS n1 FROM m""", "fx_tile_present")
 def bbox_of_missing(tiles):
     return audit.extent(audit.missing_tiles(tiles)).withColumns({"e1": F.col("e1") + 2, "n1": F.col("n1") + 2})
@@ -408,7 +408,7 @@ def rasterise_classes(fix, rings):
 
 @query("SELECT f.* FROM fx_fix f WHERE NOT EXISTS (SELECT 1 FROM fx_zone z WHERE f.fix_id % 3 >= z.min_dir AND (f.e - z.e) * (f.e - z.e) + (f.n - z.n) * (f.n - z.n) <= z.r * z.r)", "fx_fix", "fx_zone")
 def exclude_in_zones(fix, zones):
-    return spatial.exclude_in_zones(fix.withColumn("priority", F.col("fix_id") % 3), zones).drop("priority")
+    return spatial.exclude_in_zones(fix.withColumn("priority", F.col("fix_id") % 3), zones, ["fix_id"]).drop("priority")
 
 
 def _corridors(v):
@@ -488,7 +488,7 @@ def seat_buildings(boxes, px):
     return rounded(seated.select("building_id", "seated_z", "shifted"), 6, "seated_z")
 
 
-DRAPE = SAMPLE.replace("SELECT fix_id, e, n, floor", "SELECT line_id * 1000 + seq AS fix_id, e, n, floor").replace("FROM fx_fix)", "FROM fx_line_vertex)") + ", hh AS (SELECT fix_id, CASE WHEN count(h) = 4 THEN sum(h * w) END AS h FROM co LEFT JOIN (SELECT * FROM fx_height_px WHERE source = 1) p USING (ei, ni, prow, pcol) GROUP BY fix_id), v AS (SELECT line_id, seq, CAST(floor(e / 4096) AS INTEGER) AS ei, CAST(floor(n / 4096) AS INTEGER) AS ni, h FROM fx_line_vertex JOIN hh ON fix_id = line_id * 1000 + seq)"
+DRAPE = SAMPLE.replace("SELECT fix_id, e, n, floor", "SELECT line_id * 100000 + seq AS fix_id, e, n, floor").replace("FROM fx_fix)", "FROM fx_line_vertex)") + ", hh AS (SELECT fix_id, CASE WHEN count(h) = 4 THEN sum(h * w) END AS h FROM co LEFT JOIN (SELECT * FROM fx_height_px WHERE source = 1) p USING (ei, ni, prow, pcol) GROUP BY fix_id), v AS (SELECT line_id, seq, CAST(floor(e / 4096) AS INTEGER) AS ei, CAST(floor(n / 4096) AS INTEGER) AS ni, h FROM fx_line_vertex JOIN hh ON fix_id = line_id * 100000 + seq)"
 
 
 def _draped(v, px, op, *more):
@@ -566,16 +566,15 @@ def upsert_manifest(zones, fix):
     return audit.upsert(tiles(fix, "old"), tiles(zones, "new"), ["ei", "ni"])
 
 
-@query("WITH d AS (SELECT ei, ni, CAST(greatest(abs(ei - 20), abs(ni - 15)) AS INTEGER) AS distance FROM fx_tile_present) SELECT *, row_number() OVER (ORDER BY distance, ei, ni) AS place FROM d ORDER BY place LIMIT 200", "fx_tile_present")
+@query("WITH d AS (SELECT ei, ni, CAST(greatest(abs(ei - 20), abs(ni - 15)) AS INTEGER) AS distance FROM fx_tile_present) SELECT *, row_number() OVER (ORDER BY distance, ei, ni) AS place FROM d", "fx_tile_present")
 def nearest_first(tiles):
-    d = tiles.withColumn("distance", grid.chebyshev(F.col("ei") - 20, F.col("ni") - 15)).orderBy("distance", "ei", "ni").limit(200)
-    return d.withColumn("place", F.row_number().over(Window.orderBy("distance", "ei", "ni")).cast("long"))  # of 200 rows
+    return audit.nearest_first(tiles, F.lit(20), F.lit(15))
 
 
 @query("WITH s AS (SELECT DISTINCT ei % 8 AS src, ei, ni FROM fx_tile_present) SELECT src FROM s GROUP BY src HAVING bool_and(ni % 31 < 30 OR ei % 8 < 4)", "fx_tile_present")
 def release_sources(tiles):
-    d = tiles.withColumn("src", F.col("ei") % 8).withColumn("done", (F.col("ni") % 31 < 30) | (F.col("ei") % 8 < 4))
-    return d.groupBy("src").agg(F.bool_and("done").alias("_d")).where("_d").select("src")
+    deps = tiles.withColumn("src", F.col("ei") % 8)
+    return audit.release_sources(deps, tiles.where((F.col("ni") % 31 < 30) | (F.col("ei") % 8 < 4)), ["src"])
 
 
 # ---- composites
@@ -588,17 +587,29 @@ def merge_rgb(px):
     return raster.merge_rgb(c)
 
 
-@query("""WITH k AS (SELECT i AS c, least(floor(i / 8e0 * 8e0), 7) AS t, floor((i / 8e0 * 8e0 - least(floor(i / 8e0 * 8e0), 7)) * 15 + 0.5e0) AS p FROM range(0, 9) r(i))
-SELECT CAST(floor(ei / 8e0) AS INTEGER) AS cei, CAST(floor(ni / 8e0) AS INTEGER) AS cni, CAST(x.c AS INTEGER) AS cx, CAST(y.c AS INTEGER) AS cy, round(avg(h), 9) AS h
-FROM fx_height_px, k x, k y WHERE source = 1 AND h <> 0 AND 7 - x.t = ei % 8 AND abs(x.p - pcol) <= 1 AND y.t = ni % 8 AND abs(y.p - prow) <= 1 GROUP BY ALL""", "fx_height_px")
+def _passes(start: str, key: str, row: str, col: str, n: int = 5) -> str:
+    """``n`` passes of the neighbours' fill over the rows of ``start`` (h null where missing), the last one as q{n}."""
+    out = f"q0 AS MATERIALIZED ({start})"
+    for k in range(n):
+        on = " AND ".join(f"a.{c} = b.{c}" for c in key.split(", "))
+        out += f""",
+q{k + 1} AS MATERIALIZED (SELECT {key}, {row}, {col}, coalesce(h, m) AS h FROM q{k} LEFT JOIN (SELECT {", ".join("a." + c for c in key.split(", "))}, a.{row}, a.{col}, avg(b.h) AS m FROM q{k} a JOIN q{k} b ON {on} AND abs(a.{row} - b.{row}) <= 1 AND abs(a.{col} - b.{col}) <= 1 WHERE a.h IS NULL AND b.h IS NOT NULL GROUP BY ALL) USING ({key}, {row}, {col}))"""
+    return out
+
+
+@query("""WITH k AS (SELECT i AS c, least(floor(i / 8e0 * 8e0), 7) AS t, floor((i / 8e0 * 8e0 - least(floor(i / 8e0 * 8e0), 7)) * 15 + 0.5e0) AS p FROM range(0, 9) r(i)),
+z AS (SELECT floor(ei / 8e0) AS cei, floor(ni / 8e0) AS cni, x.c AS cx, y.c AS cy, avg(h) AS h FROM fx_height_px, k x, k y WHERE source = 1 AND h <> 0 AND 7 - x.t = ei % 8 AND abs(x.p - pcol) <= 1 AND y.t = ni % 8 AND abs(y.p - prow) <= 1 GROUP BY ALL),
+l AS (SELECT cei, cni, x.c AS cx, y.c AS cy FROM (SELECT DISTINCT floor(ei / 8e0) AS cei, floor(ni / 8e0) AS cni FROM fx_height_px WHERE source = 1), k x, k y),
+""" + _passes("SELECT cei, cni, cx, cy, h FROM l LEFT JOIN z USING (cei, cni, cx, cy)", "cei, cni", "cy", "cx", 9) + """
+SELECT CAST(cei AS INTEGER) AS cei, CAST(cni AS INTEGER) AS cni, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, round(coalesce(h, 0), 8) AS h FROM q9""", "fx_height_px")
 def chunk_composite(px):
-    return rounded(raster.chunk_composite(px.where("source = 1"), PX, 9), 9, "h")
+    return rounded(raster.chunk_composite(px.where("source = 1"), PX, 9), 8, "h")
 
 
-@query("""WITH n AS (SELECT a.ei, a.ni, a.prow, a.pcol, avg(b.h) AS m FROM fx_height_px a JOIN fx_height_px b ON a.source = 0 AND b.source = 0 AND a.ei = b.ei AND a.ni = b.ni AND abs(a.prow - b.prow) <= 1 AND abs(a.pcol - b.pcol) <= 1 AND b.h <> 0 WHERE a.h = 0 GROUP BY ALL)
-SELECT ei, ni, prow, pcol, round(CASE WHEN h <> 0 THEN h ELSE coalesce(m, 0) END, 9) AS h FROM (SELECT * FROM fx_height_px WHERE source = 0) LEFT JOIN n USING (ei, ni, prow, pcol)""", "fx_height_px")
+@query(f"WITH {_passes('SELECT ei, ni, prow, pcol, CASE WHEN h <> 0 THEN h END AS h FROM fx_height_px WHERE source = 0', 'ei, ni', 'prow', 'pcol')} SELECT ei, ni, prow, pcol, round(coalesce(h, 0), 9) AS h FROM q5", "fx_height_px")
 def fill_gaps_neighbours(px):
-    return rounded(raster.fill_gaps_neighbours(px.where("source = 0"), 1), 9, "h")
+    """The twin's five passes are more than the data need; a test holds wider gaps against brute force."""
+    return rounded(raster.fill_gaps_neighbours(px.where("source = 0")), 9, "h")
 
 
 @query("""WITH t AS (SELECT e AS ax, seq * 10e0 AS ay, n AS az, e + 400 AS bx, seq * 10e0 + 5 AS b_y, n + 50 AS bz, e + 100 AS cx, seq * 10e0 + 8 AS cy, n + 300 AS cz FROM fx_line_vertex),

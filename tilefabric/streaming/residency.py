@@ -13,17 +13,25 @@ from tilefabric.operators.spatial import tiles_in_ring
 EVENTS = "track_id long, fix_id long, ei int, ni int, action string"
 
 
+def moves(fixes: DataFrame) -> DataFrame:
+    """The fixes (track_id, fix_id, ts, te, tn) that are in another tile than the one before, numbered as ``k``."""
+    track = Window.partitionBy("track_id").orderBy("ts", "fix_id")
+    f = fixes.withColumns({"_pe": F.lag("te").over(track), "_pn": F.lag("tn").over(track)})
+    f = f.where("_pe is null or _pe <> te or _pn <> tn").drop("_pe", "_pn")
+    return f.withColumn("k", F.row_number().over(track))
+
+
 def residency_batch(fixes: DataFrame, radius: int, margin: int) -> DataFrame:
     """Load and unload events over whole tracks (track_id, fix_id, ts, ei, ni as te, tn).
 
     A tile is loaded when its Chebyshev distance is at most ``radius`` and goes
     only when it is more than ``radius + margin``: between the two it keeps its
     state, so the state of a tile is the last decision, found by a window. Only
-    fixes within reach of a tile, and the next fix after each, can decide.
+    fixes within reach of a tile, and the next fix after each, can decide; fixes
+    in the tile of the fix before decide nothing and go first.
     """
     far = radius + margin
-    track = Window.partitionBy("track_id").orderBy("ts", "fix_id")
-    f = fixes.withColumn("k", F.row_number().over(track))
+    f = moves(fixes)
     d = F.sequence(F.lit(-far), F.lit(far))
     near = f.withColumn("_de", F.explode(d)).withColumn("_dn", F.explode(d))
     near = near.select("track_id", "fix_id", "k", (F.col("te") + F.col("_de")).alias("ei"), (F.col("tn") + F.col("_dn")).alias("ni"), F.greatest(F.abs("_de"), F.abs("_dn")).alias("dist"))
@@ -65,7 +73,7 @@ def lod_changes_batch(fixes: DataFrame, radius: int) -> DataFrame:
     Fixes are (track_id, fix_id, ts, te, tn). A tile that was out of the radius at
     the fix before has no level to change.
     """
-    f = fixes.withColumn("k", F.row_number().over(Window.partitionBy("track_id").orderBy("ts", "fix_id")))
+    f = moves(fixes)
     ring = tiles_in_ring(f.withColumnsRenamed({"te": "ei", "tn": "ni"}), radius, ["track_id", "fix_id", "k"], lambda d: lod_for_distance(d, radius))
     w = Window.partitionBy("track_id", "ei", "ni").orderBy("k")
     ring = ring.withColumns({"k0": F.lag("k").over(w), "old_lod": F.lag("lod").over(w)}).where("k0 = k - 1 and lod <> old_lod")
