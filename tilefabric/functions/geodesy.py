@@ -55,28 +55,45 @@ def ecef_to_geodetic(df: DataFrame, x="x", y="y", z="z", ell=WGS84, out=("lat",
     return staged(df, **{out[0]: "degrees(_p)", out[1]: f"degrees(atan2({y}, {x}))", out[2]: "_h"}).drop("_r", "_p", "_n", "_h", "_q")
 
 
-def wgs84_to_lv95(df: DataFrame, lat="lat", lon="lon", e="e", n="n") -> DataFrame:
-    """Adds LV95 coordinates; the ellipsoidal height is taken as 0."""
+def wgs84_to_ch1903plus(df: DataFrame, lat="lat", lon="lon", out=("ch_lat", "ch_lon")) -> DataFrame:
+    """Datum shift to the Bessel ellipsoid; the ellipsoidal height is taken as 0."""
     df = geodetic_to_ecef(df, lat, lon, "0D", WGS84, ("_x", "_y", "_z"))
     df = staged(df, _x=f"_x - {SHIFT[0]}D", _y=f"_y - {SHIFT[1]}D", _z=f"_z - {SHIFT[2]}D")
-    df = ecef_to_geodetic(df, "_x", "_y", "_z", BESSEL, ("_lat", "_lon", "_hh"))
-    df = staged(df, _f="radians(_lat)", _s=f"{ALPHA!r}D * ln(tan({pi / 4!r}D + _f / 2)) - {ALPHA * _E / 2!r}D * ln((1 + {_E!r}D * sin(_f)) / (1 - {_E!r}D * sin(_f))) + {K!r}D", _b=f"2 * (atan(exp(_s)) - {pi / 4!r}D)", _d=f"{ALPHA!r}D * (radians(_lon) - {LAM0!r}D)")
+    return ecef_to_geodetic(df, "_x", "_y", "_z", BESSEL, (*out, "_hh")).drop("_x", "_y", "_z", "_hh")
+
+
+def ch1903plus_to_wgs84(df: DataFrame, lat="ch_lat", lon="ch_lon", out=("lat", "lon")) -> DataFrame:
+    df = geodetic_to_ecef(df, lat, lon, "0D", BESSEL, ("_x", "_y", "_z"))
+    df = staged(df, _x=f"_x + {SHIFT[0]}D", _y=f"_y + {SHIFT[1]}D", _z=f"_z + {SHIFT[2]}D")
+    return ecef_to_geodetic(df, "_x", "_y", "_z", WGS84, (*out, "_hh")).drop("_x", "_y", "_z", "_hh")
+
+
+def ch1903plus_to_lv95(df: DataFrame, lat="ch_lat", lon="ch_lon", e="e", n="n") -> DataFrame:
+    """Swiss oblique Mercator."""
+    sphere = f"{ALPHA!r}D * ln(tan({pi / 4!r}D + _f / 2)) - {ALPHA * _E / 2!r}D * ln((1 + {_E!r}D * sin(_f)) / (1 - {_E!r}D * sin(_f))) + {K!r}D"
+    df = staged(df, _f=f"radians({lat})", _s=sphere, _b=f"2 * (atan(exp(_s)) - {pi / 4!r}D)", _d=f"{ALPHA!r}D * (radians({lon}) - {LAM0!r}D)")
     df = staged(df, _lb=f"atan2(sin(_d), {sin(B0)!r}D * tan(_b) + {cos(B0)!r}D * cos(_d))", _bb=f"asin({cos(B0)!r}D * sin(_b) - {sin(B0)!r}D * cos(_b) * cos(_d))")
     df = staged(df, **{e: f"{R!r}D * _lb + 2600000D", n: f"{R / 2!r}D * ln((1 + sin(_bb)) / (1 - sin(_bb))) + 1200000D"})
-    return df.drop("_x", "_y", "_z", "_lat", "_lon", "_hh", "_f", "_s", "_b", "_d", "_lb", "_bb")
+    return df.drop("_f", "_s", "_b", "_d", "_lb", "_bb")
 
 
-def lv95_to_wgs84(df: DataFrame, e="e", n="n", lat="lat", lon="lon", steps: int = 5) -> DataFrame:
+def lv95_to_ch1903plus(df: DataFrame, e="e", n="n", out=("ch_lat", "ch_lon"), steps: int = 5) -> DataFrame:
     df = staged(df, _lb=f"({e} - 2600000D) / {R!r}D", _bb=f"2 * (atan(exp(({n} - 1200000D) / {R!r}D)) - {pi / 4!r}D)")
     df = staged(df, _b=f"asin({cos(B0)!r}D * sin(_bb) + {sin(B0)!r}D * cos(_bb) * cos(_lb))", _l=f"atan2(sin(_lb), {cos(B0)!r}D * cos(_lb) - {sin(B0)!r}D * tan(_bb))", _f="_b")
     df = staged(df, _s0=f"(ln(tan({pi / 4!r}D + _b / 2)) - {K!r}D) / {ALPHA!r}D")
     for _ in range(steps):
         df = staged(df, _s=f"_s0 + {_E!r}D * ln(tan({pi / 4!r}D + asin({_E!r}D * sin(_f)) / 2))", _f=f"2 * atan(exp(_s)) - {pi / 2!r}D")
-    df = staged(df, _lat="degrees(_f)", _lon=f"degrees({LAM0!r}D + _l / {ALPHA!r}D)")
-    df = geodetic_to_ecef(df, "_lat", "_lon", "0D", BESSEL, ("_x", "_y", "_z"))
-    df = staged(df, _x=f"_x + {SHIFT[0]}D", _y=f"_y + {SHIFT[1]}D", _z=f"_z + {SHIFT[2]}D")
-    df = ecef_to_geodetic(df, "_x", "_y", "_z", WGS84, (lat, lon, "_hh"))
-    return df.drop("_lb", "_bb", "_b", "_l", "_f", "_s0", "_s", "_lat", "_lon", "_x", "_y", "_z", "_hh")
+    df = staged(df, **{out[0]: "degrees(_f)", out[1]: f"degrees({LAM0!r}D + _l / {ALPHA!r}D)"})
+    return df.drop("_lb", "_bb", "_b", "_l", "_f", "_s0", "_s")
+
+
+def wgs84_to_lv95(df: DataFrame, lat="lat", lon="lon", e="e", n="n") -> DataFrame:
+    """Adds LV95 coordinates; the ellipsoidal height is taken as 0."""
+    return ch1903plus_to_lv95(wgs84_to_ch1903plus(df, lat, lon, ("_la", "_lo")), "_la", "_lo", e, n).drop("_la", "_lo")
+
+
+def lv95_to_wgs84(df: DataFrame, e="e", n="n", lat="lat", lon="lon") -> DataFrame:
+    return ch1903plus_to_wgs84(lv95_to_ch1903plus(df, e, n, ("_la", "_lo")), "_la", "_lo", (lat, lon)).drop("_la", "_lo")
 
 
 def _krueger() -> tuple[float, float, tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
@@ -111,15 +128,89 @@ def utm_to_wgs84(df: DataFrame, zone: int = 32, e="ue", n="un", lat="lat", lon="
 
 
 def utm32_to_lv95(df: DataFrame, ue="ue", un="un", e="e", n="n") -> DataFrame:
-    ll = settled(utm_to_wgs84(df, 32, ue, un, "_la", "_lo"), "_la", "_lo")
-    return settled(wgs84_to_lv95(ll, "_la", "_lo", e, n).drop("_la", "_lo"), e, n)
+    ll = settled(utm_to_wgs84(df, 32, ue, un, "_ga", "_go"), "_ga", "_go")
+    return settled(wgs84_to_lv95(ll, "_ga", "_go", e, n).drop("_ga", "_go"), e, n)
 
 
 def lv95_to_utm32(df: DataFrame, e="e", n="n", ue="ue", un="un") -> DataFrame:
-    ll = settled(lv95_to_wgs84(df, e, n, "_la", "_lo"), "_la", "_lo")
-    return settled(wgs84_to_utm(ll, 32, "_la", "_lo", ue, un).drop("_la", "_lo"), ue, un)
+    ll = settled(lv95_to_wgs84(df, e, n, "_ga", "_go"), "_ga", "_go")
+    return settled(wgs84_to_utm(ll, 32, "_ga", "_go", ue, un).drop("_ga", "_go"), ue, un)
 
 
 def utm_zone(lon):
     """Zone of a longitude column, 1..60."""
     return F.least(F.lit(60), F.greatest(F.lit(1), F.floor((lon + 180) / 6).cast("int") + 1))
+
+
+def convergence(df: DataFrame, lat="lat", lon="lon", out="convergence", to_grid=wgs84_to_lv95, step: float = 1e-4) -> DataFrame:
+    """Adds the bearing of true north from grid north in degrees, from a short step to the north.
+
+    ``to_grid(df, lat, lon, e, n)`` adds coordinates of those names.
+    """
+    for k, sign in enumerate("-+"):
+        df = to_grid(df.withColumn("_at", F.expr(f"{lat} {sign} {step!r}D")), "_at", lon, f"_e{k}", f"_n{k}")
+        df = settled(df, f"_e{k}", f"_n{k}")
+    return staged(df, **{out: "degrees(atan2(_e1 - _e0, _n1 - _n0))"}).drop("_at", "_e0", "_n0", "_e1", "_n1")
+
+
+def grid_to_ecef(df: DataFrame, e="e", n="n", h="h", out=("x", "y", "z")) -> DataFrame:
+    """Geocentric position of a grid point at a height, which counts as ellipsoidal."""
+    ll = settled(lv95_to_wgs84(df, e, n, "_ga", "_go"), "_ga", "_go")
+    return geodetic_to_ecef(ll, "_ga", "_go", h, WGS84, out).drop("_ga", "_go")
+
+
+def ecef_to_grid(df: DataFrame, x="x", y="y", z="z", e="e", n="n", h="h") -> DataFrame:
+    """The grid point under a geocentric position, and its height (the world height)."""
+    ll = settled(ecef_to_geodetic(df, x, y, z, WGS84, ("_ga", "_go", h)), "_ga", "_go", h)
+    return wgs84_to_lv95(ll, "_ga", "_go", e, n).drop("_ga", "_go")
+
+
+def wun_axes(df: DataFrame, e="e", n="n", out=("west", "up", "north")) -> DataFrame:
+    """Unit vectors (arrays x, y, z) to the west, up and to the north at a grid point."""
+    df = settled(lv95_to_wgs84(df, e, n, "_ga", "_go"), "_ga", "_go")
+    df = staged(df, _sl="sin(radians(_ga))", _cl="cos(radians(_ga))", _so="sin(radians(_go))", _co="cos(radians(_go))")
+    return staged(df, **{out[0]: "array(_so, -_co, 0D)", out[1]: "array(_cl * _co, _cl * _so, _sl)", out[2]: "array(-_sl * _co, -_sl * _so, _cl)"}).drop("_ga", "_go", "_sl", "_cl", "_so", "_co")
+
+
+def grid_scale_at(df: DataFrame, e="e", n="n", out=("xx", "xz", "zx", "zz"), step: float = 100.0) -> DataFrame:
+    """What a metre of grid is in true metres west and north: columns (xx, xz) of a step west and (zx, zz) of a step north.
+
+    Numerical, over ``step`` metres; the part along the vertical is left out.
+    """
+    df = df.withColumns({"_zero": F.lit(0.0), "_e1": F.expr(f"{e} + {step!r}D"), "_n1": F.expr(f"{n} + {step!r}D")})
+    for k, (a, b) in enumerate(((e, n), ("_e1", n), (e, "_n1"))):
+        df = settled(grid_to_ecef(df, a, b, "_zero", (f"_x{k}", f"_y{k}", f"_z{k}")), f"_x{k}", f"_y{k}", f"_z{k}")
+    df = settled(wun_axes(df, e, n, ("_w", "_u", "_v")), "_w", "_v").drop("_u")
+    along = lambda k, axis, sign: sign + "(" + " + ".join(f"(_{c}{k} - _{c}0) * {axis}[{i}]" for i, c in enumerate("xyz")) + f") / {step!r}D"
+    df = staged(df, **{out[0]: along(1, "_w", "-"), out[1]: along(1, "_v", "-"), out[2]: along(2, "_w", ""), out[3]: along(2, "_v", "")})
+    return df.drop("_zero", "_e1", "_n1", "_w", "_v", *(f"_{c}{k}" for c in "xyz" for k in range(3)))
+
+
+def wgs84_to_world(df: DataFrame, lat="lat", lon="lon", h="h", mode="flat", origin=(2_600_000.0, 1_200_000.0), out=("x", "y", "z")) -> DataFrame:
+    """World position: ``flat`` with x to the west of the origin, y up and z to the north, or ``ecef``."""
+    df = settled(wgs84_to_lv95(df, lat, lon, "_we", "_wn"), "_we", "_wn")
+    if mode == "ecef":
+        return grid_to_ecef(df, "_we", "_wn", h, out).drop("_we", "_wn")
+    return staged(df, **{out[0]: f"{origin[0]!r}D - _we", out[1]: h, out[2]: f"_wn - {origin[1]!r}D"}).drop("_we", "_wn")
+
+
+def world_to_wgs84(df: DataFrame, x="x", y="y", z="z", mode="flat", origin=(2_600_000.0, 1_200_000.0), out=("lat", "lon", "h")) -> DataFrame:
+    """The inverse; the height is that above the ellipsoid in both modes."""
+    if mode == "ecef":
+        df = settled(ecef_to_grid(df, x, y, z, "_we", "_wn", out[2]), "_we", "_wn", out[2])
+    else:
+        df = staged(df, _we=f"{origin[0]!r}D - {x}", _wn=f"{z} + {origin[1]!r}D", **{out[2]: y})
+    return lv95_to_wgs84(df, "_we", "_wn", out[0], out[1]).drop("_we", "_wn")
+
+
+def transform_bbox(boxes: DataFrame, keys: list[str], to, box=("left", "bottom", "right", "top"), densify: int = 21, pad: float = 0.0) -> DataFrame:
+    """The boxes (keys, left, bottom, right, top) around the reprojected outlines of ``boxes``, ``pad`` wider on each side.
+
+    ``densify`` points divide each edge; ``to`` adds te and tn to columns fe and fn.
+    """
+    l, b, r, t = (F.col(c) for c in box)
+    k = F.col("_k") / float(densify + 1)
+    edges = F.array(*(F.struct(x.alias("fe"), y.alias("fn")) for x, y in ((l + (r - l) * k, b), (l + (r - l) * k, t), (l, b + (t - b) * k), (r, b + (t - b) * k))))
+    p = boxes.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(densify + 1)))).select(*keys, F.explode(edges).alias("p")).select(*keys, "p.fe", "p.fn")
+    out = to(p).groupBy(*keys).agg(F.min("te").alias("_l"), F.min("tn").alias("_b"), F.max("te").alias("_r"), F.max("tn").alias("_t"))
+    return out.select(*keys, (F.col("_l") - pad).alias(box[0]), (F.col("_b") - pad).alias(box[1]), (F.col("_r") + pad).alias(box[2]), (F.col("_t") + pad).alias(box[3]))

@@ -67,6 +67,11 @@ def ortho_pixels(lod: Column) -> Column:
     return F.when(lod >= 7, 64).when(lod >= 5, 256).otherwise(1024)
 
 
+def ortho_mip(lod: Column) -> Column:
+    """Which level of the colour pyramid a level of detail reads: the smallest from 7 on, else the full one."""
+    return F.when(lod >= 7, 2).otherwise(0)
+
+
 def chunk_resolution(d: Column, current: Column, slack: int = 4) -> Column:
     """Samples of a chunk by distance; a change waits until the distance is ``slack`` tiles past the border."""
     plain = lambda x: F.when(x <= 32, 129).when(x <= 64, 65).otherwise(33)
@@ -140,3 +145,20 @@ def tile_file_name(ei: Column, ni: Column, size: int = 1024) -> Column:
 def parse_tile_name(name: Column) -> tuple[Column, Column]:
     part = lambda k: F.regexp_extract(name, r"tile_(-?\d+)_(-?\d+)", k).try_cast("long")
     return part(1), part(2)
+
+
+def parse_cell_name(name: Column) -> tuple[Column, Column]:
+    """(e_km, n_km) of a source cell's file name, as in ``.._32_495_5288_2_bw.zip``."""
+    part = lambda k: F.regexp_extract(name, r"_32_(\d+)_(\d+)_2_bw", k).try_cast("int")
+    return part(1), part(2)
+
+
+def parse_lod_tile_id(stem: Column) -> Column:
+    """Parts 3 and 4 of a name of five or more parts that starts with ``lod``; else the name itself."""
+    parts = F.split(stem, "_")
+    return F.when((F.size(parts) >= 5) & F.lower(stem).startswith("lod"), F.concat_ws("_", F.get(parts, F.lit(2)), F.get(parts, F.lit(3)))).otherwise(stem)
+
+
+def source_url(base: str, pattern: str, e_km: Column, n_km: Column) -> Column:
+    """Where a source cell's archive is; ``pattern`` has two %d."""
+    return F.format_string(f"{base}/{pattern}.zip", e_km, n_km)

@@ -9,7 +9,8 @@ from tilefabric.functions.grid import chebyshev, snap_cell, tile_of
 
 
 def grid_tiles(bounds: DataFrame, names=("e0", "n0", "e1", "n1"), out=("ei", "ni"), step: int = 1) -> DataFrame:
-    """All (ei, ni) of index ranges, both ends included."""
+    """All (ei, ni) of index ranges, both ends included; none of a range that ends before it begins."""
+    bounds = bounds.where((F.col(names[0]) <= F.col(names[2])) & (F.col(names[1]) <= F.col(names[3])))
     g = bounds.select(F.explode(F.sequence(F.col(names[0]), F.col(names[2]), F.lit(step))).alias(out[0]), names[1], names[3])
     g = g.repartition(out[0])  # the bounds are one row: columns go to several tasks before they become cells
     return g.select(out[0], F.explode(F.sequence(F.col(names[1]), F.col(names[3]), F.lit(step))).alias(out[1]))
@@ -19,9 +20,11 @@ def extent(tiles: DataFrame) -> DataFrame:
     return tiles.agg(F.min("ei").alias("e0"), F.min("ni").alias("n0"), F.max("ei").alias("e1"), F.max("ni").alias("n1"))
 
 
-def missing_tiles(present: DataFrame) -> DataFrame:
-    """Grid places inside the extent without a tile."""
-    return grid_tiles(extent(present)).join(present, ["ei", "ni"], "left_anti")
+def missing_tiles(present: DataFrame, bounds: DataFrame | None = None, shrink: int = 0) -> DataFrame:
+    """Grid places inside ``bounds`` (e0, n0, e1, n1; else the tiles' own extent, ``shrink`` tiles less on each side) without a tile."""
+    if bounds is None:
+        bounds = extent(present).select((F.col("e0") + shrink).alias("e0"), (F.col("n0") + shrink).alias("n0"), (F.col("e1") - shrink).alias("e1"), (F.col("n1") - shrink).alias("n1"))
+    return grid_tiles(bounds).join(present, ["ei", "ni"], "left_anti")
 
 
 def last_status(probes: DataFrame) -> DataFrame:
@@ -179,7 +182,7 @@ def lattice_cells(bounds: DataFrame, inclusive: bool = True) -> DataFrame:
     """
     last = lambda c: F.col(c) if inclusive else F.col(c) - 1
     b = bounds.select((F.col("e0") + F.when(F.pmod("e0", F.lit(2)) == 0, 1).otherwise(0)).alias("e0"), (F.col("n0") + F.pmod("n0", F.lit(2))).alias("n0"), last("e1").alias("e1"), last("n1").alias("n1"))
-    return grid_tiles(b.where("e0 <= e1 and n0 <= n1"), out=("e_km", "n_km"), step=2)
+    return grid_tiles(b, out=("e_km", "n_km"), step=2)
 
 
 def cells_to_tiles(cells: DataFrame, from_source, lattice: int = 5, size: float = 1024.0) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tilefabric.functions.grid import hash32
+from tilefabric.functions.grid import hash32, tile_of
+
+from . import raster
 
 U32 = float(1 << 32)
 
@@ -59,13 +62,67 @@ def keep_by_hash(a: Column, b: Column, fraction: float) -> Column:
     return hash32(a, b) <= int(fraction * U32)
 
 
-def tree_grid(polys: DataFrame, step: float) -> DataFrame:
-    """Candidate trees on a jittered grid over each polygon's box (poly_id, x0, y0, x1, y1)."""
-    s = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
-    g = polys.withColumn("i", F.explode(s("x0", "x1"))).withColumn("j", F.explode(s("y0", "y1")))
-    h = hash32(F.col("i"), F.col("j"))
-    g = g.withColumn("hash", h)
-    return g.select("poly_id", "i", "j", "hash", ((F.col("i") + (F.col("hash") % 1024) / 1024.0) * step).alias("e"), ((F.col("j") + (F.floor(F.col("hash") / 1024) % 1024) / 1024.0) * step).alias("n"))
+def tree_grid(polys: DataFrame) -> DataFrame:
+    """Candidate trees on a jittered grid over each polygon's box (poly_id, x0, y0, x1, y1), 1 / sqrt(density) apart."""
+    p = polys.withColumn("step", 1 / F.sqrt("density"))
+    s = lambda a, b: F.sequence(F.floor(F.col(a) / F.col("step")).cast("long"), F.floor(F.col(b) / F.col("step")).cast("long"))
+    g = p.withColumn("i", F.explode(s("x0", "x1"))).withColumn("j", F.explode(s("y0", "y1")))
+    g = g.withColumn("hash", hash32(F.col("i"), F.col("j")))
+    shift = lambda c: (c % 1024) / 1024.0
+    return g.select("poly_id", "i", "j", "hash", ((F.col("i") + shift(F.col("hash"))) * F.col("step")).alias("e"), ((F.col("j") + shift(F.floor(F.col("hash") / 1024))) * F.col("step")).alias("n"))
+
+
+def tree_height(base: Column, u: Column) -> Column:
+    """A tree's height from its stand's height and a share 0..1."""
+    return base * (0.75 + 0.5 * u)
+
+
+def crown_radius(height: Column) -> Column:
+    return height * 0.30
+
+
+def pick_species(hash_: Column, z: Column, hint: Column, conifers: list[bool]) -> Column:
+    """Number of a tree's species in a table of which ``conifers`` tells the kind.
+
+    A hint (1 conifer, 0 not) decides the kind, else the altitude's probability;
+    the hash picks within the kind, or of all where the table has none of it.
+    """
+    if len(conifers) <= 1:
+        return F.lit(0)
+    pool = lambda kind: F.array(*map(F.lit, [i for i, c in enumerate(conifers) if c == kind] or range(len(conifers))))
+    low, high = hash_.bitwiseAND(F.lit(0xFFFF)), F.shiftright(hash_, 16)
+    conifer = F.when(hint == 1, True).when(hint == 0, False).otherwise(low / 65535.0 < conifer_probability(z))
+    chosen = F.when(conifer, pool(True)).otherwise(pool(False))
+    return F.get(chosen, (high % F.size(chosen)).cast("int"))
+
+
+def tree_stats(trees: DataFrame, tile: list[str]) -> DataFrame:
+    """Per tile of trees (species, conifer, height, ground_z, snapped): counts by species, kinds and heights by altitude.
+
+    ``species`` maps a species' number to its trees; shares and means of no trees are null.
+    """
+    z, h = F.col("ground_z"), F.col("height")
+    share = lambda cond: F.count_if(cond & F.col("conifer")) / F.nullif(F.count_if(cond), F.lit(0))
+    by = trees.groupBy(*tile, "species").agg(F.count("*").alias("_n")).groupBy(*tile).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("species", "_n")))).alias("species"))
+    out = trees.groupBy(*tile).agg(
+        F.count("*").alias("trees"), F.min(h).alias("min_height"), F.max(h).alias("max_height"),
+        share(z < 700).alias("low_conifers"), share(z > 1300).alias("high_conifers"),
+        F.avg(F.when(z < 700, h)).alias("low_height"), F.avg(F.when(z > 1900, h)).alias("alpine_height"),
+        F.min(z).alias("ground_min"), F.max(z).alias("ground_max"), F.count_if("snapped").alias("snapped"),
+    )
+    return out.join(by, tile)
+
+
+def snap_trees(trees: DataFrame, fine: DataFrame, coarse: DataFrame, keys: list[str], px: int) -> DataFrame:
+    """Trees (keys, e, n, ground_z) on the terrain, from the finer raster or the coarser; else they keep the record's ground.
+
+    Adds ``snapped``, and ``pending``: the tree's own tile is in neither raster.
+    """
+    h = raster.sample_height_any(trees, fine, coarse, keys, px)
+    tile = [tile_of(F.col(c)).alias(t) for c, t in (("e", "ei"), ("n", "ni"))]
+    there = fine.select("ei", "ni").union(coarse.select("ei", "ni")).distinct().withColumn("_there", F.lit(True))
+    t = trees.join(h, keys).select(*trees.columns, "h", *tile).join(there, ["ei", "ni"], "left")
+    return t.select(*(c for c in trees.columns if c != "ground_z"), F.coalesce("h", "ground_z").alias("ground_z"), F.col("h").isNotNull().alias("snapped"), F.col("_there").isNull().alias("pending"))
 
 
 def conifer_probability(z: Column) -> Column:
@@ -83,8 +140,8 @@ def thin_every_nth(trees: DataFrame, fraction: float, key: list[str], order: lis
 
 
 def drop_overtilted(tris: DataFrame, most: float = 50.0) -> DataFrame:
-    """Triangles (ay, by, cy) whose height span is at most ``most``."""
-    return tris.where(F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy") <= most)
+    """Triangles (ay, by, cy) whose height span is at most ``most``; those with a corner missing (a bad index) go."""
+    return tris.where((F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy") <= most) & F.col("ay").isNotNull() & F.col("by").isNotNull() & F.col("cy").isNotNull())
 
 
 def drop_structures(surfaces: DataFrame) -> DataFrame:
@@ -92,14 +149,37 @@ def drop_structures(surfaces: DataFrame) -> DataFrame:
     return surfaces.where(~F.col("kind").isin(7, 14, 15, 17))
 
 
-def building_stats(faces: DataFrame, size: float) -> DataFrame:
-    """Per tile of the building's centre: buildings and the triangles of their walls and roofs (a ring's corners less two)."""
-    normal = newell(faces, ["building_id", "face"]).select("building_id", "face", "nz")
-    count = faces.groupBy("building_id", "face").agg((F.count("*") - 2).alias("tris"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    kind = lambda cond: F.sum(F.when(cond, F.col("tris")).otherwise(0))
-    b = count.join(normal, ["building_id", "face"]).groupBy("building_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), kind(F.col("nz") > 0.5).alias("roof"), kind(F.abs("nz") <= 0.5).alias("wall"))
-    tile = [F.floor(F.col(a) / size).cast("int").alias(b) for a, b in (("x", "ei"), ("y", "ni"))]
-    return b.groupBy(*tile).agg(F.count("*").alias("buildings"), F.sum("roof").alias("roof_triangles"), F.sum("wall").alias("wall_triangles"))
+def oriented_faces(faces: DataFrame) -> DataFrame:
+    """Faces (building_id, face; seq, x, y, z) with a unit normal away from the building's centroid, and ``roof`` or ``wall``.
+
+    A roof's normal points up by more than 0.5; everything else is wall.
+    """
+    middle = faces.groupBy("building_id", "face").agg(*(F.avg(c).alias(f"_{c}") for c in "xyz"))
+    centre = faces.groupBy("building_id").agg(*(F.avg(c).alias(f"_c{c}") for c in "xyz"))
+    n = newell(faces, ["building_id", "face"]).join(middle, ["building_id", "face"]).join(centre, "building_id")
+    away = sum((F.col(f"n{c}") * (F.col(f"_{c}") - F.col(f"_c{c}")) for c in "yz"), F.col("nx") * (F.col("_x") - F.col("_cx")))
+    sign = F.when(away < 0, -1.0).otherwise(1.0)
+    n = n.select("building_id", "face", *((F.col(f"n{c}") * sign).alias(f"n{c}") for c in "xyz"), "area")
+    return n.withColumn("part", F.when(F.col("nz") > 0.5, "roof").otherwise("wall"))
+
+
+def building_stats(faces: DataFrame, size: float, least: float = 1.0) -> DataFrame:
+    """Per tile of the buildings' mean corner: buildings, triangles of their walls and roofs, and the buildings left out.
+
+    Faces are (building_id, surface, face, seq, x, y, z) and perhaps ring_no, 0
+    outer. A face has as many triangles as corners, less two, and two more for
+    each hole. Buildings of walls and roofs none are empty; those whose box covers
+    less than ``least`` square metres are tiny.
+    """
+    f = faces if "ring_no" in faces.columns else faces.withColumn("ring_no", F.lit(0))
+    f = f.groupBy("building_id", "surface", "face").agg((F.count("*") - 2 + 2 * F.max("ring_no")).alias("tris"), F.count("*").alias("_n"), *(F.sum(c).alias(f"_s{c}") for c in "xy"), *(g(c).alias(f"_{k}{c}") for c in "xy" for k, g in (("a", F.min), ("b", F.max))))
+    kind = lambda k: F.sum(F.when(F.col("surface") == k, F.col("tris")).otherwise(0))
+    b = f.groupBy("building_id").agg(*((F.sum(f"_s{c}") / F.sum("_n")).alias(c) for c in "xy"), ((F.max("_bx") - F.min("_ax")) * (F.max("_by") - F.min("_ay"))).alias("_area"), kind("roof").alias("roof"), kind("wall").alias("wall"))
+    empty = F.col("roof") + F.col("wall") == 0
+    b = b.withColumns({"_empty": empty, "_tiny": ~empty & (F.col("_area") < least)}).withColumn("_ok", ~F.col("_empty") & ~F.col("_tiny"))
+    tile = [F.floor(F.col(a) / size).cast("int").alias(t) for a, t in (("x", "ei"), ("y", "ni"))]
+    total = lambda c: F.sum(F.when(F.col("_ok"), F.col(c)).otherwise(0))
+    return b.groupBy(*tile).agg(F.count_if("_ok").alias("buildings"), total("roof").alias("roof_triangles"), total("wall").alias("wall_triangles"), F.count_if("_empty").alias("skipped_empty"), F.count_if("_tiny").alias("skipped_tiny"))
 
 
 def weld_vertices(faces: DataFrame, places: int = 4) -> DataFrame:
@@ -143,12 +223,32 @@ def classify_water(tags: Column) -> Column:
 
 
 def zones_for(zones: DataFrame, kind: str) -> DataFrame:
-    """Zones whose ``kinds`` hold ``kind`` or ``all``; circles without a radius and polygons of fewer than three points go."""
+    """Zones whose ``kinds`` hold ``kind`` or ``all``; circles without a radius and polygons of fewer than three points go.
+
+    ``kinds`` is an array, or a text (separated by commas, say) that is searched.
+    """
     whole = F.col("r").isNotNull() & F.col("e").isNotNull() & F.col("n").isNotNull() | (F.size(F.coalesce("ring", F.array())) >= 3)
-    return zones.where((F.array_contains("kinds", kind) | F.array_contains("kinds", "all")) & whole)
+    if isinstance(zones.schema["kinds"].dataType, T.StringType):
+        fits = F.contains("kinds", F.lit(kind)) | F.contains("kinds", F.lit("all"))
+    else:
+        fits = F.array_contains("kinds", kind) | F.array_contains("kinds", "all")
+    return zones.where(fits & whole)
+
+
+#: The land-use classes that are forest.
+FOREST = ("Wald", "Gehoelz", "Wald_offen", "Wald offen")
+
+
+def filter_landuse(polygons: DataFrame, kind: str = "objektart") -> DataFrame:
+    """Polygons of a forest class."""
+    return polygons.where(F.col(kind).isin(*FOREST))
 
 
-def drop_degenerate(tris: DataFrame) -> DataFrame:
-    """Triangles (ax, az .. cz) with a plan area whose square is at least 1e-3."""
+def drop_degenerate(tris: DataFrame, corners: list[str] = ()) -> DataFrame:
+    """Triangles (ax, az .. cz) with a plan area whose square is at least 1e-3, and no corner twice if their indexes are given."""
     area = (F.col("bx") - F.col("ax")) * (F.col("cz") - F.col("az")) - (F.col("cx") - F.col("ax")) * (F.col("bz") - F.col("az"))
-    return tris.where(area * area >= 1e-3)
+    out = tris.where(area * area >= 1e-3)
+    if corners:
+        a, b, c = (F.col(k) for k in corners)
+        out = out.where((a != b) & (b != c) & (a != c))
+    return out

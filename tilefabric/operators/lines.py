@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilefabric.functions.grid import tile_of
+from tilefabric.functions.grid import sag, tile_of
 
-#: Widths in metres by class.
-WIDTHS = {"motorway": 24.0, "motorway_link": 10.0, "trunk": 16.0, "trunk_link": 8.0, "primary": 12.0, "primary_link": 6.0, "secondary": 9.0, "secondary_link": 5.0, "tertiary": 7.0, "tertiary_link": 4.0, "unclassified": 5.0, "residential": 5.0, "living_street": 4.0, "service": 3.5, "railway:rail": 3.0, "railway:light_rail": 2.5, "railway:tram": 2.0, "railway:subway": 2.5}
+#: By class, the width in metres, the colour (red, green, blue) and the priority.
+CLASSES = {
+    "motorway": (24.0, (0.55, 0.55, 0.57), 10), "motorway_link": (10.0, (0.55, 0.55, 0.57), 9),
+    "trunk": (16.0, (0.62, 0.60, 0.58), 9), "trunk_link": (8.0, (0.62, 0.60, 0.58), 8),
+    "primary": (12.0, (0.72, 0.66, 0.58), 8), "primary_link": (6.0, (0.72, 0.66, 0.58), 7),
+    "secondary": (9.0, (0.76, 0.72, 0.66), 7), "secondary_link": (5.0, (0.76, 0.72, 0.66), 6),
+    "tertiary": (7.0, (0.78, 0.74, 0.70), 6), "tertiary_link": (4.0, (0.78, 0.74, 0.70), 5),
+    "unclassified": (5.0, (0.78, 0.76, 0.72), 5), "residential": (5.0, (0.80, 0.78, 0.74), 4),
+    "living_street": (4.0, (0.82, 0.80, 0.76), 3), "service": (3.5, (0.74, 0.74, 0.74), 3),
+    "railway:rail": (3.0, (0.30, 0.30, 0.30), 8), "railway:light_rail": (2.5, (0.38, 0.38, 0.38), 7),
+    "railway:tram": (2.0, (0.42, 0.42, 0.42), 6), "railway:subway": (2.5, (0.28, 0.32, 0.38), 7),
+}
+TUNNEL = ("yes", "true", "1")
 
 
 def by_line() -> Window:
@@ -32,9 +43,12 @@ def densify(v: DataFrame, most: float) -> DataFrame:
     return s.unionByName(last)
 
 
-def ribbon(v: DataFrame, half: float, cap: float = 2.5) -> DataFrame:
-    """Left and right edge points of a strip of half width ``half``, with mitred joins capped at ``cap`` half widths."""
-    w = by_line()
+def ribbon(v: DataFrame, half: float | Column, cap: float = 2.5, line=("line_id",), keep=()) -> DataFrame:
+    """Left and right edge points of a strip of half width ``half`` (a number or a column), with mitred joins capped at ``cap`` half widths.
+
+    ``line`` names the columns that tell lines apart; the columns ``keep`` stay.
+    """
+    w = Window.partitionBy(*line).orderBy("seq")
     d = v.withColumns({"de": F.lead("e").over(w) - F.col("e"), "dn": F.lead("n").over(w) - F.col("n")})
     d = d.withColumn("_l", F.sqrt(F.col("de") * F.col("de") + F.col("dn") * F.col("dn"))).withColumns({"t1e": F.col("de") / F.nullif("_l", F.lit(0.0)), "t1n": F.col("dn") / F.nullif("_l", F.lit(0.0))})
     d = d.withColumns({"t0e": F.lag("t1e").over(w), "t0n": F.lag("t1n").over(w)})
@@ -43,7 +57,7 @@ def ribbon(v: DataFrame, half: float, cap: float = 2.5) -> DataFrame:
     d = d.withColumns({"oe": F.when(F.col("sharp"), -F.col("an") * half).otherwise((-F.col("an") - F.col("bn")) * half / F.when(~F.col("sharp"), F.col("k"))), "on": F.when(F.col("sharp"), F.col("ae") * half).otherwise((F.col("ae") + F.col("be")) * half / F.when(~F.col("sharp"), F.col("k")))})
     d = d.withColumn("_m", F.sqrt(F.col("oe") * F.col("oe") + F.col("on") * F.col("on"))).withColumn("_s", F.when(F.col("_m") > cap * half, cap * half / F.col("_m")).otherwise(1.0))
     o = lambda sign, a, b: F.col(a) + sign * F.col(b) * F.col("_s")
-    return d.select("line_id", "seq", o(1, "e", "oe").alias("left_e"), o(1, "n", "on").alias("left_n"), o(-1, "e", "oe").alias("right_e"), o(-1, "n", "on").alias("right_n"))
+    return d.select(*line, "seq", *keep, o(1, "e", "oe").alias("left_e"), o(1, "n", "on").alias("left_n"), o(-1, "e", "oe").alias("right_e"), o(-1, "n", "on").alias("right_n"))
 
 
 def split_at_tiles(v: DataFrame, size: float) -> DataFrame:
@@ -64,10 +78,21 @@ def split_at_tiles(v: DataFrame, size: float) -> DataFrame:
     return s.select("line_id", "seq", "part", tile_of((F.col("a") + F.col("c")) / 2, size).alias("ei"), tile_of((F.col("b") + F.col("d")) / 2, size).alias("ni"), F.col("a").alias("e0"), F.col("b").alias("n0"), F.col("c").alias("e1"), F.col("d").alias("n1"))
 
 
+def road_class(tags: Column) -> Column:
+    """Class of a way's tag map: its highway, else ``railway:`` and its railway unless that is in a tunnel; null for other ways."""
+    road, rail = tags["highway"], F.concat(F.lit("railway:"), tags["railway"])
+    known = lambda c: c.isin(*CLASSES)
+    open_air = ~F.coalesce(tags["tunnel"].isin(*TUNNEL), F.lit(False))
+    return F.when(known(road), road).when(known(rail) & open_air, rail)
+
+
 def classify_roads(v: DataFrame) -> DataFrame:
-    """Adds the width by class; unknown classes are dropped."""
-    rows = v.sparkSession.createDataFrame(sorted(WIDTHS.items()), "cls string, width double")
-    return v.join(F.broadcast(rows), "cls")  # a fixed list
+    """Adds width, colour (red, green, blue) and priority by class; unknown classes and railways in a ``tunnel`` (if there is such a column) are dropped."""
+    rows = [(k, w, *c, p) for k, (w, c, p) in CLASSES.items()]
+    known = v.sparkSession.createDataFrame(rows, "cls string, width double, red double, green double, blue double, priority int")
+    if "tunnel" in v.columns:
+        v = v.where(~(F.col("cls").startswith("railway:") & F.coalesce(F.col("tunnel").isin(*TUNNEL), F.lit(False))))
+    return v.join(F.broadcast(known), "cls")  # a fixed list
 
 
 def middle_vertex(v: DataFrame) -> DataFrame:
@@ -75,11 +100,35 @@ def middle_vertex(v: DataFrame) -> DataFrame:
     return v.withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("seq = floor(_n / 2)").drop("_n")
 
 
-def drape(v: DataFrame, heights: DataFrame, keys: list[str], tile: list[str], offset: float) -> DataFrame:
-    """Sampled height plus offset; vertices without one take their tile's mean, tiles without any stay null."""
+def drape(v: DataFrame, heights: DataFrame, keys: list[str], tile: list[str], offset: float, centre: tuple[str, str] | None = None) -> DataFrame:
+    """Sampled height plus offset, as ``y``; vertices without one take their tile's mean, those of tiles without any are ``pending``.
+
+    On a round earth, ``centre`` names columns with the tile's centre: a vertex
+    sinks below the plane that touches there.
+    """
     j = v.join(heights, keys, "left")
-    return j.withColumn("y", F.coalesce(F.col("h"), F.avg("h").over(Window.partitionBy(*tile))) + offset)
+    y = F.coalesce(F.col("h"), F.avg("h").over(Window.partitionBy(*tile))) + offset
+    if centre:
+        y = y - sag(F.col("e") - F.col(centre[0]), F.col("n") - F.col(centre[1]))
+    return j.withColumn("y", y).withColumn("pending", F.col("y").isNull())
 
 
 def drape_summary(v: DataFrame, heights: DataFrame, keys: list[str], tile: list[str]) -> DataFrame:
     return v.join(heights, keys, "left").groupBy(*tile).agg(F.count("h").alias("resolved"), F.avg("h").alias("mean_h"), F.bool_and(F.col("h").isNotNull()).alias("complete"))
+
+
+def tile_pieces(v: DataFrame, size: float, key: str = "line_id") -> DataFrame:
+    """Lines cut at tile edges and put together again within each tile: vertices (line_id, piece, seq, ei, ni, e, n).
+
+    A piece is a run of parts of one line in one tile; ``piece`` numbers the runs
+    along the line, ``seq`` the vertices of a run.
+    """
+    s = split_at_tiles(v, size)
+    w = Window.partitionBy(key).orderBy("seq", "part")
+    new = F.coalesce((F.lag("ei").over(w) != F.col("ei")) | (F.lag("ni").over(w) != F.col("ni")), F.lit(True)).cast("int")
+    s = s.withColumn("_new", new).withColumn("piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(key, "piece").orderBy("seq", "part")
+    s = s.withColumns({"_k": F.row_number().over(own), "_last": F.lead("seq").over(own).isNull()})
+    ends = F.array(F.struct(F.col("_k").alias("seq"), F.col("e0").alias("e"), F.col("n0").alias("n")), F.struct((F.col("_k") + 1).alias("seq"), F.col("e1").alias("e"), F.col("n1").alias("n")))
+    s = s.select(key, "piece", "ei", "ni", F.explode(F.when(F.col("_last"), ends).otherwise(F.slice(ends, 1, 1))).alias("p"))
+    return s.select(key, "piece", "p.seq", "ei", "ni", "p.e", "p.n")

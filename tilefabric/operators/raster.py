@@ -18,20 +18,20 @@ TILE_KEY = ["ei", "ni"]
 PIXEL = ["ei", "ni", "prow", "pcol"]
 
 
-def packed(height: DataFrame, px: int) -> DataFrame:
-    """(ei, ni, tile): each tile's heights as one array, row by row; null where a pixel has no row.
+def packed(height: DataFrame, px: int, by=("ei", "ni")) -> DataFrame:
+    """(ei, ni, tile), or other columns ``by`` that name a tile: each tile's heights as one array, row by row; null where a pixel has no row.
 
     A pixel has one value (a mosaic's, not several sources'). This is the form to
     keep rasters in that are sampled often; what samples takes either form.
     """
-    h = height.select(*TILE_KEY, (F.col("prow") * px + F.col("pcol")).alias("i"), F.col("h").cast("double").alias("h"))
-    t = h.groupBy(*TILE_KEY).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("p"))
+    h = height.select(*by, (F.col("prow") * px + F.col("pcol")).alias("i"), F.col("h").cast("double").alias("h"))
+    t = h.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("p"))
     none = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
     after = F.concat(F.transform(F.slice("p", 2, px * px), lambda x: x["i"]), F.array(F.lit(px * px)))
     holed = F.transform(F.arrays_zip(F.col("p").alias("p"), after.alias("next")), lambda z: F.concat(F.array(z["p"]["h"]), none(z["next"] - z["p"]["i"] - 1)))
     holed = F.concat(none(F.col("p")[0]["i"]), F.flatten(holed))
     whole = F.transform("p", lambda x: x["h"])
-    return t.select(*TILE_KEY, F.when(F.size("p") == px * px, whole).otherwise(holed).alias("tile"))
+    return t.select(*by, F.when(F.size("p") == px * px, whole).otherwise(holed).alias("tile"))
 
 
 def _placed(points: DataFrame, px: int, mode: str, size: float) -> tuple[DataFrame, Callable[[str], Column]]:

@@ -1,3 +1,3 @@
 """plans of the tile analytics library: importing it registers all queries."""
 
-from . import composites, queries  # noqa: F401
+from . import composites, frames, more, queries  # noqa: F401

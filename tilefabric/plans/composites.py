@@ -93,9 +93,22 @@ def tiles_to_cells(tiles):
 FACE_NO = {"bottom": 0, "top": 1, "south": 2, "north": 3, "west": 4, "east": 5}
 
 
-@query("SELECT CAST(floor((x0 + w / 2) / 1024) AS INTEGER) AS ei, CAST(floor((y0 + d / 2) / 1024) AS INTEGER) AS ni, count(*) AS buildings, 2 * count(*) AS roof_triangles, 8 * count(*) AS wall_triangles FROM fx_box GROUP BY ALL", "fx_box")
+@query("""WITH b AS (SELECT CASE WHEN building_id % 17 = 0 THEN 'empty' WHEN w * d < 1 THEN 'tiny' ELSE 'ok' END AS kind, floor((x0 + w / 2) / 1024) AS ei, floor((y0 + d / 2) / 1024) AS ni FROM fx_box)
+SELECT CAST(ei AS INTEGER) AS ei, CAST(ni AS INTEGER) AS ni, count(*) FILTER (kind = 'ok') AS buildings, 2 * count(*) FILTER (kind = 'ok') AS roof_triangles, 8 * count(*) FILTER (kind = 'ok') AS wall_triangles, count(*) FILTER (kind = 'empty') AS skipped_empty, count(*) FILTER (kind = 'tiny') AS skipped_tiny FROM b GROUP BY ALL""", "fx_box")
 def building_stats(boxes):
-    return features.building_stats(features.box_faces(boxes), 1024.0)
+    """Every seventeenth building has only its ground face."""
+    f = features.box_faces(boxes).where("building_id % 17 <> 0 or face = 'bottom'")
+    kind = F.when(F.col("face") == "bottom", "ground").when(F.col("face") == "top", "roof").otherwise("wall")
+    return features.building_stats(f.withColumn("surface", kind), 1024.0)
+
+
+@query("""WITH f(face, nx, ny, nz) AS (VALUES ('bottom', 0e0, 0e0, -1e0), ('top', 0e0, 0e0, 1e0), ('south', 0e0, -1e0, 0e0), ('north', 0e0, 1e0, 0e0), ('west', -1e0, 0e0, 0e0), ('east', 1e0, 0e0, 0e0))
+SELECT building_id, face, nx, ny, nz, round(CASE WHEN nz <> 0 THEN w * d WHEN nx <> 0 THEN d * hgt ELSE w * hgt END, 5) AS area, CASE WHEN nz > 0.5 THEN 'roof' ELSE 'wall' END AS part FROM fx_box, f""", "fx_box")
+def oriented_faces(boxes):
+    """Normals look outward even where a face's corners run the wrong way round, as in every other building."""
+    f = features.box_faces(boxes).withColumn("seq", F.when(F.col("building_id") % 2 == 0, F.col("seq")).otherwise(-F.col("seq")))
+    out = rounded(features.oriented_faces(f), 6, "nx", "ny", "nz")
+    return rounded(out, 5, "area").withColumns({c: F.col(c) + 0.0 for c in ("nx", "ny", "nz")})
 
 
 @query("""SELECT building_id, face, a, b, c FROM fx_box, (VALUES ('bottom', 0, 1, 2), ('top', 3, 4, 5), ('south', 0, 6, 4), ('north', 1, 7, 5), ('west', 0, 3, 7), ('east', 6, 2, 5)) f(face, a, b, c)""", "fx_box")
@@ -175,12 +188,12 @@ def batch_order(px):
 RINGS = "f AS (SELECT track_id, fix_id, row_number() OVER (PARTITION BY track_id ORDER BY ts, fix_id) AS k, CAST(floor(e / 1024) AS INTEGER) AS te, CAST(floor(n / 1024) AS INTEGER) AS tn FROM fx_fix)"
 
 
-@query(f"""WITH {RINGS}, r AS (SELECT track_id, fix_id, k, te + CAST(a.i AS INTEGER) AS ei, tn + CAST(b.i AS INTEGER) AS ni, greatest(abs(a.i), abs(b.i)) AS d FROM f, range(-4, 5) a(i), range(-4, 5) b(i)),
-l AS (SELECT *, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 ELSE 2 END AS lod FROM r), p AS (SELECT *, lag(k) OVER w AS k0, lag(lod) OVER w AS lod0 FROM l WINDOW w AS (PARTITION BY track_id, ei, ni ORDER BY k))
-SELECT track_id, fix_id, ei, ni, lod0 AS old_lod, lod AS new_lod, false AS texture FROM p WHERE k0 = k - 1 AND lod <> lod0""", "fx_fix")
+@query(f"""WITH {RINGS}, r AS (SELECT track_id, fix_id, k, te + CAST(a.i AS INTEGER) AS ei, tn + CAST(b.i AS INTEGER) AS ni, greatest(abs(a.i), abs(b.i)) AS d FROM f, range(-16, 17) a(i), range(-16, 17) b(i)),
+l AS (SELECT *, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 WHEN d <= 8 THEN 3 WHEN d <= 12 THEN 4 ELSE 6 END AS lod FROM r), p AS (SELECT *, lag(k) OVER w AS k0, lag(lod) OVER w AS lod0 FROM l WINDOW w AS (PARTITION BY track_id, ei, ni ORDER BY k))
+SELECT track_id, fix_id, ei, ni, lod0 AS old_lod, lod AS new_lod, (CASE WHEN lod >= 5 THEN 256 ELSE 1024 END) <> (CASE WHEN lod0 >= 5 THEN 256 ELSE 1024 END) AS texture FROM p WHERE k0 = k - 1 AND lod <> lod0""", "fx_fix")
 def lod_changes_batch(fix):
     f = fix.withColumns({"te": grid.tile_of(F.col("e")), "tn": grid.tile_of(F.col("n"))})
-    return residency.lod_changes_batch(f, 4)
+    return residency.lod_changes_batch(f, 16)
 
 
 @query(f"""WITH {RINGS}, p AS (SELECT *, lag(te) OVER w AS pe, lag(tn) OVER w AS pn FROM f WINDOW w AS (PARTITION BY track_id ORDER BY k)),

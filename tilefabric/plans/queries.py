@@ -99,12 +99,18 @@ def chunk_of(fix):
     return fix.select("fix_id", grid.chunk_of(ei).alias("ce"), grid.chunk_of(ni).alias("cn"), grid.chebyshev(ei - 2545, ni - 1175).alias("d"))
 
 
-@query("""WITH d AS (SELECT fix_id, CAST(greatest(abs(floor(e / 1024) - 2545), abs(floor(n / 1024) - 1175)) AS INTEGER) AS d FROM fx_fix)
-SELECT fix_id, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 WHEN d <= 8 THEN 3 WHEN d <= 12 THEN 4 ELSE 6 END AS lod,
-       CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 ELSE 3 END AS near_lod, CASE WHEN d <= 32 THEN 129 WHEN d <= 64 THEN 65 ELSE 33 END AS res FROM d""", "fx_fix")
+@query("""WITH d AS (SELECT fix_id, CAST(greatest(abs(floor(e / 1024) - 2545), abs(floor(n / 1024) - 1175)) AS INTEGER) * 5 AS d, CASE fix_id % 4 WHEN 0 THEN 129 WHEN 1 THEN 65 WHEN 2 THEN 33 END AS had FROM fx_fix),
+l AS (SELECT *, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 WHEN d <= 8 THEN 3 WHEN d <= 16 THEN 4 WHEN d <= 30 THEN 6 ELSE 8 END AS far_lod FROM d)
+SELECT fix_id, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 WHEN d <= 8 THEN 3 WHEN d <= 12 THEN 4 ELSE 6 END AS lod, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 ELSE 3 END AS near_lod, far_lod,
+CASE WHEN d <= 32 THEN 129 WHEN d <= 64 THEN 65 ELSE 33 END AS res,
+CASE WHEN had = 129 AND d <= 36 THEN 129 WHEN had = 65 AND d > 28 AND d <= 68 THEN 65 WHEN had = 33 AND d > 60 THEN 33 WHEN d <= 32 THEN 129 WHEN d <= 64 THEN 65 ELSE 33 END AS steady,
+CASE WHEN far_lod >= 7 THEN 64 WHEN far_lod >= 5 THEN 256 ELSE 1024 END AS pixels, CASE WHEN far_lod >= 7 THEN 2 ELSE 0 END AS mip, greatest(0, far_lod - 2) AS effective, CAST(pow(floor(256 / least(pow(2, greatest(0, far_lod - 2)), 256)) + 1, 2) AS BIGINT) AS vertices FROM l""", "fx_fix")
 def lod_by_distance(fix):
-    d = grid.chebyshev(grid.tile_of(F.col("e")) - 2545, grid.tile_of(F.col("n")) - 1175)
-    return fix.select("fix_id", grid.lod_for_distance(d, 50).alias("lod"), grid.lod_for_distance(d, 15).alias("near_lod"), grid.chunk_resolution(d, F.lit(None).cast("int")).alias("res"))
+    """Levels by three load radiuses, chunk resolutions plain and with the one before, and what follows for textures and meshes of 257 pixels."""
+    d = grid.chebyshev(grid.tile_of(F.col("e")) - 2545, grid.tile_of(F.col("n")) - 1175) * 5
+    had = F.element_at(F.array(F.lit(129), F.lit(65), F.lit(33), F.lit(None).cast("int")), (F.col("fix_id") % 4 + 1).cast("int"))
+    far, lod = grid.lod_for_distance(d, 100), grid.effective_lod(grid.lod_for_distance(d, 100), 257)
+    return fix.select("fix_id", grid.lod_for_distance(d, 50).alias("lod"), grid.lod_for_distance(d, 15).alias("near_lod"), far.alias("far_lod"), grid.chunk_resolution(d, F.lit(None).cast("int")).alias("res"), grid.chunk_resolution(d, had).alias("steady"), grid.ortho_pixels(far).alias("pixels"), grid.ortho_mip(far).alias("mip"), lod.alias("effective"), grid.mesh_vertices(lod, 257).alias("vertices"))
 
 
 @query("""WITH x AS (SELECT fix_id, xor(CAST((CAST(fix_id AS HUGEINT) * 2654435761) % 4294967296 AS BIGINT), CAST((CAST(track_id AS HUGEINT) * 2246822519) % 4294967296 AS BIGINT)) AS x FROM fx_fix),
@@ -378,9 +384,10 @@ def split_at_tiles(v):
     return rounded(lines.split_at_tiles(v, 4096.0), 4, "e0", "n0", "e1", "n1")
 
 
-@query("SELECT line_id, seq, e, n, cls, CASE cls WHEN 'primary' THEN 12e0 WHEN 'residential' THEN 5e0 ELSE 3e0 END AS width FROM fx_line_vertex WHERE cls <> 'track'", "fx_line_vertex")
+@query("""SELECT v.*, CASE WHEN line_id % 8 = 2 THEN 'yes' ELSE 'no' END AS tunnel, c.* EXCLUDE (cls) FROM fx_line_vertex v JOIN (VALUES ('primary', 12e0, 0.72e0, 0.66e0, 0.58e0, 8), ('residential', 5e0, 0.8e0, 0.78e0, 0.74e0, 4), ('railway:rail', 3e0, 0.3e0, 0.3e0, 0.3e0, 8)) c(cls, width, red, green, blue, priority) USING (cls)
+WHERE NOT (cls = 'railway:rail' AND line_id % 8 = 2)""", "fx_line_vertex")
 def classify_roads(v):
-    return lines.classify_roads(v)
+    return lines.classify_roads(v.withColumn("tunnel", F.when(F.col("line_id") % 8 == 2, "yes").otherwise("no")))
 
 
 @query("SELECT v.* FROM fx_line_vertex v JOIN (SELECT line_id, CAST(floor(count(*) / 2e0) AS INTEGER) AS seq FROM fx_line_vertex GROUP BY line_id) m USING (line_id, seq)", "fx_line_vertex")
@@ -445,7 +452,7 @@ def tiles_in_ring(fix):
     return _rings(fix)
 
 
-@query(f"WITH {RING} SELECT track_id, ei, ni, min(lod) AS lod, count(*) AS fixes FROM l GROUP BY ALL", "fx_fix")
+@query(f"WITH {RING} SELECT track_id, ei, ni, min(lod) AS lod, count(*) AS fixes, CAST(pow(floor(1023 / pow(2, min(lod))) + 1, 2) AS BIGINT) AS vertices FROM l GROUP BY ALL", "fx_fix")
 def tile_demand(fix):
     return residency.tile_demand(_rings(fix))
 
@@ -510,8 +517,10 @@ def drape_summary(v, px):
 # ---- trees
 
 def _trees(rings):
-    outer = rings.where("ring_no = 0").groupBy("poly_id").agg(F.min("e").alias("x0"), F.min("n").alias("y0"), F.max("e").alias("x1"), F.max("n").alias("y1"))
-    t = features.tree_grid(outer, 250.0).withColumnRenamed("poly_id", "own")
+    """Trees of every polygon, 200 or 250 metres apart by its density."""
+    outer = rings.where("ring_no = 0").groupBy("poly_id", "kind").agg(F.min("e").alias("x0"), F.min("n").alias("y0"), F.max("e").alias("x1"), F.max("n").alias("y1"))
+    outer = outer.withColumn("density", F.when(F.col("kind") % 2 == 0, 1.6e-5).otherwise(2.5e-5))
+    t = features.tree_grid(outer).withColumnRenamed("poly_id", "own")
     return spatial.points_in_polygons(t, rings, ["own", "i", "j", "hash", "e", "n"]).where("own = poly_id").drop("own")
 
 
@@ -519,10 +528,11 @@ def _mix(a: str, b: str) -> str:
     return f"xor(CAST((CAST({a} AS HUGEINT) * 2654435761) % 4294967296 AS BIGINT), CAST((CAST({b} AS HUGEINT) * 2246822519) % 4294967296 AS BIGINT))"
 
 
-TREES = f"""b AS (SELECT poly_id, min(e) AS x0, min(n) AS y0, max(e) AS x1, max(n) AS y1 FROM fx_ring_vertex WHERE ring_no = 0 GROUP BY poly_id),
-c AS (SELECT poly_id AS own, gi.i AS i, gj.i AS j, {_mix("gi.i", "gj.i")} AS x FROM b, range(10380, 10500) gi(i), range(4780, 4900) gj(i) WHERE gi.i BETWEEN floor(x0 / 250) AND floor(x1 / 250) AND gj.i BETWEEN floor(y0 / 250) AND floor(y1 / 250)),
-h AS (SELECT own, i, j, CAST((CAST(xor(x, x >> 15) AS HUGEINT) * 3266489917) % 4294967296 AS BIGINT) AS hash FROM c),
-t AS (SELECT own, i, j, hash, (i + (hash % 1024) / 1024e0) * 250e0 AS e, (j + (floor(hash / 1024e0) % 1024) / 1024e0) * 250e0 AS n FROM h),
+TREES = f"""b AS (SELECT poly_id, min(e) AS x0, min(n) AS y0, max(e) AS x1, max(n) AS y1, 1 / sqrt(CASE WHEN kind % 2 = 0 THEN 1.6e-5 ELSE 2.5e-5 END) AS step FROM fx_ring_vertex WHERE ring_no = 0 GROUP BY poly_id, kind),
+bi AS (SELECT *, unnest(range(CAST(floor(x0 / step) AS BIGINT), CAST(floor(x1 / step) AS BIGINT) + 1)) AS i FROM b), bj AS (SELECT *, unnest(range(CAST(floor(y0 / step) AS BIGINT), CAST(floor(y1 / step) AS BIGINT) + 1)) AS j FROM bi),
+c AS (SELECT poly_id AS own, step, i, j, {_mix("i", "j")} AS x FROM bj),
+h AS (SELECT own, step, i, j, CAST((CAST(xor(x, x >> 15) AS HUGEINT) * 3266489917) % 4294967296 AS BIGINT) AS hash FROM c),
+t AS (SELECT own, i, j, hash, (i + (hash % 1024) / 1024e0) * step AS e, (j + (floor(hash / 1024e0) % 1024) / 1024e0) * step AS n FROM h),
 r AS (SELECT *, coalesce(lag(e) OVER w, last_value(e) OVER x) AS e0, coalesce(lag(n) OVER w, last_value(n) OVER x) AS n0 FROM fx_ring_vertex
 WINDOW w AS (PARTITION BY poly_id, ring_no ORDER BY seq), x AS (PARTITION BY poly_id, ring_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 k AS (SELECT poly_id, i, j, hash, t.e, t.n FROM t JOIN r ON own = poly_id AND (r.n > t.n) <> (r.n0 > t.n) AND t.e < (r.e0 - r.e) * (t.n - r.n) / (r.n0 - r.n) + r.e GROUP BY ALL HAVING count(*) % 2 = 1)"""
@@ -533,11 +543,22 @@ def tree_fill(rings):
     return rounded(_trees(rings), 5, "e", "n")
 
 
-@query(f"WITH {TREES} SELECT poly_id, count(*) AS trees, count(*) FILTER (hash % 100 < 60) AS conifers, round(min(20e0 * (0.75e0 + 0.5e0 * (hash % 1024) / 1024e0)), 7) AS min_height, round(max(20e0 * (0.75e0 + 0.5e0 * (hash % 1024) / 1024e0)), 7) AS max_height FROM k GROUP BY poly_id", "fx_ring_vertex")
+@query(f"""WITH {TREES}, g AS (SELECT *, 400e0 + hash % 2000 AS z, CASE poly_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS hint FROM k),
+s AS (SELECT *, CASE hint WHEN 1 THEN true WHEN 0 THEN false ELSE (hash % 65536) / 65535e0 < least(0.97e0, greatest(0.2e0, 0.25e0 + (z - 700) / 900e0)) END AS conifer FROM g),
+p AS (SELECT *, CASE WHEN conifer THEN [1, 3] ELSE [0, 2, 4] END AS pool FROM s),
+th AS (SELECT floor(e / 1024) AS ei, floor(n / 1024) AS ni, pool[1 + (hash >> 16) % len(pool)] AS species, conifer, z, 20e0 * (0.75e0 + 0.5e0 * ((hash % 1024) / 1024e0)) * least(1e0, greatest(0.45e0, 1 - (z - 1300) / 1000e0 * 0.55e0)) AS height, hash % 7 = 0 AS snapped FROM p)
+SELECT CAST(ei AS INTEGER) AS ei, CAST(ni AS INTEGER) AS ni, count(*) AS trees, round(min(height), 4) AS min_height, round(max(height), 4) AS max_height, round(count(*) FILTER (z < 700 AND conifer) * 1e0 / nullif(count(*) FILTER (z < 700), 0), 9) AS low_conifers, round(count(*) FILTER (z > 1300 AND conifer) * 1e0 / nullif(count(*) FILTER (z > 1300), 0), 9) AS high_conifers,
+round(avg(height) FILTER (z < 700), 4) AS low_height, round(avg(height) FILTER (z > 1900), 4) AS alpine_height, min(z) AS ground_min, max(z) AS ground_max, count(*) FILTER (snapped) AS snapped, {", ".join(f"count(*) FILTER (species = {k}) AS species_{k}" for k in range(5))}, round(max(height) * 0.3e0, 4) AS crown FROM th GROUP BY ALL""", "fx_ring_vertex")
 def tree_stats(rings):
-    height = 20.0 * (0.75 + 0.5 * (F.col("hash") % 1024) / 1024.0)
-    t = _trees(rings).groupBy("poly_id").agg(F.count("*").alias("trees"), F.count_if(F.col("hash") % 100 < 60).alias("conifers"), F.min(height).alias("min_height"), F.max(height).alias("max_height"))
-    return rounded(t, 7, "min_height", "max_height")
+    """Trees with a ground, a species (five, of which 1 and 3 are conifers) and a height that the altitude lessens."""
+    h, z = F.col("hash"), F.col("ground_z")
+    hint = F.when(F.col("poly_id") % 3 == 0, 0).when(F.col("poly_id") % 3 == 1, 1).otherwise(-1)
+    kinds = [False, True, False, True, False]
+    t = _trees(rings).withColumn("ground_z", 400.0 + h % 2000).withColumn("species", features.pick_species(h, z, hint, kinds))
+    t = t.withColumns({"conifer": F.col("species").isin(1, 3), "height": features.tree_height(F.lit(20.0), (h % 1024) / 1024.0) * features.altitude_factor(z), "snapped": h % 7 == 0, "ei": grid.tile_of(F.col("e")), "ni": grid.tile_of(F.col("n"))})
+    s = features.tree_stats(t, ["ei", "ni"]).withColumn("crown", features.crown_radius(F.col("max_height")))
+    s = rounded(rounded(s, 4, "min_height", "max_height", "low_height", "alpine_height", "crown"), 9, "low_conifers", "high_conifers")
+    return s.select("*", *(F.coalesce(F.col("species")[k], F.lit(0)).cast("long").alias(f"species_{k}") for k in range(5))).drop("species")
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY ts, fix_id) - 1 AS k FROM fx_fix) SELECT track_id, fix_id FROM r WHERE k % 3 = 0", "fx_fix")

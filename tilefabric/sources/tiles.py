@@ -69,9 +69,16 @@ def read_tree_points(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(decode, TREES)
 
 
-def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    """Text grids of ``x y z``."""
-    return spark.read.csv(path, sep=" ", schema="x double, y double, z double").withColumn("path", F.input_file_name())
+def read_xyz(spark: SparkSession, path: str, step: float = 1.0) -> DataFrame:
+    """Points (path, x, y, z, col, row) of text grids of ``x y z``: the cell of ``step`` metres from each file's north-west point.
+
+    Lines that hold no three numbers are skipped; a point's cell is the nearest.
+    """
+    part = lambda k: F.get(F.split(F.trim("value"), r"[\s,;]+"), F.lit(k)).try_cast("double")
+    p = spark.read.text(path).select(F.input_file_name().alias("path"), part(0).alias("x"), part(1).alias("y"), part(2).alias("z")).dropna()
+    corner = p.groupBy("path").agg(F.min("x").alias("_x"), F.max("y").alias("_y"))
+    cell = lambda d: F.floor(d / step + 0.5).cast("int")
+    return p.join(corner, "path").select("path", "x", "y", "z", cell(F.col("x") - F.col("_x")).alias("col"), cell(F.col("_y") - F.col("y")).alias("row"))
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -109,8 +116,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select(*head, F.explode("tiles").alias("tile_id", "t")).select("origin_e", "origin_n", "tile_size_m", "elevation_baked", "tile_id", "t.*")
 
 
-def inventory(spark: SparkSession, path: str, size: int = 1024) -> DataFrame:
-    """Tiles there by file name; names that are not on the grid are ignored. File contents are not read."""
-    part = lambda k: F.regexp_extract("path", NAME, k).cast("long")
-    t = _files(spark, path, "*.raw").where(F.col("path").rlike(NAME)).select(part(1).alias("e"), part(2).alias("n"))
+#: By product: the pattern of its files' names, and whether they name tiles (in metres) or source cells (in km).
+PRODUCTS = {"height": (NAME, "tile"), "ortho": (r"ortho_(-?\d+)_(-?\d+)\.jpg$", "tile"), "vegetation": (r"vegetation_(-?\d+)_(-?\d+)\.(?:veg|bin)$", "tile"), "buildings": (r"buildings_(-?\d+)_(-?\d+)\.glb$", "cell"), "archive": (r"_32_(\d+)_(\d+)_2_bw\.zip$", "cell")}
+
+
+def inventory(spark: SparkSession, path: str, size: int = 1024, product: str = "height") -> DataFrame:
+    """Tiles (ei, ni) or cells (e_km, n_km) there by file name; tiles that are not on the grid are ignored. File contents are not read."""
+    pattern, kind = PRODUCTS[product]
+    part = lambda k: F.regexp_extract("path", pattern, k).cast("long")
+    t = _files(spark, path, "*").where(F.col("path").rlike(pattern)).select(part(1).alias("e"), part(2).alias("n"))
+    if kind == "cell":
+        return t.select(F.col("e").cast("int").alias("e_km"), F.col("n").cast("int").alias("n_km")).distinct()
     return t.where((F.col("e") % size == 0) & (F.col("n") % size == 0)).select((F.col("e") / size).cast("int").alias("ei"), (F.col("n") / size).cast("int").alias("ni")).distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilefabric.functions.grid import RINGS, lod_for_distance, ortho_pixels
+from tilefabric.functions.grid import RINGS, chunk_distance, chunk_resolution, effective_lod, lod_for_distance, mesh_vertices, ortho_pixels
 from tilefabric.operators.raster import PIXEL
 from tilefabric.operators.spatial import tiles_in_ring
 
@@ -133,17 +135,185 @@ def _in_order(batches):
         yield fix, (int(e), int(n))
 
 
-def drape_stream(vertices: DataFrame, terrain: DataFrame, wait: str = "1 hour") -> DataFrame:
+def chunk_distances(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
+    """For each move of a track, the chunks whose nearest tile is at most ``far`` tiles away: (track_id, fix_id, k, cei, cni, d)."""
+    f = moves(fixes)
+    reach = lambda c: F.sequence(F.floor((F.col(c) - far) / span).cast("int"), F.floor((F.col(c) + far) / span).cast("int"))
+    f = f.withColumn("cei", F.explode(reach("te"))).withColumn("cni", F.explode(reach("tn")))
+    near, _ = chunk_distance(*(F.col(c) for c in ("te", "tn", "cei", "cni")), span)
+    return f.select("track_id", "fix_id", "k", "cei", "cni", near.alias("d")).where(F.col("d") <= far)
+
+
+RESOLUTIONS = "track_id long, fix_id long, cei int, cni int, old_res int, new_res int"
+
+
+def chunk_resolution_batch(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
+    """Chunks that are asked for, or asked for anew in another resolution, over whole tracks.
+
+    A chunk keeps its resolution until the distance is clear of the border; out
+    of reach it is forgotten. The distances of a track and chunk are one array,
+    which is gone through with the resolution so far.
+    """
+    d = chunk_distances(fixes, far, span)
+    runs = d.groupBy("track_id", "cei", "cni").agg(F.sort_array(F.collect_list(F.struct("k", "fix_id", "d"))).alias("s"))
+    nothing = F.array().cast("array<struct<fix_id: bigint, old_res: int, new_res: int>>")
+    start = F.struct(F.lit(-1).alias("k"), F.lit(None).cast("int").alias("res"), nothing.alias("out"))
+
+    def step(acc, x):
+        old = F.when(x["k"] == acc["k"] + 1, acc["res"])
+        new = chunk_resolution(x["d"], old)
+        found = F.array(F.struct(x["fix_id"].alias("fix_id"), old.alias("old_res"), new.alias("new_res")))
+        return F.struct(x["k"].alias("k"), new.alias("res"), F.when(~new.eqNullSafe(old), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+    out = runs.select("track_id", "cei", "cni", F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("x"))
+    return out.select("track_id", "x.fix_id", "cei", "cni", "x.old_res", "x.new_res")
+
+
+def chunk_resolution_stream(fixes: DataFrame, far: int, span: int = 8, late: str = "10 minutes") -> DataFrame:
+    """The same from a stream; a track's state is its last tile and the resolution of each chunk in reach."""
+
+    def resolution(d: int, old: int | None) -> int:
+        border = {129: (None, 36), 65: (28, 68), 33: (60, None)}.get(old)  # where the old one still holds
+        if border and (border[0] is None or d > border[0]) and (border[1] is None or d <= border[1]):
+            return old
+        return 129 if d <= 32 else 65 if d <= 64 else 33
+
+    def step(key, batches, state):
+        last, held = (tuple(state.get[0]), {(a, b): r for a, b, r in state.get[1]}) if state.exists else (None, {})
+        out = []
+        for fix, (e, n) in _in_order(batches):
+            if (e, n) == last:
+                continue
+            last, now = (e, n), {}
+            for i in range((e - far) // span, (e + far) // span + 1):
+                for j in range((n - far) // span, (n + far) // span + 1):
+                    d = max(i * span - e, e - i * span - span + 1, j * span - n, n - j * span - span + 1, 0)
+                    if d <= far:
+                        now[i, j] = resolution(d, held.get((i, j)))
+                        if now[i, j] != held.get((i, j)):
+                            out.append((key[0], fix, i, j, held.get((i, j)), now[i, j]))
+            held = now
+        state.update((list(last), [[*k, r] for k, r in held.items()]))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESOLUTIONS.split(", ")])
+        yield frame.astype({"old_res": "Int32"})
+
+    return fixes.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, RESOLUTIONS, "tile array<int>, held array<array<int>>", "append", "NoTimeout")
+
+
+HANDOFF = "track_id long, event_id long, kind string, a int, b int, action string"
+HANDOFF_STATE = "tile array<int>, tiles array<array<int>>, chunks array<array<int>>"
+
+
+def _handoff(rows: pd.DataFrame, state: tuple | None, track: int, radius: int, margin: int, far: int, span: int) -> tuple[list[tuple], tuple]:
+    """Goes through events in order; returns what is loaded and unloaded, and the state (tile, tiles, chunks).
+
+    Tiles and chunks are held with 0 while they load and 1 once they are there
+    (or known to have no data). A tile out of the radius stays while the chunk
+    that will show its place is still loading. A chunk all of whose tiles are
+    in the radius goes when they are all there.
+    """
+    at, tiles, chunks = state or (None, {}, {})
+    out: list[tuple] = []
+    far_away = lambda x, y: max(abs(x - at[0]), abs(y - at[1]))
+
+    def reach(i: int, j: int) -> tuple[int, int]:
+        lo, hi = (i * span, j * span), (i * span + span - 1, j * span + span - 1)
+        near = max(max(low - p, p - high, 0) for p, low, high in zip(at, lo, hi, strict=True))
+        return near, max(max(abs(p - low), abs(p - high)) for p, low, high in zip(at, lo, hi, strict=True))
+
+    for event, kind, a, b in zip(rows["event_id"], rows["kind"], rows["a"], rows["b"], strict=True):
+        a, b, event = int(a), int(b), int(event)
+        if kind == "fix":
+            at = (a, b)
+        elif kind == "tile" and (a, b) in tiles:
+            tiles[a, b] = 1
+        elif kind == "chunk" and (a, b) in chunks:
+            chunks[a, b] = 1
+        if at is None:
+            continue
+        e, n = at
+        for t in ((i, j) for i in range(e - radius, e + radius + 1) for j in range(n - radius, n + radius + 1)):
+            if t not in tiles:
+                tiles[t] = 0
+                out.append((track, event, "tile", *t, "load"))
+        for c in ((i, j) for i in range((e - far) // span, (e + far) // span + 1) for j in range((n - far) // span, (n + far) // span + 1)):
+            near, most = reach(*c)
+            if near <= far and most > radius and c not in chunks:
+                chunks[c] = 0
+                out.append((track, event, "chunk", *c, "load"))
+        for t in sorted(t for t in tiles if far_away(*t) > radius + margin):
+            if far_away(*t) > far or chunks.get((t[0] // span, t[1] // span), 1):
+                del tiles[t]
+                out.append((track, event, "tile", *t, "unload"))
+        for c in sorted(chunks):
+            near, most = reach(*c)
+            inner = [(c[0] * span + i, c[1] * span + j) for i in range(span) for j in range(span)]
+            if near > far + margin or most <= radius and all(tiles.get(t) for t in inner):
+                del chunks[c]
+                out.append((track, event, "chunk", *c, "unload"))
+    return out, (at, tiles, chunks)
+
+
+def handoff_batch(events: DataFrame, radius: int, margin: int, far: int, span: int = 8) -> DataFrame:
+    """Loads and unloads (track_id, event_id, kind, a, b, action) of tiles and chunks over whole tracks.
+
+    Events (track_id, event_id, ts, kind, a, b) are a ``fix`` at tile (a, b), or
+    that a ``tile`` or ``chunk`` is there. A group is one track.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["ts", "event_id"])
+        out, _ = _handoff(rows, None, int(rows["track_id"].iloc[0]), radius, margin, far, span)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in HANDOFF.split(", ")])
+
+    return events.groupBy("track_id").applyInPandas(run, HANDOFF)
+
+
+def handoff_stream(events: DataFrame, radius: int, margin: int, far: int, span: int = 8, late: str = "10 minutes") -> DataFrame:
+    """The same from a stream; tiles and chunks are in one state, as each waits for the other."""
+
+    def step(key, batches, state):
+        held = None
+        if state.exists:
+            at, tiles, chunks = state.get
+            held = (tuple(at) if at else None, {(a, b): v for a, b, v in tiles}, {(a, b): v for a, b, v in chunks})
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out, (at, tiles, chunks) = _handoff(rows, held, key[0], radius, margin, far, span)
+        state.update((list(at) if at else None, [[*k, v] for k, v in tiles.items()], [[*k, v] for k, v in chunks.items()]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in HANDOFF.split(", ")])
+
+    return events.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, HANDOFF, HANDOFF_STATE, "append", "NoTimeout")
+
+
+def drape_stream(vertices: DataFrame, terrain: DataFrame, wait: str = "1 hour", last_known: str | None = None) -> DataFrame:
     """Vertices (ei, ni, prow, pcol, ts ..) with the height of the terrain pixel (.., h, terrain_ts) that comes before or after them.
 
     Whichever side is first waits in state until the other comes, at most
-    ``wait`` of event time; then the vertex is given out without a height.
+    ``wait`` of event time; then the vertex is given out with the height in its
+    column ``last_known``, or none, and ``resolved`` false.
     """
     v, t = vertices.withWatermark("ts", wait), terrain.withWatermark("terrain_ts", wait)
     same = [v[c] == t[c] for c in PIXEL]
     near = (t["terrain_ts"] >= v["ts"] - F.expr(f"interval {wait}")) & (t["terrain_ts"] <= v["ts"] + F.expr(f"interval {wait}"))
     on = same[0] & same[1] & same[2] & same[3] & near
-    return v.join(t, on, "left_outer").select(*(v[c] for c in vertices.columns), t["h"])
+    h = F.coalesce(t["h"], v[last_known]) if last_known else t["h"]
+    return v.join(t, on, "left_outer").select(*(v[c] for c in vertices.columns), h.alias("h"), t["h"].isNotNull().alias("resolved"))
+
+
+def drain(spark: SparkSession, source: str, schema: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Works off the source files (Parquet) that have come since the last call, and publishes their results.
+
+    Every batch goes to a folder of its own, ``out/data/batch=N``, replaced whole
+    if it runs again; then its files are listed in ``out/released``: they are done
+    and can go. The checkpoint tells which files were seen.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        process(df.drop("_file")).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+        df.select(F.col("_file").alias("file")).distinct().write.mode("overwrite").parquet(f"{out}/released/batch={number}")
+
+    stream = spark.readStream.schema(schema).parquet(source).withColumn("_file", F.col("_metadata.file_path"))
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def probe_status_stream(probes: DataFrame) -> DataFrame:
@@ -152,6 +322,13 @@ def probe_status_stream(probes: DataFrame) -> DataFrame:
     return last.select("e_km", "n_km", F.col("m.status").alias("status"))
 
 
-def tile_demand(rings: DataFrame) -> DataFrame:
-    """Over a whole track: each tile once, at its finest level, with the fixes that need it."""
-    return rings.groupBy("track_id", "ei", "ni").agg(F.min("lod").alias("lod"), F.count("*").alias("fixes"))
+def tile_demand(rings: DataFrame, px: int = 1024) -> DataFrame:
+    """Over a whole track: each tile once, at its finest level, with that level's vertices and the fixes that need it."""
+    t = rings.groupBy("track_id", "ei", "ni").agg(F.min("lod").alias("lod"), F.count("*").alias("fixes"))
+    return t.withColumn("vertices", mesh_vertices(effective_lod(F.col("lod"), px), px))
+
+
+def chunk_demand(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
+    """Over a whole track: each chunk in reach once, with its nearest distance and the resolution that asks for."""
+    d = chunk_distances(fixes, far, span).groupBy("track_id", "cei", "cni").agg(F.min("d").alias("distance"))
+    return d.withColumn("res", chunk_resolution(F.col("distance"), F.lit(None).cast("int")))
