@@ -47,11 +47,12 @@ def geodetic_to_ecef(df: DataFrame, lat: str, lon: str, h: str, ell=WGS84, out=(
 
 
 def ecef_to_geodetic(df: DataFrame, x="x", y="y", z="z", ell=WGS84, out=("lat", "lon", "h"), steps: int = 4) -> DataFrame:
+    """Latitude, longitude and height; the earth's centre gives (0, 0, -a)."""
     a, f = ell
     e2 = f * (2 - f)
     df = staged(df, _r=f"sqrt({x} * {x} + {y} * {y})", _p=f"atan2({z}, _r * {1 - e2!r}D)")
     for _ in range(steps):
-        df = staged(df, _n=f"{a!r}D / sqrt(1 - {e2!r}D * sin(_p) * sin(_p))", _h="_r / cos(_p) - _n", _q=f"atan2({z}, _r * (1 - {e2!r}D * _n / (_n + _h)))").withColumn("_p", F.col("_q"))
+        df = staged(df, _n=f"{a!r}D / sqrt(1 - {e2!r}D * sin(_p) * sin(_p))", _h="_r / cos(_p) - _n", _q=f"atan2({z}, _r * (1 - coalesce(try_divide({e2!r}D * _n, _n + _h), 0D)))").withColumn("_p", F.col("_q"))
     return staged(df, **{out[0]: "degrees(_p)", out[1]: f"degrees(atan2({y}, {x}))", out[2]: "_h"}).drop("_r", "_p", "_n", "_h", "_q")
 
 
