@@ -107,3 +107,17 @@ def test_streams_are_their_batch_twins(spark, tmp_path, kind):
         make, batch = (lambda s: residency.coverage_generation_stream(s, "1 hour")), residency.coverage_generation_batch(df)
     want = sorted(map(tuple, batch.collect()))
     assert run_stream(spark, tmp_path, df, make, f"out_{kind}") == want and want
+
+
+def test_levels_and_textures_far_out(spark):
+    """Levels of detail within sixteen tiles, where textures change too, against a plain loop."""
+    rows = [(1, k, k, e, n) for k, (e, n) in enumerate([(0, 0), (3, 0), (3, 0), (3, -2), (20, 1)])]
+    df = spark.createDataFrame(rows, "track_id long, fix_id long, ts int, te int, tn int")
+    lod = lambda d: next(v for r, v in ((1, 0), (2, 1), (4, 2), (8, 3), (12, 4), (99, 6)) if d <= r)
+    want, before = set(), {}
+    for _, fix, _, e, n in rows:
+        now = {(i, j): lod(max(abs(i - e), abs(j - n))) for i in range(e - 16, e + 17) for j in range(n - 16, n + 17)}
+        want |= {(1, fix, *t, before[t], v, (before[t] >= 5) != (v >= 5)) for t, v in now.items() if before.get(t, v) != v}
+        before = now
+    got = residency.lod_changes_batch(df, 16).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) and {r["texture"] for r in got} == {True, False}

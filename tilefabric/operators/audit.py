@@ -49,9 +49,14 @@ def complete_groups(tiles: DataFrame, present: DataFrame, key: list[str], group:
     return j.where("_all").select(*group)
 
 
+def priority_rank(tiles: DataFrame, key: list[str], priority: list, out: str = "rank") -> DataFrame:
+    """1, 2, .. for the candidates of each key, in the order in which they are asked for it."""
+    return tiles.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*priority)))
+
+
 def suppress_duplicates(tiles: DataFrame, key: list[str], priority: list) -> DataFrame:
     """The first by priority keeps the id."""
-    return tiles.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*priority))).where("_r = 1").drop("_r")
+    return priority_rank(tiles, key, priority, "_r").where("_r = 1").drop("_r")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

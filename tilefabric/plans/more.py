@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilefabric.functions import geodesy, grid
 from tilefabric.operators import audit, bakes, features, lines, raster, spatial
-from tilefabric.sources import vectors
 from tilefabric.streaming import residency
 
-from .composites import CENTRES, IN, RINGS
-from .frames import from_lv95, stages, to_lv95, to_utm
-from .queries import INSIDE, LAST, PX, RGB, TREES, _trees, query, rounded
+from .composites import CENTRES, RINGS
+from .frames import N, from_lv95, stages, to_lv95, to_utm
+from .queries import INSIDE, PX, TREES, _trees, query, rounded
 
 PIXEL = raster.PIXEL
 FIX_TILES = "t AS (SELECT DISTINCT CAST(floor(e / 1024) AS INTEGER) AS ei, CAST(floor(n / 1024) AS INTEGER) AS ni FROM fx_fix)"
@@ -93,11 +93,8 @@ def _source_cells(lattice: int) -> str:
 
 def _fed_tiles() -> str:
     at = "(SELECT e_km, n_km, (e_km + i / 2e0) * 1000e0 AS ue, (n_km + j / 2e0) * 1000e0 AS un FROM c, range(0, 5) a(i), range(0, 5) b(j))"
-    from tilefabric.functions.geodesy import _krueger
-
-    _, radius, _, beta, delta = _krueger()
-    from .queries import _number as num
-
+    num = N
+    _, radius, _, beta, delta = geodesy._krueger()
     rows = stages(at, x=f"un / {num(0.9996 * radius)}", y=f"(ue - 500000) / {num(0.9996 * radius)}")
     rows = stages(rows, xi="x" + "".join(f" - {num(b)} * sin({2 * j} * x) * cosh({2 * j} * y)" for j, b in enumerate(beta, 1)), et="y" + "".join(f" - {num(b)} * cos({2 * j} * x) * sinh({2 * j} * y)" for j, b in enumerate(beta, 1)))
     rows = stages(rows, cc="asin(sin(xi) / cosh(et))")
@@ -204,14 +201,19 @@ TRIS = """v AS (SELECT *, lead(e) OVER w AS e1, lead(n) OVER w AS n1, lead(e, 2)
 SELECT line_id, seq FROM t WHERE kind NOT IN (7, 14, 15, 17) AND b_y IS NOT NULL AND greatest(ay, b_y, cy) - least(ay, b_y, cy) <= 50 AND pow((e1 - e) * (n2 - n) - (e2 - e) * (n1 - n), 2) >= 1e-3 AND a <> b AND b <> c AND a <> c""", "fx_line_vertex")
 def sound_triangles(v):
     """Triangles of three vertices in a row: no structures, none too steep or with a corner missing, none degenerate."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("line_id").orderBy("seq")
     t = v.withColumns({"bx": F.lead("e").over(w), "bz": F.lead("n").over(w), "cx": F.lead("e", 2).over(w), "cz": F.lead("n", 2).over(w)}).where("cx is not null")
     t = t.withColumnsRenamed({"e": "ax", "n": "az"}).withColumns({"kind": F.col("seq") % 18, "ay": (F.col("seq") % 90).cast("double"), "by": F.when(F.col("seq") % 11 != 0, 0.0), "cy": F.lit(10.0), "a": F.col("seq") % 4, "b": F.col("seq") % 3, "c": F.lit(2)})
     return features.drop_degenerate(features.drop_overtilted(features.drop_structures(t)), ["a", "b", "c"]).select("line_id", "seq")
 
 
+@query("WITH t AS (SELECT DISTINCT source, ei, ni FROM fx_height_px WHERE (ei + ni + source) % 3 > 0) SELECT source, ei, ni, row_number() OVER (PARTITION BY ei, ni ORDER BY source DESC) AS rank FROM t", "fx_height_px")
+def priority_rank(px):
+    """The order in which the sources that have a tile are asked for it."""
+    t = px.where("(ei + ni + source) % 3 > 0").select("source", "ei", "ni").distinct()
+    return audit.priority_rank(t, ["ei", "ni"], [F.desc("source")]).withColumn("rank", F.col("rank").cast("long"))
+
+
 # ---- names and codes
 
 @query("""SELECT fix_id, 400 + fix_id % 200 AS e_km, 5200 + track_id % 100 AS n_km, CASE WHEN fix_id % 2 = 0 THEN (400 + fix_id % 200) || '_' || (5200 + track_id % 100) ELSE 'tile_' || fix_id END AS tile_id,
@@ -276,8 +278,8 @@ def chunk_demand(fix):
 @query(None, "fx_fix")
 def chunk_resolution_batch(fix):
     """Each resolution depends on the one before; a test holds it against the stream and a plain loop."""
-    f = fix.withColumns({"te": grid.tile_of(F.col("e")) * 5, "tn": grid.tile_of(F.col("n")) * 5})
-    return residency.chunk_resolution_batch(f, 70)
+    f = fix.withColumns({"te": grid.tile_of(F.col("e")) * 3, "tn": grid.tile_of(F.col("n")) * 3})
+    return residency.chunk_resolution_batch(f, 40)
 
 
 # ---- bakes
