@@ -131,7 +131,8 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn(own, F.struct(F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().cast("int").alias("src_null"), F.col("doc_id"), F.xxhash64(text).alias("text_hash")))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    some = F.array_join(F.transform(taken_runs, lambda r: F.array_join(F.slice(words, r["lo"].cast("int") + 1, r["n"].cast("int")), "")), "")
+    # The words are bound once, or each run would cut the text anew.
+    some = F.transform(F.array(words), lambda w: F.array_join(F.transform(taken_runs, lambda r: F.array_join(F.slice(w, r["lo"].cast("int") + 1, r["n"].cast("int")), "")), ""))[0]
     out = keyed.join(runs, keyed[own].eqNullSafe(runs["_run_key"])).withColumn("text", F.when(F.col(whole), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
