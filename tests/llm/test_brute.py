@@ -190,7 +190,7 @@ def test_comparisons_stay_bounded_as_vectors_grow():
 
 
 def test_embeddings_at_a_finer_level_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "FEW", 100)
+    monkeypatch.setattr(embedding_dedup, "MANY", 1)
     rng = np.random.default_rng(28)
     base = rng.normal(size=(150, 32))
     x = np.float32(np.repeat(base, 4, axis=0) + 0.08 * rng.normal(size=(600, 32)) * rng.random((600, 1)))

@@ -9,7 +9,7 @@ in the cheapest of the 240 neighbours of the points. Two vectors meet in a cell
 if it is home to one of them and home to, or probed by, the other; cosines in
 double precision decide. No pair below the threshold is linked.
 
-``level`` picks ``k``, the cells' size, the probes and the tables by the number of
+``level`` picks ``k`` (2 to 4), the cells' size, the probes and the tables by the number of
 vectors that are compared with each other, so that an unrelated vector is met
 about as often however many there are: cells shrink as the data grow, and tables
 make up for what finer cells miss. By simulation a pair at cosine 0.98 is missed
@@ -41,8 +41,8 @@ from tilefabric.tables import written
 from .shared import components, heavy_join, small, spread
 
 THRESHOLD, SEED = 0.98, 8
-#: Vectors up to which one block of eight dimensions is enough, from which cells of two blocks shrink, and cell sizes.
-FEW, MANY, FINE, COARSE = 2_000, 10_000, 0.2, 0.26
+#: Vectors from which cells of two blocks shrink, and the finest and coarsest size of a cell.
+MANY, FINE, COARSE = 10_000, 0.2, 0.26
 #: Rows of a cell that one task compares with as many others.
 CROWD = 2_048
 STEP = 512
@@ -88,8 +88,6 @@ class Level:
 
 def level(n: int) -> Level:
     """How to hash ``n`` vectors that are compared with each other."""
-    if n <= FEW:
-        return Level(1, 0.18, 8, 2)
     k, from_n = 2, float(MANY)
     while (scale := min(COARSE, COARSE * (from_n / n) ** (1 / (8 * k)))) < FINE and k < 4:
         from_n, k = from_n * (COARSE / FINE) ** (8 * k), k + 1
@@ -118,7 +116,7 @@ def codes(vectors: list, at: Level) -> np.ndarray:
             x = u @ turn[:, 8 * k : 8 * k + 8] / at.scale
             home = decode(x)
             gain = (x - home) @ NEIGHBOURS.T
-            near = np.argsort(-gain, axis=1, kind="stable")[:, : max(8, 16 * (at.blocks > 1))]
+            near = np.argsort(-gain, axis=1, kind="stable")[:, :16]
             key = cell_keys(np.concatenate([home[:, None], home[:, None] + NEIGHBOURS[near]], axis=1))
             cost = np.concatenate([np.zeros((len(u), 1)), 2 - 2 * np.take_along_axis(gain, near, axis=1)], axis=1)
             if k:  # the cheapest of all ways to combine this block's points with the blocks before it
