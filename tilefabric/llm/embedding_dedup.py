@@ -46,6 +46,8 @@ MANY, FINE, COARSE = 10_000, 0.2, 0.26
 #: Rows of a cell that one task compares with as many others.
 CROWD = 2_048
 STEP = 512
+#: Bytes of codes of pairs that are looked at together.
+PAIRS = 16 << 20
 #: What names a block of a cell; rows that go to one bucket of blocks, on average at most.
 BLOCK, BUCKET = ["t", "label", "len", "cell", "x", "y"], 2_048
 #: Mixes the keys of several lattice points into one.
@@ -158,13 +160,14 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         place = np.zeros(len(pdf), np.int64)
         place[rows] = np.arange(len(rows))
         code = np.stack(pdf["codes"].iloc[rows].to_numpy()).reshape(len(rows), pdf["tables"].iloc[rows[0]], -1)
+        most = max(1, PAIRS // code[0].nbytes)
         for at in range(0, len(home), STEP):
             h = home[at : at + STEP]
             i, j = np.nonzero(units(pdf["vec"].iloc[h].tolist()) @ other.T >= THRESHOLD)
             i, j = h[i], asks[j]
             keep = ids[i] != ids[j]
             i, j = i[keep], j[keep]
-            keep = meets_first(table, code[place[i]], code[place[j]], ids[i], ids[j])
+            keep = np.concatenate([meets_first(table, code[place[i[a : a + most]]], code[place[j[a : a + most]]], ids[i[a : a + most]], ids[j[a : a + most]]) for a in range(0, len(i), most)] or [np.zeros(0, bool)])
             i, j = i[keep], j[keep]
             np.add.at(n, i, size[j])
             np.add.at(n, j, size[i])
