@@ -141,7 +141,7 @@ def digests(blocks: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD,
 
 def op8(docs: DataFrame) -> DataFrame:
     """Places every sequence, writes the padded records in blocks of shards, reads them back and digests what they hold."""
-    seqs = written(sequences(docs).withColumn("rid", F.monotonically_increasing_id()))
+    seqs = written(sequences(docs).withColumn("rid", F.monotonically_increasing_id()), "zstd")
     n = seqs.count()
     path = new_path(docs.sparkSession, "blocks")
     write_blocks(ordered(seqs, n), path, rows=n)
