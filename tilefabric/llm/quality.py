@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ THRESHOLD = 0.3
 #: Passages of the whole training sample (one document's at least), and of those that are dense at once.
 SAMPLED, DENSE = 200_000, 1_024
 #: Bytes of text that are scored at a time.
-BYTES = 2 << 20
+BYTES = 1 << 20
 #: Character classes: one each for these bytes, then groups.
 SINGLES = b" \n.,!?;:|#%&$*\"'-_/()<>{}[]@=+~^\\"
 GROUPS = (b"eationsrhldu", b"bcfgjkmpqvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"\t\r\x0b\x0c")
@@ -214,17 +214,17 @@ def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFr
     """``docs`` with the score of every document as column ``name``; only the texts go through Python."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
         if isinstance(m, Model):
             m = Model(**{k: v.astype(np.float32) for k, v in vars(m).items()})
-        for s in texts:
-            lengths, out = np.fromiter(map(len, s), np.int64, len(s)), np.full(len(s), 0.0 if isinstance(m, Model) else m)
+        for t in texts:
+            lengths, out = np.asarray(pc.binary_length(t)).astype(np.int64), np.full(len(t), 0.0 if isinstance(m, Model) else m)
             for at, to in portions(lengths, BYTES) if isinstance(m, Model) else ():
-                raw = np.frombuffer(b"".join(s.iloc[at:to]), np.uint8)
+                raw = np.frombuffer(b"".join(t.slice(at, to - at).to_pylist()), np.uint8)
                 out[at:to] = m.forward(*encoded(m, raw, lengths[at:to]))["y"]
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return docs.withColumn(name, score(F.coalesce("text", F.lit("")).cast("binary")))
 
