@@ -622,9 +622,11 @@ q{k + 1} AS MATERIALIZED (SELECT {key}, {row}, {col}, coalesce(h, m) AS h FROM q
 z AS (SELECT floor(ei / 8e0) AS cei, floor(ni / 8e0) AS cni, x.c AS cx, y.c AS cy, avg(h) AS h FROM fx_height_px, k x, k y WHERE source = 1 AND h <> 0 AND 7 - x.t = ei % 8 AND abs(x.p - pcol) <= 1 AND y.t = ni % 8 AND abs(y.p - prow) <= 1 GROUP BY ALL),
 l AS (SELECT cei, cni, x.c AS cx, y.c AS cy FROM (SELECT DISTINCT floor(ei / 8e0) AS cei, floor(ni / 8e0) AS cni FROM fx_height_px WHERE source = 1), k x, k y),
 """ + _passes("SELECT cei, cni, cx, cy, h FROM l LEFT JOIN z USING (cei, cni, cx, cy)", "cei, cni", "cy", "cx", 9) + """
-SELECT CAST(cei AS INTEGER) AS cei, CAST(cni AS INTEGER) AS cni, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, round(coalesce(h, 0), 5) AS h FROM q9""", "fx_height_px")
+SELECT CAST(cei AS INTEGER) AS cei, CAST(cni AS INTEGER) AS cni, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, round(coalesce(h, 0) + 3.14159e-8, 6) AS h FROM q9""", "fx_height_px")
 def chunk_composite(px):
-    return rounded(raster.chunk_composite(px.where("source = 1"), PX, 9), 5, "h")
+    """Heights are means of short decimals, so they are moved off the middle before they are rounded."""
+    c = raster.chunk_composite(px.where("source = 1"), PX, 9)
+    return rounded(c.withColumn("h", F.col("h") + 3.14159e-8), 6, "h")
 
 
 @query(f"WITH {_passes('SELECT ei, ni, prow, pcol, CASE WHEN h <> 0 THEN h END AS h FROM fx_height_px WHERE source = 0', 'ei, ni', 'prow', 'pcol')} SELECT ei, ni, prow, pcol, round(coalesce(h, 0), 9) AS h FROM q5", "fx_height_px")
