@@ -153,9 +153,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two star steps: every larger neighbour of a node moves to the
     node's smallest neighbour, then every node and its smaller neighbours do.
     The edges shrink to stars in a logarithmic number of rounds; each round's
-    edges are written to the shared folder. A node that holds a large share of the
-    edges is no hot spot: its rows are joined by broadcast. Self-loops and nulls
-    are dropped.
+    edges are written to the shared folder. The rows of a node with very many edges
+    are left to Spark's skew join. Self-loops and nulls are dropped.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e, seen = written(e), None
@@ -165,8 +164,8 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select("lo", "lo").distinct())
         seen = mark
         both = e.select(F.col("hi").alias("v"), F.col("lo").alias("u")).union(e.select("lo", "hi"))
-        least = both.groupBy("v").agg(F.min("u").alias("m"), F.count_if(F.col("u") > F.col("v")).alias("n")).select("v", F.least("v", "m").alias("m"), "n")
-        large = heavy_join(both.where("u > v"), least, ["v"], mark[0]).select(F.col("u").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        moved = heavy_join(large, low, ["hi"], mark[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = written(moved.union(low.select("hi", "m")).distinct())
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("hi"), F.col("m").alias("lo")).distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        e = written(moved.union(low).distinct())
