@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, langid, mixing, packing, quality, sharding, simhash, token_output, url_filter
+from . import embedding_dedup, exact_dedup, hard_negatives, langid, mixing, neighbours, packing, quality, sharding, simhash, token_output, url_filter
 
 
 def over(op, *tables: str):
@@ -31,6 +31,8 @@ QUERIES = {
     "op8_token_output": over(token_output.op8, "documents"),
     "op9_packing": over(packing.op9, "documents"),
     "op10_url_filter": over(url_filter.op10, "pages"),
+    "op11_hard_negatives": over(hard_negatives.op11, "embeddings"),
+    "op12_neighbours": over(neighbours.op12, "embeddings"),
     "pipeline": pipeline,
 }
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_sharding": sharding.op7_sql(), "op10_url_filter": url_filter.OP10_SQL}
+SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_sharding": sharding.op7_sql(), "op10_url_filter": url_filter.OP10_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL}
