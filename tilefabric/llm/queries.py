@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, hard_negatives, langid, mixing, neighbours, packing, quality, sharding, simhash, token_output, url_filter
+from . import alignment, embedding_dedup, exact_dedup, hard_negatives, langid, mixing, neighbours, packing, quality, sharding, simhash, token_output, url_filter
 
 
 def over(op, *tables: str):
@@ -33,6 +33,7 @@ QUERIES = {
     "op10_url_filter": over(url_filter.op10, "pages"),
     "op11_hard_negatives": over(hard_negatives.op11, "embeddings"),
     "op12_neighbours": over(neighbours.op12, "embeddings"),
+    "op13_alignment": over(alignment.op13, "documents"),
     "pipeline": pipeline,
 }
 SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_sharding": sharding.op7_sql(), "op10_url_filter": url_filter.OP10_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL}

@@ -61,14 +61,14 @@ def int_div(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
-def heavy_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int) -> DataFrame:
+def heavy_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int, share: int = 1_000) -> DataFrame:
     """``df`` (of at most ``rows`` rows) joined with ``table``, which has a row for each key and in ``n`` how many rows of ``df`` have it.
 
-    Keys that hold at least a thousandth of the rows, so a thousand at most, are
+    Keys that hold at least one in ``share`` of the rows, so ``share`` keys at most, are
     broadcast; only the others are shuffled, so no task gets a hot key.
     """
-    hot = F.broadcast(table.where(F.col("n") * 1_000 >= rows))
-    rare = df.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") * 1_000 < rows), keys)
+    hot = F.broadcast(table.where(F.col("n") * share >= rows))
+    rare = df.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("n") * share < rows), keys)
     return df.join(hot, keys).unionByName(rare)
 
 
