@@ -47,7 +47,7 @@ TOP, SEED = 5, 12
 SAMPLE, MANY, CENTROIDS, FILL, ROUNDS = 32_768, 4_096, 256, 32, 12
 #: Rows of the first pass; share of the neighbours that may be missing by the estimate.
 REACH, MISS = 2_048, 0.02
-BLOCK, PART = 8_192, 2_048
+BLOCK, PART = 2_048, 2_048
 KEY = ["len", "bucket", "sub", "part"]
 FOUND = "query long, query_id long, rid long, id long, no_id boolean, score double"
 #: Upper tail of the normal distribution on a grid from -8 to 8.
