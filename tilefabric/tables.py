@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths that ``new_path`` has given out and nobody has dropped, by application.
 _MADE: dict[str, list[str]] = {}
+#: The list that ``own_tables`` collects in, which other threads do not see.
+_OWN: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +36,24 @@ def new_path(spark: SparkSession, kind: str = "tables") -> str:
     """A path of its own in the shared folder, which ``drop_written`` deletes."""
     path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
     _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     return path
 
 
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """The paths given out to this thread inside the block, for a ``drop_written`` that leaves other runs' tables alone."""
+    own, outer = [], _OWN.get()
+    held = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(held)
+        if outer is not None:
+            outer.extend(own)
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back; ``codec`` zstd takes less disk for more work."""
     path = new_path(df.sparkSession)
@@ -47,11 +66,11 @@ def made(spark: SparkSession) -> list[str]:
     return list(_MADE.get(spark.sparkContext.applicationId, ()))
 
 
-def drop_written(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Deletes what ``new_path`` gave out, but for ``keep``: to be called once no DataFrame needs those tables any more."""
-    keep = set(keep)
+def drop_written(spark: SparkSession, keep: Iterable[str] = (), among: Iterable[str] | None = None) -> None:
+    """Deletes what ``new_path`` gave out (only ``among``, if given), but for ``keep``: to be called once no DataFrame needs those tables any more."""
+    keep, among = set(keep), None if among is None else set(among)
     for path in made(spark):
-        if path not in keep:
+        if path not in keep and (among is None or path in among):
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
             _MADE[spark.sparkContext.applicationId].remove(path)
