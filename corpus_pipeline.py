@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilefabric.llm import exact_dedup, mixing, packing, quality, simhash
-from tilefabric.tables import drop_written, made, written
+from tilefabric.tables import drop_written, own_tables, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces; the tables that stages write on their way are dropped as soon as the stage is done."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made(spark)
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
-        drop_written(spark, [*before, made(spark)[-1]])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with own_tables() as own:
+        for _, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir))
+            drop_written(spark, own[-1:], own)
     return docs
