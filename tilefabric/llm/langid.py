@@ -5,14 +5,16 @@ white space runs as one space), each held by its bucket of ``BUCKETS``; the
 kernel of two texts is the share of n-grams both have: |A and B| / sqrt(|A| |B|).
 A bounded sample of labelled texts is the training set: ``PER_LANGUAGE`` of each
 language, fewer where that is over ``SAMPLE`` texts, one of each language always
-(an unbiased draw by hash). ``LANDMARKS`` of them, or one of each language where
+(an unbiased draw by the hash of id and text; rows that repeat both count once). ``LANDMARKS`` of them, or one of each language where
 there are more languages, are Nystroem landmarks: K(x, landmarks) times the inverse square root of
 K(landmarks, landmarks) gives features, on which one-versus-rest kernel ridge
 regression is solved. The model is folded to one matrix over the landmarks, and
 texts are scored by matrix products, batch by batch, over whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; no
-labelled text at all: every prediction is ``und``; repeated rows score alike.
+labelled text at all: every prediction is ``und``; repeated rows score alike;
+more than ``LANGUAGES`` languages are an error, as the driver solves for all of
+them at once.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .shared import small, with_own_id, with_text_id
 
 #: Bounds of the training sample and the model; buckets of n-grams; ridge.
 PER_LANGUAGE, SAMPLE, LANDMARKS, BUCKETS, RIDGE = 300, 19_200, 192, 1 << 16, 1e-2
+#: Languages at most: a bitmap of 8 KB and a row and column of the kernel matrix each on the driver.
+LANGUAGES = 2_000
 FOLDS, BATCH = 5, 256
 SPACE, LATIN = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[A-Za-z]")
 
@@ -105,15 +109,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     The driver holds max(``sample``, languages) bitmaps and a row for each language.
     """
     known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
-    spot = F.xxhash64("doc_id", F.lit(4))
-    counts = written(known.groupBy("lang").agg(F.count("*").alias("_of"), F.min(spot).alias("_least")))  # a row for each language
+    spot = F.xxhash64("doc_id", "text", F.lit(4))
+    counts = written(known.groupBy("lang").agg(F.approx_count_distinct(spot, 0.02).alias("_of"), F.min(spot).alias("_least")))  # a row for each language
     languages = counts.count()
     if not languages:
         return None
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} values of lang; at most {LANGUAGES} can be learnt")
     each = max(1, min(per_language, sample // languages))
     draw = (spot.cast("double") / 2.0**64 + 0.5) * F.col("_of")
     some = known.join(small(counts), "lang").withColumn("_draw", draw).where((F.col("_draw") < 2 * each + 50) | (spot == F.col("_least")))
-    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", F.xxhash64("text")))).where(F.col("_n") <= each)
+    some = some.select("lang", "_draw", F.col("text").alias("_text")).groupBy("lang", "_draw").agg(F.min("_text").alias("text"))
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))).where(F.col("_n") <= each)
 
     def run(batches):
         flags = np.zeros(BUCKETS, bool)

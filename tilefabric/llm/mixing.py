@@ -88,7 +88,7 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> Mix:
     dealt = feistel(F.col("base") + F.col("j"), F.lit(total).cast("long"), F.lit(seed))
     counts = slots.groupBy(*SRC, int_div(dealt, F.lit(SHARD_SLOTS).cast("long")).alias("shard")).agg(F.count("*").alias("n"))
     counts = written(counts)
-    counts = written(running_start(counts, SRC, F.col("n"), ["shard"], "start", counts.count()))
+    counts = written(running_start(counts, SRC, F.col("n"), ["shard", "n"], "start", counts.count()))
 
     draws = exploded(counts.join(small(sources.select(*SRC, "blocks")), SRC), "n", total, "k").withColumn("j", F.col("start") + F.col("k"))
     draws = draws.withColumn("pass", int_div(F.col("j"), F.col("blocks")))

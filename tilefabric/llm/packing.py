@@ -176,7 +176,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame
     counts = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}  # at most `capacity` rows
     runs, _ = solve(counts, capacity)
     runs = spark.sparkContext.broadcast(runs)
-    numbered = running_start(rest, ["length"], F.lit(1).cast("long"), ["doc_id", "piece", "ids_crc32"], "number", sum(counts.values()))
+    numbered = running_start(rest, ["length"], F.lit(1).cast("long"), ["doc_id", "piece", "start", "ids_crc32"], "number", sum(counts.values()))
 
     def place(batches):
         for pdf in batches:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold
@@ -198,10 +198,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
 
     # Rows that repeat a doc_id are each a bag; the sample's few ids are broadcast, the texts are not moved.
     picked = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text").mapInArrow(run, "h long, y int, many long, counts binary, places binary, values binary")
-    before = F.sum("many").over(Window.orderBy("h", "y").rowsBetween(Window.unboundedPreceding, 0)) - F.col("many")
-    rows = picked.orderBy("h", "y").limit(sample).withColumn("before", before).where(F.col("before") + F.least("many", F.lit(SAMPLED)) <= SAMPLED).collect() if n else []
-    rows.sort(key=lambda r: (r["h"], r["y"]))
+    picked = picked.select(F.xxhash64("doc_id", "text").alias("h"), "_y", "text")
+    # The bound on passages is applied to lengths, a row for each distinct bag; only texts within it get features.
+    many = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).cast("long")
+    bags_of = picked.groupBy("h", "_y").agg(F.count("*").alias("times"), F.min(many).alias("many")).orderBy("h", "_y").limit(sample)
+    taken, before, left = {}, 0, sample
+    for r in bags_of.collect() if n else ():
+        for _ in range(min(r["times"], left)):
+            if before + min(r["many"], SAMPLED) <= SAMPLED:
+                taken[r["h"], r["_y"]] = taken.get((r["h"], r["_y"]), 0) + 1
+            before, left = before + r["many"], left - 1
+    rows = []
+    if taken:
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(list(taken), "h long, _y int"))
+        once = picked.join(wanted, ["h", "_y"]).groupBy("h", "_y").agg(F.first("text").alias("text"))
+        found = once.mapInArrow(run, "h long, y int, many long, counts binary, places binary, values binary").collect()
+        rows = [r for r in sorted(found, key=lambda r: (r["h"], r["y"])) for _ in range(taken[r["h"], r["y"]])]
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 1.0

@@ -93,21 +93,33 @@ def hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if "MapType" not in str(f.dataType)]
 
 
-def running_start(df: DataFrame, keys: list[str], weight: Column, order: list[str], out: str, rows: int, per_bucket: int = 5_000) -> DataFrame:
-    """Sum of ``weight`` over the rows before this one within ``keys``, as column ``out``.
+#: Copies that one row of an explode makes at most.
+COPIES = 1 << 12
+
 
-    A key may hold any share of the rows: rows go to hashed buckets of about
-    ``per_bucket`` rows, so a window sees one bucket, or one row a bucket for
-    the buckets' own starts. The order within a key is by bucket, then ``order``;
-    rows that tie in ``order`` get their places in any order. ``keys`` hold no nulls.
+def running_start(df: DataFrame, keys: list[str], weight: Column, order: list[str], out: str, rows: int, per_bucket: int = 5_000) -> DataFrame:
+    """Sum of ``weight`` over the rows before this one within ``keys``, as column ``out``; ``df`` has no columns but ``keys`` and ``order``.
+
+    A key may hold any share of the rows, and so may copies of one row: equal
+    rows are counted first and are one row of the sums. Those go to hashed
+    buckets of at most about ``per_bucket``, so a window sees one bucket, or one
+    row a bucket for the buckets' own starts. The order within a key is by
+    bucket, then ``order``; equal rows get their places in any order, and many of
+    them become rows again in several tasks. ``keys`` hold no nulls.
     """
     n = max(1, -(-rows // per_bucket))
-    df = df.withColumn("_w", weight).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    cell = [*keys, "_b"]
-    starts = df.groupBy(*cell).agg(F.sum("_w").alias("_s"))
+    same = df.groupBy(*keys, *order).agg(F.count("*").alias("_m"))
+    same = same.withColumn("_w", weight).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    cell, all_ = [*keys, "_b"], F.col("_w") * F.col("_m")
+    starts = same.groupBy(*cell).agg(F.sum(all_).alias("_s"))
     starts = starts.withColumn("_s", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s"))
-    within = F.sum("_w").over(Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
-    return df.withColumn("_in", within).join(starts, cell).withColumn(out, F.col("_s") + F.col("_in")).drop("_w", "_b", "_s", "_in")
+    within = F.sum(all_).over(Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - all_
+    same = written(same.withColumn("_in", within).join(starts, cell).select(*keys, *order, "_m", "_w", (F.col("_s") + F.col("_in")).alias(out)))
+    zero, last = F.lit(0).cast("long"), F.col("_m") - 1
+    few = same.where(F.col("_m") <= COPIES).withColumn("_k", F.explode(F.sequence(zero, last)))
+    many = same.where(F.col("_m") > COPIES).withColumn("_c", F.explode(F.sequence(zero, last, F.lit(COPIES).cast("long"))))
+    many = spread(many, rows // COPIES, 100).withColumn("_k", F.explode(F.sequence("_c", F.least(F.col("_c") + COPIES - 1, last)))).drop("_c")
+    return few.unionByName(many).withColumn(out, F.col(out) + F.col("_w") * F.col("_k")).drop("_m", "_w", "_k")
 
 
 def with_number(df: DataFrame, rid: str, out: str) -> DataFrame:
