@@ -49,7 +49,7 @@ def test_colour_fill_is_the_nearest_real_pixel(spark):
 def test_small_rules(spark):
     tris = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 1.0, 2.0, 2.0)], "ax double, az double, bx double, bz double, cx double, cz double")
     assert features.drop_degenerate(tris).count() == 1
-    tags = [({"natural": "water"}, "polygon"), ({"landuse": "basin"}, "polygon"), ({"waterway": "river"}, "12"), ({"waterway": "canal"}, "8"), ({"waterway": "canal", "area": "yes"}, "polygon"), ({"highway": "path"}, None)]
+    tags = [({"natural": "water"}, "polygon"), ({"landuse": "basin"}, "polygon"), ({"waterway": "river"}, "12"), ({"waterway": "canal"}, "8"), ({"waterway": "canal", "area": "yes"}, None), ({"waterway": "river", "area": "yes"}, None), ({"waterway": "river", "area": "no"}, "12"), ({"waterway": "canal", "area": "yes", "natural": "water"}, "polygon"), ({"highway": "path"}, None)]
     df = spark.createDataFrame(tags, "t map<string, string>, want string")
     assert df.where(~features.classify_water(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
     zones = spark.createDataFrame([(1, ["trees"], 1.0, 1.0, 5.0), (2, ["all"], 1.0, 1.0, 5.0), (3, ["roads"], 1.0, 1.0, 5.0), (4, ["all"], 1.0, 1.0, None)], "id int, kinds array<string>, e double, n double, r double").withColumn("ring", F.lit(None).cast("array<double>"))

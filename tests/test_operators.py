@@ -287,9 +287,8 @@ def test_chunk_resolutions_are_remembered(spark, tmp_path):
                     d, old = max(i * 8 - e, e - i * 8 - 7, j * 8 - n, n - j * 8 - 7, 0), held.get((i, j))
                     if d > 70:
                         continue
-                    new = 129 if d <= 32 else 65 if d <= 64 else 33
-                    if old == 129 and d <= 36 or old == 65 and 28 < d <= 68 or old == 33 and d > 60:
-                        new = old
+                    near, mid = 32 + (4 if old == 129 else 0), 64 + (4 if old == 65 else 0)  # only coarsening waits
+                    new = 129 if d <= near else 65 if d <= mid else 33
                     now[i, j] = new
                     if new != old:
                         want[t, fix, i, j, old, new] += 1

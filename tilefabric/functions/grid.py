@@ -73,10 +73,9 @@ def ortho_mip(lod: Column) -> Column:
 
 
 def chunk_resolution(d: Column, current: Column, slack: int = 4) -> Column:
-    """Samples of a chunk by distance; a change waits until the distance is ``slack`` tiles past the border."""
-    plain = lambda x: F.when(x <= 32, 129).when(x <= 64, 65).otherwise(33)
-    keep = (current == 129) & (d <= 32 + slack) & (d > 32) | (current == 65) & ((d > 64) & (d <= 64 + slack) | (d <= 32) & (d > 32 - slack)) | (current == 33) & (d <= 64) & (d > 64 - slack)
-    return F.when(F.coalesce(keep, F.lit(False)), current).otherwise(plain(d))
+    """Samples of a chunk by distance; it gets coarser only once the distance is ``slack`` tiles past the border, and finer at once."""
+    wait = lambda held: F.when(current == held, slack).otherwise(0)
+    return F.when(d <= 32 + wait(129), 129).when(d <= 64 + wait(65), 65).otherwise(33)
 
 
 def pixel_place(e: Column, n: Column, px: int, size: float = TILE) -> tuple[Column, Column]:

@@ -134,8 +134,8 @@ def altitude_factor(z: Column) -> Column:
 
 
 def thin_every_nth(trees: DataFrame, fraction: float, key: list[str], order: list[str]) -> DataFrame:
-    """Every k-th row of a key, k = round(1 / fraction) with the fraction clamped to 0.02..1."""
-    k = max(1, round(1 / min(1.0, max(0.02, fraction))))
+    """Every k-th row of a key, k = 1 / fraction, halves rounded up, with the fraction clamped to 0.02..1."""
+    k = max(1, int(1 / min(1.0, max(0.02, fraction)) + 0.5))
     return trees.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).where(F.col("_n") % k == 0).drop("_n")
 
 
@@ -216,10 +216,10 @@ def clean_uuid(uuid: Column, index: Column) -> Column:
 
 
 def classify_water(tags: Column) -> Column:
-    """What a tag map means: ``polygon``, or the width of a line in metres as text; null for other features."""
+    """What a tag map means: ``polygon``, or the width of a line in metres as text; null for other features, rivers and canals that are areas among them."""
     area = (tags["natural"] == "water") | tags["landuse"].isin("reservoir", "basin") | (tags["waterway"] == "riverbank")
     line = F.when(tags["waterway"] == "river", "12").when(tags["waterway"] == "canal", "8")
-    return F.when(F.coalesce(area, F.lit(False)), "polygon").when(F.coalesce(tags["area"] == "yes", F.lit(False)), F.when(line.isNotNull(), "polygon")).otherwise(line)
+    return F.when(F.coalesce(area, F.lit(False)), "polygon").when(F.coalesce(tags["area"] != "yes", F.lit(True)), line)
 
 
 def zones_for(zones: DataFrame, kind: str) -> DataFrame:

@@ -9,7 +9,7 @@ TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "supplie
 FIXTURES = {
     "fx_fix": """
 select user_id as track_id, event_id as fix_id, ts,
-       2600000e0 + (user_id % 50) * 400e0 + value * 10e0 as e,
+       2600000e0 + user_id * 100e0 + value * 10e0 as e,
        1200000e0 + (event_id * 37 % 16384) + value as n
 from events
 """,
@@ -32,13 +32,13 @@ from orders
 select f.user_id as line_id, f.seq, f.e, f.n,
        case f.user_id % 4 when 0 then 'primary' when 1 then 'residential' when 2 then 'railway:rail' else 'track' end as cls
 from (select user_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as seq,
-             2600000e0 + (user_id % 50) * 400e0 + value * 10e0 as e,
-             1200000e0 + (event_id * 37 % 16384) + value as n
+             2600137e0 + user_id * 100e0 + value * 10e0 as e,
+             1200061e0 + (event_id * 37 % 16384) + value as n
       from events) f
 """,
     "fx_ring_vertex": """
 select p.c_custkey as poly_id, v.ring_no, v.seq, p.c_custkey % 13 as kind,
-       2600000e0 + (p.c_custkey % 40) * 500e0 + v.dx * (0.125e0 + (p.c_custkey % 5) * 0.0625e0) as e,
+       2600000e0 + p.c_custkey * 10e0 + v.dx * (0.125e0 + (p.c_custkey % 5) * 0.0625e0) as e,
        1200000e0 + (p.c_custkey * 7 % 33) * 500e0 + v.dy * (0.125e0 + (p.c_custkey % 5) * 0.0625e0) as n
 from customer p cross join (
   select 0 as ring_no, 0 as seq, 2000e0 as dx, 0e0 as dy union all
@@ -56,11 +56,11 @@ from lineitem
 """,
     "fx_zone": """
 select s_suppkey as zone_id, s_suppkey % 3 as min_dir,
-       2600000e0 + (s_suppkey % 20) * 1000e0 as e, 1200000e0 + (s_suppkey % 16) * 1000e0 as n, 300e0 + s_nationkey * 10e0 as r
+       2600000e0 + s_suppkey * 150e0 as e, 1200000e0 + (s_suppkey % 16) * 1000e0 as n, 300e0 + s_nationkey * 10e0 as r
 from supplier
 """,
     "fx_box": """
-select p_partkey as building_id, 2600000e0 + (p_partkey * 13 % 20000) as x0, 1200000e0 + (p_partkey * 29 % 16000) as y0,
+select p_partkey as building_id, 2600000e0 + p_partkey * 7.5e0 as x0, 1200000e0 + (p_partkey * 29 % 16000) as y0,
        400e0 + p_size as z0, p_size * 0.5e0 as w, p_size * 0.25e0 as d, 3e0 + p_size as hgt
 from part
 """,

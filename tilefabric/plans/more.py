@@ -102,18 +102,20 @@ def _fed_tiles() -> str:
     return f"SELECT DISTINCT e_km, n_km, CAST(floor(e / 1024) AS INTEGER) AS ei, CAST(floor(n / 1024) AS INTEGER) AS ni FROM {to_lv95(rows, 'lat', 'lon', 'e', 'n', 'a')}"
 
 
-FEW = "t AS (SELECT DISTINCT CAST(ei % 100 + 2660 AS INTEGER) AS ei, CAST(ni + 1240 AS INTEGER) AS ni FROM fx_tile_present)"
-NEED = f"{FEW}, need AS ({_source_cells(3)})"
+#: All tiles, in bands of 400 columns one north of the other, so that they stay where the projections hold.
+TILES = "t AS (SELECT CAST(ei % 400 + 2560 AS INTEGER) AS ei, CAST(ni + 1240 + 31 * floor(ei / 400e0) AS INTEGER) AS ni FROM fx_tile_present)"
+NEED = f"{TILES}, need AS ({_source_cells(3)})"
 
 
-def _few(tiles):
-    return tiles.select((F.col("ei") % 100 + 2660).alias("ei"), (F.col("ni") + 1240).alias("ni")).distinct()
+def _in_bands(tiles):
+    band = F.floor(F.col("ei") / 400.0).cast("int")
+    return tiles.select((F.col("ei") % 400 + 2560).alias("ei"), (F.col("ni") + 1240 + 31 * band).alias("ni"))
 
 
-@query(f"WITH {FEW} {_source_cells(3)}", "fx_tile_present")
+@query(f"WITH {TILES} {_source_cells(3)}", "fx_tile_present")
 def tiles_to_cells(tiles):
     """Source cells of each tile."""
-    return audit.tiles_to_cells(_few(tiles), geodesy.lv95_to_utm32)
+    return audit.tiles_to_cells(_in_bands(tiles), geodesy.lv95_to_utm32)
 
 
 @query(f"WITH c AS (SELECT DISTINCT e_km, n_km FROM fx_probe) {_fed_tiles()}", "fx_probe")
@@ -129,7 +131,7 @@ HAVE = "h AS (SELECT e_km, n_km FROM need WHERE (e_km * 7 + n_km * 3) % 11 > 0 G
 SELECT ei, ni, (ei, ni) IN (SELECT (ei, ni) FROM w) AS complete FROM (SELECT DISTINCT ei, ni FROM need)""", "fx_tile_present")
 def complete_tiles(tiles):
     """Tiles all of whose source cells in a region are there; the others are deferred."""
-    need = audit.tiles_to_cells(_few(tiles), geodesy.lv95_to_utm32)
+    need = audit.tiles_to_cells(_in_bands(tiles), geodesy.lv95_to_utm32)
     have = need.where((F.col("e_km") * 7 + F.col("n_km") * 3) % 11 > 0).select("e_km", "n_km").distinct()
     whole, deferred = audit.complete_tiles(need, have, (460, 5200, 560, 5300))
     return whole.withColumn("complete", F.lit(True)).unionByName(deferred.withColumn("complete", F.lit(False)))
@@ -155,11 +157,11 @@ def zones_for(zones):
     return features.zones_for(z, "trees").join(listed, "zone_id", "left_semi").select("zone_id", "kinds")
 
 
-@query(f"""WITH {INSIDE}, gone AS (SELECT fix_id FROM i WHERE fix_id % 3 >= poly_id % 3 UNION SELECT fix_id FROM fx_fix f JOIN fx_zone z ON f.fix_id % 3 >= z.min_dir AND (f.e - z.e) * (f.e - z.e) + (f.n - z.n) * (f.n - z.n) <= z.r * z.r WHERE z.zone_id % 2 = 0)
+@query(f"""WITH {INSIDE}, gone AS (SELECT fix_id FROM i WHERE fix_id % 3 >= poly_id % 3 UNION SELECT fix_id FROM fx_fix f JOIN fx_zone z ON f.fix_id % 3 >= z.min_dir AND (f.e - z.e) * (f.e - z.e) + (f.n - z.n) * (f.n - z.n) <= z.r * z.r)
 SELECT fix_id, e, n FROM fx_fix WHERE fix_id NOT IN (SELECT fix_id FROM gone)""", "fx_fix", "fx_zone", "fx_ring_vertex")
 def exclude_in_polygon_zones(fix, zones, rings):
     """Zones that are circles, and zones that are polygons."""
-    circles = zones.where("zone_id % 2 = 0").select((-F.col("zone_id") - 1).alias("zone_id"), "min_dir", "e", "n", "r")
+    circles = zones.select((-F.col("zone_id") - 1).alias("zone_id"), "min_dir", "e", "n", "r")
     shapes = rings.select(F.col("poly_id").alias("zone_id"), (F.col("poly_id") % 3).alias("min_dir")).distinct()
     shapes = shapes.selectExpr("zone_id", "min_dir", "cast(null as double) as e", "cast(null as double) as n", "cast(null as double) as r")
     f = fix.select("fix_id", "e", "n").withColumn("priority", F.col("fix_id") % 3)
@@ -184,7 +186,7 @@ TAGS = """w AS (SELECT fix_id, CASE fix_id % 9 WHEN 0 THEN 'water' END AS nat, C
 CASE fix_id % 9 WHEN 7 THEN 'primary' WHEN 8 THEN 'path' END AS highway, CASE fix_id % 9 WHEN 6 THEN 'tram' END AS railway, CASE fix_id % 5 WHEN 0 THEN 'true' END AS tunnel, CASE fix_id % 6 WHEN 0 THEN 'Wald' WHEN 1 THEN 'Wald offen' WHEN 2 THEN 'Gehoelz' WHEN 3 THEN 'See' WHEN 4 THEN 'Wald_offen' END AS objektart FROM fx_fix)"""
 
 
-@query(f"""WITH {TAGS} SELECT fix_id, CASE WHEN nat = 'water' OR landuse = 'reservoir' OR waterway = 'riverbank' THEN 'polygon' WHEN waterway IN ('river', 'canal') AND area = 'yes' THEN 'polygon' WHEN waterway = 'river' THEN '12' WHEN waterway = 'canal' THEN '8' END AS water,
+@query(f"""WITH {TAGS} SELECT fix_id, CASE WHEN nat = 'water' OR landuse = 'reservoir' OR waterway = 'riverbank' THEN 'polygon' WHEN area = 'yes' THEN NULL WHEN waterway = 'river' THEN '12' WHEN waterway = 'canal' THEN '8' END AS water,
 CASE WHEN highway = 'primary' THEN 'primary' WHEN railway = 'tram' AND tunnel IS NULL THEN 'railway:tram' END AS road FROM w WHERE objektart IN ('Wald', 'Gehoelz', 'Wald_offen', 'Wald offen')""", "fx_fix")
 def classify_tags(fix):
     """Water and roads by tag maps, of features of a forest class."""
@@ -256,14 +258,6 @@ def snap_trees(rings, px):
     return rounded(out.select("poly_id", "i", "j", "ground_z", "snapped", "pending"), 6, "ground_z")
 
 
-@query(f"""WITH {CENTRES} SELECT ei, ni, count(*) AS pixels FROM p GROUP BY ALL HAVING false""", "fx_height_px", "fx_line_vertex")
-def paint_nothing_on_coarse_rasters(px, v):
-    """Rasters of 16 pixels a side are too coarse for corridors."""
-    s = lines.segments(lines.classify_roads(v)).select("line_id", "seq", F.col("e").alias("e0"), F.col("n").alias("n0"), "e1", "n1", (F.col("width") / 2).alias("half_width"))
-    out = spatial.paint_corridors(raster.pixel_centres(px.where("source = 1"), PX), s, PIXEL, side=PX)
-    return out.groupBy("ei", "ni").agg(F.count("*").alias("pixels"))
-
-
 # ---- demand
 
 @query(f"""WITH {RINGS}, m AS (SELECT *, lag(te) OVER w AS pe, lag(tn) OVER w AS pn FROM f WINDOW w AS (PARTITION BY track_id ORDER BY k)), v AS (SELECT track_id, te, tn FROM m WHERE pe IS NULL OR pe <> te OR pn <> tn),
@@ -275,9 +269,16 @@ def chunk_demand(fix):
     return residency.chunk_demand(f, 40)
 
 
-@query(None, "fx_fix")
+@query(f"""WITH RECURSIVE {RINGS.replace("AS te", "* 3 AS te").replace("AS tn", "* 3 AS tn")}, m AS (SELECT *, lag(te) OVER w AS pe, lag(tn) OVER w AS pn FROM f WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+v AS (SELECT track_id, fix_id, te, tn, row_number() OVER (PARTITION BY track_id ORDER BY k) AS k FROM m WHERE pe IS NULL OR pe <> te OR pn <> tn),
+x AS (SELECT *, unnest(range(CAST(floor((te - 40) / 8e0) AS BIGINT), CAST(floor((te + 40) / 8e0) AS BIGINT) + 1)) AS cei FROM v),
+y AS (SELECT *, unnest(range(CAST(floor((tn - 40) / 8e0) AS BIGINT), CAST(floor((tn + 40) / 8e0) AS BIGINT) + 1)) AS cni FROM x),
+d AS (SELECT track_id, fix_id, k, cei, cni, greatest(cei * 8 - te, te - cei * 8 - 7, cni * 8 - tn, tn - cni * 8 - 7, 0) AS d FROM y WHERE greatest(cei * 8 - te, te - cei * 8 - 7, cni * 8 - tn, tn - cni * 8 - 7, 0) <= 40),
+r AS (SELECT d.*, CAST(NULL AS INTEGER) AS old_res, CASE WHEN d <= 32 THEN 129 WHEN d <= 64 THEN 65 ELSE 33 END AS new_res FROM d WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.track_id = d.track_id AND b.cei = d.cei AND b.cni = d.cni AND b.k = d.k - 1)
+UNION ALL SELECT d.*, r.new_res, CASE WHEN d.d <= 32 OR r.new_res = 129 AND d.d <= 36 THEN 129 WHEN d.d <= 64 OR r.new_res = 65 AND d.d <= 68 THEN 65 ELSE 33 END FROM r JOIN d ON d.track_id = r.track_id AND d.cei = r.cei AND d.cni = r.cni AND d.k = r.k + 1)
+SELECT track_id, fix_id, CAST(cei AS INTEGER) AS cei, CAST(cni AS INTEGER) AS cni, old_res, new_res FROM r WHERE old_res IS NULL OR old_res <> new_res""", "fx_fix")
 def chunk_resolution_batch(fix):
-    """Each resolution depends on the one before; a test holds it against the stream and a plain loop."""
+    """Each resolution depends on the one before."""
     f = fix.withColumns({"te": grid.tile_of(F.col("e")) * 3, "tn": grid.tile_of(F.col("n")) * 3})
     return residency.chunk_resolution_batch(f, 40)
 

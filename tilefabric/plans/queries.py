@@ -103,7 +103,7 @@ def chunk_of(fix):
 l AS (SELECT *, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 WHEN d <= 8 THEN 3 WHEN d <= 16 THEN 4 WHEN d <= 30 THEN 6 ELSE 8 END AS far_lod FROM d)
 SELECT fix_id, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 WHEN d <= 8 THEN 3 WHEN d <= 12 THEN 4 ELSE 6 END AS lod, CASE WHEN d <= 1 THEN 0 WHEN d <= 2 THEN 1 WHEN d <= 4 THEN 2 ELSE 3 END AS near_lod, far_lod,
 CASE WHEN d <= 32 THEN 129 WHEN d <= 64 THEN 65 ELSE 33 END AS res,
-CASE WHEN had = 129 AND d <= 36 THEN 129 WHEN had = 65 AND d > 28 AND d <= 68 THEN 65 WHEN had = 33 AND d > 60 THEN 33 WHEN d <= 32 THEN 129 WHEN d <= 64 THEN 65 ELSE 33 END AS steady,
+CASE WHEN d <= 32 OR had = 129 AND d <= 36 THEN 129 WHEN d <= 64 OR had = 65 AND d <= 68 THEN 65 ELSE 33 END AS steady,
 CASE WHEN far_lod >= 7 THEN 64 WHEN far_lod >= 5 THEN 256 ELSE 1024 END AS pixels, CASE WHEN far_lod >= 7 THEN 2 ELSE 0 END AS mip, greatest(0, far_lod - 2) AS effective, CAST(pow(floor(256 / least(pow(2, greatest(0, far_lod - 2)), 256)) + 1, 2) AS BIGINT) AS vertices FROM l""", "fx_fix")
 def lod_by_distance(fix):
     """Levels by three load radiuses, chunk resolutions plain and with the one before, and what follows for textures and meshes of 257 pixels."""

@@ -150,7 +150,7 @@ RESOLUTIONS = "track_id long, fix_id long, cei int, cni int, old_res int, new_re
 def chunk_resolution_batch(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
     """Chunks that are asked for, or asked for anew in another resolution, over whole tracks.
 
-    A chunk keeps its resolution until the distance is clear of the border; out
+    A chunk gets coarser only once the distance is clear of the border; out
     of reach it is forgotten. The distances of a track and chunk are one array,
     which is gone through with the resolution so far.
     """
@@ -173,10 +173,7 @@ def chunk_resolution_stream(fixes: DataFrame, far: int, span: int = 8, late: str
     """The same from a stream; a track's state is its last tile and the resolution of each chunk in reach."""
 
     def resolution(d: int, old: int | None) -> int:
-        border = {129: (None, 36), 65: (28, 68), 33: (60, None)}.get(old)  # where the old one still holds
-        if border and (border[0] is None or d > border[0]) and (border[1] is None or d <= border[1]):
-            return old
-        return 129 if d <= 32 else 65 if d <= 64 else 33
+        return 129 if d <= 32 + 4 * (old == 129) else 65 if d <= 64 + 4 * (old == 65) else 33
 
     def step(key, batches, state):
         last, held = (tuple(state.get[0]), {(a, b): r for a, b, r in state.get[1]}) if state.exists else (None, {})
