@@ -87,28 +87,6 @@ def test_xml_and_boundaries(spark, tmp_path):
     assert sorted((r["ring_no"], r["name"], r["hole"], r["seq"], r["lon"], r["lat"]) for r in rows) == [(0, "1", False, 0, 7.5, 47.5), (0, "1", False, 1, 8.5, 48.5), (0, "1", False, 2, 9.0, 47.0), (1, "2", True, 0, 8.0, 47.6), (1, "2", True, 1, 8.1, 47.7)]
 
 
-def run_stream(spark, tmp_path, df, make, name):
-    for part in (df.where("minute(ts) < 7"), df.where("minute(ts) >= 7")):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return sorted(map(tuple, spark.table(name).collect()))
-
-
-@pytest.mark.parametrize("kind", ["lod", "generation"])
-def test_streams_are_their_batch_twins(spark, tmp_path, kind):
-    rng = np.random.default_rng(5)
-    rows = [(t, 100 * t + k, f"2024-01-01 00:{k:02d}:00", int(e), int(n)) for t in range(2) for k, (e, n) in enumerate(np.cumsum(rng.integers(-1, 2, (14, 2)), axis=0))]
-    df = spark.createDataFrame(rows, "track_id long, fix_id long, ts string, te int, tn int").withColumn("ts", F.col("ts").cast("timestamp"))
-    if kind == "lod":
-        make, batch = (lambda s: residency.lod_changes_stream(s, 4, "1 hour")), residency.lod_changes_batch(df, 4)
-    else:
-        make, batch = (lambda s: residency.coverage_generation_stream(s, "1 hour")), residency.coverage_generation_batch(df)
-    want = sorted(map(tuple, batch.collect()))
-    assert run_stream(spark, tmp_path, df, make, f"out_{kind}") == want and want
-
-
 def test_levels_and_textures_far_out(spark):
     """Levels of detail within sixteen tiles, where textures change too, against a plain loop."""
     rows = [(1, k, k, e, n) for k, (e, n) in enumerate([(0, 0), (3, 0), (3, 0), (3, -2), (20, 1)])]

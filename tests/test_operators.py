@@ -264,16 +264,7 @@ def test_numbers_and_places(spark):
     assert named.where(grid.parse_lod_tile_id(F.col("a")) != F.col("b")).count() == 0
 
 
-def run_stream(spark, tmp_path, df, make, name, cut="minute(ts) < 7"):
-    for part in (df.where(cut), df.where(f"not ({cut})")):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return Counter(map(tuple, spark.table(name).collect()))
-
-
-def test_chunk_resolutions_are_remembered(spark, tmp_path):
+def test_chunk_resolutions_are_remembered(spark):
     rng = np.random.default_rng(17)
     rows = [(t, 100 * t + k, f"2024-01-01 00:{k:02d}:00", int(e), int(n)) for t in range(2) for k, (e, n) in enumerate(np.cumsum(rng.integers(-9, 10, (20, 2)), axis=0))]
     df = spark.createDataFrame(rows, "track_id long, fix_id long, ts string, te int, tn int").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -295,16 +286,14 @@ def test_chunk_resolutions_are_remembered(spark, tmp_path):
             held = now
     batch = Counter(map(tuple, residency.chunk_resolution_batch(df, 70).collect()))
     assert batch == want and any(k[4] == 65 for k in want)
-    assert run_stream(spark, tmp_path, df, lambda s: residency.chunk_resolution_stream(s, 70, late="1 hour"), "res_out") == want
 
 
-def test_tiles_and_chunks_wait_for_each_other(spark, tmp_path):
+def test_tiles_and_chunks_wait_for_each_other(spark):
     events = [(0, "fix", 0, 0), *((k, "tile", i, j) for k, (i, j) in enumerate(((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)), 1)), (20, "fix", 6, 0), (21, "chunk", -1, -1), (22, "chunk", 0, 0), (23, "fix", 40, 0)]
     rows = [(5, 100 + k, f"2024-01-01 00:{k:02d}:00", *r[1:]) for k, r in enumerate(events)]
     df = spark.createDataFrame(rows, "track_id long, event_id long, ts string, kind string, a int, b int").withColumn("ts", F.col("ts").cast("timestamp"))
     args = (1, 1, 6, 2)
     batch = Counter(map(tuple, residency.handoff_batch(df, *args).collect()))
-    assert run_stream(spark, tmp_path, df, lambda s: residency.handoff_stream(s, *args, late="1 hour"), "hand_out") == batch
     moved = {k[1:] for k in batch}
     # After the move, tile (0, 0) stays until the chunk over it is there; tile (-1, -1) is too far for chunks.
     gone = {(a, b): event for event, kind, a, b, action in moved if kind == "tile" and action == "unload"}
@@ -320,19 +309,6 @@ def test_a_small_chunk_goes_once_its_tiles_are_there(spark):
     assert [r["action"] for r in got] == ["load", "unload"] and got[1]["event_id"] == 2 + 9 * 5 + 5  # when tile (1, 1), the last of the four, came
 
 
-def test_draping_waits_for_terrain(spark, tmp_path):
-    v = spark.createDataFrame([(1, 0, 0, 0, 0, "2024-01-01 00:01:00", 7.0), (2, 0, 0, 0, 1, "2024-01-01 00:02:00", 8.0), (3, 0, 0, 9, 9, "2024-01-01 00:03:00", 9.0), (4, 0, 0, 9, 9, "2024-01-02 00:00:00", None)], "id int, ei int, ni int, prow int, pcol int, ts string, last double").withColumn("ts", F.col("ts").cast("timestamp"))
-    t = spark.createDataFrame([(0, 0, 0, 0, 50.0, "2024-01-01 00:00:00"), (0, 0, 0, 1, 60.0, "2024-01-01 00:30:00"), (5, 5, 0, 0, 1.0, "2024-01-02 00:00:00")], "ei int, ni int, prow int, pcol int, h double, terrain_ts string").withColumn("terrain_ts", F.col("terrain_ts").cast("timestamp"))
-    for name, df, cut in (("v", v, "id < 4"), ("t", t, "ei < 5")):
-        for part in (df.where(cut), df.where(f"not ({cut})")):
-            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
-    streams = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)) for name, df in (("v", v), ("t", t))]
-    q = residency.drape_stream(*streams, last_known="last").writeStream.format("memory").queryName("draped").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["id"]: (r["h"], r["resolved"]) for r in spark.table("draped").collect()}
-    assert {k: got[k] for k in (1, 2, 3)} == {1: (50.0, True), 2: (60.0, True), 3: (9.0, False)}
-
-
 def test_probe_status_stream(spark, tmp_path):
     rows = [("2024-01-01 00:01:00", 1, 2, 404), ("2024-01-01 00:02:00", 1, 2, 200), ("2024-01-01 00:09:00", 1, 2, 0), ("2024-01-01 00:08:00", 3, 4, 404), ("2024-01-01 00:01:00", 3, 4, 200)]
     df = spark.createDataFrame(rows, "ts string, e_km int, n_km int, status int").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -85,16 +85,3 @@ def test_text_files(spark, tmp_path):
     assert sorted(map(tuple, tiles.read_tile_index(spark, str(tmp_path / "index")).collect())) == [(1, 2, "f"), (3, 4, "v")]
     (tmp_path / "m.json").write_text('{"tiles": {"a": {"file": "a.glb", "tile_e": 1, "tile_n": 2, "center_e": 3, "center_n": 4}}}')
     assert tuple(tiles.read_manifest(spark, str(tmp_path / "m.json")).first()) == (0.0, 0.0, 1024.0, False, "a", "a.glb", 1, 2, 3.0, 4.0)
-
-
-def test_stream_is_its_batch_twin(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    rows = [(t, 100 * t + k, f"2024-01-01 00:{k:02d}:00", int(e), int(n)) for t in range(3) for k, (e, n) in enumerate(np.cumsum(rng.integers(-2, 3, (20, 2)), axis=0))]
-    df = spark.createDataFrame(rows, "track_id long, fix_id long, ts string, te int, tn int").withColumn("ts", F.col("ts").cast("timestamp"))
-    for k, part in enumerate((df.where("minute(ts) < 7"), df.where("minute(ts) >= 7"))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = residency.residency_stream(stream, 2, 1, "1 hour").writeStream.format("memory").queryName("events_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("events_out").collect()))
-    assert got == sorted(map(tuple, residency.residency_batch(df, 2, 1).collect()))

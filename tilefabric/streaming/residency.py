@@ -3,70 +3,98 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilefabric.functions.grid import RINGS, chunk_distance, chunk_resolution, effective_lod, lod_for_distance, mesh_vertices, ortho_pixels
-from tilefabric.operators.raster import PIXEL
-from tilefabric.operators.spatial import tiles_in_ring
+from tilefabric.functions.grid import RINGS, chebyshev, chunk_distance, chunk_resolution, effective_lod, lod_for_distance, mesh_vertices, ortho_pixels
+from tilefabric.streaming import tracks
 
-EVENTS = "track_id long, fix_id long, ei int, ni int, action string"
+TRACK = ["track_id", "part"]
+#: Seconds without a fix after which a track ends.
+IDLE = 86_400.0
 
 
-def moves(fixes: DataFrame) -> DataFrame:
-    """The fixes (track_id, fix_id, ts, te, tn) that are in another tile than the one before, numbered as ``k``."""
+def moves(fixes: DataFrame, idle: float | None = None) -> DataFrame:
+    """The fixes (track_id, fix_id, ts, te, tn) that are in another tile than the one before, numbered as ``k``.
+
+    A gap of more than ``idle`` seconds ends a track: what follows is its next ``part``, which starts anew.
+    """
     track = Window.partitionBy("track_id").orderBy("ts", "fix_id")
-    f = fixes.withColumns({"_pe": F.lag("te").over(track), "_pn": F.lag("tn").over(track)})
+    f = fixes
+    if idle is None:
+        f = f.withColumn("part", F.lit(0).cast("long"))
+    else:
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        f = f.withColumn("_gap", F.coalesce(at - F.lag(at).over(track) > int(idle * 1e6), F.lit(False)).cast("long"))
+        f = f.withColumn("part", F.sum("_gap").over(track.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    part = Window.partitionBy(*TRACK).orderBy("ts", "fix_id")
+    f = f.withColumns({"_pe": F.lag("te").over(part), "_pn": F.lag("tn").over(part)})
     f = f.where("_pe is null or _pe <> te or _pn <> tn").drop("_pe", "_pn")
-    return f.withColumn("k", F.row_number().over(track))
+    return f.withColumn("k", F.row_number().over(part))
 
 
-def residency_batch(fixes: DataFrame, radius: int, margin: int) -> DataFrame:
+def stays(f: DataFrame, reach: int) -> DataFrame:
+    """(track, part, ei, ni, from_k, to_k): runs of moves during which a tile is within ``reach``; ``to_k`` is the first move after.
+
+    Only tiles that come into reach or leave it with a move become rows: two
+    strips of the square, so their number grows with the reach, not its square.
+    """
+    w = Window.partitionBy(*TRACK).orderBy("k")
+    steps = f.select(*TRACK, "k", "te", "tn", F.lag("te").over(w).alias("pe"), F.lag("tn").over(w).alias("pn"))
+    ends = strips(steps, reach).withColumn("enters", F.lit(True))
+    ends = ends.unionByName(strips(backwards(steps), reach).withColumn("enters", F.lit(False)))
+    tile = Window.partitionBy(*TRACK, "ei", "ni").orderBy("k")
+    ends = ends.withColumn("to_k", F.lead("k").over(tile)).where("enters")
+    return ends.select(*TRACK, "ei", "ni", F.col("k").alias("from_k"), "to_k")
+
+
+def backwards(steps: DataFrame) -> DataFrame:
+    """Moves from (te, tn) to (pe, pn), without first ones."""
+    swapped = (F.col(a).alias(b) for a, b in (("pe", "te"), ("pn", "tn"), ("te", "pe"), ("tn", "pn")))
+    return steps.where("pe is not null").select(*TRACK, "k", *swapped)
+
+
+def strips(steps: DataFrame, reach: int) -> DataFrame:
+    """(track, part, k, ei, ni): the tiles within ``reach`` of (te, tn) that are not within it of (pe, pn); all, where that is null."""
+    none = F.array().cast("array<int>")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    e, n, pe, pn = (F.col(c) for c in ("te", "tn", "pe", "pn"))
+    r = F.lit(reach)
+    rows = steps.withColumn("ei", F.explode(F.sequence(e - r, e + r)))
+    inside = F.col("pe").isNotNull() & (F.abs(F.col("ei") - pe) <= r)
+    below, above = span(n - r, F.least(n + r, pn - r - 1)), span(F.greatest(n - r, pn + r + 1), n + r)
+    rows = rows.withColumn("ni", F.explode(F.when(inside, F.concat(below, above)).otherwise(F.sequence(n - r, n + r))))
+    return rows.select(*TRACK, "k", "ei", "ni")
+
+
+def residency_batch(fixes: DataFrame, radius: int, margin: int, idle: float | None = None) -> DataFrame:
     """Load and unload events over whole tracks (track_id, fix_id, ts, ei, ni as te, tn).
 
     A tile is loaded when its Chebyshev distance is at most ``radius`` and goes
     only when it is more than ``radius + margin``: between the two it keeps its
-    state, so the state of a tile is the last decision, found by a window. Only
-    fixes within reach of a tile, and the next fix after each, can decide; fixes
-    in the tile of the fix before decide nothing and go first.
+    state. It is loaded from the first stay within the radius that begins in a
+    stay within the wider one, until that one ends. With ``idle``, tracks end
+    (see ``moves``), and what they hold then goes as ``expire``, without a fix.
     """
-    far = radius + margin
-    f = moves(fixes)
-    d = F.sequence(F.lit(-far), F.lit(far))
-    near = f.withColumn("_de", F.explode(d)).withColumn("_dn", F.explode(d))
-    near = near.select("track_id", "fix_id", "k", (F.col("te") + F.col("_de")).alias("ei"), (F.col("tn") + F.col("_dn")).alias("ni"), F.greatest(F.abs("_de"), F.abs("_dn")).alias("dist"))
-    tile = Window.partitionBy("track_id", "ei", "ni").orderBy("k")
-    near = near.withColumns({"before": F.lag("k").over(tile), "after": F.lead("k").over(tile)})
-    # A stay is a run of consecutive fixes within reach; in it, the first fix within the radius loads.
-    stay = near.withColumn("stay", F.sum(F.when(F.col("before") == F.col("k") - 1, 0).otherwise(1)).over(tile.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = stay.groupBy("track_id", "ei", "ni", "stay").agg(F.min(F.when(F.col("dist") <= radius, F.col("k"))).alias("load_k"), (F.max("k") + 1).alias("unload_k")).where("load_k is not null")
-    events = runs.select("track_id", "ei", "ni", F.explode(F.array(F.struct(F.col("load_k").alias("k"), F.lit("load").alias("action")), F.struct(F.col("unload_k").alias("k"), F.lit("unload").alias("action")))).alias("x")).select("track_id", "ei", "ni", "x.k", "x.action")
-    return events.join(f.select("track_id", "k", "fix_id"), ["track_id", "k"]).select("track_id", "fix_id", "ei", "ni", "action")
-
-
-def residency_stream(fixes: DataFrame, radius: int, margin: int, late: str = "10 minutes") -> DataFrame:
-    """The same events from a stream of (track_id, fix_id, ts, te, tn); the state is the tiles that are loaded."""
+    f = moves(fixes, idle)
+    tile = [*TRACK, "ei", "ni"]
+    outer, inner = stays(f, radius + margin).withColumnsRenamed({"from_k": "a", "to_k": "b"}), stays(f, radius)
+    held = outer.join(inner, tile).where("from_k >= a and (b is null or from_k < b)").groupBy(*tile, "a", "b").agg(F.min("from_k").alias("k"))
+    end = F.when(F.col("b").isNotNull(), F.lit("unload")).otherwise("expire")
+    found = F.array(F.struct(F.col("k").alias("k"), F.lit("load").alias("action")), F.struct(F.col("b").alias("k"), end.alias("action")))
+    events = held.select(*tile, F.explode(found).alias("x")).select(*tile, "x.k", "x.action")
+    if idle is None:
+        events = events.where("action <> 'expire'")
+    return events.join(f.select(*TRACK, "k", "fix_id"), [*TRACK, "k"], "left").select("track_id", "fix_id", "ei", "ni", "action")
 
-    def step(key, batches, state):
-        loaded = set(map(tuple, state.get[0])) if state.exists else set()
-        rows = pd.concat(list(batches)).sort_values(["ts", "fix_id"])
-        out = []
-        for fix, e, n in zip(rows["fix_id"], rows["te"], rows["tn"], strict=True):
-            e, n = int(e), int(n)
-            gone = {t for t in loaded if max(abs(t[0] - e), abs(t[1] - n)) > radius + margin}
-            new = {(i, j) for i in range(e - radius, e + radius + 1) for j in range(n - radius, n + radius + 1)} - loaded
-            out += [(key[0], fix, *t, "unload") for t in sorted(gone)] + [(key[0], fix, *t, "load") for t in sorted(new)]
-            loaded = (loaded - gone) | new
-        state.update((sorted(map(list, loaded)),))
-        yield pd.DataFrame(out, columns=["track_id", "fix_id", "ei", "ni", "action"])
 
-    keyed = fixes.withWatermark("ts", late).groupBy("track_id")
-    return keyed.applyInPandasWithState(step, EVENTS, "tiles array<array<int>>", "append", "NoTimeout")
-
-
-CHANGES = "track_id long, fix_id long, ei int, ni int, old_lod int, new_lod int, texture boolean"
+def residency_stream(fixes: DataFrame, radius: int, margin: int, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
+    """The same events from a stream of (track_id, fix_id, ts, te, tn), in order of event time."""
+    p = tracks.Residency(int(idle * 1000), radius, margin)
+    return tracks.run(fixes, ["track_id"], p, p.schema, late)
 
 
 def lod_changes_batch(fixes: DataFrame, radius: int) -> DataFrame:
@@ -76,33 +104,22 @@ def lod_changes_batch(fixes: DataFrame, radius: int) -> DataFrame:
     the fix before has no level to change.
     """
     f = moves(fixes)
-    ring = tiles_in_ring(f.withColumnsRenamed({"te": "ei", "tn": "ni"}), radius, ["track_id", "fix_id", "k"], lambda d: lod_for_distance(d, radius))
-    w = Window.partitionBy("track_id", "ei", "ni").orderBy("k")
-    ring = ring.withColumns({"k0": F.lag("k").over(w), "old_lod": F.lag("lod").over(w)}).where("k0 = k - 1 and lod <> old_lod")
-    texture = ortho_pixels(F.col("lod")) != ortho_pixels(F.col("old_lod"))
-    return ring.select("track_id", "fix_id", "ei", "ni", "old_lod", F.col("lod").alias("new_lod"), texture.alias("texture"))
-
-
-def lod_changes_stream(fixes: DataFrame, radius: int, late: str = "10 minutes") -> DataFrame:
+    w = Window.partitionBy(*TRACK).orderBy("k")
+    steps = f.withColumns({"pe": F.lag("te").over(w), "pn": F.lag("tn").over(w)}).where("pe is not null").select(*TRACK, "fix_id", "k", "te", "tn", "pe", "pn")
+    reaches = [r for r, _ in next(rings for most, rings in RINGS.items() if most is None or radius <= most)[:-1]]
+    # Only tiles that cross the border of a ring change: strips along it, not the whole square.
+    crossed = [strips(s, r) for r in reaches for s in (steps, backwards(steps))]
+    crossed = reduce(DataFrame.unionByName, crossed).distinct().join(steps, [*TRACK, "k"])
+    now, then = (chebyshev(F.col("ei") - F.col(e), F.col("ni") - F.col(n)) for e, n in (("te", "tn"), ("pe", "pn")))
+    out = crossed.where((now <= radius) & (then <= radius)).withColumns({"new_lod": lod_for_distance(now, radius), "old_lod": lod_for_distance(then, radius)})
+    texture = ortho_pixels(F.col("new_lod")) != ortho_pixels(F.col("old_lod"))
+    return out.where("old_lod <> new_lod").select("track_id", "fix_id", "ei", "ni", "old_lod", "new_lod", texture.alias("texture"))
+
+
+def lod_changes_stream(fixes: DataFrame, radius: int, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
     """The same changes from a stream; a track's state is its last tile, from which every level follows."""
-    rings = next(r for most, r in RINGS.items() if most is None or radius <= most)
-    lod = lambda d: next(level for reach, level in rings if reach is None or d <= reach)
-    pixels = lambda level: 64 if level >= 7 else 256 if level >= 5 else 1024
-
-    def levels(e: int, n: int) -> dict:
-        return {(i, j): lod(max(abs(i - e), abs(j - n))) for i in range(e - radius, e + radius + 1) for j in range(n - radius, n + radius + 1)}
-
-    def step(key, batches, state):
-        before = levels(*state.get) if state.exists else {}
-        out, at = [], None
-        for fix, at in _in_order(batches):
-            now = levels(*at)
-            out += [(key[0], fix, *t, before[t], level, pixels(before[t]) != pixels(level)) for t, level in now.items() if before.get(t, level) != level]
-            before = now
-        state.update(at)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    return fixes.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, CHANGES, "e int, n int", "append", "NoTimeout")
+    p = tracks.Levels(int(idle * 1000), radius)
+    return tracks.run(fixes, ["track_id"], p, p.schema, late)
 
 
 def coverage_generation_batch(fixes: DataFrame) -> DataFrame:
@@ -113,26 +130,10 @@ def coverage_generation_batch(fixes: DataFrame) -> DataFrame:
     return f.select("track_id", "fix_id", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("generation"))
 
 
-def coverage_generation_stream(fixes: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The same numbers from a stream; the state is the last tile and the number."""
-
-    def step(key, batches, state):
-        e, n, number = state.get if state.exists else (None, None, 0)
-        out = []
-        for fix, at in _in_order(batches):
-            number += at != (e, n)
-            (e, n) = at
-            out.append((key[0], fix, number))
-        state.update((e, n, number))
-        yield pd.DataFrame(out, columns=["track_id", "fix_id", "generation"])
-
-    return fixes.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, "track_id long, fix_id long, generation long", "e int, n int, number long", "append", "NoTimeout")
-
-
-def _in_order(batches):
-    rows = pd.concat(list(batches)).sort_values(["ts", "fix_id"])
-    for fix, e, n in zip(rows["fix_id"], rows["te"], rows["tn"], strict=True):
-        yield fix, (int(e), int(n))
+def coverage_generation_stream(fixes: DataFrame, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
+    """The same numbers from a stream; the state is the last tile and the number, which starts again after ``idle`` seconds."""
+    p = tracks.Generation(int(idle * 1000))
+    return tracks.run(fixes, ["track_id"], p, p.schema, late)
 
 
 def chunk_distances(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
@@ -144,9 +145,6 @@ def chunk_distances(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
     return f.select("track_id", "fix_id", "k", "cei", "cni", near.alias("d")).where(F.col("d") <= far)
 
 
-RESOLUTIONS = "track_id long, fix_id long, cei int, cni int, old_res int, new_res int"
-
-
 def chunk_resolution_batch(fixes: DataFrame, far: int, span: int = 8) -> DataFrame:
     """Chunks that are asked for, or asked for anew in another resolution, over whole tracks.
 
@@ -169,86 +167,10 @@ def chunk_resolution_batch(fixes: DataFrame, far: int, span: int = 8) -> DataFra
     return out.select("track_id", "x.fix_id", "cei", "cni", "x.old_res", "x.new_res")
 
 
-def chunk_resolution_stream(fixes: DataFrame, far: int, span: int = 8, late: str = "10 minutes") -> DataFrame:
+def chunk_resolution_stream(fixes: DataFrame, far: int, span: int = 8, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
     """The same from a stream; a track's state is its last tile and the resolution of each chunk in reach."""
-
-    def resolution(d: int, old: int | None) -> int:
-        return 129 if d <= 32 + 4 * (old == 129) else 65 if d <= 64 + 4 * (old == 65) else 33
-
-    def step(key, batches, state):
-        last, held = (tuple(state.get[0]), {(a, b): r for a, b, r in state.get[1]}) if state.exists else (None, {})
-        out = []
-        for fix, (e, n) in _in_order(batches):
-            if (e, n) == last:
-                continue
-            last, now = (e, n), {}
-            for i in range((e - far) // span, (e + far) // span + 1):
-                for j in range((n - far) // span, (n + far) // span + 1):
-                    d = max(i * span - e, e - i * span - span + 1, j * span - n, n - j * span - span + 1, 0)
-                    if d <= far:
-                        now[i, j] = resolution(d, held.get((i, j)))
-                        if now[i, j] != held.get((i, j)):
-                            out.append((key[0], fix, i, j, held.get((i, j)), now[i, j]))
-            held = now
-        state.update((list(last), [[*k, r] for k, r in held.items()]))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESOLUTIONS.split(", ")])
-        yield frame.astype({"old_res": "Int32"})
-
-    return fixes.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, RESOLUTIONS, "tile array<int>, held array<array<int>>", "append", "NoTimeout")
-
-
-HANDOFF = "track_id long, event_id long, kind string, a int, b int, action string"
-HANDOFF_STATE = "tile array<int>, tiles array<array<int>>, chunks array<array<int>>"
-
-
-def _handoff(rows: pd.DataFrame, state: tuple | None, track: int, radius: int, margin: int, far: int, span: int) -> tuple[list[tuple], tuple]:
-    """Goes through events in order; returns what is loaded and unloaded, and the state (tile, tiles, chunks).
-
-    Tiles and chunks are held with 0 while they load and 1 once they are there
-    (or known to have no data). A tile out of the radius stays while the chunk
-    that will show its place is still loading. A chunk all of whose tiles are
-    in the radius goes when they are all there.
-    """
-    at, tiles, chunks = state or (None, {}, {})
-    out: list[tuple] = []
-    far_away = lambda x, y: max(abs(x - at[0]), abs(y - at[1]))
-
-    def reach(i: int, j: int) -> tuple[int, int]:
-        lo, hi = (i * span, j * span), (i * span + span - 1, j * span + span - 1)
-        near = max(max(low - p, p - high, 0) for p, low, high in zip(at, lo, hi, strict=True))
-        return near, max(max(abs(p - low), abs(p - high)) for p, low, high in zip(at, lo, hi, strict=True))
-
-    for event, kind, a, b in zip(rows["event_id"], rows["kind"], rows["a"], rows["b"], strict=True):
-        a, b, event = int(a), int(b), int(event)
-        if kind == "fix":
-            at = (a, b)
-        elif kind == "tile" and (a, b) in tiles:
-            tiles[a, b] = 1
-        elif kind == "chunk" and (a, b) in chunks:
-            chunks[a, b] = 1
-        if at is None:
-            continue
-        e, n = at
-        for t in ((i, j) for i in range(e - radius, e + radius + 1) for j in range(n - radius, n + radius + 1)):
-            if t not in tiles:
-                tiles[t] = 0
-                out.append((track, event, "tile", *t, "load"))
-        for c in ((i, j) for i in range((e - far) // span, (e + far) // span + 1) for j in range((n - far) // span, (n + far) // span + 1)):
-            near, most = reach(*c)
-            if near <= far and most > radius and c not in chunks:
-                chunks[c] = 0
-                out.append((track, event, "chunk", *c, "load"))
-        for t in sorted(t for t in tiles if far_away(*t) > radius + margin):
-            if far_away(*t) > far or chunks.get((t[0] // span, t[1] // span), 1):
-                del tiles[t]
-                out.append((track, event, "tile", *t, "unload"))
-        for c in sorted(chunks):
-            near, most = reach(*c)
-            inner = [(c[0] * span + i, c[1] * span + j) for i in range(span) for j in range(span)]
-            if near > far + margin or most <= radius and all(tiles.get(t) for t in inner):
-                del chunks[c]
-                out.append((track, event, "chunk", *c, "unload"))
-    return out, (at, tiles, chunks)
+    p = tracks.Resolutions(int(idle * 1000), far, span)
+    return tracks.run(fixes, ["track_id"], p, p.schema, late)
 
 
 def handoff_batch(events: DataFrame, radius: int, margin: int, far: int, span: int = 8) -> DataFrame:
@@ -259,42 +181,19 @@ def handoff_batch(events: DataFrame, radius: int, margin: int, far: int, span: i
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ts", "event_id"])
-        out, _ = _handoff(rows, None, int(rows["track_id"].iloc[0]), radius, margin, far, span)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in HANDOFF.split(", ")])
-
-    return events.groupBy("track_id").applyInPandas(run, HANDOFF)
-
-
-def handoff_stream(events: DataFrame, radius: int, margin: int, far: int, span: int = 8, late: str = "10 minutes") -> DataFrame:
-    """The same from a stream; tiles and chunks are in one state, as each waits for the other."""
+        rows, at, tiles, chunks, out = pdf.sort_values(["ts", "event_id"]), None, {}, {}, []
+        for event, kind, a, b in zip(rows["event_id"], rows["kind"], rows["a"], rows["b"], strict=True):
+            more, at = tracks.handed(int(rows["track_id"].iloc[0]), int(event), kind, (int(a), int(b)), at, tiles, chunks, radius, margin, far, span)
+            out += more
+        return pd.DataFrame(out, columns=tracks.names(tracks.Handoff.schema))
 
-    def step(key, batches, state):
-        held = None
-        if state.exists:
-            at, tiles, chunks = state.get
-            held = (tuple(at) if at else None, {(a, b): v for a, b, v in tiles}, {(a, b): v for a, b, v in chunks})
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, (at, tiles, chunks) = _handoff(rows, held, key[0], radius, margin, far, span)
-        state.update((list(at) if at else None, [[*k, v] for k, v in tiles.items()], [[*k, v] for k, v in chunks.items()]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HANDOFF.split(", ")])
+    return events.groupBy("track_id").applyInPandas(run, tracks.Handoff.schema)
 
-    return events.withWatermark("ts", late).groupBy("track_id").applyInPandasWithState(step, HANDOFF, HANDOFF_STATE, "append", "NoTimeout")
 
-
-def drape_stream(vertices: DataFrame, terrain: DataFrame, wait: str = "1 hour", last_known: str | None = None) -> DataFrame:
-    """Vertices (ei, ni, prow, pcol, ts ..) with the height of the terrain pixel (.., h, terrain_ts) that comes before or after them.
-
-    Whichever side is first waits in state until the other comes, at most
-    ``wait`` of event time; then the vertex is given out with the height in its
-    column ``last_known``, or none, and ``resolved`` false.
-    """
-    v, t = vertices.withWatermark("ts", wait), terrain.withWatermark("terrain_ts", wait)
-    same = [v[c] == t[c] for c in PIXEL]
-    near = (t["terrain_ts"] >= v["ts"] - F.expr(f"interval {wait}")) & (t["terrain_ts"] <= v["ts"] + F.expr(f"interval {wait}"))
-    on = same[0] & same[1] & same[2] & same[3] & near
-    h = F.coalesce(t["h"], v[last_known]) if last_known else t["h"]
-    return v.join(t, on, "left_outer").select(*(v[c] for c in vertices.columns), h.alias("h"), t["h"].isNotNull().alias("resolved"))
+def handoff_stream(events: DataFrame, radius: int, margin: int, far: int, span: int = 8, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
+    """The same from a stream; tiles and chunks are in one track's state, as each waits for the other."""
+    p = tracks.Handoff(int(idle * 1000), radius, margin, far, span)
+    return tracks.run(events, ["track_id"], p, p.schema, late)
 
 
 def drain(spark: SparkSession, source: str, schema: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
