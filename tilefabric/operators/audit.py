@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilefabric.functions.grid import chebyshev, snap_cell, tile_of
+from tilefabric.tables import written
 
 
 def grid_tiles(bounds: DataFrame, names=("e0", "n0", "e1", "n1"), out=("ei", "ni"), step: int = 1) -> DataFrame:
@@ -103,22 +104,25 @@ def tiles_to_cells(tiles: DataFrame, to_source, lattice: int = 3, size: float =
     return to_source(p).select("ei", "ni", e.alias("e_km"), n.alias("n_km")).distinct()
 
 
-def numbered(df: DataFrame, coarse: list[str], order: list[str], out: str = "place") -> DataFrame:
-    """1, 2, .. in the order of ``coarse``, then ``order``, over the whole table.
+def numbered(df: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """1, 2, .. in the order of ``order`` over the whole table.
 
-    The rows of one value of ``coarse`` (a distance, say) are a window; the values
-    before it count by a running sum over the list of values, which is short.
+    Rows are sorted in ranges, which are written with each row's range and place
+    in it; the ranges' counts, a row each, then give where a range begins. So a
+    task sorts one range, and no window sees the table.
     """
-    sizes = df.groupBy(*coarse).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy(*coarse)) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*coarse).orderBy(*order))
-    return df.withColumn("_own", own).join(sizes, coarse).withColumn(out, F.col("_before") + F.col("_own")).drop("_own", "_before")
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    starts = ranged.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    starts = starts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    placed = ranged.withColumn("_range", part).join(F.broadcast(starts), "_range")
+    return placed.withColumn(out, F.col("_start") + F.col("_row") - F.shiftleft("_range", 33) + 1).drop("_range", "_row", "_start")
 
 
 def nearest_first(requests: DataFrame, ei, ni, groups: list[str] = ()) -> DataFrame:
     """Requests (ei, ni) with their Chebyshev distance to a tile and their place in the queue: by ``groups``, then distance."""
     d = requests.withColumn("distance", chebyshev(F.col("ei") - ei, F.col("ni") - ni))
-    return numbered(d, [*groups, "distance"], ["ei", "ni"])
+    return numbered(d, [*groups, "distance", "ei", "ni"])
 
 
 def limit_missing(missing: DataFrame, n: int) -> DataFrame:

@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilefabric.operators.quadtree import CELL, KEY, LOAD, quadtree
+from tilefabric.tables import written
 
-def cell_join(points: DataFrame, boxes: DataFrame, cell: float, box=("x0", "y0", "x1", "y1"), at=("e", "n")) -> DataFrame:
+
+def in_cells(points: DataFrame, cell: float, at=("e", "n")) -> DataFrame:
+    """Points with their grid cell as ``_cx`` and ``_cy``."""
+    return points.withColumns({k: F.floor(F.col(c) / cell).cast("long") for k, c in zip(CELL, at, strict=True)})
+
+
+def cell_join(points: DataFrame, boxes: DataFrame, cell: float, box=("x0", "y0", "x1", "y1"), at=("e", "n"), load: int = LOAD) -> DataFrame:
     """Pairs of points and boxes (inclusive) that hold them.
 
     Boxes are exploded to the cells they touch and joined with the points' cell,
     so there is no nested loop and each pair comes once. Choose ``cell`` near the
-    size of the common boxes; AQE splits crowded cells.
+    size of the common boxes; cells of more than ``load`` points are cut into the
+    leaves of a quadtree.
     """
     c = lambda x: F.floor(F.col(x) / cell).cast("long")
     b = boxes.withColumn("_cx", F.explode(F.sequence(c(box[0]), c(box[2])))).withColumn("_cy", F.explode(F.sequence(c(box[1]), c(box[3]))))
-    p = points.withColumns({"_cx": c(at[0]), "_cy": c(at[1])})
-    return p.join(b, ["_cx", "_cy"]).where(F.col(at[0]).between(F.col(box[0]), F.col(box[2])) & F.col(at[1]).between(F.col(box[1]), F.col(box[3]))).drop("_cx", "_cy")
+    p = in_cells(points, cell, at)
+    tree = quadtree(p, cell, at, load)
+    pairs = tree.key_points(p, at).join(tree.key_shapes(b, box), KEY)
+    return pairs.where(F.col(at[0]).between(F.col(box[0]), F.col(box[2])) & F.col(at[1]).between(F.col(box[1]), F.col(box[3]))).drop(*KEY)
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -53,20 +64,34 @@ def _edges_by_cell(edges: DataFrame, cell: float, slack: float = 1e-6) -> DataFr
     return s.withColumn("_cy", F.explode(F.sequence(at(F.least("_p", "_q") - slack), at(F.greatest("_p", "_q") + slack)))).drop("_p", "_q")
 
 
-def points_in_polygons(points: DataFrame, rings: DataFrame, keys: list[str], cell: float = 1024.0) -> DataFrame:
+def polygon_cells(rings: DataFrame, cell: float) -> DataFrame:
+    """(poly_id, _cx, _cy, _e, _n, _e0, _n0): the cells whose anchor is inside a polygon, with no edge, and those an edge touches, with that edge.
+
+    The edges are made once and written, as both lists come from them.
+    """
+    edges = written(ring_edges(rings).select("poly_id", "e", "n", "e0", "n0"))
+    parts = _edges_by_cell(edges, cell).select("poly_id", *CELL, *(F.col(c).alias(f"_{c}") for c in ("e", "n", "e0", "n0")))
+    return parts.unionByName(_cells_inside(edges, cell), allowMissingColumns=True)
+
+
+def points_in_polygons(points: DataFrame, rings: DataFrame, keys: list[str], cell: float = 1024.0, load: int = LOAD) -> DataFrame:
     """(keys, poly_id) of points inside by the even-odd rule over all rings, so holes are outside.
 
     A polygon goes to grid cells: to those whose anchor is inside it, as one row,
     and to those its edges touch, as these edges. A point is inside if its cell's
     anchor is, once for each edge between the two (along a path of a step north
     and a step east). So an edge is copied only to the cells along it, and cells
-    inside cost one row, however many edges the polygon has.
+    inside cost one row, however many edges the polygon has. Cells of more than
+    ``load`` points are cut into the leaves of a quadtree; an edge goes to those
+    leaves that, together with the anchor, it may lie between.
     """
-    edges = ring_edges(rings).select("poly_id", "e", "n", "e0", "n0")
-    ends = ["e", "n", "e0", "n0"]
-    parts = _edges_by_cell(edges, cell).select("poly_id", "_cx", "_cy", *(F.col(c).alias(f"_{c}") for c in ends))
-    parts = parts.unionByName(_cells_inside(edges, cell), allowMissingColumns=True)
-    p = points.select(*keys, *(c for c in ("e", "n") if c not in keys)).withColumns({"_cx": F.floor(F.col("e") / cell).cast("long"), "_cy": F.floor(F.col("n") / cell).cast("long")})
+    p = in_cells(points.select(*keys, *(c for c in ("e", "n") if c not in keys)), cell)
+    tree = quadtree(p, cell, load=load)
+    parts = polygon_cells(rings, cell)
+    # A row without an edge concerns all of its cell.
+    span = {f"_b{k}": F.coalesce(f(f"_{c}", f"_{c}0"), F.lit(v)) for k, (f, c, v) in enumerate(((F.least, "e", "-inf"), (F.least, "n", "-inf"), (F.greatest, "e", "inf"), (F.greatest, "n", "inf")))}
+    parts = parts.withColumns({k: v.cast("double") for k, v in span.items()})
+    parts = tree.key_shapes(parts, ("_b0", "_b1", "_b2", "_b3"), (ANCHOR, ANCHOR)).drop(*span)
     ae, an = ((F.col(c) + ANCHOR) * cell for c in ("_cx", "_cy"))
     east = (F.col("_n") > F.col("n")) != (F.col("_n0") > F.col("n"))
     x = (F.col("_e0") - F.col("_e")) * (F.col("n") - F.col("_n")) / F.when(east, F.col("_n0") - F.col("_n")) + F.col("_e")
@@ -75,7 +100,7 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, keys: list[str], cel
     y = (F.col("_n0") - F.col("_n")) * (ae - F.col("_e")) / F.when(north, F.col("_e0") - F.col("_e")) + F.col("_n")
     north = north & ((an < y) != (F.col("n") < y))
     flips = F.col("_e").isNull() | (F.coalesce(east, F.lit(False)) != F.coalesce(north, F.lit(False)))
-    hit = p.join(parts, ["_cx", "_cy"]).where(flips)
+    hit = tree.key_points(p).join(parts, KEY).where(flips)
     return hit.groupBy(*keys, "poly_id").agg(F.count("*").alias("_f")).where("_f % 2 = 1").drop("_f")
 
 
@@ -232,17 +257,32 @@ def min_spacing(points: DataFrame, r: float, rank: list[str]) -> DataFrame:
     return p.join(close.select("poly_id", "_rank").distinct(), ["poly_id", "_rank"], "left_anti").select(*points.columns)
 
 
-def tiles_in_radius(fixes: DataFrame, tiles: DataFrame, radius: float | Column, keys: list[str], most: float | None = None) -> DataFrame:
+def tiles_in_radius(fixes: DataFrame, tiles: DataFrame, radius: float | Column, keys: list[str], most: float | None = None, fineness: int = 8, load: int = LOAD) -> DataFrame:
     """Tiles whose centre (ce, cn) lies within ``radius`` of a fix, with the distance.
 
     The radius may be an expression over a tile's columns, of at most ``most``
-    (say, wider for tiles with polygons).
+    (say, wider for tiles with polygons). Fixes stand in cells of an eighth
+    (``fineness``) of it; a tile goes to the cells that its circle reaches, and
+    those wholly inside need no test. Crowded cells are cut as in ``cell_join``.
     """
     most = radius if most is None else most
-    boxes = fixes.withColumns({"x0": F.col("e") - most, "x1": F.col("e") + most, "y0": F.col("n") - most, "y1": F.col("n") + most})
-    near = cell_join(tiles.withColumn("_radius", radius if isinstance(radius, Column) else F.lit(radius)), boxes, 2 * most, at=("ce", "cn"))
+    cell = most / fineness
+    t = tiles.withColumn("_radius", radius if isinstance(radius, Column) else F.lit(radius))
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("_radius")) / cell).cast("long"), F.floor((F.col(c) + F.col("_radius")) / cell).cast("long")))
+    t = t.withColumn("_cx", reach("ce")).withColumn("_cy", reach("cn"))
+    # From a tile's centre to the nearest and to the farthest place of a cell.
+    low, high = (lambda k: F.col(k) * cell), (lambda k: (F.col(k) + 1) * cell)
+    near = lambda c, k: F.greatest(low(k) - F.col(c), F.col(c) - high(k), F.lit(0.0))
+    far = lambda c, k: F.greatest(F.abs(F.col(c) - low(k)), F.abs(F.col(c) - high(k)))
+    length = lambda f: F.sqrt(F.pow(f("ce", "_cx"), F.lit(2)) + F.pow(f("cn", "_cy"), F.lit(2)))
+    slack = cell * 1e-9
+    t = t.where(length(near) <= F.col("_radius") + slack).withColumn("_inside", length(far) <= F.col("_radius") - slack)
+    p = in_cells(fixes.select(*keys, *(c for c in ("e", "n") if c not in keys)), cell)
+    tree = quadtree(p, cell, load=load)
+    boxes = t.withColumns({"_b0": F.col("ce") - F.col("_radius"), "_b1": F.col("cn") - F.col("_radius"), "_b2": F.col("ce") + F.col("_radius"), "_b3": F.col("cn") + F.col("_radius")})
+    pairs = tree.key_points(p).join(tree.key_shapes(boxes, ("_b0", "_b1", "_b2", "_b3")), KEY)
     d = F.sqrt(F.pow(F.col("ce") - F.col("e"), F.lit(2)) + F.pow(F.col("cn") - F.col("n"), F.lit(2)))
-    return near.withColumn("distance", d).where("distance <= _radius").select(*keys, "ei", "ni", "distance")
+    return pairs.withColumn("distance", d).where("_inside or distance <= _radius").select(*keys, "ei", "ni", "distance")
 
 
 #: Metres in which water tiles are wanted: those with polygons, and others.

@@ -62,7 +62,7 @@ def limit_missing(px, zones):
 @query("SELECT *, row_number() OVER (ORDER BY ni, ei) - 1 AS place FROM fx_tile_present", "fx_tile_present")
 def locality_sort(tiles):
     """Tiles by row and column; the place is found without one task that sorts them all."""
-    return audit.numbered(audit.locality_sort(tiles), ["ni"], ["ei"]).withColumn("place", F.col("place") - 1)
+    return audit.numbered(tiles, ["ni", "ei"]).withColumn("place", F.col("place") - 1)
 
 
 @query(f"""WITH {FIX_TILES}, p AS (SELECT DISTINCT ei, ni FROM fx_height_px), z AS (SELECT DISTINCT CAST(floor(e / 1024) AS INTEGER) AS ei, CAST(floor(n / 1024) AS INTEGER) AS ni FROM fx_zone),

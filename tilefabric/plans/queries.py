@@ -454,7 +454,8 @@ def tiles_in_ring(fix):
 
 @query(f"WITH {RING} SELECT track_id, ei, ni, min(lod) AS lod, count(*) AS fixes, CAST(pow(floor(1023 / pow(2, min(lod))) + 1, 2) AS BIGINT) AS vertices FROM l GROUP BY ALL", "fx_fix")
 def tile_demand(fix):
-    return residency.tile_demand(_rings(fix))
+    f = fix.withColumns({"te": grid.tile_of(F.col("e")), "tn": grid.tile_of(F.col("n"))})
+    return residency.tile_demand(f, 4)
 
 
 @query("""WITH RECURSIVE f AS (SELECT track_id, fix_id, row_number() OVER (PARTITION BY track_id ORDER BY ts, fix_id) AS k, CAST(floor(e / 1024) AS INTEGER) AS te, CAST(floor(n / 1024) AS INTEGER) AS tn FROM fx_fix),

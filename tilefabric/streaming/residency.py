@@ -218,9 +218,24 @@ def probe_status_stream(probes: DataFrame) -> DataFrame:
     return last.select("e_km", "n_km", F.col("m.status").alias("status"))
 
 
-def tile_demand(rings: DataFrame, px: int = 1024) -> DataFrame:
-    """Over a whole track: each tile once, at its finest level, with that level's vertices and the fixes that need it."""
-    t = rings.groupBy("track_id", "ei", "ni").agg(F.min("lod").alias("lod"), F.count("*").alias("fixes"))
+def tile_demand(fixes: DataFrame, radius: int, px: int = 1024) -> DataFrame:
+    """Over a whole track (track_id, fix_id, ts, te, tn): each tile within ``radius`` once, at its finest level, with that level's vertices and the fixes that need it.
+
+    The fixes are counted by a tile's stays, and its finest level is that of the
+    narrowest ring that it ever enters, so only strips become rows.
+    """
+    track = Window.partitionBy("track_id").orderBy("ts", "fix_id")
+    all_ = fixes.withColumn("_at", F.row_number().over(track)).withColumn("_of", F.count("*").over(Window.partitionBy("track_id")))
+    ends = all_.groupBy("track_id").agg((F.max("_of") + 1).alias("_end"))
+    f = moves(all_).withColumn("k", F.col("_at"))  # a move's number is that of its fix
+    need = stays(f, radius).join(ends, "track_id")
+    need = need.groupBy("track_id", "ei", "ni").agg(F.sum(F.coalesce("to_k", "_end") - F.col("from_k")).alias("fixes"))
+    w = Window.partitionBy(*TRACK).orderBy("k")
+    steps = f.withColumns({"pe": F.lag("te").over(w), "pn": F.lag("tn").over(w)})
+    rings = next(r for most, r in RINGS.items() if most is None or radius <= most)
+    entered = [strips(steps, radius if r is None else min(r, radius)).select("track_id", "ei", "ni", F.lit(lod).alias("lod")) for r, lod in rings]
+    finest = reduce(DataFrame.unionByName, entered).groupBy("track_id", "ei", "ni").agg(F.min("lod").alias("lod"))
+    t = need.join(finest, ["track_id", "ei", "ni"]).select("track_id", "ei", "ni", "lod", "fixes")
     return t.withColumn("vertices", mesh_vertices(effective_lod(F.col("lod"), px), px))
 
 
