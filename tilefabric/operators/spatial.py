@@ -196,10 +196,14 @@ def apply_patches(px: DataFrame, stations: DataFrame, plateaus: DataFrame, prote
     near = near.groupBy(*keys, "line_id").agg(F.min(F.struct("distance", "seq", "_h", "half_width")).alias("m"))
     w = 1 / F.pow(F.greatest(F.lit(0.0), F.col("m.distance") - F.col("m.half_width")) + 3, F.lit(2))
     laid = near.groupBy(*keys).agg((F.sum(w * F.col("m._h")) / F.sum(w)).alias("_laid"))
-    laid = laid.join(points_in_polygons(px, protected, keys).select(*keys).distinct(), keys, "left_anti")
-    levels = plateaus.select("poly_id", "level").distinct()
-    flat = points_in_polygons(px, plateaus, keys).join(levels, "poly_id").groupBy(*keys).agg(F.max_by("level", "poly_id").alias("_flat"))
-    return laid.join(flat, keys, "full").select(*keys, F.coalesce("_flat", "_laid").alias("h"))
+    # Both kinds of polygons are met in one pass over the pixels.
+    kinds = [rings.select(F.struct(F.lit(k).alias("kind"), F.col("poly_id").alias("id")).alias("poly_id"), "ring_no", "seq", "e", "n") for k, rings in enumerate((protected, plateaus))]
+    levels = plateaus.select(F.struct(F.lit(1).alias("kind"), F.col("poly_id").alias("id")).alias("poly_id"), "level").distinct()
+    hit = points_in_polygons(px, kinds[0].unionByName(kinds[1]), keys).join(levels, "poly_id", "left")
+    plateau = F.when(F.col("poly_id.kind") == 1, F.col("poly_id.id"))
+    hit = hit.groupBy(*keys).agg(F.max(F.col("poly_id.kind") == 0).alias("_safe"), F.max_by("level", plateau).alias("_flat"))
+    height = F.coalesce(F.col("_flat"), F.when(~F.coalesce("_safe", F.lit(False)), F.col("_laid")))
+    return laid.join(hit, keys, "full").select(*keys, height.alias("h")).where("h is not null")
 
 
 def clip_to_boundary(lines: DataFrame, middle: DataFrame, boundary: DataFrame) -> DataFrame:
