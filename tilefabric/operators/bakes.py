@@ -108,6 +108,10 @@ def render_rgb_tiles(source: DataFrame, tiles: DataFrame, to_source: Project, px
     return out
 
 
+#: Size of a grid cell where places are in degrees.
+DEGREES = 0.02
+
+
 def projected_lines(vertices: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Lines (line_id, seq, e, n ..) from vertices (line_id, seq, lat, lon ..), those whose middle vertex is outside the boundary left out.
 
@@ -118,7 +122,7 @@ def projected_lines(vertices: DataFrame, boundary: DataFrame | None = None) -> D
     if boundary is not None:
         middle = lines.middle_vertex(v).select("line_id", F.col("lon").alias("e"), F.col("lat").alias("n"))
         rings = boundary.select("poly_id", "ring_no", "seq", F.col("lon").alias("e"), F.col("lat").alias("n"))
-        v = v.join(spatial.points_in_polygons(middle, rings, ["line_id"], 0.02).select("line_id").distinct(), "line_id", "left_semi")
+        v = v.join(spatial.points_in_polygons(middle, rings, ["line_id"], DEGREES).select("line_id").distinct(), "line_id", "left_semi")
     return geodesy.settled(geodesy.wgs84_to_lv95(v), "e", "n").drop("lat", "lon")
 
 

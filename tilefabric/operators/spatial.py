@@ -211,10 +211,10 @@ def clip_to_boundary(lines: DataFrame, middle: DataFrame, boundary: DataFrame) -
     return lines.join(points_in_polygons(middle, boundary, ["line_id"]).select("line_id").distinct(), "line_id", "left_semi")
 
 
-def clip_polygons_to_boundary(rings: DataFrame, boundary: DataFrame) -> DataFrame:
+def clip_polygons_to_boundary(rings: DataFrame, boundary: DataFrame, cell: float = 1024.0) -> DataFrame:
     """Polygons whose mean outer vertex (ring 0) lies inside the boundary rings."""
     mean = rings.where("ring_no = 0").groupBy(F.col("poly_id").alias("own")).agg(F.avg("e").alias("e"), F.avg("n").alias("n"))
-    inside = points_in_polygons(mean, boundary, ["own"]).select(F.col("own").alias("poly_id")).distinct()
+    inside = points_in_polygons(mean, boundary, ["own"], cell).select(F.col("own").alias("poly_id")).distinct()
     return rings.join(inside, "poly_id", "left_semi")
 
 

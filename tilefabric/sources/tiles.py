@@ -13,13 +13,22 @@ NAME = r"tile_(-?\d+)_(-?\d+)\.raw$"
 PIXELS = "path string, ei int, ni int, prow int, pcol int, h float"
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+#: Tiles that a reader can be asked for by name.
+NAMED = 5_000
+
+
+def _files(spark: SparkSession, path: str, glob: str, tiles: list[tuple[int, int]] | None = None, name: str = "", size: int = 1024) -> DataFrame:
+    """Files below ``path``; where ``tiles`` are given, the listing keeps only theirs, so no other file is opened."""
+    if tiles is not None:
+        if len(tiles) > NAMED:
+            raise ValueError(f"{len(tiles)} tiles by name; read all and join instead of naming more than {NAMED}")
+        glob = "{" + ",".join(name % (e * size, n * size) for e, n in tiles) + ("}" if tiles else "no tile}")
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def read_height_tiles(spark: SparkSession, path: str, px: int, size: int = 1024) -> DataFrame:
-    """Pixels of headerless float32 tiles; files of another size are left out. E and N come from the name."""
-    files = _files(spark, path, "*.raw").where(F.col("length") == px * px * 4)
+def read_height_tiles(spark: SparkSession, path: str, px: int, size: int = 1024, tiles: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Pixels of headerless float32 tiles; files of another size are left out. E and N come from the name; only ``tiles`` (ei, ni), if given."""
+    files = _files(spark, path, "*.raw", tiles, "tile_%d_%d.raw", size).where(F.col("length") == px * px * 4)
     place = lambda k: F.floor(F.regexp_extract("path", NAME, k).cast("long") / size).cast("int")
     files = files.where(F.col("path").rlike(NAME)).select("path", place(1).alias("ei"), place(2).alias("ni"), "content")
 
@@ -32,9 +41,9 @@ def read_height_tiles(spark: SparkSession, path: str, px: int, size: int = 1024)
     return files.mapInPandas(decode, PIXELS)
 
 
-def read_heightmap_v2(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of tiles with a header of two uint32, width and height; files of another length are left out."""
-    files = _files(spark, path, "*.raw").select("path", "content")
+def read_heightmap_v2(spark: SparkSession, path: str, tiles: list[tuple[int, int]] | None = None, size: int = 1024) -> DataFrame:
+    """Pixels of tiles with a header of two uint32, width and height; files of another length are left out. Only ``tiles`` (ei, ni), if given."""
+    files = _files(spark, path, "*.raw", tiles, "tile_%d_%d.raw", size).select("path", "content")
 
     def decode(batches):
         for pdf in batches:
@@ -50,9 +59,9 @@ def read_heightmap_v2(spark: SparkSession, path: str) -> DataFrame:
 TREES = "path string, tile_e double, tile_n double, idx int, dx float, dz float, ground_z float, height_m float, yaw_rad float, crown_radius_m float"
 
 
-def read_tree_points(spark: SparkSession, path: str) -> DataFrame:
-    """Records of VEG1 files; a bad magic, version or length leaves the file out."""
-    files = _files(spark, path, "*.veg").select("path", "content")
+def read_tree_points(spark: SparkSession, path: str, tiles: list[tuple[int, int]] | None = None, size: int = 1024) -> DataFrame:
+    """Records of VEG1 files; a bad magic, version or length leaves the file out. Only ``tiles`` (ei, ni), if given."""
+    files = _files(spark, path, "*.veg", tiles, "vegetation_%d_%d.veg", size).select("path", "content")
 
     def decode(batches):
         names = ["dx", "dz", "ground_z", "height_m", "yaw_rad", "crown_radius_m"]
