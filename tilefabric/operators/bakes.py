@@ -62,7 +62,7 @@ def render_height_tiles(source: DataFrame, tiles: DataFrame, to_source: Project,
     out; gaps of others are filled from up to ``max_dist`` pixels away, what is
     left is 0.
     """
-    p, read = raster._placed(destination_pixels(tiles, px, to_source), px=source_px, mode="bilinear", size=raster.TILE)
+    p, read = raster.placed(destination_pixels(tiles, px, to_source), px=source_px, mode="bilinear", size=raster.TILE)
     stock = raster.packed(source.withColumn("h", raster.valid(F.col("h"))), source_px, ("source", "ei", "ni"))
     found = p.join(stock, raster.TILE_KEY).select(*DEST, "source", read("tile").alias("h")).where("h is not null")
     found = found.groupBy(*DEST).agg(F.min_by("h", "source").alias("h"))
@@ -82,7 +82,7 @@ def render_rgb_tiles(source: DataFrame, tiles: DataFrame, to_source: Project, px
     ``least`` of their pixels are left out, small holes are filled. ``levels``
     are the pyramid's box factors.
     """
-    p, _ = raster._placed(destination_pixels(tiles, px, to_source), px=source_px, mode="bilinear", size=raster.TILE)
+    p, _ = raster.placed(destination_pixels(tiles, px, to_source), px=source_px, mode="bilinear", size=raster.TILE)
     coded = source.select("source", *PIXEL, ((F.col("r") * 256 + F.col("g")) * 256 + F.col("b")).alias("h"))
     seen = p.join(raster.packed(coded, source_px, ("source", "ei", "ni")), raster.TILE_KEY)
     last, corners = F.lit(source_px - 1), [(c, r) for r in (0, 1) for c in (0, 1)]
@@ -97,9 +97,8 @@ def render_rgb_tiles(source: DataFrame, tiles: DataFrame, to_source: Project, px
     good = best.groupBy(*raster.TILE_KEY).agg((F.count("*") >= least * px * px).alias("_ok")).where("_ok").select(*raster.TILE_KEY)
     k = F.sequence(F.lit(0), F.lit(px - 1))
     whole = good.withColumn("prow", F.explode(k)).withColumn("pcol", F.explode(k)).join(best.drop("q"), PIXEL, "left")
-    for c in "rgb":  # 0 stands for a gap while one is filled
-        band = raster.fill_gaps_idw(whole.select(*PIXEL, F.coalesce(F.col(c) + 1.0, F.lit(0.0)).alias("h")), max_dist)
-        whole = whole.drop(c).join(band.select(*PIXEL, F.coalesce(F.floor(F.col("h") - 0.5), F.lit(0)).cast("int").alias(c)), PIXEL)
+    whole = raster.fill_gaps_idw(whole, max_dist, ("r", "g", "b"), F.col("r").isNotNull())
+    whole = whole.select(*PIXEL, *(F.coalesce(F.floor(F.col(c) + 0.5), F.lit(0)).cast("int").alias(c) for c in "rgb"))
     out = None
     for level in levels:
         mip = whole if level == 1 else raster.mip_pyramid(whole, level, ("r", "g", "b")).withColumns({c: F.floor(F.col(c) + 0.5).cast("int") for c in "rgb"})
@@ -228,7 +227,7 @@ def extract_vegetation(rings: DataFrame, isolated: DataFrame, height: DataFrame,
     box = forest.where("ring_no = 0").groupBy("poly_id").agg(F.min("e").alias("x0"), F.min("n").alias("y0"), F.max("e").alias("x1"), F.max("n").alias("y1"), F.lit(1 / spacing**2).alias("density"))
     t = features.tree_grid(box).withColumnRenamed("poly_id", "own")
     t = spatial.points_in_polygons(t, forest, ["own", "i", "j", "hash", "e", "n"]).where("own = poly_id").drop("own")
-    t = spatial.min_spacing(t, spacing, ["hash", "i", "j"]).select("e", "n")
+    t = spatial.maximal_spacing(t, spacing, ["hash", "i", "j"]).select("e", "n")
     all_trees = audit.union_points(t, isolated.select("e", "n"))
     a = hash32(F.floor(F.col("e") * 100), F.floor(F.col("n") * 100))
     all_trees = all_trees.withColumn("_a", a).withColumn("_b", hash32(F.col("_a"), F.lit(77)))

@@ -34,7 +34,7 @@ def packed(height: DataFrame, px: int, by=("ei", "ni")) -> DataFrame:
     return t.select(*by, F.when(F.size("p") == px * px, whole).otherwise(holed).alias("tile"))
 
 
-def _placed(points: DataFrame, px: int, mode: str, size: float) -> tuple[DataFrame, Callable[[str], Column]]:
+def placed(points: DataFrame, px: int, mode: str, size: float) -> tuple[DataFrame, Callable[[str], Column]]:
     """``points`` with their tile (ei, ni) and place in it, and what to read from an array of heights there, by its column."""
     p = points.withColumns({"ei": tile_of(F.col("e"), size), "ni": tile_of(F.col("n"), size)})
     if mode == "nearest":
@@ -72,13 +72,13 @@ def sample_height(points: DataFrame, height: DataFrame, keys: list[str], px: int
     are 0; ``nearest`` truncates to a pixel and gives null for 0. ``height`` is a
     pixel table or ``packed``; one join by tile, then reads from the tile's array.
     """
-    p, read = _placed(points, px, mode, size)
+    p, read = placed(points, px, mode, size)
     return p.join(_tiles(height, px), TILE_KEY, "left").select(*keys, read("tile").alias("h"))
 
 
 def sample_height_any(points: DataFrame, fine: DataFrame, coarse: DataFrame, keys: list[str], px: int, size: float = TILE) -> DataFrame:
     """From the finer raster where it has the tile, else from the coarser; both joins are by tile, so points move once."""
-    p, read = _placed(points, px, "bilinear", size)
+    p, read = placed(points, px, "bilinear", size)
     both = p.join(_tiles(fine, px).withColumnRenamed("tile", "_fine"), TILE_KEY, "left").join(_tiles(coarse, px).withColumnRenamed("tile", "_coarse"), TILE_KEY, "left")
     return both.select(*keys, F.when(F.col("_fine").isNotNull(), read("_fine")).otherwise(read("_coarse")).alias("h"))
 
@@ -119,9 +119,13 @@ def valid_fraction(px: DataFrame, by=("ei", "ni")) -> DataFrame:
     return px.groupBy(*by).agg(F.avg(F.when(F.col("h") != 0, 1.0).otherwise(0.0)).alias("fraction"))
 
 
-def fill_gaps_idw(px: DataFrame, max_dist: int | None = None) -> DataFrame:
-    """No data from the nearest valid sample on each side, in the row and in the column, weighted by inverse distance."""
-    out = px.withColumn("v", valid(F.col("h")))
+def fill_gaps_idw(px: DataFrame, max_dist: int | None = None, bands=("h",), known: Column | None = None) -> DataFrame:
+    """No data from the nearest valid sample on each side, in the row and in the column, weighted by inverse distance.
+
+    All ``bands`` are filled together; ``known`` tells pixels with data, by default those whose height is valid.
+    """
+    known = valid(F.col("h")).isNotNull() if known is None else known
+    out = px.withColumn("v", F.when(known, F.struct(*bands)))
     for along, across in (("pcol", "prow"), ("prow", "pcol")):
         w = Window.partitionBy(*TILE_KEY, across).orderBy(along)
         seen = F.when(F.col("v").isNotNull(), F.struct("v", along))
@@ -129,9 +133,9 @@ def fill_gaps_idw(px: DataFrame, max_dist: int | None = None) -> DataFrame:
             near = side if max_dist is None else F.when(F.abs(F.col(along) - side[along]) <= max_dist, side)
             out = out.withColumn(f"_{along}_{name}", near).withColumn(f"_{along}_{name}_d", F.abs(F.col(along) - F.col(f"_{along}_{name}")[along]).cast("double"))
     sides = ["_pcol_back", "_pcol_fore", "_prow_back", "_prow_fore"]
-    top = sum((F.coalesce(F.col(s)["v"] / F.col(f"{s}_d"), F.lit(0.0)) for s in sides), F.lit(0.0))
+    top = lambda b: sum((F.coalesce(F.col(s)["v"][b] / F.col(f"{s}_d"), F.lit(0.0)) for s in sides), F.lit(0.0))
     low = sum((F.coalesce(1 / F.col(f"{s}_d"), F.lit(0.0)) for s in sides), F.lit(0.0))
-    return out.select(*PIXEL, F.coalesce(F.col("v"), F.when(low > 0, top / low)).alias("h"))
+    return out.select(*PIXEL, *(F.coalesce(F.col("v")[b], F.when(low > 0, top(b) / low)).alias(b) for b in bands))
 
 
 def fill_gaps_sweep(px: DataFrame) -> DataFrame:

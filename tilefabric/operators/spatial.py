@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,13 +254,36 @@ def clip_polygons_to_tiles(rings: DataFrame, size: float) -> DataFrame:
 
 def min_spacing(points: DataFrame, r: float, rank: list[str]) -> DataFrame:
     """Points (poly_id, e, n) without a point of the same polygon closer than ``r`` that ranks lower by ``rank``."""
-    cell = lambda c: F.floor(F.col(c) / r).cast("long")
-    p = points.withColumns({"_cx": cell("e"), "_cy": cell("n"), "_rank": F.struct(*rank)})
+    p = in_cells(points, r).withColumn("_rank", F.struct(*rank))
+    close = close_points(p, p, r).where("_other < _rank")
+    return p.join(close.select("poly_id", "_rank").distinct(), ["poly_id", "_rank"], "left_anti").select(*points.columns)
+
+
+def close_points(p: DataFrame, others: DataFrame, r: float) -> DataFrame:
+    """Pairs of a point and one of ``others`` (its rank as ``_other``) of the same polygon closer than ``r``; both in cells of ``r``."""
     step = F.sequence(F.lit(-1), F.lit(1))
-    other = p.select("poly_id", F.col("_cx").alias("_x"), F.col("_cy").alias("_y"), F.col("e").alias("_e"), F.col("n").alias("_n"), F.col("_rank").alias("_other"))
+    other = others.select("poly_id", F.col("_cx").alias("_x"), F.col("_cy").alias("_y"), F.col("e").alias("_e"), F.col("n").alias("_n"), F.col("_rank").alias("_other"))
     other = other.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).select("poly_id", (F.col("_x") + F.col("_dx")).alias("_cx"), (F.col("_y") + F.col("_dy")).alias("_cy"), "_e", "_n", "_other")
-    close = p.join(other, ["poly_id", "_cx", "_cy"]).where("_other < _rank and (e - _e) * (e - _e) + (n - _n) * (n - _n) < " + repr(r * r) + "D")
-    return p.join(close.select("poly_id", "_rank").distinct(), ["poly_id", "_rank"], "left_anti").select(*points.columns)
+    return p.join(other, ["poly_id", *CELL]).where("(e - _e) * (e - _e) + (n - _n) * (n - _n) < " + repr(r * r) + "D")
+
+
+def maximal_spacing(points: DataFrame, r: float, rank: list[str]) -> DataFrame:
+    """Points (poly_id, e, n) no two of which, in a polygon, are closer than ``r``, and to which none of the others could be added.
+
+    They are the points that taking them one by one in the order of ``rank`` (all
+    different) would keep. Each round takes the points without a lower neighbour
+    among those that are left, and drops these points' neighbours; what is left is
+    written. Ranks that are as good as random need a few rounds, about the
+    logarithm of the number of points.
+    """
+    left, taken = written(in_cells(points, r).withColumn("_rank", F.struct(*rank))), []
+    own = ["poly_id", "_rank"]
+    while not left.isEmpty():
+        beaten = close_points(left, left, r).where("_other < _rank").select(*own).distinct()
+        won = written(left.join(beaten, own, "left_anti"))
+        taken.append(won)
+        left = written(left.join(close_points(left, won, r).select(*own).distinct(), own, "left_anti"))
+    return reduce(DataFrame.unionByName, taken or [left]).select(*points.columns)
 
 
 def tiles_in_radius(fixes: DataFrame, tiles: DataFrame, radius: float | Column, keys: list[str], most: float | None = None, fineness: int = 8, load: int = LOAD) -> DataFrame:

@@ -314,3 +314,37 @@ def render_height_tiles(px):
 def extract_vegetation(rings, fix, px):
     wood = rings.withColumn("objektart", F.when(F.col("kind") < 3, "Wald").otherwise("See"))
     return bakes.extract_vegetation(wood, fix.select("e", "n"), raster.mosaic(px, "first"), PX, 60.0)
+
+
+@query(None, "fx_height_px")
+def render_rgb_tiles(px):
+    """Photo tiles out of two photos in UTM 32, which stand where the national ones do; colours follow the heights."""
+    h = F.floor(F.col("h")).cast("int")
+    colour = {"r": h % 256, "g": h * 7 % 256, "b": h * 13 % 256}
+    source = px.where("h <> 0").withColumns({"ei": F.col("ei") - 2539 + 370, "ni": F.col("ni") - 1171 + 5078, **colour})
+    to = lambda p: geodesy.lv95_to_utm32(p, "e", "n", "se", "sn")
+    return bakes.render_rgb_tiles(source, px.select("ei", "ni").distinct(), to, PX, PX, 0.5, levels=(1, 4))
+
+
+@query(None, "fx_box", "fx_height_px")
+def building_tiles(boxes, px):
+    """The counts of the whole bake, of buildings in UTM 32; every seventeenth has only its ground face."""
+    f = features.box_faces(boxes).where("building_id % 17 <> 0 or face = 'bottom'")
+    kind = F.when(F.col("face") == "bottom", "ground").when(F.col("face") == "top", "roof").otherwise("wall")
+    f = f.select(F.col("building_id").cast("string").alias("building_id"), kind.alias("surface"), F.xxhash64("face").alias("face"), F.lit(0).alias("ring_no"), "seq", "x", "y", "z")
+    f = geodesy.settled(geodesy.lv95_to_utm32(f, "x", "y", "ue", "un"), "ue", "un").drop("x", "y").withColumnsRenamed({"ue": "x", "un": "y"})
+    return bakes.building_tiles(f, raster.mosaic(px, "first"), PX)[2]
+
+
+@query(None, "fx_probe", "fx_tile_present")
+def coverage_report(probes, tiles):
+    """Cells that a probe found but whose tiles are not all there, by the whole chain from tiles to cells and back."""
+    bounds = probes.agg(F.min("e_km").alias("e0"), F.min("n_km").alias("n0"), F.max("e_km").alias("e1"), F.max("n_km").alias("n1"))
+    reference = probes.where("status = 0").select("e_km", "n_km").distinct()
+    return bakes.coverage_report(bounds, probes, _in_bands(tiles), reference, geodesy.lv95_to_utm32, geodesy.utm32_to_lv95)[0]
+
+
+@query(None, "fx_ring_vertex")
+def maximal_spacing_points(rings):
+    """Spaced points to which no other could be added; a test holds them against taking points one by one."""
+    return spatial.maximal_spacing(_trees(rings), 200.0, ["hash", "i", "j"]).select("poly_id", "i", "j", "hash")
