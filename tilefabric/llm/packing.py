@@ -26,6 +26,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .shared import running_start, with_own_id, with_text_id
 from .tokens import token_ids
 
 CAPACITY, END = 2_048, 0
-BATCH = 500
+BATCH = 100
 
 
 def reduce_instance(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -152,19 +153,21 @@ def solve(counts: dict[int, int], capacity: int) -> tuple[dict[int, tuple[np.nda
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every whole text."""
 
+    kinds = pa.schema([("doc_id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
     def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH]
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):  # a slice at a time becomes Python's strings
+                part = batch.slice(at, BATCH)
                 rows = []
-                for doc, text in zip(part["doc_id"].tolist(), part["text"].tolist(), strict=True):
+                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     ids = np.append(token_ids(text), np.uint32(end)).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)]
                     rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
     rows = with_text_id(docs, F.coalesce("text", F.lit("")).alias("text"))
-    return with_own_id(rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long"), docs)
+    return with_own_id(rows.mapInArrow(run, "doc_id string, piece int, start long, length long, ids_crc32 long"), docs)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame:
