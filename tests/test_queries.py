@@ -11,6 +11,10 @@ from tilefabric.plans.queries import QUERIES, SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+#: At the smallest size no corridor is near a pixel centre, and no tile without a zone lies within the extent.
+FEW = {"limit_missing", "paint_corridors"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -34,6 +38,7 @@ def table(rows, columns):
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rows = table(df.collect(), df.columns)
+    assert rows or name in FEW
     if name in SQL:
         cursor = duck.execute(SQL[name])
         columns = [d[0] for d in cursor.description]
