@@ -12,8 +12,9 @@ double precision decide. No pair below the threshold is linked.
 ``level`` picks ``k`` (2 to 4), the cells' size, the probes and the tables by the number of
 vectors that are compared with each other, so that an unrelated vector is met
 about as often however many there are: cells shrink as the data grow, and tables
-make up for what finer cells miss. By simulation a pair at cosine 0.98 is missed
-less than once in 10,000 times at every level, and less at larger cosines.
+make up for what finer cells miss. Tests find more than 0.999 of the pairs at
+10,000 and 40,000 vectors, and more than 0.998 of pairs at cosine 0.981 at the
+finer levels of 10^6 and 10^10.
 
 A pair that meets in several cells counts once: in the first table where it
 meets, and there in the cell of the smaller id. Cells yield a count for each
