@@ -104,6 +104,44 @@ def test_inverse_distance_stops_at_its_reach(spark):
     assert {r["pcol"]: r["h"] for r in raster.fill_gaps_idw(df).collect()}[3] == pytest.approx((5 / 3 + 9 / 6) / (1 / 3 + 1 / 6))
 
 
+def brute_means(have, size, windows):
+    out = {}
+    for key, r0, r1, c0, c1 in windows:
+        v = [have[r, c] for r in range(r0, r1 + 1) for c in range(c0, c1 + 1) if (r, c) in have]
+        if v:
+            v = [x for x in v if x is not None]
+            out[key] = sum(v) / len(v) if v else None
+    return out
+
+
+@pytest.mark.parametrize(("size", "stride"), [(16, 5), (17, 4), (9, 8), (8, 1)])
+def test_level_means_from_summed_areas(spark, size, stride):
+    """Tiles with holes and nulls, against means of each window's own pixels."""
+    rng = random.Random(size * 31 + stride)
+    tiles = {(ei, -3): {(r, c): None if rng.random() < 0.3 else rng.uniform(-5, 4000) for r in range(size) for c in range(size) if rng.random() < 0.6} for ei in (-2, 7)}
+    df = spark.createDataFrame([(*t, r, c, h) for t, px in tiles.items() for (r, c), h in px.items()], "ei int, ni int, prow int, pcol int, h double")
+    got = {(x["ei"], x["ni"], x["prow"], x["pcol"]): x["h"] for x in raster.lod_downsample(df, size, stride).collect()}
+    want, last = {}, size - 1
+    for t, have in tiles.items():
+        windows = []
+        for r in range(0, size, stride):
+            for c in range(0, size, stride):
+                k = 0 if r in (0, last) or c in (0, last) else stride // 2
+                windows.append(((*t, r, c), max(r - k, 0), min(r + k, last), max(c - k, 0), min(c + k, last)))
+        want |= brute_means(have, size, windows)
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    border = {k: v for k, v in want.items() if k[2] in (0, last) or k[3] in (0, last)}
+    assert border and all(got[k] == v for k, v in border.items())  # as they are, to the bit
+    assert raster.lod_downsample(df.where("false"), size, stride).collect() == []
+
+
+def test_window_means_move_each_pixel_once(spark):
+    df = spark.range(4).selectExpr("0 AS ei", "0 AS ni", "int(id div 2) AS prow", "int(id % 2) AS pcol", "1D AS h")
+    plan = raster.lod_downsample(df, 2, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
 def same_place(p):
     return p.withColumns({"se": F.col("e"), "sn": F.col("n")})
 

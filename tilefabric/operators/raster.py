@@ -164,15 +164,51 @@ def mip_pyramid(px: DataFrame, factor: int, values=("h",)) -> DataFrame:
     return shrunk.groupBy(*PIXEL).agg(*(F.avg(v).alias(v) for v in values))
 
 
+def window_means(px: DataFrame, size: int, windows: Callable[[int, int], pd.DataFrame], names: dict[str, str]) -> DataFrame:
+    """Means of the heights in windows of each tile: (names, h), from the tile's summed areas.
+
+    ``windows(ei, ni)`` gives a tile's windows: first and last row and column, both
+    included (r0, r1, c0, c1), and the columns of ``names`` (name: type). A group is
+    one tile, so its size is that of a tile; whatever the windows' size, a mean is
+    four reads of the sums and four of the counts. A window without any pixel has no
+    row, one whose pixels are all null (or not finite) a null mean. A window of one
+    pixel gives that pixel as it is. Pixels without a tile or a place in it go.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["prow"].to_numpy() + 1, pdf["pcol"].to_numpy() + 1
+        value = pdf["h"].to_numpy(float, na_value=np.nan)
+        known = np.isfinite(value)
+        own = np.zeros((3, size + 1, size + 1))  # heights, pixels with a height, pixels
+        for layer, weight in zip(own, (np.where(known, value, 0.0), known, np.ones(len(pdf))), strict=True):
+            np.add.at(layer, at, weight)
+        summed = own.cumsum(1).cumsum(2)
+        w = windows(*key)
+        r0, r1, c0, c1 = (w[c].to_numpy() for c in ("r0", "r1", "c0", "c1"))
+        total, n, there = summed[:, r1 + 1, c1 + 1] - summed[:, r0, c1 + 1] - summed[:, r1 + 1, c0] + summed[:, r0, c0]
+        total = np.where((r0 == r1) & (c0 == c1), own[0, r1 + 1, c1 + 1], total)
+        mean = np.full(len(w), np.nan)
+        np.divide(total, n, out=mean, where=n > 0.5)
+        out = w[list(names)].assign(h=pd.Series(mean, dtype="Float64").mask(np.isnan(mean)))
+        return out[there > 0.5]
+
+    rows = px.select(*PIXEL, F.col("h").cast("double").alias("h")).dropna(subset=PIXEL)
+    return rows.groupBy(*TILE_KEY).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in {**names, "h": "double"}.items()))
+
+
 def lod_downsample(px: DataFrame, size: int, stride: int) -> DataFrame:
     """Samples every ``stride`` pixels: border samples as they are, inner ones the mean of a centred window."""
     half, last = stride // 2, size - 1
-    at = F.sequence(F.lit(0), F.lit(last), F.lit(stride))
-    near = lambda c: F.filter(at, lambda s: F.abs(s - F.col(c)) <= half)
-    spread = px.withColumn("_r", F.explode(near("prow"))).withColumn("_c", F.explode(near("pcol")))
-    border = (F.col("_r") == 0) | (F.col("_r") == last) | (F.col("_c") == 0) | (F.col("_c") == last)
-    spread = spread.where(~border | (F.col("_r") == F.col("prow")) & (F.col("_c") == F.col("pcol")))
-    return spread.groupBy(*TILE_KEY, F.col("_r").alias("prow"), F.col("_c").alias("pcol")).agg(F.avg("h").alias("h"))
+
+    def windows(ei: int, ni: int) -> pd.DataFrame:
+        row, col = (k.ravel() for k in np.meshgrid(*(np.arange(0, size, stride),) * 2, indexing="ij"))
+        reach = np.where((row == 0) | (row == last) | (col == 0) | (col == last), 0, half)
+        w = {"ei": ei, "ni": ni, "prow": row, "pcol": col}
+        for a, at in (("r", row), ("c", col)):
+            w |= {f"{a}0": np.maximum(at - reach, 0), f"{a}1": np.minimum(at + reach, last)}
+        return pd.DataFrame(w)
+
+    return window_means(px, size, windows, {"ei": "int", "ni": "int", "prow": "int", "pcol": "int"})
 
 
 def fill_from_coarser(fine: DataFrame, coarse: DataFrame, px: int, coarse_px: int) -> DataFrame:
@@ -249,24 +285,23 @@ def chunk_composite(px: DataFrame, size: int, res: int, tiles: int = 8) -> DataF
     it. Samples without data are filled from their neighbours, then 0.
     """
     half = min(8, size // (res - 1) // 2)
-    span = F.lit(float(tiles))
-    at = px.where("h <> 0").withColumns({"cei": F.floor(F.col("ei") / tiles).cast("int"), "cni": F.floor(F.col("ni") / tiles).cast("int")})
-
-    def centres(tile: Column, pixel: Column, flip: bool) -> Column:
-        """Sample numbers whose window in this tile holds the pixel; flipped where samples run against the tiles."""
-        def inside(k: Column) -> Column:
-            place = k / F.lit(float(res - 1)) * span
-            t = F.least(F.floor(place), F.lit(tiles - 1))
-            centre = F.floor((place - t) * (size - 1) + 0.5)
-            return ((tiles - 1 - t if flip else t) == tile) & (F.abs(centre - pixel) <= half)
-
-        return F.filter(F.sequence(F.lit(0), F.lit(res - 1)), inside)
-
-    at = at.withColumn("cx", F.explode(centres(F.pmod("ei", F.lit(tiles)), F.col("pcol"), True))).withColumn("cy", F.explode(centres(F.pmod("ni", F.lit(tiles)), F.col("prow"), False)))
-    k = F.sequence(F.lit(0), F.lit(res - 1))
-    found = at.groupBy("cei", "cni", "cx", "cy").agg(F.avg("h").alias("h"))
+    k = np.arange(res)
+    place = k / float(res - 1) * tiles
+    t = np.minimum(np.floor(place), tiles - 1).astype(int)
+    centre = np.floor((place - t) * (size - 1) + 0.5).astype(int)
+
+    def windows(ei: int, ni: int) -> pd.DataFrame:
+        """The samples in this tile; columns run against the tiles."""
+        cy, cx = (i.ravel() for i in np.meshgrid(k[t == ni % tiles], k[tiles - 1 - t == ei % tiles], indexing="ij"))
+        w = {"cei": ei // tiles, "cni": ni // tiles, "cx": cx, "cy": cy}
+        for a, at in (("r", centre[cy]), ("c", centre[cx])):
+            w |= {f"{a}0": np.maximum(at - half, 0), f"{a}1": np.minimum(at + half, size - 1)}
+        return pd.DataFrame(w)
+
+    found = window_means(px.where("h <> 0"), size, windows, {"cei": "int", "cni": "int", "cx": "int", "cy": "int"})
+    each = F.sequence(F.lit(0), F.lit(res - 1))
     lattice = px.select(F.floor(F.col("ei") / tiles).cast("int").alias("cei"), F.floor(F.col("ni") / tiles).cast("int").alias("cni")).distinct()
-    lattice = lattice.withColumn("cx", F.explode(k)).withColumn("cy", F.explode(k))
+    lattice = lattice.withColumn("cx", F.explode(each)).withColumn("cy", F.explode(each))
     return fill_gaps_neighbours(lattice.join(found, lattice.columns, "left"), ("cei", "cni"), ("cy", "cx"))
 
 
