@@ -146,6 +146,57 @@ def same_place(p):
     return p.withColumns({"se": F.col("e"), "sn": F.col("n")})
 
 
+def swiss_to_utm(p):
+    return geodesy.lv95_to_utm32(p, "e", "n", "se", "sn")
+
+
+def bent(p):
+    """A projection that bends far too much for a lattice in tiles from 3 on."""
+    return p.withColumns({"se": F.col("e") + F.when(F.col("e") > 3072, 40 * F.sin(F.col("e") / 90)).otherwise(0.0), "sn": F.col("n")})
+
+
+def exact_pixels(tiles, px, to):
+    k = F.sequence(F.lit(0), F.lit(px - 1))
+    p = to(raster.pixel_centres(tiles.withColumn("prow", F.explode(k)).withColumn("pcol", F.explode(k)), px))
+    return {(r["ei"], r["ni"], r["prow"], r["pcol"]): (r["se"], r["sn"]) for r in p.collect()}
+
+
+def lattice_pixels(tiles, px, to, **how):
+    return {(r["_ei"], r["_ni"], r["prow"], r["pcol"]): (r["e"], r["n"]) for r in bakes.destination_pixels(tiles, px, to, **how).collect()}
+
+
+def test_lattice_places_are_within_a_tenth_of_a_millimetre(spark):
+    """Corners and middle of the country; the stated bound holds and is not far from the truth."""
+    tiles = spark.createDataFrame([(2426, 1050), (2539, 1171), (2760, 1264), (2760, 1050), (2426, 1264)], "ei int, ni int")
+    want, got = exact_pixels(tiles, 24, swiss_to_utm), lattice_pixels(tiles, 24, swiss_to_utm)
+    assert got.keys() == want.keys() and len(got) == 5 * 24 * 24
+    off = {}
+    for k, v in want.items():
+        off[k[:2]] = max(off.get(k[:2], 0.0), math.dist(v, got[k]))
+    bound = {(r["ei"], r["ni"]): r["off"] for r in bakes.tile_lattices(tiles, swiss_to_utm).collect()}
+    assert max(off.values()) < 1e-4
+    assert all(off[t] <= bound[t] < 1e-3 for t in off)
+    assert lattice_pixels(tiles, 24, swiss_to_utm, most_off=-1.0) == want  # all of them one by one
+
+
+def test_tiles_that_bend_too_much_are_projected_pixel_by_pixel(spark):
+    tiles = spark.createDataFrame([(1, 0), (4, 0), (4, 0)], "ei int, ni int")
+    bound = {r["ei"]: r["off"] for r in bakes.tile_lattices(tiles, bent).collect()}
+    assert bound[1] == 0 and bound[4] > 1
+    want, got = exact_pixels(tiles.distinct(), 16, bent), lattice_pixels(tiles, 16, bent)
+    assert got.keys() == want.keys()
+    assert all(got[k] == v if k[0] == 4 else math.dist(got[k], v) < 1e-9 for k, v in want.items())
+
+
+@pytest.mark.parametrize("hole", [None, float("nan"), float("inf")])
+def test_a_lattice_with_a_node_without_a_place_is_not_used(spark, hole):
+    to = lambda p: p.withColumns({"se": F.when(F.col("e") > 900, F.lit(hole).cast("double")).otherwise(F.col("e")), "sn": F.col("n")})
+    tiles = spark.createDataFrame([(0, 0)], "ei int, ni int")
+    assert bakes.tile_lattices(tiles, to).collect()[0]["off"] == float("inf")
+    got = lattice_pixels(tiles, 16, to)
+    assert len(got) == 256 and got[0, 0, 3, 15][0] == pytest.approx(32.0) and repr(got[0, 0, 3, 0][0]) == repr(hole)
+
+
 def test_height_bake_takes_the_first_source_and_leaves_sparse_tiles_out(spark):
     rng = random.Random(14)
     rows = [(s, ei, 0, r, c, 0.0 if rng.random() < (0.3 if ei < 2 else 0.97) else 100.0 * (s + 1) + r) for s in (0, 1) for ei in range(3) for r in range(16) for c in range(16)]

@@ -43,11 +43,69 @@ def raster_catalog(px: DataFrame, to_target: dict[str, Project | None], override
     return out
 
 
-def destination_pixels(tiles: DataFrame, px: int, to_source: Project) -> DataFrame:
-    """The pixel centres of tiles as points (_ei, _ni, prow, pcol) with e, n in the source's system, which ``to_source`` adds as se and sn."""
+#: Cells a side of a tile's lattice, metres that a place between its nodes may be off.
+CELLS, MOST_OFF = 8, 1e-3
+
+
+def tile_lattices(tiles: DataFrame, to_source: Project, cells: int = CELLS, size: float = raster.TILE) -> DataFrame:
+    """(ei, ni, nodes, off): each tile's lattice, its nodes (e, n in the source's system) row by row from the south-west, and how far a place between them may be off.
+
+    ``off`` is that of the lattice of every second node, at which the nodes between
+    are known exactly: the worst one along rows plus the worst one along columns.
+    The lattice itself is nearer by about four. The middles of cells would tell
+    nothing: of a conformal projection the errors along rows and columns cancel
+    there. ``off`` is infinite where a node has no place.
+    """
+    side, step = cells + 1, size / cells
+    at = F.sequence(F.lit(0), F.lit(cells))
+    nodes = tiles.select("ei", "ni").distinct().withColumn("node_row", F.explode(at)).withColumn("node_col", F.explode(at))
+    nodes = to_source(nodes.withColumns({"e": F.col("ei") * size + F.col("node_col") * step, "n": F.col("ni") * size + F.col("node_row") * step}))
+    place = F.struct((F.col("node_row") * side + F.col("node_col")).alias("i"), F.col("se").alias("e"), F.col("sn").alias("n"))
+    t = nodes.groupBy("ei", "ni").agg(F.transform(F.sort_array(F.collect_list(place)), lambda p: F.struct(p["e"].alias("e"), p["n"].alias("n"))).alias("nodes"))
+    node = lambda i: F.get("nodes", i)
+
+    def worst(stride: int, between: Callable[[Column], Column]) -> Column:
+        def one(i: Column) -> Column:
+            e, n = (node(i)[c] - (node(i - stride)[c] + node(i + stride)[c]) / 2 for c in "en")
+            off = F.hypot(e, n)
+            return F.when(between(i), F.coalesce(F.when(F.isnan(off), None).otherwise(off), F.lit(float("inf"))))
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), one))
+
+    along = worst(1, lambda i: i % side % 2 == 1)
+    across = worst(side, lambda i: F.floor(i / side) % 2 == 1)
+    return t.withColumn("off", along + across)
+
+
+def destination_pixels(tiles: DataFrame, px: int, to_source: Project, cells: int = CELLS, most_off: float = MOST_OFF) -> DataFrame:
+    """The pixel centres of tiles as points (_ei, _ni, prow, pcol) with e, n in the source's system, which ``to_source`` adds as se and sn.
+
+    Places come from each tile's lattice, bilinear between its nodes; the pixels of
+    tiles where those may be off by more than ``most_off`` are projected one by one.
+    ``cells`` is even; a tile that is listed twice counts once.
+    """
+    spread = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = tile_lattices(tiles, to_source, cells).repartition(spread, "ei", "ni")  # a number of its own: few nodes become many pixels
     k = F.sequence(F.lit(0), F.lit(px - 1))
-    p = tiles.select("ei", "ni", F.explode(k).alias("prow")).withColumn("pcol", F.explode(k))
-    p = to_source(raster.pixel_centres(p, px))
+    near = F.col("off") <= most_off
+
+    def share(x: Column) -> tuple[Column, Column]:
+        """The cell, and the share of the way through it."""
+        cell = F.least(F.floor(x), F.lit(cells - 1)).cast("int")
+        return cell, x - cell
+
+    def mix(a: Column, b: Column, f: Column) -> Column:
+        return F.struct(*((a[c] + (b[c] - a[c]) * f).alias(c) for c in "en"))
+
+    rows = t.where(near).select("ei", "ni", "nodes", F.explode(k).alias("prow"))
+    low, f = share((F.col("prow") + 0.5) * (cells / px))
+    between = F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda c: mix(F.get("nodes", low * (cells + 1) + c), F.get("nodes", (low + 1) * (cells + 1) + c), f))
+    p = rows.select("ei", "ni", "prow", between.alias("line")).withColumn("pcol", F.explode(k))
+    low, f = share((px - F.col("pcol") - 0.5) * (cells / px))  # column 0 is at the east edge
+    place = mix(F.get("line", low), F.get("line", low + 1), f)
+    p = p.select("ei", "ni", "prow", "pcol", place.alias("at")).select("ei", "ni", "prow", "pcol", F.col("at.e").alias("se"), F.col("at.n").alias("sn"))
+    far = t.where(~near).select("ei", "ni", F.explode(k).alias("prow")).withColumn("pcol", F.explode(k))
+    p = p.unionByName(to_source(raster.pixel_centres(far, px)).select(*p.columns))
     return p.select(F.col("ei").alias("_ei"), F.col("ni").alias("_ni"), "prow", "pcol", F.col("se").alias("e"), F.col("sn").alias("n"))
 
 
