@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilefabric.tables import new_path, written
+from tilefabric.tables import FAST_ZSTD, new_path, written
 
 from .shared import feistel, int_div, portions, with_number, with_own_id, with_text_id
 from .tokens import token_ids
@@ -113,7 +113,7 @@ def write_blocks(placed: DataFrame, path: str, stride: int = STRIDE, pad: int =
         if held:
             yield packed()
 
-    shown.mapInArrow(run, schema).write.mode(mode).option("compression", "zstd").parquet(path)
+    shown.mapInArrow(run, schema).write.mode(mode).options(**FAST_ZSTD).parquet(path)
 
 
 def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
@@ -141,7 +141,7 @@ def digests(blocks: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD,
 
 def op8(docs: DataFrame) -> DataFrame:
     """Places every sequence, writes the padded records in blocks of shards, reads them back and digests what they hold."""
-    seqs = written(sequences(docs).withColumn("rid", F.monotonically_increasing_id()))
+    seqs = written(sequences(docs).withColumn("rid", F.monotonically_increasing_id()), **FAST_ZSTD)
     n = seqs.count()
     path = new_path(docs.sparkSession, "blocks")
     write_blocks(ordered(seqs, n), path, rows=n)
