@@ -6,11 +6,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilefabric.functions.grid import RINGS, chebyshev, chunk_distance, chunk_resolution, effective_lod, lod_for_distance, mesh_vertices, ortho_pixels
 from tilefabric.streaming import tracks
+from tilefabric.tables import dealt, grown
 
 TRACK = ["track_id", "part"]
 #: Seconds without a fix after which a track ends.
@@ -51,14 +52,14 @@ def stays(f: DataFrame, reach: int) -> DataFrame:
     return ends.select(*TRACK, "ei", "ni", F.col("k").alias("from_k"), "to_k")
 
 
-def backwards(steps: DataFrame) -> DataFrame:
-    """Moves from (te, tn) to (pe, pn), without first ones."""
+def backwards(steps: DataFrame, *keep: str) -> DataFrame:
+    """Moves from (te, tn) to (pe, pn), without first ones; the columns ``keep`` stay."""
     swapped = (F.col(a).alias(b) for a, b in (("pe", "te"), ("pn", "tn"), ("te", "pe"), ("tn", "pn")))
-    return steps.where("pe is not null").select(*TRACK, "k", *swapped)
+    return steps.where("pe is not null").select(*TRACK, "k", *keep, *swapped)
 
 
-def strips(steps: DataFrame, reach: int) -> DataFrame:
-    """(track, part, k, ei, ni): the tiles within ``reach`` of (te, tn) that are not within it of (pe, pn); all, where that is null."""
+def strips(steps: DataFrame, reach: int, *keep: str) -> DataFrame:
+    """(track, part, k, keep, ei, ni): the tiles within ``reach`` of (te, tn) that are not within it of (pe, pn); all, where that is null."""
     none = F.array().cast("array<int>")
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
     e, n, pe, pn = (F.col(c) for c in ("te", "tn", "pe", "pn"))
@@ -67,7 +68,7 @@ def strips(steps: DataFrame, reach: int) -> DataFrame:
     inside = F.col("pe").isNotNull() & (F.abs(F.col("ei") - pe) <= r)
     below, above = span(n - r, F.least(n + r, pn - r - 1)), span(F.greatest(n - r, pn + r + 1), n + r)
     rows = rows.withColumn("ni", F.explode(F.when(inside, F.concat(below, above)).otherwise(F.sequence(n - r, n + r))))
-    return rows.select(*TRACK, "k", "ei", "ni")
+    return rows.select(*TRACK, "k", *keep, "ei", "ni")
 
 
 def residency_batch(fixes: DataFrame, radius: int, margin: int, idle: float | None = None) -> DataFrame:
@@ -82,13 +83,13 @@ def residency_batch(fixes: DataFrame, radius: int, margin: int, idle: float | No
     f = moves(fixes, idle)
     tile = [*TRACK, "ei", "ni"]
     outer, inner = stays(f, radius + margin).withColumnsRenamed({"from_k": "a", "to_k": "b"}), stays(f, radius)
-    held = outer.join(inner, tile).where("from_k >= a and (b is null or from_k < b)").groupBy(*tile, "a", "b").agg(F.min("from_k").alias("k"))
+    held = outer.join(grown(inner), tile).where("from_k >= a and (b is null or from_k < b)").groupBy(*tile, "a", "b").agg(F.min("from_k").alias("k"))
     end = F.when(F.col("b").isNotNull(), F.lit("unload")).otherwise("expire")
     found = F.array(F.struct(F.col("k").alias("k"), F.lit("load").alias("action")), F.struct(F.col("b").alias("k"), end.alias("action")))
     events = held.select(*tile, F.explode(found).alias("x")).select(*tile, "x.k", "x.action")
     if idle is None:
         events = events.where("action <> 'expire'")
-    return events.join(f.select(*TRACK, "k", "fix_id"), [*TRACK, "k"], "left").select("track_id", "fix_id", "ei", "ni", "action")
+    return events.join(grown(f.select(*TRACK, "k", "fix_id")), [*TRACK, "k"], "left").select("track_id", "fix_id", "ei", "ni", "action")
 
 
 def residency_stream(fixes: DataFrame, radius: int, margin: int, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
@@ -107,11 +108,15 @@ def lod_changes_batch(fixes: DataFrame, radius: int) -> DataFrame:
     w = Window.partitionBy(*TRACK).orderBy("k")
     steps = f.withColumns({"pe": F.lag("te").over(w), "pn": F.lag("tn").over(w)}).where("pe is not null").select(*TRACK, "fix_id", "k", "te", "tn", "pe", "pn")
     reaches = [r for r, _ in next(rings for most, rings in RINGS.items() if most is None or radius <= most)[:-1]]
-    # Only tiles that cross the border of a ring change: strips along it, not the whole square.
-    crossed = [strips(s, r) for r in reaches for s in (steps, backwards(steps))]
-    crossed = reduce(DataFrame.unionByName, crossed).distinct().join(steps, [*TRACK, "k"])
     now, then = (chebyshev(F.col("ei") - F.col(e), F.col("ni") - F.col(n)) for e, n in (("te", "tn"), ("pe", "pn")))
-    out = crossed.where((now <= radius) & (then <= radius)).withColumns({"new_lod": lod_for_distance(now, radius), "old_lod": lod_for_distance(then, radius)})
+    # Only tiles that cross the border of a ring change: strips along it, not the whole square. One that crosses several counts at the narrowest.
+    own = F.struct("fix_id", "te", "tn", "pe", "pn")
+    crossed = []
+    for k, r in enumerate(reaches):
+        both = strips(steps.withColumn("own", own), r, "own").unionByName(strips(backwards(steps.withColumn("own", own), "own"), r, "own"))
+        both = both.select("track_id", "ei", "ni", "own.*")
+        crossed.append(both.where(reduce(Column.__and__, ((now <= q) == (then <= q) for q in reaches[:k]), F.lit(True))))
+    out = reduce(DataFrame.unionByName, crossed).where((now <= radius) & (then <= radius)).withColumns({"new_lod": lod_for_distance(now, radius), "old_lod": lod_for_distance(then, radius)})
     texture = ortho_pixels(F.col("new_lod")) != ortho_pixels(F.col("old_lod"))
     return out.where("old_lod <> new_lod").select("track_id", "fix_id", "ei", "ni", "old_lod", "new_lod", texture.alias("texture"))
 
@@ -225,17 +230,17 @@ def tile_demand(fixes: DataFrame, radius: int, px: int = 1024) -> DataFrame:
     narrowest ring that it ever enters, so only strips become rows.
     """
     track = Window.partitionBy("track_id").orderBy("ts", "fix_id")
-    all_ = fixes.withColumn("_at", F.row_number().over(track)).withColumn("_of", F.count("*").over(Window.partitionBy("track_id")))
+    all_ = dealt(fixes, "track_id").withColumn("_at", F.row_number().over(track)).withColumn("_of", F.count("*").over(Window.partitionBy("track_id")))
     ends = all_.groupBy("track_id").agg((F.max("_of") + 1).alias("_end"))
     f = moves(all_).withColumn("k", F.col("_at"))  # a move's number is that of its fix
     need = stays(f, radius).join(ends, "track_id")
-    need = need.groupBy("track_id", "ei", "ni").agg(F.sum(F.coalesce("to_k", "_end") - F.col("from_k")).alias("fixes"))
+    need = need.select("track_id", "ei", "ni", (F.coalesce("to_k", "_end") - F.col("from_k")).alias("fixes"), F.lit(None).cast("int").alias("lod"))
     w = Window.partitionBy(*TRACK).orderBy("k")
     steps = f.withColumns({"pe": F.lag("te").over(w), "pn": F.lag("tn").over(w)})
     rings = next(r for most, r in RINGS.items() if most is None or radius <= most)
-    entered = [strips(steps, radius if r is None else min(r, radius)).select("track_id", "ei", "ni", F.lit(lod).alias("lod")) for r, lod in rings]
-    finest = reduce(DataFrame.unionByName, entered).groupBy("track_id", "ei", "ni").agg(F.min("lod").alias("lod"))
-    t = need.join(finest, ["track_id", "ei", "ni"]).select("track_id", "ei", "ni", "lod", "fixes")
+    entered = [strips(steps, radius if r is None else min(r, radius)).select("track_id", "ei", "ni", F.lit(None).cast("long").alias("fixes"), F.lit(lod).alias("lod")) for r, lod in rings]
+    # A tile that is needed enters a ring, so both kinds of rows meet in one grouping.
+    t = reduce(DataFrame.unionByName, [need, *entered]).groupBy("track_id", "ei", "ni").agg(F.min("lod").alias("lod"), F.sum("fixes").alias("fixes"))
     return t.withColumn("vertices", mesh_vertices(effective_lod(F.col("lod"), px), px))
 
 
