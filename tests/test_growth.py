@@ -1,14 +1,17 @@
 """Edge cases and plans of queries that failed on larger tables."""
 
+import math
 import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilefabric.operators import features, raster
+from tilefabric.operators import bakes, features, raster, spatial
 from tilefabric.plans.queries import QUERIES, SQL
+from tilefabric.streaming import residency
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -46,3 +49,26 @@ def test_twins_agree_on_keys_of_larger_tables(spark, tmp_path, name):
     columns = sorted(df.columns)
     want = c.execute(f"select {', '.join(columns)} from ({SQL[name]})").fetchall()
     assert want and Counter(map(tuple, df.select(*columns).collect())) == Counter(want)
+
+
+def test_near_segments_against_brute_force(spark):
+    """Each pair once, steep and flat and pointlike segments, and none of those beyond the points goes to cells."""
+    rng = np.random.default_rng(3)
+    points = [(k, *map(float, p)) for k, p in enumerate(rng.uniform(-400, 400, (150, 2)))]
+    lines = [(k, *map(float, s)) for k, s in enumerate(rng.uniform(-900, 900, (40, 4)))] + [(50, 5.0, -900.0, 5.0, 900.0), (51, -900.0, 7.0, 900.0, 7.0), (52, 1.0, 1.0, 1.0, 1.0), (53, 9e8, 0.0, 9e8, 9e9)]
+    df, segs = spark.createDataFrame(points, "id long, e double, n double"), spark.createDataFrame(lines, "line long, e0 double, n0 double, e1 double, n1 double")
+
+    def near(p, s):
+        de, dn = s[3] - s[1], s[4] - s[2]
+        t = min(1.0, max(0.0, ((p[1] - s[1]) * de + (p[2] - s[2]) * dn) / ((de * de + dn * dn) or 1.0)))
+        return math.hypot(p[1] - s[1] - t * de, p[2] - s[2] - t * dn) < 30
+
+    got = spatial.near_segments(df, segs, F.lit(30.0), 64.0)
+    assert Counter((r["id"], r["line"]) for r in got.collect()) == Counter((p[0], s[0]) for p in points for s in lines if near(p, s))
+
+
+def test_stays_and_pixels_are_not_broadcast(spark):
+    """Rows that an explode made look few to Spark."""
+    fix = spark.createDataFrame([(t, k, k, k % 5, k % 3) for t in range(3) for k in range(20)], "track_id long, fix_id long, ts long, te int, tn int")
+    assert "BroadcastHashJoin" not in plan(residency.residency_batch(fix, 2, 1))
+    assert "Join" not in plan(residency.lod_changes_batch(fix, 4)) and "Join" not in plan(bakes.good_tiles(spark.createDataFrame([(0, 0, 0, 0, 1.0)], PX), 2, 0.25))
