@@ -67,6 +67,27 @@ def test_near_segments_against_brute_force(spark):
     assert Counter((r["id"], r["line"]) for r in got.collect()) == Counter((p[0], s[0]) for p in points for s in lines if near(p, s))
 
 
+#: Times as many rows over twice the tables: pairs of fixes and polygons grow with the square, and fixes near tiles in proportion.
+TIMES = {"points_in_polygons": 4, "tiles_in_radius": 2}
+CROWDED = ["points_in_polygons"]
+
+
+@pytest.mark.parametrize("name", CROWDED)
+def test_jobs_grow_with_tables_of_further_keys(spark, tmp_path, name):
+    """Further keys once lay farther east, away from the other rows, and the job over a larger table grew less than it does in one area."""
+    assert "fx_line_vertex" not in SQL[name] or "(user_id % 50) * 400e0" in SQL[name]
+    assert "fx_fix" not in SQL[name] or "(user_id % 50) * 400e0" in SQL[name]
+    assert "fx_ring_vertex" not in SQL[name] or "(p.c_custkey % 40) * 500e0" in SQL[name]
+    assert "fx_zone" not in SQL[name] or "(s_suppkey % 20) * 1000e0" in SQL[name]
+    if name not in TIMES:
+        return
+    c = duckdb.connect()
+    for table, shift in (("events", "user_id + 5000 as user_id, event_id + 16384 * 50 as event_id"), ("customer", "c_custkey + 40 * 33 * 13 * 5 as c_custkey"), ("orders", None)):
+        more = f" union all select * replace ({shift}) from '{SF}/{table}.parquet'" if shift else ""
+        c.execute(f"copy (select * from '{SF}/{table}.parquet'{more}) to '{tmp_path}/{table}.parquet'")
+    assert QUERIES[name](spark, str(tmp_path)).count() == TIMES[name] * QUERIES[name](spark, SF).count() > 0
+
+
 def test_stays_and_pixels_are_not_broadcast(spark):
     """Rows that an explode made look few to Spark."""
     fix = spark.createDataFrame([(t, k, k, k % 5, k % 3) for t in range(3) for k in range(20)], "track_id long, fix_id long, ts long, te int, tn int")
