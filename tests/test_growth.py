@@ -69,7 +69,7 @@ def test_near_segments_against_brute_force(spark):
 
 #: Times as many rows over twice the tables: pairs of fixes and polygons grow with the square, and fixes near tiles in proportion.
 TIMES = {"points_in_polygons": 4, "tiles_in_radius": 2}
-CROWDED = ["points_in_polygons", "rasterise_classes", "tiles_in_radius", "surface_height", "apply_patches", "paint_corridors", "landcover_fallback"]
+CROWDED = ["points_in_polygons", "rasterise_classes", "tiles_in_radius", "surface_height", "apply_patches", "paint_corridors", "landcover_fallback", "clip_to_boundary"]
 
 
 @pytest.mark.parametrize("name", CROWDED)
