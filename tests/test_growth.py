@@ -93,3 +93,27 @@ def test_stays_and_pixels_are_not_broadcast(spark):
     fix = spark.createDataFrame([(t, k, k, k % 5, k % 3) for t in range(3) for k in range(20)], "track_id long, fix_id long, ts long, te int, tn int")
     assert "BroadcastHashJoin" not in plan(residency.residency_batch(fix, 2, 1))
     assert "Join" not in plan(residency.lod_changes_batch(fix, 4)) and "Join" not in plan(bakes.good_tiles(spark.createDataFrame([(0, 0, 0, 0, 1.0)], PX), 2, 0.25))
+
+
+def test_chunk_resolutions_by_bands(spark):
+    """Only moves on which a chunk's distance comes into another band are rows, dealt to all tasks; small and large steps to and fro over all borders."""
+    rng = np.random.default_rng(7)
+    rows, want = [], Counter()
+    for t in range(3):
+        e = n = 0
+        held = {}
+        for k in range(60):
+            e, n = e + int(rng.integers(-6, 7)) * (1 + 9 * (k % 13 == 0)), n + int(rng.integers(-3, 4))
+            rows.append((t, k, k, e, n))
+            now = {}
+            for i in range((e - 76) // 8, (e + 76) // 8 + 1):
+                for j in range((n - 76) // 8, (n + 76) // 8 + 1):
+                    d, old = max(i * 8 - e, e - i * 8 - 7, j * 8 - n, n - j * 8 - 7, 0), held.get((i, j))
+                    if d <= 76:
+                        now[i, j] = 129 if d <= 32 + 4 * (old == 129) else 65 if d <= 64 + 4 * (old == 65) else 33
+                        if now[i, j] != old:
+                            want[t, k, i, j, old, now[i, j]] += 1
+            held = now
+    got = residency.chunk_resolution_batch(spark.createDataFrame(rows, "track_id long, fix_id long, ts long, te int, tn int"), 76)
+    assert "collect_list" not in plan(got) and "REPARTITION_BY_NUM" in plan(got)
+    assert Counter(map(tuple, got.collect())) == want

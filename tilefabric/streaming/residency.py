@@ -154,22 +154,31 @@ def chunk_resolution_batch(fixes: DataFrame, far: int, span: int = 8) -> DataFra
     """Chunks that are asked for, or asked for anew in another resolution, over whole tracks.
 
     A chunk gets coarser only once the distance is clear of the border; out
-    of reach it is forgotten. The distances of a track and chunk are one array,
-    which is gone through with the resolution so far.
+    of reach it is forgotten. A resolution can change only where the distance
+    comes into another band, so only such moves become rows: bands 0, 2 and 4
+    stand for a resolution each, and in 1 and 3, just past a border, the one
+    before counts. The one before band 1 is never of band 1, nor that before 3 of 3.
     """
-    d = chunk_distances(fixes, far, span)
-    runs = d.groupBy("track_id", "cei", "cni").agg(F.sort_array(F.collect_list(F.struct("k", "fix_id", "d"))).alias("s"))
-    nothing = F.array().cast("array<struct<fix_id: bigint, old_res: int, new_res: int>>")
-    start = F.struct(F.lit(-1).alias("k"), F.lit(None).cast("int").alias("res"), nothing.alias("out"))
-
-    def step(acc, x):
-        old = F.when(x["k"] == acc["k"] + 1, acc["res"])
-        new = chunk_resolution(x["d"], old)
-        found = F.array(F.struct(x["fix_id"].alias("fix_id"), old.alias("old_res"), new.alias("new_res")))
-        return F.struct(x["k"].alias("k"), new.alias("res"), F.when(~new.eqNullSafe(old), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    out = runs.select("track_id", "cei", "cni", F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("x"))
-    return out.select("track_id", "x.fix_id", "cei", "cni", "x.old_res", "x.new_res")
+    f = moves(dealt(fixes, "track_id"))
+    last = Window.partitionBy(*TRACK).orderBy("k")
+    f = f.withColumns({"pe": F.lag("te").over(last), "pn": F.lag("tn").over(last)})
+    reach = lambda c: F.sequence(F.floor((F.col(c) - far) / span).cast("int"), F.floor((F.col(c) + far) / span).cast("int"))
+    # The distance along each axis is a column of its own, and a band is looked up, lest the generated code gets too long to be compiled.
+    along = lambda tile, chunk: F.greatest(F.col(chunk) * span - F.col(tile), F.col(tile) - F.col(chunk) * span - span + 1)
+    f = f.withColumn("cei", F.explode(reach("te"))).withColumns({"_d": along("te", "cei"), "_was": along("pe", "cei")})
+    f = f.withColumn("cni", F.explode(reach("tn")))
+    d, was = F.greatest("_d", along("tn", "cni"), F.lit(0)), F.greatest("_was", along("pn", "cni"), F.lit(0))
+    borders = (32, 36, 64, 68)
+    band = lambda x: F.get(F.lit([sum(i > border for border in borders) for i in range(borders[-1] + 2)]), F.least(x, F.lit(borders[-1] + 1)))
+    enters = F.col("pe").isNull() | (was > far)
+    rows = f.where((d <= far) & (enters | (band(d) != band(was))))
+    rows = rows.select("track_id", "fix_id", "k", "cei", "cni", band(d).alias("band"), F.when(enters, chunk_resolution(d, F.lit(None).cast("int"))).alias("first"))
+    w = Window.partitionBy("track_id", "cei", "cni").orderBy("k")
+    own = F.when(F.col("band") == 0, 129).when(F.col("band") == 2, 65).when(F.col("band") == 4, 33).when(F.col("band") == 1, F.when(F.lag("band").over(w) == 0, 129).otherwise(65))
+    rows = rows.withColumn("_res", F.coalesce("first", own))
+    rows = rows.withColumn("new_res", F.coalesce("_res", F.when(F.lag("_res").over(w) == 65, 65).otherwise(33)))
+    rows = rows.withColumn("old_res", F.when(F.col("first").isNull(), F.lag("new_res").over(w)))
+    return rows.where("old_res is null or old_res <> new_res").select("track_id", "fix_id", "cei", "cni", "old_res", "new_res")
 
 
 def chunk_resolution_stream(fixes: DataFrame, far: int, span: int = 8, late: str = "10 minutes", idle: float = IDLE) -> DataFrame:
