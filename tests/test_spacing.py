@@ -38,3 +38,17 @@ def test_bands_filled_together_are_those_filled_apart(spark):
         assert {tuple(x[k2] for k2 in raster.PIXEL): x["h"] for x in one.collect()} == {p: v[k] for p, v in both.items()}
     plan = raster.fill_gaps_idw(px, 3, ("r", "g", "b"), F.col("r").isNotNull())._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_close_points_are_all_found_with_few_copies(spark):
+    """A point went to nine cells; places on the borders of cells, far west and south too."""
+    rng = np.random.default_rng(5)
+    rows = [(0, k, float(e), float(n)) for k, (e, n) in enumerate(np.vstack([rng.random((500, 2)) * 300 - 150, rng.integers(-5, 6, (60, 2)) * 28.0, rng.integers(-5, 6, (60, 2)) * 7.0]))]
+    p = spatial.in_cells(spark.createDataFrame(rows, "poly_id int, k int, e double, n double"), 7.0 * spatial.BLOCK).withColumn("_rank", F.struct("k"))
+    assert spatial.near_cells(p, 7.0).count() < 3 * len(rows)
+    near = lambda a, b: (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 < 49
+    some = p.where("k % 9 = 4")
+    for others, lower, want in ((p, True, [a[1] for a in rows if not any(near(a, b) and b[1] < a[1] for b in rows)]), (some, False, [a[1] for a in rows if not any(near(a, b) for b in rows if b[1] % 9 == 4)])):
+        left = spatial.without_close(p, others, 7.0, lower)
+        assert left._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+        assert sorted(r["k"] for r in left.collect()) == want
