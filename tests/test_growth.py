@@ -117,3 +117,13 @@ def test_chunk_resolutions_by_bands(spark):
     got = residency.chunk_resolution_batch(spark.createDataFrame(rows, "track_id long, fix_id long, ts long, te int, tn int"), 76)
     assert "collect_list" not in plan(got) and "REPARTITION_BY_NUM" in plan(got)
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_road_manifests_move_lines_only(spark):
+    """Their vertices were sent to the height tiles and back, and sorted in as few tasks as the lines had."""
+    roads = spark.createDataFrame([(1, "primary", 0, 0.0, 0.0), (1, "primary", 1, 5000.0, 100.0)], "line_id long, cls string, seq int, e double, n double")
+    height = spark.createDataFrame([(0, 0, r, c, 500.0) for r in (0, 1) for c in (0, 1)], PX)
+    vertices, manifest = bakes.road_tiles(roads, height, 2, most=50.0)
+    text = plan(manifest)
+    assert text.count("LeftOuter") == 1 and "REPARTITION_BY_NUM" in text
+    assert sum(r["vertices"] for r in manifest.collect()) == vertices.count() > 200
