@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -127,3 +128,27 @@ def test_road_manifests_move_lines_only(spark):
     text = plan(manifest)
     assert text.count("LeftOuter") == 1 and "REPARTITION_BY_NUM" in text
     assert sum(r["vertices"] for r in manifest.collect()) == vertices.count() > 200
+
+
+@pytest.mark.parametrize(("load", "few"), [(10**9, 10**9), (10**9, 0), (50, 0)])
+def test_tiles_go_only_to_cells_within_the_extent_of_fixes(spark, monkeypatch, load, few):
+    """Tiles far from all fixes went to cells too, and all those rows were broadcast, as an explode's rows look few to Spark."""
+    rng = np.random.default_rng(11)
+    places = [(k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 900, (300, 2)))]
+    at = [(i, j) for i in range(-8, 9) for j in [*range(-8, 9), *range(100, 2_000)]]
+    fixes = spark.createDataFrame([*places, (300, None, 5.0)], "fix_id long, e double, n double")
+    tiles = spark.createDataFrame([(i, j, i * 200.0, j * 200.0) for i, j in at], "ei int, ni int, ce double, cn double")
+    rows, keep = [], spatial.written
+
+    def counted(df):
+        rows.append(df.count())
+        return keep(df)
+
+    monkeypatch.setattr(spatial, "written", counted)
+    got = spatial.tiles_in_radius(fixes, tiles, 400.0, ["fix_id"], load=load, few=few)
+    assert len(rows) == 1 and 0 < rows[0] <= 17 * 17 * 19 * 19  # 17 x 17 tiles come near, each to 19 x 19 cells of 50 m at most
+    if not few:
+        assert re.search(r"\w+Join", plan(got)).group() == "SortMergeJoin" and plan(got).count("REPARTITION_BY_NUM") == 2
+    want = Counter((k, i, j) for k, e, n in places for i, j in at if math.hypot(i * 200 - e, j * 200 - n) <= 400)
+    assert want and Counter((r["fix_id"], r["ei"], r["ni"]) for r in got.collect()) == want
+    assert spatial.tiles_in_radius(fixes.where("e is null"), tiles, 400.0, ["fix_id"], load=load, few=few).collect() == [] and rows[1] == 0
