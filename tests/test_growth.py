@@ -31,6 +31,25 @@ def test_a_gap_whose_known_neighbours_have_no_weight_is_0(spark):
     assert got == {(0, 0): 0.0, (0, 1): 5.0, (1, 1): 9.0}
 
 
+def test_neighbours_of_a_gap_are_added_row_by_row(spark):
+    """They were added in the order of the join, so that a mean halfway between two rounded values was rounded either way."""
+    rng = np.random.default_rng(5)
+    at = lambda n: [(t, 0, r, c) for t in range(40) for r in range(n) for c in range(n)]
+    fine = spark.createDataFrame([(*k, 0.0) for k in at(16)], PX).repartition(7, "pcol")
+    known = {k: round(float(h), 3) * (rng.random() > 0.2) for k, h in zip(at(8), rng.uniform(310, 500, 40 * 64), strict=True)}
+    coarse = spark.createDataFrame([(*k, h) for k, h in known.items()], PX).repartition(5, "prow")
+    got = raster.fill_from_coarser(fine, coarse, 16, 8).collect()
+    for t, _, r, c, h in got:
+        x, y, total, weight = c * (7 / 15), r * (7 / 15), 0.0, 0.0
+        for dr in (0, 1):
+            for dc in (0, 1):
+                near = known[t, 0, min(int(y) + dr, 7), min(int(x) + dc, 7)]
+                w = (x % 1 if dc else 1 - x % 1) * (y % 1 if dr else 1 - y % 1)
+                total, weight = total + near * w * (near != 0), weight + w * (near != 0)
+        assert h == (total / weight if weight else 0.0)
+    assert len(got) == 40 * 256
+
+
 @pytest.mark.parametrize("made", [features.oriented_faces, features.weld_vertices])
 def test_faces_of_a_building_are_never_joined_with_each_other(spark, made):
     """A table of faces looks small to Spark (by its boxes, before they were exploded), so a join would broadcast it."""
