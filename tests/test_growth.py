@@ -171,3 +171,47 @@ def test_tiles_go_only_to_cells_within_the_extent_of_fixes(spark, monkeypatch, l
     want = Counter((k, i, j) for k, e, n in places for i, j in at if math.hypot(i * 200 - e, j * 200 - n) <= 400)
     assert want and Counter((r["fix_id"], r["ei"], r["ni"]) for r in got.collect()) == want
     assert spatial.tiles_in_radius(fixes.where("e is null"), tiles, 400.0, ["fix_id"], load=load, few=few).collect() == [] and rows[1] == 0
+
+
+def test_pairs_of_points_and_polygons_are_not_shuffled(spark, monkeypatch):
+    """Each crossing of a pair was a row, and all of them were sent by pair and counted there; polygons that lie on each other were tested one by one."""
+    rng = np.random.default_rng(13)
+    outer = [(0.0, 0.0), (900.0, 50.0), (700.0, 800.0), (100.0, 700.0)]
+    hole = [(300.0, 300.0), (500.0, 300.0), (400.0, 500.0)]
+    rows = [(p, r, k, p % 13, e + 150.0 * (p % 3), n) for p in range(40) for r, ring in enumerate((outer, hole)) for k, (e, n) in enumerate(ring)]
+    rings = spark.createDataFrame(rows, "poly_id long, ring_no int, seq int, kind int, e double, n double")
+    places = [(k, *map(float, p)) for k, p in enumerate(rng.uniform(-50, 1300, (300, 2)))]
+    twice = [(400, 200.0, 200.0), (400, 210.0, 200.0), (400, -900.0, 0.0), (401, 200.0, 200.0), (401, -900.0, 0.0), (None, 200.0, 200.0)]
+    points = spark.createDataFrame([*places, *twice, (402, None, 1.0)], "fix_id long, e double, n double")
+
+    def inside(e, n, p):
+        odd = False
+        for ring in (outer, hole):
+            for (a, b), (c, d) in zip(ring, ring[-1:] + ring[:-1], strict=True):
+                odd ^= (b > n) != (d > n) and e - 150 * (p % 3) < (c - a) * (n - b) / (d - b) + a
+        return odd
+
+    want = Counter((k, p) for k, e, n in [*places, *twice] for p in range(40) if inside(e, n, p))
+    want = Counter(pair for pair, times in want.items() if times % 2)  # points with the same key count as one
+    shapes, cells = [], spatial.polygon_cells
+    monkeypatch.setattr(spatial, "polygon_cells", lambda r, cell: shapes.append(r.select("poly_id").distinct().count()) or cells(r, cell))
+    for load in (10**9, 40):
+        got = spatial.points_in_polygons(points, rings, ["fix_id"], 256.0, load)
+        assert Counter((r["fix_id"], r["poly_id"]) for r in got.collect()) == want
+    alone = spatial.points_in_polygons(points.where("fix_id < 400"), rings, ["fix_id"], 256.0)
+    after = re.split(r"\w+Join", plan(alone))[0]
+    assert "SortMergeJoin" in plan(alone) and "Exchange" not in after and "Aggregate" not in after
+    assert set(shapes) == {3}  # of 40 polygons
+    kinds = {}
+    for k, p in want:
+        rank = {12: 0, 5: 1, 6: 2, 7: 3, 8: 4, 9: 5, 10: 6, 11: 7, 4: 9}.get(p % 13, 8)
+        if p % 13 != 3:
+            kinds[k] = max(kinds.get(k, (-1, -1)), (rank, p))
+    got = spatial.rasterise_classes(points, rings, ["fix_id"])
+    assert Counter(map(tuple, got.collect())) == Counter((k, p % 13) for k, (_, p) in kinds.items())
+    assert "SortAggregate" not in plan(got)  # its input would be sorted before a pixel has one row
+    any_of = spatial.in_any_polygon(points.where("fix_id < 400"), rings, ["fix_id"])
+    assert sorted(r["fix_id"] for r in any_of.collect()) == sorted({k for k, _ in want if k is not None and k < 400})
+    own = points.where("fix_id < 400").selectExpr("*", "fix_id % 50 as own")
+    own = spatial.points_in_polygons(own, rings, ["own", "fix_id"], own="own")
+    assert Counter((r["fix_id"], r["poly_id"]) for r in own.collect()) == Counter(x for x in want.elements() if x[0] is not None and x[0] < 400 and x[0] % 50 == x[1])
