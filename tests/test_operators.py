@@ -419,3 +419,14 @@ def test_draining_takes_each_file_once(spark, tmp_path):
     assert sorted((r["batch"], r["k"], r["v"]) for r in spark.read.parquet(f"{out}/data").collect()) == [(0, 1, 11), (1, 2, 21)]
     released = spark.read.parquet(f"{out}/released")
     assert released.count() == 2 and {r["file"].rsplit("/", 1)[0].replace("file://", "file:") for r in released.collect()} == {f"file:{src}"}
+
+
+def test_what_is_there_stands_in_for_a_probe_and_counts_once_converted(spark):
+    """What is there was added to what is wanted and taken away again, without any effect."""
+    cells = lambda *e: spark.createDataFrame([(k, 0) for k in e], "e_km int, n_km int")
+    every, have, published, reference = cells(1, 3, 5, 7, 9), cells(1, 3, 3), cells(3, 5, 11), cells(7, 7, 1)
+    found = lambda *a: sorted(r["e_km"] for r in audit.audit(*a).collect())
+    assert found(every, have, published, reference) == [5, 7]
+    assert found(every, have, None, reference) == [7]
+    assert found(every, have, None, reference, cells(3)) == [1, 7]
+    assert found(every, have, published, reference, cells(3, 7)) == [1, 5]
