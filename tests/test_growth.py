@@ -215,3 +215,26 @@ def test_pairs_of_points_and_polygons_are_not_shuffled(spark, monkeypatch):
     own = points.where("fix_id < 400").selectExpr("*", "fix_id % 50 as own")
     own = spatial.points_in_polygons(own, rings, ["own", "fix_id"], own="own")
     assert Counter((r["fix_id"], r["poly_id"]) for r in own.collect()) == Counter(x for x in want.elements() if x[0] is not None and x[0] < 400 and x[0] % 50 == x[1])
+
+
+def test_triangles_beyond_all_hints_go_to_no_cell(spark, monkeypatch):
+    """All triangles went to cells of a kilometre, and most of the pairs were beyond the tolerance."""
+    rng = np.random.default_rng(17)
+    points = [(k, *map(float, p), 100.0 + k % 7) for k, p in enumerate(rng.uniform(0, 1500, (120, 2)))]
+    corner = lambda t, x, z: (float(x), t * 5.0 + float(rng.uniform(0, 9)), float(z))
+    tris = [sum((corner(t, x + dx, z + dz) for dx, dz in ((0, 0), (500, 40), (90, 400))), ()) for t, (x, z) in enumerate(rng.uniform(-200, 1500, (90, 2)))]
+    tris.append((0.0, 100.0, 0.0, 9.0, 100.0, 9.0, 18.0, 100.0, 18.0))  # no area
+    sent, join = [], spatial.cell_join
+    monkeypatch.setattr(spatial, "cell_join", lambda p, t, *a: sent.append(t.count()) or join(p, t, *a))
+    df = spark.createDataFrame(tris, ", ".join(f"{a}{b} double" for a in "abc" for b in "xyz"))
+    got = spatial.surface_height_at(spark.createDataFrame(points, "id long, e double, n double, hint double"), df, ["id"], 20.0)
+    want = {}
+    for k, e, n, hint in points:
+        for ax, ay, az, bx, by, bz, cx, cy, cz in tris[:-1]:
+            area = (bx - ax) * (cz - az) - (cx - ax) * (bz - az)
+            u, v = ((bx - e) * (cz - n) - (cx - e) * (bz - n)) / area, ((cx - e) * (az - n) - (ax - e) * (cz - n)) / area
+            y = u * ay + v * by + (1 - u - v) * cy
+            if min(u, v, 1 - u - v) >= -1e-4 and abs(y - hint) <= 20:
+                want[k] = max(want.get(k, y), y)
+    assert {r["id"]: round(r["y"], 9) for r in got.collect()} == {k: round(y, 9) for k, y in want.items()} and want
+    assert sent == [sum(min(t[1::3]) <= 126.1 and max(t[1::3]) >= 79.9 for t in tris[:-1])] and sent[0] < 20
