@@ -238,3 +238,14 @@ def test_triangles_beyond_all_hints_go_to_no_cell(spark, monkeypatch):
                 want[k] = max(want.get(k, y), y)
     assert {r["id"]: round(r["y"], 9) for r in got.collect()} == {k: round(y, 9) for k, y in want.items()} and want
     assert sent == [sum(min(t[1::3]) <= 126.1 and max(t[1::3]) >= 79.9 for t in tris[:-1])] and sent[0] < 20
+
+
+def test_buildings_beyond_the_projection_are_counted_without_a_tile(spark):
+    """NaN was cast to the number of a tile, which ended the job."""
+    wall = lambda name, x, y: [(name, s, f, 0, k, x + 9 * (k in (1, 2)), y + 9 * (k > 1), 5.0 * f) for f, s in enumerate(("wall", "roof")) for k in range(4)]
+    rows = wall("near", 472_609.0, 5_281_910.0) + wall("far", math.nan, math.nan) + wall("farther", 1e300, -1e300)
+    faces = spark.createDataFrame(rows, "building_id string, surface string, face int, ring_no int, seq int, x double, y double, z double")
+    sides, boxes, stats = bakes.building_tiles(faces, spark.createDataFrame([(0, 0, 0, 0, 450.0)], PX), 2)
+    got = {r["tile_id"]: (r["buildings"], r["roof_triangles"], r["wall_triangles"], r["no_ground"]) for r in stats.collect()}
+    assert got.pop(None) == (2, 4, 4, None) and [*got.values()] == [(1, 2, 2, 1)]
+    assert [r["building_id"] for r in boxes.collect()] == ["near"] and sides.count() == 2
